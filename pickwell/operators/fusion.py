@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 def fuse(units: DataFrame) -> DataFrame:
     """One row per (user, item) with the candidates that gave it.
 
-    Repeats count. A group holds at most one entry per pulled unit of one
-    user and item, that is about one per candidate.
+    Repeats count. A user has at most one pull of units, so units are moved
+    once, by user; ranking and listing per user then need no further shuffle.
     """
-    return units.groupBy("user", "item").agg(
+    return units.repartition("user").groupBy("user", "item").agg(
         F.sort_array(F.collect_list("cid")).alias("cids"), F.count(F.lit(1)).cast("int").alias("n_sources")
     )
 
@@ -37,10 +37,19 @@ def history_rows(ranked: DataFrame) -> DataFrame:
     return ranked.select("user", F.explode("cids").alias("cid"), F.col("rank").alias("seq"), "item")
 
 
-def history_lists(history: DataFrame, order: list[str] = ["seq", "item"]) -> DataFrame:
-    """The history of each (user, cid) as numbered rows, oldest first."""
-    place = F.row_number().over(W.partitionBy("user", "cid").orderBy(*order))
-    return history.select("user", "cid", place.alias("pos"), "item")
+def history_lists(history: DataFrame) -> DataFrame:
+    """Numbered history ``(user, cid, pos, item)``, oldest first.
+
+    ``history`` is the appended rows with the number of their ``run``. Rows
+    are numbered within a run, which is at most one pull long, and shifted by
+    the counts of earlier runs, so a long history is never sorted as a whole.
+    """
+    runs = history.groupBy("user", "cid", "run").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("user", "cid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    shift = runs.select("user", "cid", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    place = F.row_number().over(W.partitionBy("user", "cid", "run").orderBy("seq", "item"))
+    placed = history.withColumn("place", place).join(shift, ["user", "cid", "run"])
+    return placed.select("user", "cid", (F.col("shift") + F.col("place")).cast("int").alias("pos"), "item")
 
 
 def serving_lists(ranked: DataFrame, now: int) -> DataFrame:

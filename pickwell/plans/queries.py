@@ -1,0 +1,701 @@
+"""One query per operator, each over the whole of the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pickwell.functions.columns import decode_ids, encode_ids, next_offset
+from pickwell.model import FactorModel
+from pickwell.operators import cache as C
+from pickwell.operators import candidates as K
+from pickwell.operators import factors as X
+from pickwell.operators import fusion, merging, paging, ratings, scoring
+from pickwell.plans import serving, training
+from pickwell.plans.views import DAY_MS, NOW, RANK, as_lists, model, view
+from pickwell.session import fresh_path
+from pickwell.sources import messages, models, tables
+from pickwell.streaming import speed, updates
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _both(spark: SparkSession, sf: str) -> tuple[FactorModel, FactorModel]:
+    return model(spark, sf, "batch"), model(spark, sf, "speed")
+
+
+def _flat(df: DataFrame, *keys: str) -> DataFrame:
+    """Factor rows as one row per element."""
+    return df.select(*keys, F.posexplode("features").alias("pos", "value"))
+
+
+def _two_sides(users: DataFrame, items: DataFrame) -> DataFrame:
+    return users.select(F.lit("users").alias("side"), "*").unionByName(items.select(F.lit("items").alias("side"), "*"))
+
+
+# Parsing and codecs
+
+
+@query
+def parse_ratings_drop(spark, sf):
+    return ratings.parse_ratings(view(spark, sf, "raw_lines"))
+
+
+@query
+def parse_ratings_default(spark, sf):
+    return ratings.parse_ratings(view(spark, sf, "raw_lines"), on_malformed="default")
+
+
+@query
+def custom_parser(spark, sf):
+    def halves(lines: DataFrame) -> DataFrame:
+        return ratings.parse_ratings(lines).withColumn("rating", F.col("rating") / 2)
+
+    return ratings.apply_parser(view(spark, sf, "raw_lines"), halves)
+
+
+@query
+def triples_to_ratings(spark, sf):
+    return ratings.triples_to_ratings(view(spark, sf, "triples"))
+
+
+@query
+def id_list_codec(spark, sf):
+    texts = as_lists(view(spark, sf, "bought")).select("user", encode_ids(F.col("items")).alias("ids"))
+    back = decode_ids(F.col("ids"))
+    total = F.aggregate(back, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return texts.select("user", "ids", F.size(back).alias("n"), total.alias("total"))
+
+
+# Factor tables
+
+
+@query
+def valid_features(spark, sf):
+    checked = X.valid_features(view(spark, sf, "updates").withColumnRenamed("feature", "features"), RANK)
+    return checked.select("seq", "valid")
+
+
+@query
+def factor_lookup(spark, sf):
+    found = X.user_factors(model(spark, sf, "batch"), view(spark, sf, "user_ids"))
+    return found.select("id", F.posexplode_outer("features").alias("pos", "value"))
+
+
+@query
+def item_factor_lookup(spark, sf):
+    found = X.item_factors(model(spark, sf, "speed"), view(spark, sf, "item_ids"))
+    return found.select("id", F.posexplode_outer("features").alias("pos", "value"))
+
+
+@query
+def has_users(spark, sf):
+    return X.has_users(model(spark, sf, "batch"), view(spark, sf, "user_ids"))
+
+
+@query
+def has_items(spark, sf):
+    return X.has_items(model(spark, sf, "speed"), view(spark, sf, "item_ids"))
+
+
+@query
+def user_ids(spark, sf):
+    return X.user_ids(model(spark, sf, "batch"))
+
+
+@query
+def item_ids(spark, sf):
+    return X.item_ids(model(spark, sf, "batch"))
+
+
+@query
+def model_summary(spark, sf):
+    batch, fast = _both(spark, sf)
+    return X.model_summary({"batch": batch, "speed": fast})
+
+
+@query
+def resolve_factors(spark, sf):
+    batch, fast = _both(spark, sf)
+    return _flat(X.resolve_factors(view(spark, sf, "user_ids"), batch.users, fast.users), "id")
+
+
+@query
+def prune_speed(spark, sf):
+    batch, fast = _both(spark, sf)
+    left = X.prune_speed(fast, batch)
+    return _two_sides(left.users.select("id"), left.items.select("id"))
+
+
+@query
+def merge_models(spark, sf):
+    batch, fast = _both(spark, sf)
+    merged = X.merge_models(batch, fast, weight=0.8)
+    return _flat(_two_sides(merged.users, merged.items), "side", "id", "is_new")
+
+
+@query
+def recent_new(spark, sf):
+    return X.recent_new(X.merge_models(*_both(spark, sf)))
+
+
+@query
+def as_speed_model(spark, sf):
+    return _flat(X.as_speed_model(model(spark, sf, "batch")).items, "id")
+
+
+# Scoring
+
+
+@query
+def predict_pairs(spark, sf):
+    return scoring.predict(model(spark, sf, "batch"), view(spark, sf, "pairs"))
+
+
+@query
+def items_for_features(spark, sf):
+    return scoring.ranked(scoring.items_for_features(view(spark, sf, "vectors"), model(spark, sf, "batch"), 20))
+
+
+@query
+def users_for_features(spark, sf):
+    found = scoring.users_for_features(view(spark, sf, "vectors"), model(spark, sf, "batch"), 20)
+    return scoring.ranked(found, "item", "user")
+
+
+@query
+def items_for_users_subset(spark, sf):
+    found = scoring.items_for_users_subset(view(spark, sf, "event_users"), model(spark, sf, "batch"), 50)
+    return scoring.ranked(found)
+
+
+@query
+def users_for_items_subset(spark, sf):
+    found = scoring.users_for_items_subset(view(spark, sf, "item_ids"), model(spark, sf, "batch"), 10)
+    return scoring.ranked(found, "item", "user")
+
+
+@query
+def items_for_all_users(spark, sf):
+    return scoring.ranked(scoring.items_for_all_users(model(spark, sf, "batch"), 10))
+
+
+@query
+def items_for_all_users_grid(spark, sf):
+    """The same with neither side broadcast."""
+    found = scoring.items_for_all_users(model(spark, sf, "batch"), 10, broadcast_bytes=0, cell_rows=500)
+    return scoring.ranked(found)
+
+
+@query
+def users_for_all_items(spark, sf):
+    return scoring.ranked(scoring.users_for_all_items(model(spark, sf, "batch"), 10), "item", "user")
+
+
+@query
+def items_for_factor_table(spark, sf):
+    batch, fast = _both(spark, sf)
+    return scoring.ranked(scoring.items_for_factor_table(fast.users, batch, 10))
+
+
+@query
+def speed_items_for_users(spark, sf):
+    found = scoring.items_for_users_subset(view(spark, sf, "user_ids"), model(spark, sf, "speed"), 10)
+    return scoring.ranked(found)
+
+
+@query
+def speed_users_for_items(spark, sf):
+    found = scoring.users_for_items_subset(view(spark, sf, "item_ids"), model(spark, sf, "speed"), 10)
+    return scoring.ranked(found, "item", "user")
+
+
+@query
+def speed_users_for_features(spark, sf):
+    found = scoring.users_for_features(view(spark, sf, "vectors"), model(spark, sf, "speed"), 20)
+    return scoring.ranked(found, "item", "user")
+
+
+@query
+def speed_items_for_features(spark, sf):
+    return scoring.ranked(scoring.items_for_features(view(spark, sf, "vectors"), model(spark, sf, "speed"), 20))
+
+
+@query
+def merged_topn_bulk(spark, sf):
+    return scoring.ranked(merging.merged_topn_bulk(*_both(spark, sf), n=25))
+
+
+@query
+def merged_topn_bulk_best(spark, sf):
+    found = merging.merged_topn_bulk(*_both(spark, sf), n=25, vector_source="batch", dedupe="max")
+    return scoring.ranked(found)
+
+
+@query
+def merged_topn_users(spark, sf):
+    return merging.merged_topn_users(view(spark, sf, "event_users"), *_both(spark, sf), n=100)
+
+
+@query
+def serve_items(spark, sf):
+    return merging.serve_items(view(spark, sf, "user_ids"), *_both(spark, sf), k=15)
+
+
+@query
+def serve_users(spark, sf):
+    return merging.serve_users(view(spark, sf, "item_ids"), *_both(spark, sf), k=10)
+
+
+# Training and model versions
+
+
+@query
+def als_factor_ids(spark, sf):
+    parsed = ratings.parse_ratings(view(spark, sf, "raw_lines"))
+    trained = training.train_als(parsed, rank=5, iterations=3)
+    return _two_sides(X.user_ids(trained), X.item_ids(trained))
+
+
+@query
+def train_als(spark, sf):
+    """Training error against always predicting the mean."""
+    parsed = ratings.parse_ratings(view(spark, sf, "raw_lines")).persist()
+    trained = training.train_als(parsed, rank=5, iterations=10)
+    spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
+    error = training.rmse(trained, parsed)
+    return error.withColumn("spread", spread.scalar()).select("n", (F.col("rmse") < F.col("spread")).alias("learned"))
+
+
+@query
+def train_als_by_sums(spark, sf):
+    """The same with the solver for hot ids."""
+    parsed = ratings.parse_ratings(view(spark, sf, "raw_lines")).persist()
+    trained = training.train_als(parsed, rank=5, iterations=4, solver="sums")
+    spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
+    error = training.rmse(trained, parsed)
+    return error.withColumn("spread", spread.scalar()).select("n", (F.col("rmse") < F.col("spread")).alias("learned"))
+
+
+@query
+def run_batch_training(spark, sf):
+    """Land, train on the newest folders, save, announce, load what was announced."""
+    root = fresh_path(spark, "train")
+    _land(view(spark, sf, "raw_lines"), f"{root}/data")
+    training.run_batch_training(
+        spark, f"{root}/data", f"{root}/models", f"{root}/versions", datetime(2001, 9, 1), days=10, rank=5, iterations=3
+    )
+    path = models.newest_version(models.model_versions(spark, f"{root}/versions")).first().path
+    loaded = models.load_model(spark, path)
+    return _two_sides(X.user_ids(loaded), X.item_ids(loaded))
+
+
+@query
+def save_load_model(spark, sf):
+    root = fresh_path(spark, "models")
+    for name, day in (("speed", 1), ("batch", 2)):
+        models.save_model(model(spark, sf, name), root, datetime(2024, 1, day))
+    loaded = models.load_model(spark, models.latest_model(spark, root))
+    return _flat(_two_sides(loaded.users, loaded.items), "side", "id")
+
+
+@query
+def latest_model(spark, sf):
+    """The newest of one announced version per order day."""
+    path = fresh_path(spark, "versions")
+    days = view(spark, sf, "lines").select(
+        F.date_format("ordered", "yyyyMMdd").alias("path"), F.col("ordered").cast("timestamp").alias("published_at")
+    )
+    days.distinct().write.parquet(path)
+    return models.newest_version(models.model_versions(spark, path))
+
+
+# Landing and reading lines
+
+
+def _land(lines: DataFrame, path: str) -> None:
+    dated = messages.with_arrival(lines, F.date_trunc("month", F.col("ordered").cast("timestamp")))
+    dated.select("value", "day", "hour").repartition("day").write.partitionBy("day", "hour").text(path)
+
+
+@query
+def read_latest(spark, sf):
+    path = fresh_path(spark, "landed")
+    _land(view(spark, sf, "raw_lines"), path)
+    lines = messages.read_latest(spark, path, 10)
+    return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def land_stream(spark, sf):
+    root = fresh_path(spark, "stream")
+    dated = messages.with_arrival(
+        view(spark, sf, "raw_lines"), F.date_trunc("year", F.col("ordered").cast("timestamp"))
+    )
+    dated.select("value", "day", "hour").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("value string, day string, hour string").parquet(f"{root}/in")
+    messages.land_stream(stream, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    landed = spark.read.schema("value string, day string, hour string").text(f"{root}/out")
+    return landed.groupBy("day", "hour", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_messages(spark, sf):
+    """The source as a stream and as a batch read give the same lines."""
+    root = fresh_path(spark, "messages")
+    view(spark, sf, "raw_lines").select("value").write.text(f"{root}/in")
+    stream = messages.read_messages(spark, "text", path=f"{root}/in")
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out")
+    writer.option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    streamed = spark.read.parquet(f"{root}/out").select("value", F.lit(1).alias("s"), F.lit(0).alias("b"))
+    batch = messages.read_messages(spark, "text", stream=False, path=f"{root}/in")
+    both = streamed.unionByName(batch.select("value", F.lit(0).alias("s"), F.lit(1).alias("b")))
+    return both.groupBy("value").agg(F.sum("s").alias("n_stream"), F.sum("b").alias("n_batch"))
+
+
+# Keyed tables
+
+
+@query
+def upsert(spark, sf):
+    """Orders per customer, written status by status; the last status wins, cheap ones are removed."""
+    path = fresh_path(spark, "table")
+    lines = view(spark, sf, "lines")
+    tables.create_table(spark, path, "user int, status string, total bigint")
+    for status in ("F", "O", "P"):
+        rows = lines.where(F.col("order_status") == status).groupBy(F.col("cust").cast("int").alias("user")).agg(
+            F.lit(status).alias("status"), F.sum("q").alias("total")
+        )
+        tables.upsert(rows.withColumn("gone", F.col("total") < 150), path, deleted="gone")
+        if status == "O":
+            tables.compact(spark, path, ["user"])
+    return tables.read_table(spark, path, ["user"])
+
+
+@query
+def write_lists(spark, sf):
+    """Lists of the speed model replaced by the batch model's where it has the user."""
+    path = fresh_path(spark, "lists")
+    batch, fast = _both(spark, sf)
+    for m in (fast, batch):
+        tables.write_lists(scoring.id_lists(scoring.items_for_all_users(m, 10)), path)
+    return tables.read_table(spark, path, ["user"])
+
+
+@query
+def register_candidate(spark, sf):
+    path = fresh_path(spark, "registry")
+    registry = view(spark, sf, "registry").drop("cid")
+    tables.register_candidates(spark, path, registry.where("candidate_list_type = 'list'"))
+    tables.register_candidates(spark, path, registry.withColumn("url", F.lit("again")))
+    return tables.read_candidates(spark, path).select("name", "url")
+
+
+# Candidates
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    return as_lists(view(spark, sf, "bought"))
+
+
+def _sources(spark: SparkSession, sf: str) -> list[K.Source]:
+    return [K.Source(1, "mode", _lists(spark, sf)), K.Source(2, "list", view(spark, sf, "top_list"))]
+
+
+def _users(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "user_ids").withColumnRenamed("id", "user")
+
+
+def _quotas(spark: SparkSession, sf: str, num: int) -> DataFrame:
+    return K.quotas(_users(spark, sf), view(spark, sf, "cids"), view(spark, sf, "params"), num)
+
+
+PULL = 80
+
+
+@query
+def resolve_candidate(spark, sf):
+    return K.resolve_candidates(view(spark, sf, "registry")).select("cid", "name", "accepted")
+
+
+@query
+def add_candidate(spark, sf):
+    registry = view(spark, sf, "registry")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.col("s_name").alias("name"), F.lit("list").alias("candidate_list_type"), F.lit("hbase").alias("store_type"),
+        F.lit("tables").alias("url"), F.lit("als").alias("algo"),
+    )
+    again = registry.drop("cid").unionByName(suppliers)
+    return K.add_candidates(registry, again).select("cid", "name")
+
+
+@query
+def remove_candidate(spark, sf):
+    registry = view(spark, sf, "registry")
+    return K.remove_candidates(registry, registry.where("store_type = 'jdbc'")).select("cid", "name")
+
+
+@query
+def candidate_params(spark, sf):
+    return K.candidate_params(_users(spark, sf), view(spark, sf, "cids"), view(spark, sf, "params"))
+
+
+@query
+def quotas(spark, sf):
+    return _quotas(spark, sf, 2000)
+
+
+@query
+def pull_model(spark, sf):
+    return K.pull_model(_lists(spark, sf), _quotas(spark, sf, PULL).where("cid = 1"))
+
+
+@query
+def pull_top(spark, sf):
+    return K.pull_top(view(spark, sf, "top_list"), _quotas(spark, sf, PULL).where("cid = 2"))
+
+
+@query
+def pull_all(spark, sf):
+    return K.pull_all(_quotas(spark, sf, PULL), _sources(spark, sf))
+
+
+@query
+def rank_keys(spark, sf):
+    """Key after each customer's share of the list, at and beyond five digits."""
+    lines = view(spark, sf, "lines").groupBy(F.col("cust").cast("int").alias("user")).agg(
+        F.sum("q").cast("int").alias("num")
+    )
+    return lines.select(
+        "user",
+        next_offset(F.col("num"), F.lit("00012")).alias("near"),
+        next_offset(F.col("num"), F.lit("99999")).alias("far"),
+    )
+
+
+@query
+def save_params(spark, sf):
+    return K.saved_params(_quotas(spark, sf, PULL), view(spark, sf, "params"), _sources(spark, sf))
+
+
+# Fusion
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.fuse(K.pull_all(_quotas(spark, sf, PULL), _sources(spark, sf)))
+
+
+@query
+def fuse(spark, sf):
+    return _fused(spark, sf).select("user", "item", encode_ids(F.col("cids")).alias("cids"), "n_sources")
+
+
+@query
+def rank_fused(spark, sf):
+    return fusion.rank_fused(_fused(spark, sf), seed=7).select("user", "item", "n_sources", "rank")
+
+
+@query
+def rank_fused_custom(spark, sf):
+    """The caller's own order: by item id."""
+    return fusion.rank_fused(_fused(spark, sf), order=[F.col("item")]).select("user", "item", "rank")
+
+
+@query
+def append_history(spark, sf):
+    path = fresh_path(spark, "history")
+    for seed in (7, 8):
+        ranked = fusion.rank_fused(_fused(spark, sf), seed=seed)
+        rows = fusion.history_rows(ranked).withColumn("run", F.lit(seed))
+        rows.write.mode("append").parquet(path)
+    return fusion.history_lists(spark.read.parquet(path))
+
+
+@query
+def serving_list(spark, sf):
+    lists = fusion.serving_lists(fusion.rank_fused(_fused(spark, sf), seed=7), NOW)
+    return lists.select("user", encode_ids(F.col("items")).alias("ids"), "update_time", "offset")
+
+
+@query
+def refresh_lists(spark, sf):
+    done = serving.refresh_lists(
+        _users(spark, sf), _sources(spark, sf), view(spark, sf, "cids"), view(spark, sf, "params"), NOW, PULL, seed=7
+    )
+    returned = done.returned.select("user", F.size("items").alias("n_returned"))
+    kept = done.history.groupBy("user").agg(F.count(F.lit(1)).alias("n_history"))
+    return returned.join(kept, "user")
+
+
+# Paging and cache
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return as_lists(view(spark, sf, "stored"), "offset")
+
+
+def _cached(spark: SparkSession, sf: str) -> DataFrame:
+    return as_lists(view(spark, sf, "cached"), "offset", "begin_time")
+
+
+def _valid(spark: SparkSession, sf: str) -> DataFrame:
+    return paging.normalise_requests(view(spark, sf, "requests")).where("valid")
+
+
+def _shown(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("page_items", encode_ids(F.col("page_items")))
+
+
+@query
+def normalise_requests(spark, sf):
+    return paging.normalise_requests(view(spark, sf, "requests"))
+
+
+@query
+def page_stored(spark, sf):
+    """Every customer asks once."""
+    once = _users(spark, sf).select(F.col("user").cast("bigint").alias("seq"), "user", F.lit(10).alias("per_page"))
+    return _shown(paging.page_stored(once, _stored(spark, sf), refill=20))
+
+
+@query
+def page_stored_many(spark, sf):
+    return _shown(paging.page_stored_many(_valid(spark, sf), _stored(spark, sf), refill=20, chunk_rows=1000))
+
+
+@query
+def page_cached(spark, sf):
+    return _shown(paging.page_cached(_valid(spark, sf), _cached(spark, sf), refill=20))
+
+
+@query
+def advance_stored(spark, sf):
+    return paging.advance_stored(_valid(spark, sf), _stored(spark, sf)).select("user", "offset")
+
+
+@query
+def touch_cached(spark, sf):
+    return paging.touch_cached(_valid(spark, sf), _cached(spark, sf), NOW).select("user", "offset", "begin_time")
+
+
+@query
+def stored_lists(spark, sf):
+    found = paging.stored_lists(_valid(spark, sf), _stored(spark, sf))
+    return found.select("user", encode_ids(F.col("items")).alias("ids"), "offset")
+
+
+@query
+def first_page(spark, sf):
+    page = paging.first_page(_stored(spark, sf), 10)
+    return _shown(page).select("user", "page_items", F.size("items").alias("n_items"), "offset")
+
+
+@query
+def evict(spark, sf):
+    kept = C.evict(_cached(spark, sf), NOW, capacity=300, ttl_ms=400 * DAY_MS)
+    return kept.select("user", "begin_time")
+
+
+@query
+def admit(spark, sf):
+    """Stored lists arrive by order of list length, then again cut to one item."""
+    stored = _stored(spark, sf)
+    arriving = stored.select("user", "items", (F.size("items") * 100000 + F.col("user")).alias("arrival"))
+    later = stored.select("user", F.slice("items", 1, 1).alias("items"), (F.col("user") + 100000000).alias("arrival"))
+    after = C.admit(_cached(spark, sf), arriving.unionByName(later), NOW, capacity=1000)
+    return after.select("user", "begin_time", F.size("items").alias("n"), "offset")
+
+
+@query
+def visible(spark, sf):
+    pages = paging.page_stored_many(_valid(spark, sf), _stored(spark, sf), refill=20)
+    more = paging.page_cached(_valid(spark, sf), _cached(spark, sf), refill=20)
+    return _shown(paging.visible(pages.unionByName(more))).select("seq", "user", "status", "page_items")
+
+
+@query
+def format_responses(spark, sf):
+    asked = paging.normalise_requests(view(spark, sf, "requests"))
+    return paging.format_responses(paging.page_stored_many(asked, _stored(spark, sf), refill=20))
+
+
+def _answer(spark: SparkSession, sf: str) -> serving.Answer:
+    cached, stored, fresh = (t.persist() for t in (_cached(spark, sf), _stored(spark, sf), _lists(spark, sf)))
+    return serving.answer(
+        view(spark, sf, "requests"), cached, stored, fresh, NOW, stored_refill=20, cached_refill=20
+    )
+
+
+@query
+def answer(spark, sf):
+    return _shown(_answer(spark, sf).responses)
+
+
+@query
+def answer_refill(spark, sf):
+    return _answer(spark, sf).refill
+
+
+@query
+def answer_state(spark, sf):
+    """Offsets of cached and stored lists after the requests."""
+    after = _answer(spark, sf)
+    cached = after.cache.select(F.lit("cache").alias("place"), "user", F.size("items").alias("n"), "offset")
+    stored = after.stored.select(F.lit("stored").alias("place"), "user", F.size("items").alias("n"), "offset")
+    return cached.unionByName(stored)
+
+
+# Streams
+
+
+@query
+def batch_users(spark, sf):
+    return speed.batch_users(ratings.parse_ratings(view(spark, sf, "raw_lines")))
+
+
+@query
+def apply_factor_updates(spark, sf):
+    after = updates.apply_factor_updates(model(spark, sf, "batch"), view(spark, sf, "updates"))
+    return _flat(_two_sides(after.users, after.items), "side", "id")
+
+
+@query
+def stream_factor_updates(spark, sf):
+    """The same changes as a stream into an empty model's tables."""
+    root = fresh_path(spark, "updates")
+    changes = view(spark, sf, "updates")
+    changes.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    for side in ("users", "items"):
+        tables.create_table(spark, f"{root}/{side}", "id int, features array<double>")
+    updates.run_factor_updates(
+        stream, f"{root}/users", f"{root}/items", RANK, f"{root}/log", availableNow=True
+    ).awaitTermination()
+    users, items = (tables.read_table(spark, f"{root}/{side}", ["id"]) for side in ("users", "items"))
+    return _flat(_two_sides(users, items), "side", "id")
+
+
+@query
+def speed_layer(spark, sf):
+    """Messages of three order states arrive as files; the lists of all their users."""
+    root = fresh_path(spark, "speed")
+    lines = view(spark, sf, "raw_lines").select("value")
+    lines.repartition(3).write.text(f"{root}/in")
+    stream = messages.read_messages(spark, "text", path=f"{root}/in", maxFilesPerTrigger="1")
+    settings = speed.SpeedSettings(rank=RANK, iterations=3, n=20)
+    store = speed.ModelStore(batch=model(spark, sf, "batch"))
+    speed.run_speed_layer(
+        stream, store, f"{root}/lists", f"{root}/log", settings, stop_on_error=True, availableNow=True
+    ).awaitTermination()
+    lists = tables.read_table(spark, f"{root}/lists", ["user"])
+    return lists.select("user", F.size(decode_ids(F.col("ids"))).alias("n"))

@@ -1,0 +1,154 @@
+"""The micro-batch layer: small models, merged lists, model swaps."""
+
+from __future__ import annotations
+
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pickwell.model import FactorModel
+from pickwell.operators.merging import LIST_LENGTH, merged_topn_bulk, merged_topn_users
+from pickwell.operators.ratings import Parser, apply_parser
+from pickwell.operators.scoring import id_lists
+from pickwell.plans.training import ITERATIONS, RANK, train_als
+from pickwell.sources.models import latest_model, load_or_keep, newest_version
+from pickwell.sources.tables import write_lists
+
+log = logging.getLogger(__name__)
+
+TRAIN_ABOVE = 100
+
+
+@dataclass
+class ModelStore:
+    """The batch model and the last stream model in use.
+
+    Holds references only; ``swap`` caches the new model and releases the one
+    it replaces.
+    """
+
+    batch: FactorModel | None = None
+    stream: FactorModel | None = None
+    batch_path: str | None = field(default=None)
+
+    def swap(self, *, batch: FactorModel | None = None, stream: FactorModel | None = None) -> None:
+        for name, new in (("batch", batch), ("stream", stream)):
+            old = getattr(self, name)
+            if new is None or new is old:
+                continue
+            setattr(self, name, new.persist())
+            if old is not None:
+                old.unpersist()
+
+    def load(self, spark: SparkSession, path: str | None) -> bool:
+        """Install the batch model at ``path``; a bad path keeps the present one."""
+        if path is None or path == self.batch_path:
+            return False
+        found = load_or_keep(spark, path, self.batch)
+        if found is self.batch:
+            return False
+        self.swap(batch=found)
+        self.batch_path = path
+        return True
+
+    def load_latest(self, spark: SparkSession, root: str) -> bool:
+        """Install the newest saved model, as at start-up."""
+        return self.load(spark, latest_model(spark, root))
+
+
+@dataclass(frozen=True)
+class SpeedSettings:
+    rank: int = RANK
+    iterations: int = ITERATIONS
+    n: int = LIST_LENGTH
+    train_above: int = TRAIN_ABOVE
+    vector_source: str = "stream"
+    dedupe: str = "max"
+    seed: int = 0
+    parser: Parser | None = None
+
+
+def batch_users(ratings: DataFrame) -> DataFrame:
+    """Distinct users of a batch as ``id``."""
+    return ratings.select(F.col("user").alias("id")).distinct()
+
+
+def is_large(lines: DataFrame, above: int = TRAIN_ABOVE) -> bool:
+    """More than ``above`` rows; reads no further than it must."""
+    return lines.limit(above + 1).count() > above
+
+
+def speed_batch(lines: DataFrame, store: ModelStore, settings: SpeedSettings = SpeedSettings()) -> DataFrame | None:
+    """Lists ``(user, items)`` for one micro-batch of lines, None if there are none.
+
+    A large batch trains a model of its own, which becomes the stream model
+    and gives lists for all its users; a small one looks its users up in the
+    models at hand, all users in one job.
+    """
+    if lines.isEmpty():
+        return None
+    ratings = apply_parser(lines, settings.parser)
+    if is_large(lines, settings.train_above):
+        model = train_als(ratings, settings.rank, settings.iterations, seed=settings.seed)
+        store.swap(stream=model)
+        merged = merged_topn_bulk(
+            store.batch, store.stream, settings.n, vector_source=settings.vector_source, dedupe=settings.dedupe
+        )
+        return id_lists(merged)
+    if store.batch is None and store.stream is None:
+        return None
+    rows = merged_topn_users(batch_users(ratings), store.batch, store.stream, settings.n, dedupe=settings.dedupe)
+    listed = rows.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("l"))
+    return listed.select("user", F.col("l.item").alias("items"))
+
+
+def run_speed_layer(
+    lines: DataFrame,
+    store: ModelStore,
+    lists_path: str,
+    checkpoint: str,
+    settings: SpeedSettings = SpeedSettings(),
+    *,
+    before_batch: Callable[[], None] | None = None,
+    stop_on_error: bool = False,
+    **trigger,
+) -> StreamingQuery:
+    """Run ``speed_batch`` on every micro-batch and store its lists.
+
+    Lists are written under the batch's number, so a repeated batch replaces
+    its own output. A failing batch is logged and the stream goes on, unless
+    ``stop_on_error``.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            if before_batch is not None:
+                before_batch()
+            lists = speed_batch(batch, store, settings)
+            if lists is not None:
+                write_lists(lists, lists_path, version=number + 1)
+        except Exception:
+            if stop_on_error:
+                raise
+            log.exception("micro-batch %s failed", number)
+        finally:
+            batch.unpersist()
+
+    writer = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def follow_models(versions: DataFrame, store: ModelStore, checkpoint: str, **trigger) -> StreamingQuery:
+    """Install batch models as their version events arrive."""
+
+    def handle(events: DataFrame, _: int) -> None:
+        for row in newest_version(events).toLocalIterator():
+            store.load(events.sparkSession, row.path)
+
+    writer = versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
