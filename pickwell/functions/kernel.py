@@ -20,6 +20,9 @@ CELLS = 1 << 21
 BLOCK = 4096
 """Target rows per matrix product."""
 
+UNUSED = np.iinfo(np.int32).min
+"""Id of an empty place."""
+
 MATCHES = pa.list_(pa.struct([("id", pa.int32()), ("score", pa.float64())]))
 LISTS = pa.schema([("id", pa.int32()), ("matches", MATCHES)])
 LISTS_DDL = "id int, matches array<struct<id:int,score:double>>"
@@ -49,55 +52,100 @@ class Targets:
 
 
 class Best:
-    """The best ``k`` targets so far for each of ``n`` source rows."""
+    """The best ``k`` targets so far for each of ``n`` source rows.
+
+    Unused places score minus infinity. ``distinct`` keeps one entry per
+    target id, the higher of at most two.
+    """
 
     def __init__(self, n: int, k: int, distinct: bool):
-        self.n, self.k, self.distinct = n, k, distinct
-        self.row = np.empty(0, np.int64)
-        self.id = np.empty(0, np.int32)
-        self.score = np.empty(0, np.float64)
+        self.k, self.distinct = k, distinct
+        self.id = np.zeros((n, 0), np.int32)
+        self.score = np.zeros((n, 0))
         self.floor = np.full(n, -np.inf)
 
-    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Merge candidates, keeping score desc, id asc per row."""
-        row, ids, score = (np.concatenate(p) for p in ((self.row, row), (self.id, ids), (self.score, score)))
+    def add(self, rows: np.ndarray, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Merge candidates of ``rows[at]``; ``at`` is ascending. Score desc, id asc."""
+        if at.size == 0:
+            return
+        counts = np.bincount(at, minlength=rows.size)
+        place = np.arange(at.size) - np.repeat(np.cumsum(counts) - counts, counts)
+        new_id = np.full((rows.size, counts.max()), UNUSED, np.int32)
+        new_score = np.full(new_id.shape, -np.inf)
+        new_id[at, place], new_score[at, place] = ids, score
+        new_id = np.concatenate((self.id[rows], new_id), axis=1)
+        new_score = np.concatenate((self.score[rows], new_score), axis=1)
         if self.distinct:
-            order = np.lexsort((-score, ids, row))
-            row, ids, score = row[order], ids[order], score[order]
-            first = np.ones(row.size, bool)
-            first[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
-            row, ids, score = row[first], ids[first], score[first]
-        order = np.lexsort((ids, -score, row))
-        row = row[order]
-        starts = np.searchsorted(row, np.arange(self.n + 1))
-        place = np.arange(row.size) - starts[row]
-        keep = place < self.k
-        order = order[keep]
-        self.row, self.id, self.score = row[keep], ids[order], score[order]
-        counts = np.minimum(np.diff(starts), self.k)
-        full = counts == self.k
-        ends = np.cumsum(counts)
-        self.floor[full] = self.score[ends[full] - 1]
+            order = np.argsort(new_id, axis=1)
+            new_id, new_score = _take(new_id, order), _take(new_score, order)
+            pair = new_id[:, 1:] == new_id[:, :-1]
+            second_lower = new_score[:, 1:] <= new_score[:, :-1]
+            new_score[:, 1:][pair & second_lower] = -np.inf
+            new_score[:, :-1][pair & ~second_lower] = -np.inf
+        new_id, new_score = _ranked(new_id, new_score, self.k)
+        width = new_id.shape[1]
+        if width > self.id.shape[1]:
+            grow = ((0, 0), (0, width - self.id.shape[1]))
+            self.id = np.pad(self.id, grow, constant_values=UNUSED)
+            self.score = np.pad(self.score, grow, constant_values=-np.inf)
+        self.id[rows], self.score[rows] = new_id, new_score
+        if width == self.k:
+            self.floor = self.score[:, -1].copy()
+
+    @property
+    def empty(self) -> bool:
+        return self.id.shape[1] == 0
 
     def lists(self, source_ids: np.ndarray) -> pa.RecordBatch:
         """One row per source id that has a match."""
-        counts = np.bincount(self.row, minlength=self.n)
+        used = self.score > -np.inf
+        counts = used.sum(axis=1)
         some = counts > 0
         offsets = np.concatenate(([0], np.cumsum(counts[some]))).astype(np.int32)
         pairs = pa.StructArray.from_arrays(
-            [pa.array(self.id, pa.int32()), pa.array(self.score, pa.float64())], names=["id", "score"]
+            [pa.array(self.id[used], pa.int32()), pa.array(self.score[used], pa.float64())], names=["id", "score"]
         )
         matches = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(source_ids[some], pa.int32()), matches.cast(MATCHES)], schema=LISTS
-        )
+        return pa.RecordBatch.from_arrays([pa.array(source_ids[some], pa.int32()), matches.cast(MATCHES)], schema=LISTS)
+
+
+def _take(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(values, order, axis=1)
+
+
+def _ranked(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by score desc, id asc, cut to ``k``.
+
+    Rows are sorted by score alone; runs of equal scores, if any, are then put
+    in id order by sorting (run, id) as one integer.
+    """
+    order = np.argsort(-score, axis=1)
+    ids, score = _take(ids, order), _take(score, order)
+    step = score[:, 1:] != score[:, :-1]
+    if not step.all():
+        key = np.zeros(ids.shape, np.int64)
+        np.cumsum(step, axis=1, out=key[:, 1:])
+        key = (key << 32) + (ids.astype(np.int64) + (1 << 31))
+        key.sort(axis=1)
+        ids = ((key & 0xFFFFFFFF) - (1 << 31)).astype(np.int32)
+    return ids[:, :k], score[:, :k]
+
+
+def _score_all(sources: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """All inner products of two term-major matrices, terms added in index order."""
+    total = np.zeros((sources.shape[1], targets.shape[1]))
+    term = np.empty_like(total)
+    for a, b in zip(sources, targets):
+        np.multiply(a[:, None], b[None, :], out=term)
+        total += term
+    return total
 
 
-def _score_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products, terms added in index order."""
-    total = np.zeros(a.shape[0])
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+def _score_pairs(sources: np.ndarray, at: np.ndarray, targets: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of ``sources[:, at]`` and ``targets[:, col]``, terms added in index order."""
+    total = np.zeros(at.size)
+    for a, b in zip(sources, targets):
+        total += a.take(at) * b.take(col)
     return total
 
 
@@ -108,35 +156,50 @@ def visit(best: Best, sources: np.ndarray, targets: Targets) -> None:
     reach = np.sqrt((sources * sources).sum(axis=1))
     rank = sources.shape[1]
     slack = 8 * (rank + 2) * np.finfo(float).eps * reach * targets.length[0]
-    step = max(BLOCK, 2 * best.k)
+    step, width, dense = _plan(len(targets), best.k, best.distinct)
     for start in range(0, len(targets), step):
         block = targets.vectors[start : start + step]
         ids = targets.ids[start : start + step]
-        floor = best.floor - slack
-        active = np.flatnonzero(reach * targets.length[start] + slack >= floor)
+        active = np.flatnonzero(reach * targets.length[start] + slack >= best.floor - slack)
         if active.size == 0:
             break
-        for lo in range(0, active.size, max(1, CELLS // block.shape[0])):
-            rows = active[lo : lo + max(1, CELLS // block.shape[0])]
-            scores = sources[rows] @ block.T
-            need = floor[rows]
-            width = best.k if not best.distinct else 2 * best.k
+        by_term = np.ascontiguousarray(block.T)
+        part = max(1, CELLS // block.shape[0])
+        for lo in range(0, active.size, part):
+            rows = active[lo : lo + part]
+            terms = np.ascontiguousarray(sources[rows].T)
+            scores = _score_all(terms, by_term) if dense else sources[rows] @ by_term
+            need = (best.floor - slack)[rows]
             if block.shape[0] > width and not np.isfinite(need).all():
                 cut = block.shape[0] - width
-                local = np.partition(scores, cut, axis=1)[:, cut] - slack[rows]
-                need = np.maximum(need, local)
-            at, col = np.nonzero(scores >= need[:, None])
-            best.add(rows[at], ids[col], _score_pairs(sources[rows[at]], block[col]))
+                need = np.maximum(need, np.partition(scores, cut, axis=1)[:, cut] - 2 * slack[rows])
+            keep = scores >= need[:, None]
+            at, col = np.nonzero(keep)
+            exact = scores[keep] if dense else _score_pairs(terms, at, by_term, col)
+            best.add(rows, at, ids[col], exact)
+
+
+def _plan(n: int, k: int, distinct: bool) -> tuple[int, int, bool]:
+    """Targets per block, candidates to keep per block, and whether most will be kept.
+
+    When a list takes a good part of the catalogue, bounds save nothing: all
+    targets form one block and are scored term by term at once.
+    """
+    width = 2 * k if distinct else k
+    if 8 * width >= n:
+        return max(n, 1), width, True
+    return max(BLOCK, 2 * k), width, False
 
 
 def top_lists(
     ids: np.ndarray, sources: np.ndarray, targets: Targets, k: int, distinct: bool = False
 ) -> Iterator[pa.RecordBatch]:
     """Best-k lists, a bounded number of source rows at a time."""
-    step = max(1, CELLS // max(min(len(targets), max(BLOCK, 2 * k)), 1))
+    block, width, _ = _plan(len(targets), k, distinct)
+    step = max(1, CELLS // max(min(block, len(targets)), min(width, len(targets)), 1))
     for start in range(0, ids.size, step):
         part = sources[start : start + step]
         best = Best(part.shape[0], k, distinct)
         visit(best, part, targets)
-        if best.row.size:
+        if not best.empty:
             yield best.lists(ids[start : start + step])

@@ -100,7 +100,7 @@ def _score_targets(held, rank: int, k: int):
             for p, b in zip(parts, best):
                 kernel.visit(b, vectors[p], targets)
         for p, b in zip(parts, best):
-            if b.row.size:
+            if not b.empty:
                 yield b.lists(ids[p])
 
     return score
