@@ -78,8 +78,8 @@ def main() -> None:
         "items_for_all_users_1000": lambda: run(scoring.items_for_all_users(batch, 1000)),
         "items_for_all_users_5000": lambda: run(scoring.items_for_all_users(batch, 5000)),
         "merged_topn_bulk_1000": lambda: run(merging.merged_topn_bulk(batch, fast, 1000, dedupe="max")),
-        "fuse_rank": lambda: run(fusion.rank_fused(fusion.fuse(units()))),
-        "serving_list": lambda: run(fusion.serving_lists(fusion.rank_fused(fusion.fuse(units())), 0)),
+        "fuse_rank": lambda: run(fusion.rank_fused(fusion.fuse(units(), [1, 2]))),
+        "serving_list": lambda: run(fusion.serving_lists(fusion.rank_fused(fusion.fuse(units(), [1, 2])), 0)),
         "page_stored_many": lambda: run(paging.page_stored_many(asked, listed)),
         "speed_batch_100": lambda: micro_batch(small),
         "speed_batch_10000": lambda: micro_batch(large),

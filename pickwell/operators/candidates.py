@@ -103,18 +103,18 @@ def quotas(users: DataFrame, cids: DataFrame, params: DataFrame, num: int = PULL
     )
 
 
-def pull_model(lists: DataFrame, quota: DataFrame) -> DataFrame:
-    """First ``num`` ids of each user's stored list; no list, no rows.
+def pull_model_lists(lists: DataFrame, quota: DataFrame) -> DataFrame:
+    """First ``num`` ids of each user's stored list as ``(user, cid, items)``.
 
-    ``lists`` is ``(user, items)``; the stored offset is not used.
+    ``lists`` is ``(user, items)``; a user without a list has no row and the
+    stored offset is not used.
     """
     joined = quota.where(F.col("num") > 0).join(lists.select("user", "items"), "user")
-    taken = joined.select("user", "cid", F.posexplode(F.slice("items", 1, F.col("num"))).alias("pos", "item"))
-    return taken.select("user", F.col("item").cast("int").alias("item"), "cid", "pos")
+    return joined.select("user", "cid", F.slice("items", 1, F.col("num")).cast("array<int>").alias("items"))
 
 
-def pull_top(top_list: DataFrame, quota: DataFrame) -> DataFrame:
-    """Top-list rows with ``offset <= rank_key < offset + num``, same for all users.
+def pull_top_lists(top_list: DataFrame, quota: DataFrame) -> DataFrame:
+    """Top-list rows with ``offset <= rank_key < offset + num`` as ``(user, cid, items)``.
 
     Users with the same quota get the same rows, so the list is cut once per
     distinct ``(num, offset)`` and the cut, one array of at most ``num`` ids,
@@ -129,25 +129,43 @@ def pull_top(top_list: DataFrame, quota: DataFrame) -> DataFrame:
     entries = F.sort_array(F.collect_list(F.struct("rank_key", "item")))
     cut = rows.groupBy("num", "offset").agg(entries.alias("entries"))
     joined = wanted.join(cut, ["num", "offset"])
-    taken = joined.select("user", "cid", F.posexplode("entries.item").alias("pos", "item"))
-    return taken.select("user", "item", "cid", "pos")
+    return joined.select("user", "cid", F.col("entries.item").alias("items"))
 
 
-def next_offsets(quota: DataFrame) -> DataFrame:
-    """Quota rows with the offset after the rows they take."""
-    return quota.withColumn("next", next_offset(F.col("num"), F.col("offset")))
+def units(pulled: DataFrame) -> DataFrame:
+    """Pulled lists as units ``(user, item, cid, pos)``."""
+    return pulled.select("user", "cid", F.posexplode("items").alias("pos", "item")).select("user", "item", "cid", "pos")
+
+
+def pull_model(lists: DataFrame, quota: DataFrame) -> DataFrame:
+    """Units from the users' stored lists."""
+    return units(pull_model_lists(lists, quota))
+
+
+def pull_top(top_list: DataFrame, quota: DataFrame) -> DataFrame:
+    """Units from a top list."""
+    return units(pull_top_lists(top_list, quota))
 
 
 def pull_all(quota: DataFrame, sources: list[Source]) -> DataFrame:
-    """Units ``(user, item, cid, pos)`` from every source."""
-    pullers = {"mode": pull_model, "list": pull_top}
+    """Units from every source.
+
+    The lists move to their user as arrays and are opened there, so fusing,
+    ranking and listing the units shuffles nothing more.
+    """
+    pullers = {"mode": pull_model_lists, "list": pull_top_lists}
     parts = [pullers[s.kind](s.table, quota.where(F.col("cid") == s.cid)) for s in sources]
     if not parts:
         raise ValueError("no candidate source is open")
-    units = parts[0]
+    pulled = parts[0]
     for part in parts[1:]:
-        units = units.unionByName(part)
-    return units
+        pulled = pulled.unionByName(part)
+    return units(pulled.repartition("user"))
+
+
+def next_offsets(quota: DataFrame) -> DataFrame:
+    """Quota rows with the offset after the rows they take."""
+    return quota.withColumn("next", next_offset(F.col("num"), F.col("offset")))
 
 
 def saved_params(quota: DataFrame, params: DataFrame, sources: list[Source]) -> DataFrame:

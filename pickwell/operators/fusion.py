@@ -7,20 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fuse(units: DataFrame) -> DataFrame:
+# Fixed values of the jitter: a Mersenne prime and odd multipliers.
+PRIME, BY_USER, BY_ITEM, BY_SEED, BY_SQUARE = 2147483647, 73856093, 19349663, 83492791, 48271
+
+
+def fuse(units: DataFrame, cids: list[int] | None = None) -> DataFrame:
     """One row per (user, item) with the candidates that gave it.
 
-    Repeats count. A user has at most one pull of units, so units are moved
-    once, by user; ranking and listing per user then need no further shuffle.
+    Repeats count. A group holds at most one entry per pulled unit of one
+    user and item, that is about one per candidate. Where the open candidates
+    are known, ``cids`` turns collecting into counting per candidate.
     """
-    return units.repartition("user").groupBy("user", "item").agg(
-        F.sort_array(F.collect_list("cid")).alias("cids"), F.count(F.lit(1)).cast("int").alias("n_sources")
-    )
+    groups = units.groupBy("user", "item")
+    n_sources = F.count(F.lit(1)).cast("int").alias("n_sources")
+    if cids is None:
+        return groups.agg(F.sort_array(F.collect_list("cid")).alias("cids"), n_sources)
+    counted = groups.agg(n_sources, *[F.count_if(F.col("cid") == c).cast("int").alias(f"_{c}") for c in cids])
+    given = [F.array_repeat(F.lit(c), F.col(f"_{c}")) for c in sorted(cids)]
+    return counted.select("user", "item", F.flatten(F.array(*given)).alias("cids"), "n_sources")
 
 
 def jitter(seed: int) -> Column:
-    """A fixed pseudo-random order of (user, item): reruns give the same list."""
-    return F.md5(F.concat_ws(":", F.col("user"), F.col("item"), F.lit(seed)).cast("binary"))
+    """A fixed pseudo-random number per (user, item): reruns give the same list."""
+    x = F.pmod(
+        F.col("user").cast("bigint") * BY_USER + F.col("item").cast("bigint") * BY_ITEM + F.lit(seed * BY_SEED), F.lit(PRIME)
+    )
+    return ((x * x) % PRIME * BY_SQUARE + x) % PRIME
 
 
 def rank_fused(fused: DataFrame, seed: int = 0, order: list[Column] | None = None) -> DataFrame:

@@ -223,11 +223,14 @@ fused AS (SELECT "user", item, string_agg(CAST(cid AS STRING), ',' ORDER BY cid)
 
 
 def _ranked(seed: int, name: str) -> str:
-    return f"""{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY "user" ORDER BY n_sources DESC,
-        md5(concat(CAST("user" AS STRING), ':', CAST(item AS STRING), ':{seed}')), item) AS INT) AS rank FROM fused)"""
+    return f"""{name}_x AS (SELECT *, (CAST("user" AS BIGINT) * 73856093 + CAST(item AS BIGINT) * 19349663
+        + {seed * 83492791}) % 2147483647 AS x FROM fused),
+    {name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY "user" ORDER BY n_sources DESC,
+        ((x * x) % 2147483647 * 48271 + x) % 2147483647, item) AS INT) AS rank FROM {name}_x)"""
 
 
 _sql("fuse", _PULL_VIEWS, f'{_FUSED} SELECT "user", item, cids, n_sources FROM fused')
+ORACLES["fuse_known"] = ORACLES["fuse"]
 _sql("rank_fused", _PULL_VIEWS, f'{_FUSED}, {_ranked(7, "r")} SELECT "user", item, n_sources, rank FROM r')
 _sql("rank_fused_custom", _PULL_VIEWS, f"""{_FUSED} SELECT "user", item, CAST(row_number() OVER (
     PARTITION BY "user" ORDER BY item) AS INT) AS rank FROM fused""")

@@ -492,11 +492,18 @@ def save_params(spark, sf):
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(K.pull_all(_quotas(spark, sf, PULL), _sources(spark, sf)))
+    return fusion.fuse(K.pull_all(_quotas(spark, sf, PULL), _sources(spark, sf)), [1, 2])
 
 
 @query
 def fuse(spark, sf):
+    fused = fusion.fuse(K.pull_all(_quotas(spark, sf, PULL), _sources(spark, sf)))
+    return fused.select("user", "item", encode_ids(F.col("cids")).alias("cids"), "n_sources")
+
+
+@query
+def fuse_known(spark, sf):
+    """The same, counting per known candidate."""
     return _fused(spark, sf).select("user", "item", encode_ids(F.col("cids")).alias("cids"), "n_sources")
 
 

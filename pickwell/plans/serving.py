@@ -50,7 +50,8 @@ def refresh_lists(
     """
     if mode not in (RETURN_DIRECT, RETURN_TO_DATABASE):
         raise ValueError(f"unknown mode {mode}")
-    ranked = rank_fused(fuse(pull_all(quotas(users, cids, params, num), sources)), seed, order)
+    pulled = pull_all(quotas(users, cids, params, num), sources)
+    ranked = rank_fused(fuse(pulled, [s.cid for s in sources]), seed, order)
     stored = serving_lists(ranked, now)
     returned = stored.select("user", "items") if mode == RETURN_DIRECT else None
     return Refresh(stored, history_rows(ranked), returned)

@@ -8,12 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Lists are up to 5000 long; below this limit a top-k is cut before its shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # Lists are collected for many small groups; keep hashing them.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+}
+"""Settings a job of this library does well with; results do not depend on them."""
+
+
 def local_session(cores: int | str = 8, app: str = "pickwell", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own."""
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     settings = {
         "spark.sql.shuffle.partitions": str(cores),
-        "spark.sql.adaptive.enabled": "true",
+        **RECOMMENDED,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.warehouse.dir": f"{scratch}/warehouse",
