@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pickwell.functions.frames import union_all
+
 CAPACITY = 1_000_000
 TTL_MS = 1_200_000
 HEADROOM = 0.1
@@ -42,8 +44,8 @@ def admit(cache: DataFrame, incoming: DataFrame, now: int, capacity: int = CAPAC
     order = ["arrival", "user"]
     newcomers = latest.join(cache.select("user"), "user", "left_anti").orderBy(*order).limit(room)
     kept = cache.join(latest.select("user"), "user", "left_anti")
-    fresh = known.unionByName(newcomers).select("user", *entry)
-    return kept.select("user", "begin_time", "items", "offset").unionByName(fresh)
+    fresh = union_all(known, newcomers).select("user", *entry)
+    return union_all(kept.select("user", "begin_time", "items", "offset"), fresh)
 
 
 def remove(cache: DataFrame, users: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pickwell.functions.columns import next_offset, rank_key
+from pickwell.functions.frames import union_all
 
 PULL_SIZE = 2000
 
@@ -69,7 +70,7 @@ def add_candidates(registry: DataFrame, new: DataFrame) -> DataFrame:
     last = F.coalesce(registry.agg(F.max("cid")).scalar(), F.lit(0))
     fresh = new.dropDuplicates(["name"]).join(registry.select("name"), "name", "left_anti")
     cid = (last + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("name"))).cast("int")
-    return registry.unionByName(fresh.withColumn("cid", cid))
+    return union_all(registry, fresh.withColumn("cid", cid))
 
 
 def remove_candidates(registry: DataFrame, cids: DataFrame) -> DataFrame:
@@ -157,10 +158,7 @@ def pull_all(quota: DataFrame, sources: list[Source]) -> DataFrame:
     parts = [pullers[s.kind](s.table, quota.where(F.col("cid") == s.cid)) for s in sources]
     if not parts:
         raise ValueError("no candidate source is open")
-    pulled = parts[0]
-    for part in parts[1:]:
-        pulled = pulled.unionByName(part)
-    return units(pulled.repartition("user"))
+    return units(union_all(*parts).repartition("user"))
 
 
 def next_offsets(quota: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions.columns import blend
+from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 
 def as_factors(df: DataFrame) -> DataFrame:
@@ -67,13 +68,11 @@ def item_factors(model: FactorModel, ids: DataFrame) -> DataFrame:
 
 def model_summary(models: dict[str, FactorModel]) -> DataFrame:
     """Rows ``(model, side, n)``."""
-    rows = None
-    for name, model in models.items():
-        for side in ("users", "items"):
-            counted = getattr(model, side).agg(F.count("id").alias("n"))
-            row = counted.select(F.lit(name).alias("model"), F.lit(side).alias("side"), "n")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return union_all(*[
+        getattr(model, side).agg(F.count("id").alias("n")).select(F.lit(name).alias("model"), F.lit(side).alias("side"), "n")
+        for name, model in models.items()
+        for side in ("users", "items")
+    ])
 
 
 def check_rank(a: FactorModel, b: FactorModel) -> None:
@@ -92,11 +91,10 @@ def resolve_factors(ids: DataFrame, first: DataFrame, second: DataFrame) -> Data
     ``ids`` may repeat and may contain unknown ids; the result has one row per
     known distinct id.
     """
-    known = first.select("id", F.lit(0).alias("order"), "features").unionByName(
-        second.select("id", F.lit(1).alias("order"), "features")
-    )
-    wanted = known.join(ids.select("id").distinct(), "id", "left_semi")
-    return wanted.groupBy("id").agg(F.min_by("features", "order").alias("features"))
+    one = first.select("id", F.col("features").alias("one"))
+    two = second.select("id", F.col("features").alias("two"))
+    found = ids.select("id").distinct().join(one, "id", "left").join(two, "id", "left")
+    return drop_null(found.select("id", F.coalesce("one", "two").alias("features")))
 
 
 def prune_speed(speed: FactorModel, batch: FactorModel) -> FactorModel:
@@ -131,4 +129,4 @@ def recent_new(merged: FactorModel) -> DataFrame:
     parts = [
         getattr(merged, side).where("is_new").select(F.lit(side).alias("side"), "id") for side in ("users", "items")
     ]
-    return parts[0].unionByName(parts[1])
+    return union_all(*parts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors, check_rank, resolve_factors
 from pickwell.operators.scoring import items_for_users_subset, ranked, top_k, users_for_items_subset
@@ -67,7 +68,7 @@ def merged_topn_bulk(
         users = users.join(known, "id", "left").select("id", F.coalesce("known", "features").alias("features"))
     elif vector_source != "stream":
         raise ValueError("vector_source is 'stream' or 'batch'")
-    items = as_factors(batch.items).unionByName(as_factors(stream.items))
+    items = union_all(as_factors(batch.items), as_factors(stream.items))
     return top_k(users, items, stream.rank, n, distinct=dedupe == "max", **how)
 
 
@@ -87,7 +88,7 @@ def merged_topn_users(
     parts = [ranked(items_for_users_subset(ids, m, n)) for m in (batch, stream) if m is not None]
     if len(parts) == 1:
         return parts[0]
-    return rank_rows(parts[0].unionByName(parts[1]), "user", "item", n, dedupe)
+    return rank_rows(union_all(*parts), "user", "item", n, dedupe)
 
 
 def serve_items(
@@ -108,7 +109,7 @@ def serve_items(
         return only if limit is None else only.where(F.col("rank") <= limit)
     vectors = resolve_factors(users, batch.users, speed.users)
     parts = [ranked(top_k(vectors, m.items, m.rank, k)) for m in (speed, batch)]
-    return rank_rows(parts[0].unionByName(parts[1]), "user", "item", limit)
+    return rank_rows(union_all(*parts), "user", "item", limit)
 
 
 def serve_users(
@@ -125,4 +126,4 @@ def serve_users(
         return only if limit is None else only.where(F.col("rank") <= limit)
     vectors = resolve_factors(items, batch.items, speed.items)
     parts = [ranked(top_k(vectors, m.users, m.rank, k), "item", "user") for m in (speed, batch)]
-    return rank_rows(parts[0].unionByName(parts[1]), "item", "user", limit)
+    return rank_rows(union_all(*parts), "item", "user", limit)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pickwell.functions.columns import decode_ids, encode_ids, next_offset
+from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators import cache as C
 from pickwell.operators import candidates as K
@@ -40,7 +41,7 @@ def _flat(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _two_sides(users: DataFrame, items: DataFrame) -> DataFrame:
-    return users.select(F.lit("users").alias("side"), "*").unionByName(items.select(F.lit("items").alias("side"), "*"))
+    return union_all(users.select(F.lit("users").alias("side"), "*"), items.select(F.lit("items").alias("side"), "*"))
 
 
 # Parsing and codecs
@@ -359,7 +360,7 @@ def read_messages(spark, sf):
     writer.option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
     streamed = spark.read.parquet(f"{root}/out").select("value", F.lit(1).alias("s"), F.lit(0).alias("b"))
     batch = messages.read_messages(spark, "text", stream=False, path=f"{root}/in")
-    both = streamed.unionByName(batch.select("value", F.lit(0).alias("s"), F.lit(1).alias("b")))
+    both = union_all(streamed, batch.select("value", F.lit(0).alias("s"), F.lit(1).alias("b")))
     return both.groupBy("value").agg(F.sum("s").alias("n_stream"), F.sum("b").alias("n_batch"))
 
 
@@ -435,7 +436,7 @@ def add_candidate(spark, sf):
         F.col("s_name").alias("name"), F.lit("list").alias("candidate_list_type"), F.lit("hbase").alias("store_type"),
         F.lit("tables").alias("url"), F.lit("als").alias("algo"),
     )
-    again = registry.drop("cid").unionByName(suppliers)
+    again = union_all(registry.drop("cid"), suppliers)
     return K.add_candidates(registry, again).select("cid", "name")
 
 
@@ -619,7 +620,7 @@ def admit(spark, sf):
     stored = _stored(spark, sf)
     arriving = stored.select("user", "items", (F.size("items") * 100000 + F.col("user")).alias("arrival"))
     later = stored.select("user", F.slice("items", 1, 1).alias("items"), (F.col("user") + 100000000).alias("arrival"))
-    after = C.admit(_cached(spark, sf), arriving.unionByName(later), NOW, capacity=1000)
+    after = C.admit(_cached(spark, sf), union_all(arriving, later), NOW, capacity=1000)
     return after.select("user", "begin_time", F.size("items").alias("n"), "offset")
 
 
@@ -627,7 +628,7 @@ def admit(spark, sf):
 def visible(spark, sf):
     pages = paging.page_stored_many(_valid(spark, sf), _stored(spark, sf), refill=20)
     more = paging.page_cached(_valid(spark, sf), _cached(spark, sf), refill=20)
-    return _shown(paging.visible(pages.unionByName(more))).select("seq", "user", "status", "page_items")
+    return _shown(paging.visible(union_all(pages, more))).select("seq", "user", "status", "page_items")
 
 
 @query
@@ -659,7 +660,7 @@ def answer_state(spark, sf):
     after = _answer(spark, sf)
     cached = after.cache.select(F.lit("cache").alias("place"), "user", F.size("items").alias("n"), "offset")
     stored = after.stored.select(F.lit("stored").alias("place"), "user", F.size("items").alias("n"), "offset")
-    return cached.unionByName(stored)
+    return union_all(cached, stored)
 
 
 # Streams

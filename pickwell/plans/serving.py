@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickwell.functions.frames import union_all
 from pickwell.operators.candidates import PULL_SIZE, Source, pull_all, quotas
 from pickwell.operators.fusion import fuse, history_rows, rank_fused, serving_lists
 from pickwell.operators.paging import (
@@ -89,11 +90,10 @@ def answer(
     """
     asked = normalise_requests(requests)
     valid = asked.where("valid")
-    cached_ids = cache.select("user", F.lit("cache").alias("origin"))
-    stored_ids = stored.join(cache.select("user"), "user", "left_anti").select("user", F.lit("stored").alias("origin"))
-    routed = valid.join(cached_ids.unionByName(stored_ids), "user", "left")
-    origin = F.coalesce("origin", F.lit("fresh"))
-    routed = routed.withColumn("origin", origin)
+    in_cache = cache.select("user", F.lit(True).alias("in_cache"))
+    in_stored = stored.select("user", F.lit(True).alias("in_stored"))
+    origin = F.when(F.col("in_cache"), "cache").when(F.col("in_stored"), "stored").otherwise("fresh")
+    routed = valid.join(in_cache, "user", "left").join(in_stored, "user", "left").withColumn("origin", origin)
 
     from_cache = routed.where(F.col("origin") == "cache")
     from_stored = routed.where(F.col("origin") == "stored")
@@ -110,16 +110,16 @@ def answer(
     no_id = asked.where(~F.col("valid")).select(
         "seq", "user", F.array().cast("array<int>").alias("page_items"), F.lit("Error").alias("status")
     )
-    pages = cache_pages.unionByName(stored_pages).unionByName(fresh_pages).unionByName(no_id)
-    low = cache_pages.unionByName(stored_pages).where(F.col("status").isin("UpdateCache", "UpdateDatabase"))
-    refill = low.select("user", "status").distinct()
+    pages = union_all(cache_pages, stored_pages, fresh_pages, no_id)
+    low_cached = cache_pages.where(F.col("status") == "UpdateCache").select("user", "status").distinct()
+    low_stored = stored_pages.where(F.col("status") == "UpdateDatabase").select("user", "status").distinct()
 
     stored_after = advance_stored(from_stored, stored)
     began = F.lit(now).cast("bigint").alias("begin_time")
     into_cache = ["user", began, "items", "offset"]
-    calm = from_stored.join(refill.where(F.col("status") == "UpdateDatabase").select("user"), "user", "left_anti")
+    calm = from_stored.join(low_stored.select("user"), "user", "left_anti")
     served = touch_cached(calm, stored_lists(calm, stored).select(*into_cache), now)
     new_served = touch_cached(from_fresh, new.select(*into_cache), now)
-    cache_after = touch_cached(from_cache, cache, now).unionByName(served).unionByName(new_served)
-    stored_after = stored_after.unionByName(new.select(stored_after.columns))
-    return Answer(pages, refill, cache_after, stored_after)
+    cache_after = union_all(touch_cached(from_cache, cache, now), served, new_served)
+    stored_after = union_all(stored_after, new.select(stored_after.columns))
+    return Answer(pages, union_all(low_cached, low_stored), cache_after, stored_after)

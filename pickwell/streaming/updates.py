@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
 from pickwell.sources.tables import upsert
@@ -60,7 +61,7 @@ def apply_factor_updates(model: FactorModel | None, updates: DataFrame) -> Facto
         put = mine.where(~F.col("deleted")).select("id", "features")
         if model is not None:
             kept = as_factors(getattr(model, side)).join(mine.select("id"), "id", "left_anti")
-            put = kept.unionByName(put)
+            put = union_all(kept, put)
         sides.append(put)
     return FactorModel(rank, *sides)
 
