@@ -139,9 +139,11 @@ def with_views(names: list[str], dialect: str = "duckdb") -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for table in TABLES[:8]:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(f"{with_views([name], 'spark')} SELECT * FROM {name}")
+    sql = f"{with_views([name], 'spark')} SELECT * FROM {name}"
+    for table in TABLES:
+        if re.search(rf"\b(FROM|JOIN) {table}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(sql)
 
 
 def model(spark: SparkSession, sf_dir: str, name: str) -> FactorModel:
