@@ -15,6 +15,8 @@ counted sizes, and every way is exact:
 * both large: a grid. Sources are hashed into shards and targets into groups;
   each row is sent to the cells of its shard or group by an equi-join key,
   a cell scores one shard against one group, and the lists are merged by key.
+  Ids are unique, so hashing fills cells evenly; there are at least twice as
+  many cells as cores.
 
 No plan holds a row per (source, target) pair outside a task's working block.
 """
@@ -34,7 +36,7 @@ from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
 
 BROADCAST_BYTES = 64 << 20
-CELL_ROWS = 262_144
+CELL_ROWS = 1 << 20
 MERGE_SALTS = 16
 
 
@@ -76,7 +78,9 @@ def top_k(
         held = spark.sparkContext.broadcast(kernel.to_matrix(sources.toArrow(), rank))
         partial = targets.mapInArrow(_score_targets(held, rank, k), kernel.LISTS_DDL)
         return merge_lists(partial, k)
-    return _grid(sources, targets, rank, k, distinct, ceil(n_sources / cell_rows), ceil(n_targets / cell_rows))
+    groups = max(ceil(n_targets / cell_rows), 1)
+    shards = max(ceil(n_sources / cell_rows), ceil(2 * spark.sparkContext.defaultParallelism / groups))
+    return _grid(sources, targets, rank, k, distinct, shards, groups)
 
 
 def _score_sources(held, rank: int, k: int, distinct: bool):
@@ -107,8 +111,6 @@ def _score_targets(held, rank: int, k: int):
 
 
 def _grid(sources, targets, rank: int, k: int, distinct: bool, shards: int, groups: int) -> DataFrame:
-    shards, groups = max(shards, 1), max(groups, 1)
-
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         placed = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))

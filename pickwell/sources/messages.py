@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pickwell.sources.files import children
+from pickwell.sources.files import children, exists
 
 FILES_PER_BATCH = 10
 
@@ -53,9 +53,16 @@ def latest_dirs(spark: SparkSession, root: str, n: int, by: str = "name") -> lis
 
 
 def read_latest(spark: SparkSession, root: str, n: int = 10, by: str = "name") -> DataFrame:
-    """Lines of the newest ``n`` day folders in one scan, other folders pruned."""
-    days = [name.split("=", 1)[1] for name in latest_dirs(spark, root, n, by) if name.startswith("day=")]
-    if not days:
+    """Lines of the newest ``n`` day folders in one scan; other folders are not listed.
+
+    Below a streaming sink the files come from the sink's log, which knows
+    what was committed, and other days are pruned.
+    """
+    names = [name for name in latest_dirs(spark, root, n, by) if name.startswith("day=")]
+    if not names:
         return spark.createDataFrame([], "value string")
-    lines = spark.read.schema("value string, day string, hour string").text(root)
-    return lines.where(F.col("day").isin(days)).select("value")
+    reader = spark.read.schema("value string, day string, hour string")
+    if not exists(spark, f"{root}/_spark_metadata"):
+        return reader.option("basePath", root).text([f"{root}/{name}" for name in names]).select("value")
+    days = [name.split("=", 1)[1] for name in names]
+    return reader.text(root).where(F.col("day").isin(days)).select("value")
