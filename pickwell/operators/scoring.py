@@ -8,8 +8,8 @@ come back nested, one row per source id::
 ``ranked`` turns them into long rows. How the two sides meet depends only on
 counted sizes, and every way is exact:
 
-* target side small: it is broadcast and the sources are scored where they
-  lie - no shuffle, and each list is complete at once;
+* target side small: it is broadcast and each list is complete at once; only
+  the narrow source vectors are spread, no list is shuffled;
 * source side small: the sources are broadcast, every task keeps their best k
   over its share of the targets, and the short lists are merged by key;
 * both large: a grid. Sources are hashed into shards and targets into groups;
@@ -72,17 +72,29 @@ def top_k(
     n_targets = targets.count() if n_targets is None else n_targets
     if n_targets * row_bytes <= broadcast_bytes:
         held = spark.sparkContext.broadcast(kernel.to_matrix(targets.toArrow(), rank))
-        return sources.mapInArrow(_score_sources(held, rank, k, distinct), kernel.LISTS_DDL)
+        return _evenly(sources).mapInArrow(_score_sources(held, rank, k, distinct), kernel.LISTS_DDL)
     n_sources = sources.count() if n_sources is None else n_sources
     if n_sources * (row_bytes + 12 * k) <= broadcast_bytes and not distinct:
         held = spark.sparkContext.broadcast(kernel.to_matrix(sources.toArrow(), rank))
-        partial = targets.mapInArrow(_score_targets(held, rank, k), kernel.LISTS_DDL)
+        partial = _evenly(targets).mapInArrow(_score_targets(held, rank, k), kernel.LISTS_DDL)
         return merge_lists(partial, k)
     groups = max(ceil(n_targets / cell_rows), 1)
     shards = max(ceil(n_sources / cell_rows), ceil(2 * spark.sparkContext.defaultParallelism / groups))
     return _grid(sources, targets, rank, k, distinct, shards, groups)
 
 
+def _evenly(vectors: DataFrame) -> DataFrame:
+    """Vectors spread over all cores by id.
+
+    Scoring costs per row, far more than reading it, while file splits and
+    adaptive partitions are sized by bytes; one shuffle of the narrow vectors
+    gives every task the same work.
+    """
+    spark = vectors.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return vectors.repartition(parts, "id")
+
+
 def _score_sources(held, rank: int, k: int, distinct: bool):
     def score(batches):
         targets = kernel.Targets(*held.value)
