@@ -59,6 +59,7 @@ _sql("has_items", "item_ids speed_items",
      "SELECT id, id IN (SELECT id FROM speed_items) AS known FROM item_ids")
 _sql("user_ids", "batch_users", "SELECT id FROM batch_users")
 _sql("item_ids", "batch_items", "SELECT id FROM batch_items")
+_sql("drop_null", "requests", 'SELECT * FROM requests WHERE "user" IS NOT NULL AND per_page IS NOT NULL')
 _sql("model_summary", "batch_users batch_items speed_users speed_items", " UNION ALL ".join(
     f"SELECT '{m}' AS model, '{s}' AS side, count(*) AS n FROM {m}_{s}"
     for m in ("batch", "speed") for s in ("users", "items")))
@@ -155,6 +156,8 @@ _sql("run_batch_training", "raw_lines",
      f"{_NEWEST},\n{_PARSED.replace('FROM raw_lines', 'FROM newest_lines')} {_IDS}")
 _sql("save_load_model", "batch_users batch_items",
      _elements("'users' AS side, id", "batch_users") + " UNION ALL " + _elements("'items' AS side, id", "batch_items"))
+_sql("follow_models", "batch_users batch_items", """SELECT 'users' AS side, id FROM batch_users
+    UNION ALL SELECT 'items', id FROM batch_items""")
 _sql("latest_model", "lines", "SELECT strftime(max(ordered), '%Y%m%d') AS path FROM lines")
 
 # Lines in and out

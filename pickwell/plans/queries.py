@@ -119,6 +119,11 @@ def item_ids(spark, sf):
     return X.item_ids(model(spark, sf, "batch"))
 
 
+@query
+def drop_null(spark, sf):
+    return X.drop_null(view(spark, sf, "requests"))
+
+
 @query
 def model_summary(spark, sf):
     batch, fast = _both(spark, sf)
@@ -310,6 +315,19 @@ def save_load_model(spark, sf):
     return _flat(_two_sides(loaded.users, loaded.items), "side", "id")
 
 
+@query
+def follow_models(spark, sf):
+    """Two models announced one after the other; the ids of the one installed last."""
+    root = fresh_path(spark, "follow")
+    for name, day in (("speed", 1), ("batch", 2)):
+        path = models.save_model(model(spark, sf, name), f"{root}/models", datetime(2024, 1, day))
+        models.publish_model(spark, f"{root}/versions", path, datetime(2024, 1, day))
+    store = speed.ModelStore()
+    versions = models.model_versions(spark, f"{root}/versions", stream=True)
+    speed.follow_models(versions, store, f"{root}/log", availableNow=True).awaitTermination()
+    return _two_sides(X.user_ids(store.batch), X.item_ids(store.batch))
+
+
 @query
 def latest_model(spark, sf):
     """The newest of one announced version per order day."""
