@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors, check_rank, resolve_factors
-from pickwell.operators.scoring import items_for_users_subset, ranked, top_k, users_for_items_subset
+from pickwell.operators.scoring import items_for_all_users, items_for_users_subset, ranked, top_k, users_for_items_subset
 
 LIST_LENGTH = 5000
 SERVE_LENGTH = 1000
@@ -61,13 +61,14 @@ def merged_topn_bulk(
     if stream is None:
         raise ValueError("the bulk merge needs a stream model")
     if batch is None:
-        return top_k(stream.users, stream.items, stream.rank, n, **how)
+        return items_for_all_users(stream, n, **how)
     users = as_factors(stream.users)
     if vector_source == "batch":
         known = as_factors(batch.users).select("id", F.col("features").alias("known"))
         users = users.join(known, "id", "left").select("id", F.coalesce("known", "features").alias("features"))
     elif vector_source != "stream":
         raise ValueError("vector_source is 'stream' or 'batch'")
+    how = {"n_targets": batch.size("items") + stream.size("items"), **how} if "n_targets" not in how else how
     items = union_all(as_factors(batch.items), as_factors(stream.items))
     return top_k(users, items, stream.rank, n, distinct=dedupe == "max", **how)
 
@@ -108,7 +109,7 @@ def serve_items(
         only = ranked(items_for_users_subset(users, batch or speed, k))
         return only if limit is None else only.where(F.col("rank") <= limit)
     vectors = resolve_factors(users, batch.users, speed.users)
-    parts = [ranked(top_k(vectors, m.items, m.rank, k)) for m in (speed, batch)]
+    parts = [ranked(top_k(vectors, m.items, m.rank, k, n_targets=m.size("items"))) for m in (speed, batch)]
     return rank_rows(union_all(*parts), "user", "item", limit)
 
 
@@ -125,5 +126,7 @@ def serve_users(
         only = ranked(users_for_items_subset(items, batch or speed, k), "item", "user")
         return only if limit is None else only.where(F.col("rank") <= limit)
     vectors = resolve_factors(items, batch.items, speed.items)
-    parts = [ranked(top_k(vectors, m.users, m.rank, k), "item", "user") for m in (speed, batch)]
+    parts = [
+        ranked(top_k(vectors, m.users, m.rank, k, n_targets=m.size("users")), "item", "user") for m in (speed, batch)
+    ]
     return rank_rows(union_all(*parts), "item", "user", limit)

@@ -173,34 +173,40 @@ def _vectors(vectors: DataFrame, rank: int) -> DataFrame:
     return vectors.select("id", "features").where(F.size("features") > 0)
 
 
+def _on(model: FactorModel, side: str, sources: DataFrame, k: int, how: dict) -> DataFrame:
+    """Top-k against one side of a model, whose size is counted once per model."""
+    how = {"n_targets": model.size(side), **how} if "n_targets" not in how else how
+    return top_k(sources, getattr(model, side), model.rank, k, **how)
+
+
 def items_for_features(vectors: DataFrame, model: FactorModel, k: int = 1000, **how) -> DataFrame:
     """Items for user vectors ``(id, features)``."""
-    return top_k(_vectors(vectors, model.rank), model.items, model.rank, k, **how)
+    return _on(model, "items", _vectors(vectors, model.rank), k, how)
 
 
 def users_for_features(vectors: DataFrame, model: FactorModel, k: int = 1000, **how) -> DataFrame:
     """Users for item vectors ``(id, features)``."""
-    return top_k(_vectors(vectors, model.rank), model.users, model.rank, k, **how)
+    return _on(model, "users", _vectors(vectors, model.rank), k, how)
 
 
 def items_for_users_subset(ids: DataFrame, model: FactorModel, k: int = 1000, **how) -> DataFrame:
     """Items for the users in ``ids``; unknown ids have no list."""
     chosen = model.users.join(ids.select("id").distinct(), "id", "left_semi")
-    return top_k(chosen, model.items, model.rank, k, **how)
+    return _on(model, "items", chosen, k, how)
 
 
 def users_for_items_subset(ids: DataFrame, model: FactorModel, k: int = 1000, **how) -> DataFrame:
     """Users for the items in ``ids``; unknown ids have no list."""
     chosen = model.items.join(ids.select("id").distinct(), "id", "left_semi")
-    return top_k(chosen, model.users, model.rank, k, **how)
+    return _on(model, "users", chosen, k, how)
 
 
 def items_for_all_users(model: FactorModel, k: int, **how) -> DataFrame:
-    return top_k(model.users, model.items, model.rank, k, **how)
+    return _on(model, "items", model.users, k, how)
 
 
 def users_for_all_items(model: FactorModel, k: int, **how) -> DataFrame:
-    return top_k(model.items, model.users, model.rank, k, **how)
+    return _on(model, "users", model.items, k, how)
 
 
 def items_for_factor_table(factors: DataFrame, model: FactorModel, k: int, **how) -> DataFrame:
@@ -209,4 +215,4 @@ def items_for_factor_table(factors: DataFrame, model: FactorModel, k: int, **how
     Two models trained apart do not share a factor space; the caller decides
     whether their vectors may be compared.
     """
-    return top_k(factors, model.items, model.rank, k, **how)
+    return _on(model, "items", factors, k, how)
