@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pickwell.llm import exact_dedup, secret_scan
-from pickwell.llm.common import read
+from pickwell.llm import exact_dedup, language_id, secret_scan, toxicity
+from pickwell.llm.common import fold, read
 from pickwell.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+TOXIC_AT = 0.7
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted")
+    )
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
@@ -39,3 +53,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = read(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger")
     secret_scan.scan_unseen(docs, ledger)
     return secret_scan.report(secret_scan.findings(docs, ledger))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    texts = language_id.training_texts(docs, ~held_out)
+    return language_id.predict(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
