@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_chunks(frames: Iterable[pd.DataFrame], limit: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
-    """Cut Arrow batches so that a chunk has few characters or one row; every row is kept."""
-    for frame in frames:
-        sizes = frame["text"].str.len().to_numpy()
-        part = np.cumsum(sizes) // limit
-        for start, stop in runs(part):
-            yield frame.iloc[start:stop]
+def chunk_bounds(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cut rows so that a part has few characters or one row; every row is in one part."""
+    return runs(np.cumsum(sizes) // limit)
+
+
+def over_texts(
+    rows: DataFrame, function: Callable[[list[str]], dict[str, Any]], fields: dict[str, pa.DataType], limit: int = CHUNK_CHARS
+) -> DataFrame:
+    """Apply ``function`` to the texts of ``doc_id, text`` rows, some at a time, in Arrow batches.
+
+    It returns a column per field, a value per text; or a value per output row, with the
+    text's number as ``owner``. Ids of any type are passed through as they are, null and repeated ones too.
+    """
+    kind = rows.schema["doc_id"].dataType
+    ddl = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{name} {ddl[t]}" for name, t in fields.items())
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+            for start, stop in chunk_bounds(sizes, limit):
+                columns = function(texts.slice(start, stop - start).to_pylist())
+                own = ids.slice(start, stop - start)
+                if "owner" in columns:
+                    own = own.take(pa.array(columns["owner"], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [own, *(pa.array(columns[name], t) for name, t in fields.items())], ["doc_id", *fields]
+                )
+
+    return rows.mapInArrow(mapped, schema)
 
 
 def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -8,15 +8,15 @@ of the text, is the cross-parsing entropy; the language with the least wins.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwell.llm.chars import LETTER, classes, code_points, joined
-from pickwell.llm.common import in_chunks, texts_of
+from pickwell.llm.common import over_texts, texts_of
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 1_024, 24_000
 """A language's training text: so many rows, chosen by a hash of the id, the first so many characters of each,
@@ -174,11 +174,8 @@ def predict(docs: DataFrame, texts: dict[str, list[str]], id_col: str = "doc_id"
     """
     mark = hash(tuple((k, tuple(v)) for k, v in sorted(texts.items())))
 
-    def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages = built(mark, texts)
-        for frame in in_chunks(frames):
-            names, score = languages.predict(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": names, "score": score})
+    def predicted(some: list[str]) -> dict[str, Any]:
+        names, score = built(mark, texts).predict(some)
+        return {"lang_pred": names, "score": score}
 
-    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInPandas(predicted, f"doc_id {kind}, lang_pred string, score double")
+    return over_texts(texts_of(docs, id_col, text_col), predicted, {"lang_pred": pa.string(), "score": pa.float64()})

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwell.llm import exact_dedup, language_id, secret_scan, toxicity
+from pickwell.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, packing, secret_scan, toxicity
 from pickwell.llm.common import fold, read
 from pickwell.session import fresh_path
 
@@ -47,6 +49,22 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger starts empty, so that every blob of the table is scanned."""
@@ -55,6 +73,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.findings(docs, ledger))
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    return packing.pack(packing.cut(read(spark, sf_dir, "documents"), tokenizer))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.llm.chars import code_points, joined, mixed, odd_factors
-from pickwell.llm.common import in_chunks, stored, texts_of
+from pickwell.llm.common import chunk_bounds, over_texts, stored, texts_of
 
 SIZES = (4, 5, 6)
 SAMPLE_PER_CLASS = 2_000
@@ -51,8 +52,8 @@ def grams_of(texts: list[str], sizes: tuple[int, ...] = SIZES) -> Iterator[tuple
 
 
 def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of each class that hold an n-gram, summed over a partition's chunk."""
-    for frame in in_chunks(frames, 1 << 22):
+    """Texts of each class that hold an n-gram, summed over some rows."""
+    for frame in in_parts(frames):
         toxic = frame["toxic"].to_numpy() == 1
         for grams, owner in grams_of(frame["text"].tolist()):
             order = np.lexsort((owner, grams))
@@ -69,6 +70,12 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 })
 
 
+def in_parts(frames: Iterator[pd.DataFrame], limit: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for start, stop in chunk_bounds(frame["text"].str.len().to_numpy(), limit):
+            yield frame.iloc[start:stop]
+
+
 def hits(texts: list[str], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (text, place of the n-gram in ``grams``) of the n-grams a model knows."""
     if not len(grams):
@@ -134,7 +141,7 @@ def fit(
     grams, ratios = grams[order], np.array([r["ratio"] for r in kept])[order]
 
     def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_chunks(frames):
+        for frame in in_parts(frames):
             owner, place = hits(frame["text"].tolist(), grams)
             lists = np.split(place, np.searchsorted(owner, np.arange(1, len(frame))))
             yield pd.DataFrame({"toxic": frame["toxic"].to_numpy(), "grams": [x.astype(np.int32) for x in lists]})
@@ -174,11 +181,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     null text has the score of the bias alone."""
     grams, weights, bias = model.grams, model.weights, model.bias
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_chunks(frames):
-            owner, place = hits(frame["text"].tolist(), grams)
-            margin = np.bincount(owner, weights[place], len(frame)) + bias
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": 1 / (1 + np.exp(-np.clip(margin, -50, 50)))})
+    def scored(texts: list[str]) -> dict[str, np.ndarray]:
+        owner, place = hits(texts, grams)
+        margin = np.bincount(owner, weights[place], len(texts)) + bias
+        return {"score": 1 / (1 + np.exp(-np.clip(margin, -50, 50)))}
 
-    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInPandas(scored, f"doc_id {kind}, score double")
+    return over_texts(texts_of(docs, id_col, text_col), scored, {"score": pa.float64()})
