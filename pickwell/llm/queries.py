@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwell.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, packing, secret_scan, toxicity
+from pickwell.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, packing, secret_scan, suffix_dedup, toxicity
 from pickwell.llm.common import fold, read
 from pickwell.session import fresh_path
 
@@ -85,3 +85,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     texts = language_id.training_texts(docs, ~held_out)
     return language_id.predict(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep="none")
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
