@@ -32,6 +32,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Narrow stored rows, marked for a broadcast if a count finds no more than ``limit``; a join
+    with more is left to a shuffle."""
+    return rows if rows.count() > limit else F.broadcast(rows)
+
+
 def chunk_bounds(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows so that a part has few characters or one row; every row is in one part."""
     return runs(np.cumsum(sizes) // limit)

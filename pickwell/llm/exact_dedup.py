@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions.frames import union_all
-from pickwell.llm.common import stored, texts_of
+from pickwell.llm.common import small, stored, texts_of
 
 
 def content_hash(text: Column) -> Column:
@@ -67,8 +67,11 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """Rows of ``docs`` whose text stays, all columns as they are."""
-    kept = exact_groups(docs, keep=keep).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")
-    ).distinct()
-    own = F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (own == kept["_sha256"]), "left_semi")
+    dropped = stored(
+        exact_groups(docs, keep=keep).where("not kept").select(
+            F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha256")
+        ).distinct(), "dropped-copies",
+    )
+    own = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256))
+    gone = docs["doc_id"].eqNullSafe(dropped["_id"]) & (own == dropped["_sha256"])
+    return docs.join(small(dropped), gone, "left_anti")

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwell.llm.common import texts_of
+from pickwell.llm.common import SMALL_ROWS, texts_of
 from pickwell.sources.files import exists
 
 
@@ -97,7 +97,8 @@ def scan_unseen(
 
     Unseen blobs are found on narrow rows (blob, one holder's id); only the holders' texts are
     then taken, so copies are scanned once and no copied blob makes a hot key. Null texts
-    count as empty, null ids are ids like others, repeated rows count once.
+    count as empty, null ids are ids like others, repeated rows count once. A ledger has one writer at
+    a time and one row for a blob and rule version, so joins with it need no grouping.
     """
     version = version_of(rules)
     rows = texts_of(docs, id_col, text_col).withColumn("blob", blob_of(F.col("text")))
@@ -112,10 +113,8 @@ def scan_unseen(
         (F.col("blob") == F.col("unseen")) & F.col("doc_id").eqNullSafe(F.col("holder")),
         "left_semi",
     )
-    (
-        fresh.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("text"), rules).alias("findings"))
-        .write.mode("append").parquet(ledger)
-    )
+    scanned = fresh.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("text"), rules).alias("findings"))
+    scanned.write.mode("append").parquet(ledger)
 
 
 def findings(
@@ -144,3 +143,32 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         "doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in rules),
         F.sha2(F.encode(spans, "UTF-8"), 256).alias("base_sha256"), spans.alias("spans"),
     )
+
+
+def redacted(text: Column, found: Column, by: str) -> Column:
+    """The text with ``by`` for each stretch that findings cover."""
+
+    def step(acc: Column, hit: Column) -> Column:
+        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, hit["start"] - acc["at"]), F.lit(by))
+        return F.struct(
+            F.greatest(acc["at"], hit["stop"]).alias("at"), F.when(hit["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out")
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, by: str = "[secret]") -> DataFrame:
+    """``docs`` with the findings of their texts replaced and ``n_chars`` to match; other columns as they are.
+
+    Blobs with findings are few; up to a counted number they are broadcast, so that texts stay where they are.
+    """
+    known = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("findings") > 0))
+    known = known.dropDuplicates(["blob"]).select(F.col("blob").alias("_secret_blob"), F.col("findings").alias("_secret_found"))
+    total = known.agg(F.sum(F.size("_secret_found"))).first()[0] or 0
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(known if total > SMALL_ROWS else F.broadcast(known), blob_of(text) == known["_secret_blob"], "left")
+    found = known["_secret_found"]
+    new = F.when(found.isNull(), docs["text"]).otherwise(redacted(text, found, by))
+    changed = {"text": new, "n_chars": F.when(found.isNull(), docs["n_chars"]).otherwise(F.length(new).cast("long"))}
+    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))

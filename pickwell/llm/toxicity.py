@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.llm.chars import code_points, joined, mixed, odd_factors
-from pickwell.llm.common import chunk_bounds, over_texts, stored, texts_of
+from pickwell.llm.common import CHUNK_CHARS, chunk_bounds, over_texts, stored, texts_of
 
 SIZES = (4, 5, 6)
 SAMPLE_PER_CLASS = 2_000
@@ -176,14 +177,29 @@ def logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, pen
     return weights * ratios, bias
 
 
+def scores(texts: list[str], model: Model) -> np.ndarray:
+    owner, place = hits(texts, model.grams)
+    margin = np.bincount(owner, model.weights[place], len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every whole text; ids are passed through, null or repeated, and an empty or
     null text has the score of the bias alone."""
-    grams, weights, bias = model.grams, model.weights, model.bias
+    return over_texts(
+        texts_of(docs, id_col, text_col), lambda texts: {"score": scores(texts, model)}, {"score": pa.float64()}
+    )
+
+
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score less than ``limit``, all columns as they are."""
 
-    def scored(texts: list[str]) -> dict[str, np.ndarray]:
-        owner, place = hits(texts, grams)
-        margin = np.bincount(owner, weights[place], len(texts)) + bias
-        return {"score": 1 / (1 + np.exp(-np.clip(margin, -50, 50)))}
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
+            sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+            for start, stop in chunk_bounds(sizes, CHUNK_CHARS):
+                kept = scores(texts.slice(start, stop - start).to_pylist(), model) < limit
+                yield batch.slice(start, stop - start).filter(pa.array(kept))
 
-    return over_texts(texts_of(docs, id_col, text_col), scored, {"score": pa.float64()})
+    return docs.mapInArrow(mapped, docs.schema)
