@@ -80,7 +80,7 @@ def main() -> None:
         "merged_topn_bulk_1000": lambda: run(merging.merged_topn_bulk(batch, fast, 1000, dedupe="max")),
         "fuse_rank": lambda: run(fusion.rank_fused(fusion.fuse(units(), [1, 2]))),
         "serving_list": lambda: run(fusion.serving_lists(fusion.rank_fused(fusion.fuse(units(), [1, 2])), 0)),
-        "page_stored_many": lambda: run(paging.page_stored_many(asked, listed)),
+        "page_stored_many": lambda: run(paging.page_stored(asked, listed)),
         "speed_batch_100": lambda: micro_batch(small),
         "speed_batch_10000": lambda: micro_batch(large),
     }

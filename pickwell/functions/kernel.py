@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CELLS = 1 << 21
 """Scores held at once by one task (16 MB of doubles)."""
@@ -33,9 +34,11 @@ def to_matrix(batch: pa.RecordBatch | pa.Table, rank: int) -> tuple[np.ndarray,
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in
                (batch.column("id"), batch.column("features"))]
     ids = columns[0].to_numpy(zero_copy_only=False).astype(np.int32)
-    values = columns[1].flatten().to_numpy(zero_copy_only=False)
-    if values.size != ids.size * rank:
+    lengths = pc.list_value_length(columns[1])
+    values = columns[1].flatten()
+    if values.null_count or lengths.null_count or not pc.all(pc.equal(lengths, rank), min_count=0).as_py():
         raise ValueError(f"every feature vector must have {rank} elements")
+    values = values.to_numpy(zero_copy_only=False)
     return ids, values.reshape(ids.size, rank)
 
 

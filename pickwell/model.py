@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Protocol
 
 from pyspark.sql import DataFrame
 
@@ -38,19 +37,3 @@ class FactorModel:
         self.users.unpersist()
         self.items.unpersist()
         return self
-
-
-class ItemRecommender(Protocol):
-    """What a user of the library may swap in for user-to-item scoring."""
-
-    def items_for_features(self, vectors: DataFrame, model: FactorModel, k: int) -> DataFrame: ...
-
-    def items_for_users_subset(self, ids: DataFrame, model: FactorModel, k: int) -> DataFrame: ...
-
-
-class UserRecommender(Protocol):
-    """The same for item-to-user scoring."""
-
-    def users_for_features(self, vectors: DataFrame, model: FactorModel, k: int) -> DataFrame: ...
-
-    def users_for_items_subset(self, ids: DataFrame, model: FactorModel, k: int) -> DataFrame: ...

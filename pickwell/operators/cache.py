@@ -33,7 +33,8 @@ def admit(cache: DataFrame, incoming: DataFrame, now: int, capacity: int = CAPAC
 
     A known user's list is always replaced. New users are let in by arrival
     while there is room. Several lists of a user: the first decides the place,
-    the last is kept. New entries start at offset 0.
+    the last is kept. New entries start at offset 0. Places are decided on
+    narrow rows; lists stay where they are.
     """
     latest = incoming.groupBy("user").agg(
         F.max_by("items", "arrival").alias("items"), F.min("arrival").alias("arrival")
@@ -42,7 +43,9 @@ def admit(cache: DataFrame, incoming: DataFrame, now: int, capacity: int = CAPAC
     known = latest.join(cache.select("user"), "user", "left_semi")
     room = max(capacity - cache.count(), 0)
     order = ["arrival", "user"]
-    newcomers = latest.join(cache.select("user"), "user", "left_anti").orderBy(*order).limit(room)
+    firsts = incoming.groupBy("user").agg(F.min("arrival").alias("arrival"))
+    let_in = firsts.join(cache.select("user"), "user", "left_anti").orderBy(*order).limit(room)
+    newcomers = latest.join(let_in.select("user"), "user", "left_semi")
     kept = cache.join(latest.select("user"), "user", "left_anti")
     fresh = union_all(known, newcomers).select("user", *entry)
     return union_all(kept.select("user", "begin_time", "items", "offset"), fresh)

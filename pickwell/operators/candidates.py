@@ -6,11 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pickwell.functions.columns import next_offset, rank_key
-from pickwell.functions.frames import union_all
+from pickwell.functions.frames import numbered, union_all
 
 PULL_SIZE = 2000
 
@@ -62,15 +61,11 @@ def open_sources(registry: DataFrame, loaders: dict[tuple[str, str], Loader]) ->
 
 
 def add_candidates(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Register sources whose name is not there yet, each under an unused id.
-
-    The registry names tables, a handful of rows, so one ordered pass over the
-    additions is fine.
-    """
+    """Register sources whose name is not there yet, each under an unused id, by name."""
     last = F.coalesce(registry.agg(F.max("cid")).scalar(), F.lit(0))
     fresh = new.dropDuplicates(["name"]).join(registry.select("name"), "name", "left_anti")
-    cid = (last + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("name"))).cast("int")
-    return union_all(registry, fresh.withColumn("cid", cid))
+    placed = numbered(fresh, "name", "_nth")
+    return union_all(registry, placed.withColumn("cid", (last + F.col("_nth")).cast("int")).drop("_nth"))
 
 
 def remove_candidates(registry: DataFrame, cids: DataFrame) -> DataFrame:

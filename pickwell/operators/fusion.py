@@ -16,15 +16,18 @@ def fuse(units: DataFrame, cids: list[int] | None = None) -> DataFrame:
 
     Repeats count. A group holds at most one entry per pulled unit of one
     user and item, that is about one per candidate. Where the open candidates
-    are known, ``cids`` turns collecting into counting per candidate.
+    are known, ``cids`` turns collecting into counting per candidate; units of
+    other candidates are collected still.
     """
     groups = units.groupBy("user", "item")
     n_sources = F.count(F.lit(1)).cast("int").alias("n_sources")
     if cids is None:
         return groups.agg(F.sort_array(F.collect_list("cid")).alias("cids"), n_sources)
-    counted = groups.agg(n_sources, *[F.count_if(F.col("cid") == c).cast("int").alias(f"_{c}") for c in cids])
+    others = F.collect_list(F.when(~F.col("cid").isin(cids), F.col("cid"))).alias("_others")
+    counted = groups.agg(n_sources, others, *[F.count_if(F.col("cid") == c).cast("int").alias(f"_{c}") for c in cids])
     given = [F.array_repeat(F.lit(c), F.col(f"_{c}")) for c in sorted(cids)]
-    return counted.select("user", "item", F.flatten(F.array(*given)).alias("cids"), "n_sources")
+    all_cids = F.array_sort(F.concat(F.flatten(F.array(*given)), "_others")) if given else F.array_sort("_others")
+    return counted.select("user", "item", all_cids.alias("cids"), "n_sources")
 
 
 def jitter(seed: int) -> Column:

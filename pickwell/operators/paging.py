@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions.columns import circular_slice, encode_ids
-from pickwell.operators.running import CHUNK_ROWS, with_total_before
+from pickwell.operators.running import with_total_before
 
 STORED_REFILL = 50
 CACHED_REFILL = 200
 
-# Request defaults when page or per_page is missing.
+# Request defaults when page or per_page is missing, and the texts of responses.
 DEFAULT_PAGE, DEFAULT_PER_PAGE = 1, 10
+NO_ID, NOT_IN_MODEL = "ID is null", "This id is not in model"
 
 
 def normalise_requests(requests: DataFrame) -> DataFrame:
@@ -37,9 +38,13 @@ def _length(items: str = "items") -> Column:
     return F.coalesce(F.size(items), F.lit(0))
 
 
-def _joined(requests: DataFrame, lists: DataFrame, chunk_rows: int) -> DataFrame:
-    asked = requests.select("seq", "user", "per_page")
-    running = with_total_before(asked, "user", "seq", "per_page", "before", chunk_rows)
+def with_ids_before(requests: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``(seq, user, per_page, before)``: how many ids the user's earlier requests ask for."""
+    return with_total_before(requests.select("seq", "user", "per_page"), "user", "seq", "per_page", "before", ranges)
+
+
+def _joined(requests: DataFrame, lists: DataFrame, ranges: int | None) -> DataFrame:
+    running = requests if "before" in requests.columns else with_ids_before(requests, ranges)
     return running.join(lists.select("user", "items", "offset"), "user", "left")
 
 
@@ -56,14 +61,16 @@ def _page(rows: DataFrame, found: Column, start: Column, next_offset: Column, st
 
 
 def page_stored(
-    requests: DataFrame, lists: DataFrame, refill: int = STORED_REFILL, chunk_rows: int = CHUNK_ROWS
+    requests: DataFrame, lists: DataFrame, refill: int = STORED_REFILL, ranges: int | None = None
 ) -> DataFrame:
     """Circular pages of stored lists: ``(seq, user, page_items, new_offset, status)``.
 
+    Requests may already hold ``before`` (see :func:`with_ids_before`).
+
     ``UpdateDatabase`` when fewer than ``refill`` items would be left,
     ``WriterToCache`` otherwise, ``DatabaseFindFail`` without a list.
     """
-    rows = _joined(requests, lists, chunk_rows)
+    rows = _joined(requests, lists, ranges)
     length = _length()
     found = length > 0
     rows = rows.withColumn("start", F.when(found, F.pmod(F.col("offset") + F.col("before"), length)))
@@ -74,18 +81,15 @@ def page_stored(
     return _page(rows, found, F.col("start"), end % length, status)
 
 
-page_stored_many = page_stored
-
-
 def page_cached(
-    requests: DataFrame, cache: DataFrame, refill: int = CACHED_REFILL, chunk_rows: int = CHUNK_ROWS
+    requests: DataFrame, cache: DataFrame, refill: int = CACHED_REFILL, ranges: int | None = None
 ) -> DataFrame:
     """Circular pages of cached lists; the offset stops at the list's end.
 
     ``UpdateCache`` when fewer than ``refill`` items would be left,
     ``ReturnList`` otherwise, ``CacheFindFail`` without an entry.
     """
-    rows = _joined(requests, cache, chunk_rows)
+    rows = _joined(requests, cache, ranges)
     length = _length()
     found = length > 0
     rows = rows.withColumn("start", F.when(found, F.least(F.col("offset") + F.col("before"), length)))
@@ -141,6 +145,6 @@ def format_responses(responses: DataFrame) -> DataFrame:
         F.when(no_id, "null").otherwise(F.col("user").cast("string")).alias("user_id"),
         F.when(no_id | empty, "null").otherwise(encode_ids(F.col("page_items"))).alias("video_ids"),
         F.when(no_id | empty, 1).otherwise(0).alias("error_code"),
-        F.when(no_id, "ID is null").when(empty, "This id is not in model").otherwise("").alias("error_reason"),
+        F.when(no_id, NO_ID).when(empty, NOT_IN_MODEL).otherwise("").alias("error_reason"),
     )
     return record.withColumn("json", F.to_json(F.struct("user_id", "video_ids", "error_code", "error_reason")))

@@ -7,36 +7,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1_000_000
+MOST_RANGES = 1_000
 
 
-def with_total_before(
-    df: DataFrame, key: str, seq: str, value: str, out: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def with_total_before(df: DataFrame, key: str, seq: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows (by ``seq``) of the key.
 
-    Beyond ``chunk_rows`` rows, ``seq`` is cut into ranges of about that many
-    rows. Totals per (key, range) are summed before the shuffle and carried
-    forward, so one task sorts at most one range of a key.
+    ``seq`` is cut into ``ranges`` of about equal size, by default as many as a shuffle has
+    partitions, so the sketch that finds the cuts stays small. Totals per (key, range) are summed before
+    the shuffle and carried forward; one task sorts at most one range of a key. Null
+    keys are a key of their own, and a null ``seq`` comes before all others.
     """
-    n = df.count()
-    chunks = -(-n // chunk_rows)
-    if chunks <= 1:
-        before = W.partitionBy(key).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
-    cuts = df.select(F.col(seq).cast("double").alias(seq)).approxQuantile(
-        seq, [i / chunks for i in range(1, chunks)], 0.1 / chunks
-    )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(
-        df.withColumn("_at", F.col(seq).cast("double"))
-    ).drop("_at")
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(ranges, MOST_RANGES))
+    at = F.col(seq).cast("double")
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = df.select(at.alias(seq)).approxQuantile(seq, shares, 0.1 / ranges) if shares else []
+    if cuts:
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        bucket = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
+        placed = bucket.transform(df.withColumn("_at", at)).drop("_at")
+    else:
+        placed = df.withColumn("_range", F.lit(0.0))
+    placed = placed.withColumn("_range", F.when(F.col(seq).isNull(), -1.0).otherwise(F.col("_range")))
     totals = placed.groupBy(key, "_range").agg(F.sum(value).alias("_total"))
     earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(key, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))
+    carried = totals.select(
+        F.col(key).alias("_key"), F.col("_range").alias("_in"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried")
+    )
     within = W.partitionBy(key, "_range").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = local.join(carried, [key, "_range"])
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in")))
     return joined.withColumn(out, (F.col("_carried") + F.col("_local")).cast("bigint")).drop(
-        "_range", "_local", "_carried"
+        "_range", "_local", "_carried", "_key", "_in"
     )

@@ -57,8 +57,8 @@ _sql("has_users", "user_ids batch_users",
      "SELECT id, id IN (SELECT id FROM batch_users) AS known FROM user_ids")
 _sql("has_items", "item_ids speed_items",
      "SELECT id, id IN (SELECT id FROM speed_items) AS known FROM item_ids")
-_sql("user_ids", "batch_users", "SELECT id FROM batch_users")
-_sql("item_ids", "batch_items", "SELECT id FROM batch_items")
+_sql("user_ids", "whole_users", "SELECT id FROM whole_users")
+_sql("item_ids", "whole_items", "SELECT id FROM whole_items")
 _sql("drop_null", "requests", 'SELECT * FROM requests WHERE "user" IS NOT NULL AND per_page IS NOT NULL')
 _sql("model_summary", "batch_users batch_items speed_users speed_items", " UNION ALL ".join(
     f"SELECT '{m}' AS model, '{s}' AS side, count(*) AS n FROM {m}_{s}"
@@ -78,7 +78,7 @@ _sql("merge_models", "batch_users batch_items speed_users speed_items",
      _MERGE.format(s="users").replace("m AS", "mu AS", 1) + ",\n" + _MERGE.format(s="items").replace("m AS", "mi AS", 1)
      + f" {_elements('side, id, is_new', 'mu')} UNION ALL {_elements('side, id, is_new', 'mi')}")
 _sql("recent_new", "batch_users batch_items speed_users speed_items", ORACLES["prune_speed"].split("\n")[-1])
-_sql("as_speed_model", "batch_items", _elements("id", "batch_items"))
+_sql("as_speed_model", "whole_items", _elements("id", "whole_items"))
 
 # Scoring
 
@@ -103,16 +103,16 @@ _KNOWN_ITEMS = "si AS (SELECT * FROM {m}_items WHERE id IN (SELECT id FROM {ids}
 _sql("predict_pairs", "pairs batch_users batch_items", """SELECT p."user", p.item,
     list_dot_product(u.features, v.features) AS score FROM pairs p
     JOIN batch_users u ON p."user" = u.id JOIN batch_items v ON p.item = v.id""")
-for _m, _prefix in (("batch", ""), ("speed", "speed_")):
+for _m, _prefix in (("whole", ""), ("speed", "speed_")):
     _sql(f"{_prefix}items_for_features", f"vectors {_m}_items", _top("vectors", f"{_m}_items", 20))
     _sql(f"{_prefix}users_for_features", f"vectors {_m}_users", _top("vectors", f"{_m}_users", 20, "item", '"user"'))
 _sql("items_for_users_subset", "event_users batch_users batch_items",
      _KNOWN_USERS.format(m="batch", ids="event_users") + " " + _top("su", "batch_items", 50))
 _sql("users_for_items_subset", "item_ids batch_users batch_items",
      _KNOWN_ITEMS.format(m="batch", ids="item_ids") + " " + _top("si", "batch_users", 10, "item", '"user"'))
-_sql("items_for_all_users", "batch_users batch_items", _top("batch_users", "batch_items", 10))
+_sql("items_for_all_users", "whole_users whole_items", _top("whole_users", "whole_items", 10))
 ORACLES["items_for_all_users_grid"] = ORACLES["items_for_all_users"]
-_sql("users_for_all_items", "batch_users batch_items", _top("batch_items", "batch_users", 10, "item", '"user"'))
+_sql("users_for_all_items", "whole_users whole_items", _top("whole_items", "whole_users", 10, "item", '"user"'))
 _sql("items_for_factor_table", "speed_users batch_items", _top("speed_users", "batch_items", 10))
 _sql("speed_items_for_users", "user_ids speed_users speed_items",
      _KNOWN_USERS.format(m="speed", ids="user_ids") + " " + _top("su", "speed_items", 10))
@@ -178,6 +178,10 @@ _sql("write_lists", _ALL, f"""a AS ({_top('batch_users', 'batch_items', 10)}),
     b AS ({_top('speed_users', 'speed_items', 10)}),
     c AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE "user" NOT IN (SELECT id FROM batch_users))
     SELECT "user", string_agg(CAST(item AS STRING), ',' ORDER BY rank) AS ids FROM c GROUP BY 1""")
+_sql("upsert_duplicates", "lines", """SELECT CAST(cust AS INT) AS "user",
+    CAST(max(part * 10000 + q * 100 + n) AS BIGINT) AS "at" FROM lines GROUP BY cust""")
+_sql("upsert_restart", "lines", """SELECT CAST(cust AS INT) AS "user", CASE WHEN bool_or(order_status = 'P') THEN 'P'
+    WHEN bool_or(order_status = 'O') THEN 'O' ELSE 'F' END AS status FROM lines GROUP BY cust""")
 _sql("register_candidate", "registry", """SELECT name,
     CASE candidate_list_type WHEN 'list' THEN 'tables' ELSE 'again' END AS url FROM registry""")
 

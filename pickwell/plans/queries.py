@@ -111,12 +111,12 @@ def has_items(spark, sf):
 
 @query
 def user_ids(spark, sf):
-    return X.user_ids(model(spark, sf, "batch"))
+    return X.user_ids(model(spark, sf, "whole"))
 
 
 @query
 def item_ids(spark, sf):
-    return X.item_ids(model(spark, sf, "batch"))
+    return X.item_ids(model(spark, sf, "whole"))
 
 
 @query
@@ -157,7 +157,7 @@ def recent_new(spark, sf):
 
 @query
 def as_speed_model(spark, sf):
-    return _flat(X.as_speed_model(model(spark, sf, "batch")).items, "id")
+    return _flat(X.as_speed_model(model(spark, sf, "whole")).items, "id")
 
 
 # Scoring
@@ -170,12 +170,12 @@ def predict_pairs(spark, sf):
 
 @query
 def items_for_features(spark, sf):
-    return scoring.ranked(scoring.items_for_features(view(spark, sf, "vectors"), model(spark, sf, "batch"), 20))
+    return scoring.ranked(scoring.items_for_features(view(spark, sf, "vectors"), model(spark, sf, "whole"), 20))
 
 
 @query
 def users_for_features(spark, sf):
-    found = scoring.users_for_features(view(spark, sf, "vectors"), model(spark, sf, "batch"), 20)
+    found = scoring.users_for_features(view(spark, sf, "vectors"), model(spark, sf, "whole"), 20)
     return scoring.ranked(found, "item", "user")
 
 
@@ -193,19 +193,19 @@ def users_for_items_subset(spark, sf):
 
 @query
 def items_for_all_users(spark, sf):
-    return scoring.ranked(scoring.items_for_all_users(model(spark, sf, "batch"), 10))
+    return scoring.ranked(scoring.items_for_all_users(model(spark, sf, "whole"), 10))
 
 
 @query
 def items_for_all_users_grid(spark, sf):
     """The same with neither side broadcast."""
-    found = scoring.items_for_all_users(model(spark, sf, "batch"), 10, broadcast_bytes=0, cell_rows=500)
+    found = scoring.items_for_all_users(model(spark, sf, "whole"), 10, broadcast_bytes=0, cell_rows=500)
     return scoring.ranked(found)
 
 
 @query
 def users_for_all_items(spark, sf):
-    return scoring.ranked(scoring.users_for_all_items(model(spark, sf, "batch"), 10), "item", "user")
+    return scoring.ranked(scoring.users_for_all_items(model(spark, sf, "whole"), 10), "item", "user")
 
 
 @query
@@ -395,12 +395,40 @@ def upsert(spark, sf):
         rows = lines.where(F.col("order_status") == status).groupBy(F.col("cust").cast("int").alias("user")).agg(
             F.lit(status).alias("status"), F.sum("q").alias("total")
         )
-        tables.upsert(rows.withColumn("gone", F.col("total") < 150), path, deleted="gone")
+        tables.upsert(rows.withColumn("gone", F.col("total") < 150), path, ["user"], deleted="gone")
         if status == "O":
             tables.compact(spark, path, ["user"])
     return tables.read_table(spark, path, ["user"])
 
 
+@query
+def upsert_duplicates(spark, sf):
+    """All order lines written at once, keyed by customer; of a customer's the last by part, quantity and line counts."""
+    path = fresh_path(spark, "doubled")
+    lines = view(spark, sf, "lines")
+    at = F.col("part") * 10_000 + F.col("q") * 100 + F.col("n")
+    tables.upsert(lines.select(F.col("cust").cast("int").alias("user"), at.cast("bigint").alias("at")), path, ["user"], order="at")
+    return tables.read_table(spark, path, ["user"])
+
+
+@query
+def upsert_restart(spark, sf):
+    """A bulk load, a stream's batch, a repeat of it, a compaction, and batch 0 of a stream that starts anew."""
+    path = fresh_path(spark, "restarted")
+    lines = view(spark, sf, "lines")
+
+    def put(status: str, writer: str | None = None) -> None:
+        rows = lines.where(F.col("order_status") == status).select(F.col("cust").cast("int").alias("user")).distinct()
+        tables.upsert(rows.withColumn("status", F.lit(status)), path, ["user"], writer=writer)
+
+    put("F")
+    put("O", "first log#0")
+    put("O", "first log#0")
+    tables.compact(spark, path, ["user"])
+    put("P", "second log#0")
+    return tables.read_table(spark, path, ["user"])
+
+
 @query
 def write_lists(spark, sf):
     """Lists of the speed model replaced by the batch model's where it has the user."""
@@ -596,7 +624,7 @@ def page_stored(spark, sf):
 
 @query
 def page_stored_many(spark, sf):
-    return _shown(paging.page_stored_many(_valid(spark, sf), _stored(spark, sf), refill=20, chunk_rows=1000))
+    return _shown(paging.page_stored(_valid(spark, sf), _stored(spark, sf), refill=20, ranges=16))
 
 
 @query
@@ -644,7 +672,7 @@ def admit(spark, sf):
 
 @query
 def visible(spark, sf):
-    pages = paging.page_stored_many(_valid(spark, sf), _stored(spark, sf), refill=20)
+    pages = paging.page_stored(_valid(spark, sf), _stored(spark, sf), refill=20)
     more = paging.page_cached(_valid(spark, sf), _cached(spark, sf), refill=20)
     return _shown(paging.visible(union_all(pages, more))).select("seq", "user", "status", "page_items")
 
@@ -652,7 +680,7 @@ def visible(spark, sf):
 @query
 def format_responses(spark, sf):
     asked = paging.normalise_requests(view(spark, sf, "requests"))
-    return paging.format_responses(paging.page_stored_many(asked, _stored(spark, sf), refill=20))
+    return paging.format_responses(paging.page_stored(asked, _stored(spark, sf), refill=20))
 
 
 def _answer(spark: SparkSession, sf: str) -> serving.Answer:

@@ -19,6 +19,7 @@ from pickwell.operators.paging import (
     page_stored,
     stored_lists,
     touch_cached,
+    with_ids_before,
 )
 
 RETURN_DIRECT, RETURN_TO_DATABASE = "ReturnDirect", "ReturnToDataBase"
@@ -83,15 +84,17 @@ def answer(
     begin_time, items, offset)``, ``stored`` is ``(user, items, offset)`` and
     ``fresh`` holds lists ``(user, items)`` pulled and fused for users in
     neither. A user with a cache entry is served from it, else from the stored
-    list, else from the fresh one, else gets an empty page with status Error.
+    list, else from the fresh one, else gets an empty page with status Error; empty
+    lists count as none.
     A stored list's offset moves only when the stored list answered; its full
     list is then cached behind the pages given, unless it ran low. Fresh lists
     are cached and stored. ``refill`` names users whose list ran low.
     """
     asked = normalise_requests(requests)
-    valid = asked.where("valid")
-    in_cache = cache.select("user", F.lit(True).alias("in_cache"))
-    in_stored = stored.select("user", F.lit(True).alias("in_stored"))
+    valid = with_ids_before(asked.where("valid"))
+    filled = F.size("items") > 0
+    in_cache = cache.where(filled).select("user", F.lit(True).alias("in_cache"))
+    in_stored = stored.where(filled).select("user", F.lit(True).alias("in_stored"))
     origin = F.when(F.col("in_cache"), "cache").when(F.col("in_stored"), "stored").otherwise("fresh")
     routed = valid.join(in_cache, "user", "left").join(in_stored, "user", "left").withColumn("origin", origin)
 
@@ -99,7 +102,7 @@ def answer(
     from_stored = routed.where(F.col("origin") == "stored")
     from_fresh = routed.where(F.col("origin") == "fresh")
 
-    wanted = fresh.join(from_fresh.select("user").distinct(), "user", "left_semi")
+    wanted = fresh.where(filled).join(from_fresh.select("user").distinct(), "user", "left_semi")
     new = wanted.select("user", "items", F.lit(0).alias("offset"))
 
     cache_pages = page_cached(from_cache, cache, cached_refill).drop("new_offset")
@@ -120,6 +123,9 @@ def answer(
     calm = from_stored.join(low_stored.select("user"), "user", "left_anti")
     served = touch_cached(calm, stored_lists(calm, stored).select(*into_cache), now)
     new_served = touch_cached(from_fresh, new.select(*into_cache), now)
-    cache_after = union_all(touch_cached(from_cache, cache, now), served, new_served)
-    stored_after = union_all(stored_after, new.select(stored_after.columns))
+    # What was just cached or stored takes the place of an empty list.
+    fresh_users = new.select("user")
+    cached = touch_cached(from_cache, cache, now).where(filled)
+    cache_after = union_all(cached, served, new_served)
+    stored_after = union_all(stored_after.join(fresh_users, "user", "left_anti"), new.select(stored_after.columns))
     return Answer(pages, union_all(low_cached, low_stored), cache_after, stored_after)

@@ -59,8 +59,10 @@ VIEWS: dict[str, str] = {
         ELSE concat(CAST(cust AS STRING), ',', CAST(part AS STRING), ',', CAST(q AS STRING), ',',
             CAST(n AS STRING)) END AS value FROM lines""",
     "triples": """SELECT CAST(cust AS STRING) AS u, CAST(part AS STRING) AS i, CAST(q AS STRING) AS r FROM lines""",
-    # The batch model saw finished orders and not yet one segment and type;
-    # the speed model saw pending orders.
+    # The whole model saw all orders. Where two models must overlap, the batch model saw finished orders
+    # and not yet one segment and type; the speed model saw pending orders.
+    "whole_users": _factors("cust", "q > 0"),
+    "whole_items": _factors("part", "q > 0"),
     "batch_users": _factors("cust", "order_status <> 'P' AND segment <> 'MACHINERY'"),
     "batch_items": _factors("part", "order_status <> 'P' AND ptype <> 'PROMO'"),
     "speed_users": _factors("cust", "order_status = 'P' AND segment <> 'BUILDING'"),
@@ -70,13 +72,21 @@ VIEWS: dict[str, str] = {
     "user_ids": "SELECT CAST(c_custkey AS INT) AS id FROM customer",
     "item_ids": "SELECT CAST(p_partkey AS INT) AS id FROM part",
     "event_users": "SELECT CAST(user_id AS INT) AS id FROM events",
-    # The thousand items each customer bought most.
+    # The items each customer bought, most first.
     "bought": """SELECT "user", item, pos FROM (SELECT CAST(cust AS INT) AS "user", CAST(part AS INT) AS item,
         CAST(row_number() OVER (PARTITION BY cust ORDER BY total DESC, part) AS INT) AS pos
-        FROM (SELECT cust, part, sum(q) AS total FROM lines GROUP BY cust, part) t) r WHERE pos <= 1000""",
-    "top_list": """SELECT lpad(CAST(place - 1 AS STRING), 5, '0') AS rank_key, item FROM (
-        SELECT CAST(part AS INT) AS item, row_number() OVER (ORDER BY total DESC, part) AS place FROM (
-        SELECT part, sum(q) AS total FROM lines GROUP BY part ORDER BY total DESC, part LIMIT 1000) t) r""",
+        FROM (SELECT cust, part, sum(q) AS total FROM lines GROUP BY cust, part) t) r""",
+    # All parts, most bought first. Places are counted inside hundreds of the total, and the parts of
+    # higher hundreds are added, so no window sees all parts.
+    "part_totals": """SELECT part, sum(q) AS total, floor(sum(q) / 100) AS hundred FROM lines GROUP BY part""",
+    "top_list": """SELECT CASE WHEN place <= 100000 THEN lpad(CAST(place - 1 AS STRING), 5, '0')
+        ELSE CAST(place - 1 AS STRING) END AS rank_key, item FROM (
+        SELECT CAST(p.part AS INT) AS item,
+        h.above + row_number() OVER (PARTITION BY p.hundred ORDER BY p.total DESC, p.part) AS place
+        FROM part_totals p JOIN (
+        SELECT hundred, coalesce(sum(n) OVER (ORDER BY hundred DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS above FROM (SELECT hundred, count(*) AS n FROM part_totals GROUP BY hundred) c) h
+        ON p.hundred = h.hundred) r""",
     "cids": "SELECT CAST(r_regionkey AS INT) + 1 AS cid FROM region WHERE r_name IN ('AFRICA', 'AMERICA')",
     "params": """SELECT CAST(c_custkey AS INT) AS "user", CAST(1 AS INT) AS cid, CAST(0.7 AS DOUBLE) AS weight,
         lpad(CAST(c_nationkey AS STRING), 5, '0') AS "offset" FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -147,7 +157,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def model(spark: SparkSession, sf_dir: str, name: str) -> FactorModel:
-    """The ``batch`` or ``speed`` model."""
+    """The ``batch``, ``speed`` or ``whole`` model."""
     return FactorModel(RANK, view(spark, sf_dir, f"{name}_users"), view(spark, sf_dir, f"{name}_items"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pickwell.functions.frames import union_all
 from pickwell.sources.files import children, exists
 
 FILES_PER_BATCH = 10
@@ -33,21 +36,22 @@ def with_arrival(lines: DataFrame, at: F.Column | None = None) -> DataFrame:
 def land_stream(
     lines: DataFrame, path: str, checkpoint: str, *, files: int = FILES_PER_BATCH, **trigger
 ) -> StreamingQuery:
-    """Write each micro-batch as text under ``day=/hour=``, at most ``files`` per folder.
+    """Write each micro-batch as text under ``day=/hour=``, at most ``files`` per folder and batch.
 
+    A batch is read with all its parallelism and dealt to ``files`` writers by a shuffle.
     The file sink commits a batch once, so a retried batch leaves no second
     copy. Without ``day`` and ``hour`` columns the processing time decides.
     """
     if "day" not in lines.columns:
         lines = with_arrival(lines)
-    writer = lines.select("value", "day", "hour").coalesce(files).writeStream.format("text")
+    writer = lines.select("value", "day", "hour").repartition(files).writeStream.format("text")
     writer = writer.partitionBy("day", "hour").option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def latest_dirs(spark: SparkSession, root: str, n: int, by: str = "name") -> list[str]:
-    """Names of the newest ``n`` folders under ``root``, newest first (metadata only)."""
-    key = {"name": lambda e: e.name, "mtime": lambda e: (e.modified, e.name)}[by]
+def latest_dirs(spark: SparkSession, root: str, n: int | None, by: str = "name") -> list[str]:
+    """Names of the newest ``n`` folders under ``root`` (all without), newest first (metadata only)."""
+    key = {"name": lambda e: e.name.removeprefix("day="), "mtime": lambda e: (e.modified, e.name)}[by]
     dirs = [e for e in children(spark, root) if e.is_dir]
     return [e.name for e in sorted(dirs, key=key, reverse=True)[:n]]
 
@@ -55,12 +59,22 @@ def latest_dirs(spark: SparkSession, root: str, n: int, by: str = "name") -> lis
 def read_latest(spark: SparkSession, root: str, n: int = 10, by: str = "name") -> DataFrame:
     """Lines of the newest ``n`` day folders in one scan; other folders are not listed.
 
-    Below a streaming sink the files come from the sink's log, which knows
-    what was committed, and other days are pruned.
+    Day folders are named ``day=yyyyMMdd`` or ``yyyyMMdd``; others do not count. A root
+    that holds folders but no day is an error. Below a streaming sink the files come
+    from the sink's log, which knows what was committed, and other days are pruned.
     """
-    names = [name for name in latest_dirs(spark, root, n, by) if name.startswith("day=")]
+    dirs = latest_dirs(spark, root, None, by)
+    names = [name for name in dirs if re.fullmatch(r"(day=)?\d{8}", name)][:n]
+    if not names and any(not name.startswith(("_", ".")) for name in dirs):
+        raise ValueError(f"no day folder under {root}: {', '.join(dirs[:5])}")
     if not names:
         return spark.createDataFrame([], "value string")
+    plain = [name for name in names if not name.startswith("day=")]
+    if plain:
+        text = spark.read.schema("value string").option("recursiveFileLookup", "true")
+        lines = text.text([f"{root}/{name}" for name in plain])
+        dated = [f"{root}/{name}" for name in names if name not in plain]
+        return union_all(lines, text.text(dated)) if dated else lines
     reader = spark.read.schema("value string, day string, hour string")
     if not exists(spark, f"{root}/_spark_metadata"):
         return reader.option("basePath", root).text([f"{root}/{name}" for name in names]).select("value")

@@ -1,15 +1,19 @@
 """Keyed tables on plain parquet: last write wins.
 
-A table is a folder of committed parts, ``base-N`` or ``delta-N``. ``upsert``
-only appends a delta the size of its input, so writing a micro-batch does not
+A table is a folder of committed parts, ``base-N`` or ``delta-N-writer``. ``upsert``
+only appends a delta the size of its input, one row per key, so writing a micro-batch does not
 rewrite the table; ``read_table`` keeps the newest row per key with one
 aggregation that the next join on the key can reuse; ``compact`` folds the
-parts into a new base now and then. A part counts once its write committed, so
-a lost executor or a repeated batch changes nothing.
+parts into a new base now and then, while nobody writes. Parts are numbered as they are written, after all
+there are, and bear their writer's name, so no writer replaces another's part or comes too early to be seen. A
+part counts once its write committed; a batch that a writer repeats replaces its own part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,14 +26,14 @@ def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
     """Committed parts as ``(number, kind, folder)``, oldest first."""
     found = []
     for entry in children(spark, path):
-        kind, _, number = entry.name.partition("-")
+        kind, _, rest = entry.name.partition("-")
         if kind in ("base", "delta") and exists(spark, f"{entry.path}/_SUCCESS"):
-            found.append((int(number), kind, entry.path))
+            found.append((int(rest.partition("-")[0]), kind, entry.path))
     return sorted(found)
 
 
-def _write(rows: DataFrame, path: str, kind: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{kind}-{number:012d}")
+def _write(rows: DataFrame, path: str, part: str, number: int) -> None:
+    rows.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/{part}")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -40,7 +44,7 @@ def create_table(spark: SparkSession, path: str, schema: str) -> None:
     """An empty table, unless there is one."""
     if not table_exists(spark, path):
         empty = spark.createDataFrame([], StructType.fromDDL(schema))
-        _write(empty.withColumn("deleted", F.lit(False)).withColumn("version", F.lit(0).cast("bigint")), path, "base", 0)
+        _write(empty.withColumn("deleted", F.lit(False)), path, f"base-{0:012d}", 0)
 
 
 def drop_table(spark: SparkSession, path: str) -> bool:
@@ -52,25 +56,33 @@ def next_version(spark: SparkSession, path: str) -> int:
     return parts[-1][0] + 1 if parts else 1
 
 
-def upsert(rows: DataFrame, path: str, version: int | None = None, deleted: str | None = None) -> int:
+def upsert(
+    rows: DataFrame, path: str, keys: list[str], order: str | None = None, writer: str | None = None, deleted: str | None = None
+) -> int:
     """Append ``rows`` as one version; returns its number.
 
-    Keys must be unique within ``rows`` (see ``last_per_key``). A given version
-    is written again under its own number, so a repeated batch is harmless.
-    ``deleted`` names a boolean column whose true rows remove their key.
+    Of several rows of a key the one with the largest ``order`` counts, without
+    ``order`` the largest row. ``writer`` names this batch of a stream: given again, it
+    replaces what it wrote before, in its place. ``deleted`` names a boolean column whose
+    true rows remove their key.
     """
     spark = rows.sparkSession
-    version = next_version(spark, path) if version is None else version
+    tag = uuid.uuid4().hex if writer is None else hashlib.sha256(writer.encode()).hexdigest()[:32]
+    mine = [number for number, kind, folder in _parts(spark, path) if kind == "delta" and folder.endswith(f"-{tag}")]
+    number = mine[0] if mine else next_version(spark, path)
     flag = F.lit(False) if deleted is None else F.col(deleted)
-    plain = [c for c in rows.columns if c != deleted]
-    _write(rows.select(*plain, flag.alias("deleted")).withColumn("version", F.lit(version).cast("bigint")), path, "delta", version)
-    return version
+    one = last_per_key(rows, keys, order).withColumn("deleted", flag)
+    _write(one.drop(deleted) if deleted and deleted != "deleted" else one, path, f"delta-{number:012d}-{tag}", number)
+    return number
 
 
-def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def last_per_key(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """The last row of each key; partial maxima are taken before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    if not rest:
+        return rows.dropDuplicates(keys)
+    row = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    newest = rows.groupBy(*keys).agg(F.max(row).alias("r"))
     return newest.select(*keys, "r.*").select(rows.columns)
 
 
@@ -78,7 +90,7 @@ def _current(spark: SparkSession, path: str, keys: list[str]) -> tuple[DataFrame
     parts = _parts(spark, path)
     bases = [number for number, kind, _ in parts if kind == "base"]
     start = max(bases) if bases else -1
-    live = [p for p in parts if p[0] > start or (p[0] == start and p[1] == "base")]
+    live = [p for p in parts if p[0] > start or p[:2] == (start, "base")]
     if not live:
         raise FileNotFoundError(f"no table at {path}")
     rows = spark.read.parquet(*[folder for _, _, folder in live])
@@ -97,13 +109,13 @@ def compact(spark: SparkSession, path: str, keys: list[str], drop_old: bool = Fa
     """Fold all parts into a base numbered like the newest part.
 
     Old parts are ignored from then on; ``drop_old`` deletes them, for when no
-    reader still uses them.
+    reader still uses them. The part of a batch that may be repeated should still be there.
     """
     rows, parts = _current(spark, path, keys)
     number = max(p[0] for p in parts)
     if any(p[0] == number and p[1] == "base" for p in parts):
         return
-    _write(rows, path, "base", number)
+    _write(rows, path, f"base-{number:012d}", number)
     if drop_old:
         for old, kind, folder in parts:
             if old < number or kind == "delta":
@@ -114,17 +126,17 @@ LISTS = "user int, items array<int>"
 LIST_ROWS = "user int, ids string"
 
 
-def write_lists(lists: DataFrame, path: str, version: int | None = None) -> int:
+def write_lists(lists: DataFrame, path: str, writer: str | None = None) -> int:
     """Store ``(user, items)`` as ``(user, ids)`` text, one row per user; empty lists are skipped."""
     rows = lists.where(F.size("items") > 0).select("user", encode_ids(F.col("items")).alias("ids"))
-    return upsert(rows, path, version)
+    return upsert(rows, path, ["user"], writer=writer)
 
 
 def register_candidates(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Store candidate sources whose name is not in the registry yet."""
     create_table(spark, path, rows.schema.simpleString()[7:-1])
-    fresh = rows.dropDuplicates(["name"]).join(read_table(spark, path, ["name"]).select("name"), "name", "left_anti")
-    upsert(fresh.select(rows.columns), path)
+    fresh = rows.join(read_table(spark, path, ["name"]).select("name"), "name", "left_anti")
+    upsert(fresh.select(rows.columns), path, ["name"])
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

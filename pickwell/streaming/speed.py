@@ -83,15 +83,15 @@ def is_large(lines: DataFrame, above: int = TRAIN_ABOVE) -> bool:
 
 
 def speed_batch(lines: DataFrame, store: ModelStore, settings: SpeedSettings = SpeedSettings()) -> DataFrame | None:
-    """Lists ``(user, items)`` for one micro-batch of lines, None if there are none.
+    """Lists ``(user, items)`` for one micro-batch of lines, None if it has no rating.
 
     A large batch trains a model of its own, which becomes the stream model
     and gives lists for all its users; a small one looks its users up in the
     models at hand, all users in one job.
     """
-    if lines.isEmpty():
-        return None
     ratings = apply_parser(lines, settings.parser)
+    if ratings.isEmpty():
+        return None
     if is_large(lines, settings.train_above):
         model = train_als(ratings, settings.rank, settings.iterations, seed=settings.seed)
         store.swap(stream=model)
@@ -119,8 +119,8 @@ def run_speed_layer(
 ) -> StreamingQuery:
     """Run ``speed_batch`` on every micro-batch and store its lists.
 
-    Lists are written under the batch's number, so a repeated batch replaces
-    its own output. A failing batch is logged and the stream goes on, unless
+    Lists are written under the stream's checkpoint and the batch's number, so a
+    repeated batch replaces its own output and nothing else. A failing batch is logged and the stream goes on, unless
     ``stop_on_error``.
     """
 
@@ -131,7 +131,7 @@ def run_speed_layer(
                 before_batch()
             lists = speed_batch(batch, store, settings)
             if lists is not None:
-                write_lists(lists, lists_path, version=number + 1)
+                write_lists(lists, lists_path, writer=f"{checkpoint}#{number}")
         except Exception:
             if stop_on_error:
                 raise

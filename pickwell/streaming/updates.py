@@ -77,7 +77,7 @@ def run_factor_updates(
         try:
             for tbl, path in paths.items():
                 mine = last.where(F.col("tbl") == tbl).select("id", "features", "deleted")
-                upsert(mine, path, version=number + 1, deleted="deleted")
+                upsert(mine, path, ["id"], writer=f"{checkpoint}#{number}", deleted="deleted")
         finally:
             last.unpersist()
 

@@ -133,6 +133,17 @@ def test_landing_twice_and_reading_the_newest_days(spark):
     assert messages.read_latest(spark, f"{root}/nothing", 2).count() == 0
 
 
+def test_newest_days_among_other_folders(spark):
+    root = fresh_path(spark, "days")
+    for name in ("20240101", "day=20240102", "20240103/05", "tmp", "zz"):
+        spark.createDataFrame([(name,)], "value string").write.text(f"{root}/{name}")
+    read = lambda n: sorted(r.value for r in messages.read_latest(spark, root, n).collect())
+    assert read(2) == ["20240103/05", "day=20240102"]
+    assert read(9) == ["20240101", "20240103/05", "day=20240102"]
+    with pytest.raises(ValueError):
+        messages.read_latest(spark, f"{root}/20240103", 1)
+
+
 def test_arrival_uses_the_calendar_year(spark):
     df = spark.sql("SELECT 'x' AS value, TIMESTAMP '2024-12-31 23:10:00' AS at")
     row = messages.with_arrival(df, F.col("at")).first()
@@ -143,9 +154,9 @@ def test_keyed_table(spark):
     path = fresh_path(spark, "table")
     tables.create_table(spark, path, "k int, v string")
     tables.create_table(spark, path, "k int, v string")
-    put = lambda version, **rows: tables.upsert(
+    put = lambda batch, **rows: tables.upsert(
         spark.createDataFrame([(int(k[1:]), v, v == "") for k, v in rows.items()], "k int, v string, gone boolean"),
-        path, version, deleted="gone")
+        path, ["k"], writer=str(batch), deleted="gone")
     read = lambda: dict(tuple(r) for r in tables.read_table(spark, path, ["k"]).collect())
     assert read() == {}
     put(1, k1="a", k2="b")
@@ -159,6 +170,14 @@ def test_keyed_table(spark):
     tables.compact(spark, path, ["k"], drop_old=True)
     assert read() == {1: "again", 2: "c", 3: "d"}
     assert len(files.children(spark, path)) == 1 and tables.next_version(spark, path) == 5
+    put(1, k2="a batch number of a stream that starts anew comes last")
+    assert read()[2].startswith("a batch number")
+    double = spark.createDataFrame([(7, "x", 1), (7, "z", 2), (7, "y", 3), (8, "v", 1)], "k int, v string, at int")
+    tables.upsert(double.select("k", "v"), path, ["k"])
+    assert {k: v for k, v in read().items() if k > 6} == {7: "z", 8: "v"}
+    other = fresh_path(spark, "ordered")
+    tables.upsert(double, other, ["k"], order="at")
+    assert {r.k: r.v for r in tables.read_table(spark, other, ["k"]).collect()} == {7: "y", 8: "v"}
     (tables.drop_table(spark, path), )
     assert not tables.table_exists(spark, path)
 

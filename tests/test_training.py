@@ -41,15 +41,25 @@ def test_both_solvers_reach_about_the_same_error(ratings):
     assert max(errors.values()) < spread and abs(errors["blocks"] - errors["sums"]) < 0.15 * spread
 
 
-def test_hot_ids_choose_the_solver_by_sums(ratings, monkeypatch):
-    seen = []
-    monkeypatch.setattr(training, "_train_by_sums", lambda *a: seen.append(a))
-    training.train_als(ratings, 2, 1, hot_ratings=10)
-    assert seen
-    assert training._load(ratings) == (
-        ratings.count(),
-        max(ratings.groupBy(c).count().agg(F.max("count")).first()[0] for c in ("user", "item")),
-    )
+def test_unknown_solver(ratings):
+    with pytest.raises(ValueError):
+        training.train_als(ratings, 2, 1, solver="auto")
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 22])
+def test_half_step_solves_the_normal_equations(spark, monkeypatch, cells):
+    monkeypatch.setattr(training, "TERM_CELLS", cells * 9)
+    r = np.random.default_rng(1)
+    rows = [(int(u), int(i), 1 + int(u) % 2, float(r.normal())) for u in range(7) for i in range(5) if r.random() < 0.8 or u == 3]
+    given = {i: r.normal(size=3) for i in range(5)}
+    pairs = spark.createDataFrame(rows, "user int, item int, n long, s double").repartition(3)
+    fixed = spark.createDataFrame([(i, v.tolist()) for i, v in given.items()], "id int, features array<double>")
+    got = {x.id: x.features for x in training._half_step(pairs, "user", "item", fixed, 3, 0.1).collect()}
+    for user in {u for u, *_ in rows}:
+        mine = [x for x in rows if x[0] == user]
+        a = sum(n * np.outer(given[i], given[i]) for _, i, n, _ in mine) + 0.1 * sum(x[2] for x in mine) * np.eye(3)
+        assert np.allclose(got.pop(user), np.linalg.solve(a, sum(s * given[i] for _, i, _, s in mine)))
+    assert not got
 
 
 def test_same_seed_same_factors(ratings):
