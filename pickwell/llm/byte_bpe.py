@@ -109,24 +109,38 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _last_token(self, data: bytes, end: int) -> int:
-        rank, known, last = self.vocabulary.rank.get, self.vocabulary._apart.get, self.last
-        for begin in range(max(0, end - self.vocabulary.longest), end):
-            token = rank(data[begin:end])
-            if token is not None:
-                if not begin:
-                    return token
-                before = last[begin - 1]
-                apart = known(before << 32 | token)
-                if apart or apart is None and self.vocabulary.apart(before, token):
-                    return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
         """Exact: entries of the old prefixes stay."""
         start, self.data = len(self.data), self.data + more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last_token(self.data, end))
+        self._extend(start, len(self.data))
+
+    def _extend(self, start: int, stop: int) -> None:
+        """Add the last tokens of the prefixes longer than ``start``, up to ``stop``."""
+        data, last, longest = self.data, self.last, self.vocabulary.longest
+        rank, known, apart = self.vocabulary.rank.get, self.vocabulary._apart.get, self.vocabulary.apart
+        for end in range(start + 1, stop + 1):
+            for begin in range(end - longest if end > longest else 0, end):
+                token = rank(data[begin:end])
+                if token is not None:
+                    if not begin:
+                        break
+                    before = last[begin - 1]
+                    fits = known(before << 32 | token)
+                    if fits or fits is None and apart(before, token):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+
+    def copy(self) -> PrefixTable:
+        twin = PrefixTable(self.vocabulary)
+        twin.data, twin.last = self.data, self.last.copy()
+        return twin
+
+    def cut(self, size: int) -> None:
+        """Keep the first ``size`` bytes and their entries."""
+        self.data = self.data[:size]
+        del self.last[size:]
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes ``start`` to ``stop``; how many entries were recomputed.
@@ -139,8 +153,8 @@ class PrefixTable:
         self.data, self.last = data, old[:start]
         agreed = 0
         for end in range(start + 1, len(data) + 1):
-            token = self._last_token(data, end)
-            self.last.append(token)
+            self._extend(end - 1, end)
+            token = self.last[-1]
             past = end > start + len(new) and end - 1 - shift >= stop
             agreed = agreed + 1 if past and old[end - 1 - shift] == token else 0
             if agreed >= self.vocabulary.longest:
@@ -194,8 +208,8 @@ class EncodedText:
             data = piece.encode()
             if reuse is not None and self.text:
                 same = _common(reuse.data, data)
-                table = PrefixTable(self.vocabulary)
-                table.data, table.last = reuse.data[:same], reuse.last[:same]
+                table = reuse.copy()
+                table.cut(same)
                 table.append(data[same:])
                 reuse = None
             else:
@@ -231,9 +245,18 @@ class Coder:
 
     @cached_property
     def _pieces(self) -> PieceIds:
+        four = [i.to_bytes(4, "little") for i in range(len(self.tokens))].__getitem__
+
         def encode(pieces: list[str]) -> list[bytes]:
-            tables = (PrefixTable(self.vocabulary, p.encode()) for p in pieces)
-            return [np.array(t.ids(), "<u4").tobytes() for t in tables]
+            """Pieces are taken in order, so that one keeps the entries of the start it shares with the last."""
+            found, table = {}, PrefixTable(self.vocabulary)
+            for piece in sorted(pieces):
+                data = piece.encode()
+                same = _common(table.data, data)
+                table.cut(same)
+                table.append(data[same:])
+                found[piece] = b"".join(map(four, table.ids()))
+            return [found[p] for p in pieces]
 
         return PieceIds(encode)
 
