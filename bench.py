@@ -79,7 +79,7 @@ def main() -> None:
         "items_for_all_users_5000": lambda: run(scoring.items_for_all_users(batch, 5000)),
         "merged_topn_bulk_1000": lambda: run(merging.merged_topn_bulk(batch, fast, 1000, dedupe="max")),
         "fuse_rank": lambda: run(fusion.rank_fused(fusion.fuse(units(), [1, 2]))),
-        "serving_list": lambda: run(fusion.serving_lists(fusion.rank_fused(fusion.fuse(units(), [1, 2])), 0)),
+        "serving_list": lambda: run(fusion.listed(fusion.fused_lists(K.pull_lists(K.quotas(users, cids, params, 2000), sources)), 0)),
         "page_stored_many": lambda: run(paging.page_stored(asked, listed)),
         "speed_batch_100": lambda: micro_batch(small),
         "speed_batch_10000": lambda: micro_batch(large),

@@ -143,17 +143,22 @@ def pull_top(top_list: DataFrame, quota: DataFrame) -> DataFrame:
     return units(pull_top_lists(top_list, quota))
 
 
+def pull_lists(quota: DataFrame, sources: list[Source]) -> DataFrame:
+    """Pulled lists ``(user, cid, items)`` from every source."""
+    pullers = {"mode": pull_model_lists, "list": pull_top_lists}
+    parts = [pullers[s.kind](s.table, quota.where(F.col("cid") == s.cid)) for s in sources]
+    if not parts:
+        raise ValueError("no candidate source is open")
+    return union_all(*parts)
+
+
 def pull_all(quota: DataFrame, sources: list[Source]) -> DataFrame:
     """Units from every source.
 
     The lists move to their user as arrays and are opened there, so fusing,
     ranking and listing the units shuffles nothing more.
     """
-    pullers = {"mode": pull_model_lists, "list": pull_top_lists}
-    parts = [pullers[s.kind](s.table, quota.where(F.col("cid") == s.cid)) for s in sources]
-    if not parts:
-        raise ValueError("no candidate source is open")
-    return units(union_all(*parts).repartition("user"))
+    return units(pull_lists(quota, sources).repartition("user"))
 
 
 def next_offsets(quota: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +52,61 @@ def rank_fused(fused: DataFrame, seed: int = 0, order: list[Column] | None = Non
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("user").orderBy(*order)))
 
 
+def _jitter(user: np.ndarray, item: np.ndarray, seed: int) -> np.ndarray:
+    """:func:`jitter` for whole numbers in numpy; no product leaves 64 bits."""
+    x = (user * BY_USER + item * BY_ITEM + seed * BY_SEED) % PRIME
+    return ((x * x) % PRIME * BY_SQUARE + x) % PRIME
+
+
+def fused_lists(pulled: DataFrame, seed: int = 0) -> DataFrame:
+    """``(user, items, cids)``: the fused list of each user, best first, and the candidates that gave each item.
+
+    The same as :func:`fuse`, :func:`rank_fused` and collecting the ranked rows, but from pulled lists ``(user, cid,
+    items)`` that stay nested: a user's lists meet in one row and some users at a time are
+    fused and ranked as arrays. Users without an item have no row.
+    """
+
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            user = batch.column("user").to_numpy().astype(np.int64)
+            lists = batch.column("lists")
+            parts = lists.flatten()
+            of_list = np.repeat(np.arange(len(user)), pc.list_value_length(lists).to_numpy())
+            items = pc.struct_field(parts, "items")
+            sizes = pc.list_value_length(items).to_numpy()
+            owner, cid = np.repeat(of_list, sizes), np.repeat(pc.struct_field(parts, "cid").to_numpy(), sizes)
+            item = items.flatten().to_numpy().astype(np.int64)
+            order = np.lexsort((cid, item, owner))
+            owner, cid, item = owner[order], cid[order], item[order]
+            start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])][: len(item)])
+            n = np.diff(np.r_[start, len(item)])
+            owner, item = owner[start], item[start]
+            rank = np.lexsort((item, _jitter(user[owner], item, seed), -n, owner))
+            sizes, begin = n[rank], start[rank]
+            inner = np.r_[0, np.cumsum(sizes)]
+            given = cid[np.repeat(begin - inner[:-1], sizes) + np.arange(inner[-1])]
+            outer = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(user)))], pa.int32())
+            cids = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(given, pa.int32()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("user"), pa.ListArray.from_arrays(outer, pa.array(item[rank], pa.int32())),
+                pa.ListArray.from_arrays(outer, cids),
+            ], ["user", "items", "cids"])
+
+    met = pulled.where(F.size("items") > 0).groupBy("user").agg(F.collect_list(F.struct("cid", "items")).alias("lists"))
+    return met.mapInArrow(fused, "user int, items array<int>, cids array<array<int>>")
+
+
+def listed(fused: DataFrame, now: int) -> DataFrame:
+    """Fused lists as serving lists, see :func:`serving_lists`."""
+    return fused.select("user", "items", F.lit(now).cast("bigint").alias("update_time"), F.lit(0).alias("offset"))
+
+
+def history_of(fused: DataFrame) -> DataFrame:
+    """Fused lists as history rows, see :func:`history_rows`."""
+    opened = fused.select("user", F.posexplode(F.arrays_zip("items", "cids")).alias("pos", "x"))
+    return opened.select("user", F.explode("x.cids").alias("cid"), (F.col("pos") + 1).alias("seq"), F.col("x.items").alias("item"))
+
+
 def history_rows(ranked: DataFrame) -> DataFrame:
     """Rows ``(user, cid, seq, item)`` to append to the history."""
     return ranked.select("user", F.explode("cids").alias("cid"), F.col("rank").alias("seq"), "item")

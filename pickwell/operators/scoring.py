@@ -36,7 +36,8 @@ from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
 
 BROADCAST_BYTES = 64 << 20
-CELL_ROWS = 1 << 20
+CELL_ROWS, CELL_BYTES = 1 << 20, 256 << 20
+"""Rows of a grid cell's side, and the bytes of its vectors and of the lists it gives, at most."""
 MERGE_SALTS = 16
 
 
@@ -78,8 +79,10 @@ def top_k(
         held = spark.sparkContext.broadcast(kernel.to_matrix(sources.toArrow(), rank))
         partial = _evenly(targets).mapInArrow(_score_targets(held, rank, k), kernel.LISTS_DDL)
         return merge_lists(partial, k)
-    groups = max(ceil(n_targets / cell_rows), 1)
-    shards = max(ceil(n_sources / cell_rows), ceil(2 * spark.sparkContext.defaultParallelism / groups))
+    target_rows = max(1, min(cell_rows, CELL_BYTES // row_bytes))
+    source_rows = max(1, min(cell_rows, CELL_BYTES // (row_bytes + 12 * k)))
+    groups = max(ceil(n_targets / target_rows), 1)
+    shards = max(ceil(n_sources / source_rows), ceil(2 * spark.sparkContext.defaultParallelism / groups))
     return _grid(sources, targets, rank, k, distinct, shards, groups)
 
 
@@ -135,7 +138,7 @@ def _grid(sources, targets, rank: int, k: int, distinct: bool, shards: int, grou
     left = spread(sources, "shard", shards, "grp", groups).groupBy("shard", "grp")
     right = spread(targets, "grp", groups, "shard", shards).groupBy("shard", "grp")
     lists = left.cogroup(right).applyInArrow(score, kernel.LISTS_DDL)
-    return lists if groups == 1 else merge_lists(lists, k)
+    return lists if groups == 1 else merge_lists(lists, k, max(MERGE_SALTS, groups // MERGE_SALTS))
 
 
 def merge_lists(partial: DataFrame, k: int, salts: int = MERGE_SALTS) -> DataFrame:

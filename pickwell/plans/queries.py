@@ -35,6 +35,13 @@ def _both(spark: SparkSession, sf: str) -> tuple[FactorModel, FactorModel]:
     return model(spark, sf, "batch"), model(spark, sf, "speed")
 
 
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, for inputs that a query reads several times."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _flat(df: DataFrame, *keys: str) -> DataFrame:
     """Factor rows as one row per element."""
     return df.select(*keys, F.posexplode("features").alias("pos", "value"))
@@ -276,7 +283,7 @@ def als_factor_ids(spark, sf):
 @query
 def train_als(spark, sf):
     """Training error against always predicting the mean."""
-    parsed = ratings.parse_ratings(view(spark, sf, "raw_lines")).persist()
+    parsed = _held(ratings.parse_ratings(view(spark, sf, "raw_lines")), "ratings")
     trained = training.train_als(parsed, rank=5, iterations=10)
     spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
     error = training.rmse(trained, parsed)
@@ -286,7 +293,7 @@ def train_als(spark, sf):
 @query
 def train_als_by_sums(spark, sf):
     """The same with the solver for hot ids."""
-    parsed = ratings.parse_ratings(view(spark, sf, "raw_lines")).persist()
+    parsed = _held(ratings.parse_ratings(view(spark, sf, "raw_lines")), "ratings")
     trained = training.train_als(parsed, rank=5, iterations=4, solver="sums")
     spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
     error = training.rmse(trained, parsed)
@@ -577,7 +584,8 @@ def append_history(spark, sf):
 
 @query
 def serving_list(spark, sf):
-    lists = fusion.serving_lists(fusion.rank_fused(_fused(spark, sf), seed=7), NOW)
+    pulled = K.pull_lists(_quotas(spark, sf, PULL), _sources(spark, sf))
+    lists = fusion.listed(fusion.fused_lists(pulled, seed=7), NOW)
     return lists.select("user", encode_ids(F.col("items")).alias("ids"), "update_time", "offset")
 
 
@@ -684,7 +692,7 @@ def format_responses(spark, sf):
 
 
 def _answer(spark: SparkSession, sf: str) -> serving.Answer:
-    cached, stored, fresh = (t.persist() for t in (_cached(spark, sf), _stored(spark, sf), _lists(spark, sf)))
+    cached, stored, fresh = (_held(t, "lists") for t in (_cached(spark, sf), _stored(spark, sf), _lists(spark, sf)))
     return serving.answer(
         view(spark, sf, "requests"), cached, stored, fresh, NOW, stored_refill=20, cached_refill=20
     )
@@ -741,7 +749,7 @@ def stream_factor_updates(spark, sf):
 
 @query
 def speed_layer(spark, sf):
-    """Messages of three order states arrive as files; the lists of all their users."""
+    """Messages arrive as three files; the lists of all their users."""
     root = fresh_path(spark, "speed")
     lines = view(spark, sf, "raw_lines").select("value")
     lines.repartition(3).write.text(f"{root}/in")

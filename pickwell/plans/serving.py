@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions.frames import union_all
-from pickwell.operators.candidates import PULL_SIZE, Source, pull_all, quotas
-from pickwell.operators.fusion import fuse, history_rows, rank_fused, serving_lists
+from pickwell.operators.candidates import PULL_SIZE, Source, pull_all, pull_lists, quotas, saved_params
+from pickwell.operators.fusion import fuse, fused_lists, history_of, listed, rank_fused
 from pickwell.operators.paging import (
     CACHED_REFILL,
     STORED_REFILL,
@@ -21,16 +21,19 @@ from pickwell.operators.paging import (
     touch_cached,
     with_ids_before,
 )
+from pickwell.session import fresh_path
+from pickwell.sources.tables import upsert
 
 RETURN_DIRECT, RETURN_TO_DATABASE = "ReturnDirect", "ReturnToDataBase"
 
 
 @dataclass(frozen=True)
 class Refresh:
-    """Fused lists to store, history to append, and lists to hand back (if asked for)."""
+    """Fused lists to store, history to append, parameters with moved offsets, and lists to hand back (if asked for)."""
 
     stored: DataFrame
     history: DataFrame
+    params: DataFrame
     returned: DataFrame | None
 
 
@@ -45,18 +48,34 @@ def refresh_lists(
     seed: int = 0,
     order: list[Column] | None = None,
 ) -> Refresh:
-    """Pull, fuse and rank candidates for ``users``.
+    """Pull, fuse and rank candidates for ``users``, once: the result is a table in the shared folder.
 
-    Both modes store lists and history; only ``ReturnDirect`` also hands the
-    lists back.
+    Both modes give lists, history and parameters to store (:func:`store_refresh`); only ``ReturnDirect``
+    also hands the lists back. ``order`` replaces the ranking by the caller's own sort columns.
     """
     if mode not in (RETURN_DIRECT, RETURN_TO_DATABASE):
         raise ValueError(f"unknown mode {mode}")
-    pulled = pull_all(quotas(users, cids, params, num), sources)
-    ranked = rank_fused(fuse(pulled, [s.cid for s in sources]), seed, order)
-    stored = serving_lists(ranked, now)
+    quota = quotas(users, cids, params, num)
+    if order is None:
+        fused = fused_lists(pull_lists(quota, sources), seed)
+    else:
+        ranked = rank_fused(fuse(pull_all(quota, sources), [s.cid for s in sources]), seed, order)
+        entries = F.sort_array(F.collect_list(F.struct("rank", "item", "cids")))
+        fused = ranked.groupBy("user").agg(entries.alias("e")).select("user", F.col("e.item").alias("items"), F.col("e.cids").alias("cids"))
+    spark = users.sparkSession
+    path = fresh_path(spark, "refresh")
+    fused.write.parquet(path)
+    fused = spark.read.parquet(path)
+    stored = listed(fused, now)
     returned = stored.select("user", "items") if mode == RETURN_DIRECT else None
-    return Refresh(stored, history_rows(ranked), returned)
+    return Refresh(stored, history_of(fused), saved_params(quota, params, sources), returned)
+
+
+def store_refresh(done: Refresh, lists: str, history: str, params: str, run: int) -> None:
+    """Store a refresh: lists and parameters by key, the history appended under the number of its ``run``."""
+    upsert(done.stored, lists, ["user"], writer=f"refresh#{run}")
+    upsert(done.params, params, ["user", "cid"], writer=f"refresh#{run}")
+    done.history.write.mode("overwrite").parquet(f"{history}/run={run}")
 
 
 @dataclass(frozen=True)

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pickwell.functions.frames import numbered
 from pickwell.functions.kernel import to_matrix
 from pickwell.model import FactorModel
+from pickwell.operators import candidates as K
 from pickwell.operators import fusion, paging
 from pickwell.operators.running import with_total_before
 from pickwell.plans import serving
+from pickwell.session import fresh_path
+from pickwell.sources import tables
 from pickwell.streaming import speed
 
 LISTS = "user int, items array<int>, offset int"
@@ -80,3 +83,38 @@ def test_numbering_over_ranges(spark):
     got = numbered(names.repartition(5), "name", "nth")
     assert [(r.name, r.nth) for r in got.orderBy("nth").collect()] == [(f"n{i:04d}", i + 1) for i in range(300)]
     assert numbered(names.limit(0), "name", "nth").count() == 0
+
+
+def test_nested_fusing_equals_the_rows(spark):
+    pulled = spark.createDataFrame(
+        [(1, 1, [5, 6, 5]), (1, 2, [6, 7]), (2, 2, []), (3, 9, [8]), (1, 9, [6]), (-4, 1, list(range(50)))], "user int, cid int, items array<int>"
+    ).repartition(3)
+    rows = fusion.rank_fused(fusion.fuse(K.units(pulled)), seed=3)
+    nested = fusion.fused_lists(pulled, seed=3)
+    want = sorted(map(tuple, fusion.serving_lists(rows, 9).collect()))
+    assert sorted(map(tuple, fusion.listed(nested, 9).collect())) == want
+    assert sorted(map(tuple, fusion.history_of(nested).collect())) == sorted(map(tuple, fusion.history_rows(rows).collect()))
+    assert fusion.fused_lists(pulled.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("by_item", [False, True])
+def test_two_refreshes_in_a_row(spark, by_item):
+    order = [F.col("item")] if by_item else None
+    users = spark.createDataFrame([(1,), (2,)], "user int")
+    cids = spark.createDataFrame([(1,), (2,)], "cid int")
+    params = spark.createDataFrame([(1, 1, 0.5, "0"), (1, 2, 0.5, "00000")], "user int, cid int, weight double, offset string")
+    bought = spark.createDataFrame([(1, [101, 102, 103])], "user int, items array<int>")
+    best = spark.createDataFrame([(f"{i:05d}", 10 + i) for i in range(9)], "rank_key string, item int")
+    sources = [K.Source(1, "mode", bought), K.Source(2, "list", best)]
+    paths = [fresh_path(spark, n) for n in ("lists", "history", "params")]
+    seen = []
+    for run in (1, 2):
+        done = serving.refresh_lists(users, sources, cids, params, run, num=4, order=order)
+        serving.store_refresh(done, *paths, run)
+        params = tables.read_table(spark, paths[2], ["user", "cid"])
+        lists = {r.user: (sorted(r["items"]), r.update_time) for r in tables.read_table(spark, paths[0], ["user"]).collect()}
+        seen.append(lists)
+        assert done.returned.count() == 2
+    assert seen == [{1: ([10, 11, 101, 102], 1), 2: ([10, 11], 1)}, {1: ([12, 13, 101, 102], 2), 2: ([10, 11], 2)}]
+    history = fusion.history_lists(spark.read.parquet(paths[1]))
+    assert sorted(r.item for r in history.where("user = 1 and cid = 2").collect()) == [10, 11, 12, 13]
