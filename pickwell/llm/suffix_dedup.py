@@ -26,7 +26,7 @@ from pickwell.llm.chars import mixed
 from pickwell.llm.common import chunk_bounds, runs, stored, texts_of
 
 LENGTH = 200
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 19
 MANY_RUNS = 20_000
 """Different runs of a key up to which their bytes are gathered in one task."""
 SMALL_SPANS = 1_000_000
@@ -146,6 +146,14 @@ def repeated_windows(parts: list[bytes], length: int, keep: str) -> list[np.ndar
     return [hit[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with few bytes of text together, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+        for start, stop in chunk_bounds(sizes, CHUNK_BYTES):
+            yield batch.slice(start, stop - start)
+
+
 def filed(rows: DataFrame, length: int) -> DataFrame:
     """``key, whole, row, span, weight`` of the runs of all texts.
 
@@ -201,7 +209,7 @@ def gathered(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     by_row = stored(wanted.groupBy("row").agg(F.collect_list(F.struct("key", "span")).alias("spans")), "runs-by-text")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             spans = batch.column("spans")
             owner = pc.list_parent_indices(spans)
             key, span = (pc.struct_field(pc.list_flatten(spans), name) for name in ("key", "span"))
@@ -254,19 +262,17 @@ def compared(parts: DataFrame, length: int, keep: str) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            size += batch.column("data").nbytes
-            if size >= CHUNK_BYTES // 4:
+        for part in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
+            held.append(part)
+            size += int(pc.sum(pc.binary_length(part.column("data"))).as_py())
+            if size >= CHUNK_BYTES // 2:
                 table = pa.Table.from_batches(held)
                 keys = table["key"].to_numpy()
                 whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
                 if whole:
                     yield solved(table.slice(0, whole))
                     held = table.slice(whole).combine_chunks().to_batches()
-                    size = sum(b.column("data").nbytes for b in held)
+                    size = sum(int(pc.sum(pc.binary_length(b.column("data"))).as_py()) for b in held)
         if held:
             yield solved(pa.Table.from_batches(held))
 
@@ -341,7 +347,7 @@ def remove_repeats(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column("text").cast(pa.binary())
             kept = []
             for text, removed in zip(texts.to_pylist(), batch.column("spans").to_pylist()):
