@@ -114,17 +114,14 @@ def scan_unseen(
         "left_semi",
     )
     scanned = fresh.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("text"), rules).alias("findings"))
-    scanned.write.mode("append").parquet(ledger)
+    scanned.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
 
 def findings(
     docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, findings`` of every row, by its blob; null findings where the blob was not scanned."""
-    known = (
-        read_ledger(docs.sparkSession, ledger).where(F.col("rule_version") == version_of(rules))
-        .dropDuplicates(["blob"]).select("blob", "findings")
-    )
+    known = read_ledger(docs.sparkSession, ledger).where(F.col("rule_version") == version_of(rules)).select("blob", "findings")
     rows = texts_of(docs, id_col, text_col).select("doc_id", blob_of(F.col("text")).alias("blob"))
     return rows.join(known, "blob", "left").select("doc_id", "findings")
 
@@ -164,7 +161,7 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, by: st
     Blobs with findings are few; up to a counted number they are broadcast, so that texts stay where they are.
     """
     known = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("findings") > 0))
-    known = known.dropDuplicates(["blob"]).select(F.col("blob").alias("_secret_blob"), F.col("findings").alias("_secret_found"))
+    known = known.select(F.col("blob").alias("_secret_blob"), F.col("findings").alias("_secret_found"))
     total = known.agg(F.sum(F.size("_secret_found"))).first()[0] or 0
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(known if total > SMALL_ROWS else F.broadcast(known), blob_of(text) == known["_secret_blob"], "left")
