@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pickwell.session import fresh_path
 
-CHUNK_CHARS = 1 << 20
-"""Characters handled in one numpy pass; a longer text makes a pass of its own."""
+CHUNK_CHARS = 1 << 18
+"""Characters handled in one numpy pass, for some 30 MB of arrays; a longer text makes a pass of its own."""
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

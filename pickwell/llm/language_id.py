@@ -23,6 +23,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 1_024, 24_000
 and so many symbols in all. This bounds the automata; predictions read whole texts."""
 WINDOW = 1_024
 """Phrases end at multiples of so many symbols, in every text and for every language."""
+CHUNK = 1 << 20
+"""Characters parsed side by side."""
 UNKNOWN, GAP, ALPHABET = 0, 1, 256
 
 
@@ -178,4 +180,4 @@ def predict(docs: DataFrame, texts: dict[str, list[str]], id_col: str = "doc_id"
         names, score = built(mark, texts).predict(some)
         return {"lang_pred": names, "score": score}
 
-    return over_texts(texts_of(docs, id_col, text_col), predicted, {"lang_pred": pa.string(), "score": pa.float64()})
+    return over_texts(texts_of(docs, id_col, text_col), predicted, {"lang_pred": pa.string(), "score": pa.float64()}, CHUNK)
