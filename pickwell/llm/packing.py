@@ -82,7 +82,23 @@ def _ids_of(tokenizer_json: str) -> PieceIds | Any:
     settings = json.loads(tokenizer_json)
     first = settings.get("pre_tokenizer") or {}
     apart = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-    return PieceIds(encode).of_texts if apart and not settings.get("normalizer") else encode
+    if not apart or settings.get("normalizer") or settings["model"]["type"] != "BPE":
+        return encode
+    # A piece needs no more than the tokenizer's model, which takes bytes as printable characters.
+    tokenize, shown = tokenizer.model.tokenize, _shown_bytes()
+
+    def encode_pieces(pieces: list[str]) -> list[bytes]:
+        found = (tokenize(p.encode().decode("latin-1").translate(shown)) for p in pieces)
+        return [b"".join([t.id.to_bytes(4, "little") for t in tokens]) for tokens in found]
+
+    return PieceIds(encode_pieces).of_texts
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The characters that byte-level tokenizers write for bytes: printable ones stay, others follow from 256 on."""
+    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in stay]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def cut(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

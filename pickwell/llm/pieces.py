@@ -15,7 +15,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SHORT = {ord(c) for c in "stmd"}
 _LONG = {(ord(a), ord(b)) for a, b in ("re", "ve", "ll")}
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 CACHED_CHARS = 64
 """A worker remembers so many pieces of at most so many characters; others are encoded each time."""
 
@@ -94,7 +94,7 @@ class PieceIds:
         missing = set(chain.from_iterable(parts)).difference(young)
         back = missing.intersection(self.old)
         young.update(zip(back, map(self.old.__getitem__, back)))
-        new = sorted(missing - back)
+        new = list(missing - back)
         young.update(zip(new, self.encode(new)))
         get = young.__getitem__
         ids = [b"".join(map(get, p)) for p in parts]
