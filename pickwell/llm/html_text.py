@@ -26,9 +26,11 @@ BLOCKS = frozenset(
 )
 CONTENT = frozenset(["article", "main"])
 BOILERPLATE = frozenset(
-    "nav footer aside form menu dialog noscript template svg canvas object audio video map select button head math".split()
+    "nav footer aside menu dialog noscript template svg canvas object audio video map select button head math".split()
 )
-#: Words in a class, id or role that tell a part which is not the main text.
+#: Elements that leave a head open; any other, or text, ends it.
+IN_HEAD = frozenset("base bgsound head html link meta noframes noscript script style template title".split())
+#: Words that tell a part which is not the main text, as a whole class, id or role or as its first word.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
     "cookie cookies disclaimer disqus footer gdpr header login menu modal nav navbar navigation newsletter notice "
@@ -50,9 +52,11 @@ STOP_WORDS = frozenset(
 )
 
 SHORT = 70
-"""Code points under which a block without links is undecided."""
+"""Code points under which a block without links is undecided; letters of :data:`_WIDE` count three times."""
 LINK_DENSITY = 0.5
 STOP_DENSITY = 0.12
+LISTED = 0.25
+"""Stop-word density of a page's longer blocks under which its language is taken to have no list."""
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -62,8 +66,19 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_FOREIGN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
+"""Letters that are not Latin; no stop list has them."""
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+@dataclass
+class Mark:
+    """An element that its class, id or role, or being a form, tells to be no main text; lifted where it holds an article or main."""
+
+    around: Mark | None
+    lifted: bool = False
 
 
 @dataclass
@@ -74,6 +89,7 @@ class Block:
     linked: int = 0
     text: str = ""
     label: str = ""
+    mark: Mark | None = None
 
 
 @dataclass
@@ -82,28 +98,39 @@ class _Open:
     boilerplate: bool
     content: bool
     link: bool
+    mark: Mark | None = None
+    article: bool = False
 
 
-def _is_marked(attributes: str) -> bool:
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether attributes hide an element, and whether a class, id or role marks it."""
+    marked = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, marked
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif not MARKS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+                return True, marked
+        elif name in ("class", "id", "role"):
+            marked = marked or any(word in MARKS or re.split("[_-]", word, maxsplit=1)[0] in MARKS for word in value.split())
+    return False, marked
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed paragraphs and items end at the next block; other
-    elements end with their tag or that of an element around them."""
+    """Blocks with text, in page order. Unclosed paragraphs and items end at the next block, a head at
+    what cannot be in one; other elements end with their tag or that of an element around them.
+
+    A mark holds for all in its element, unless that is or has a main or an article. Articles inside an article
+    (its comments, as HTML has it) lift no mark.
+    """
     stack = [_Open("", False, False, False)]
     blocks = [Block(False, False)]
 
     def text(raw: str) -> None:
+        if stack[-1].tag == "head" and not raw.isspace():
+            stack.pop()
+            new_block()
         block = blocks[-1]
         decoded = unescape(raw)
         block.parts.append(decoded)
@@ -113,7 +140,7 @@ def blocks_of(html: str) -> list[Block]:
     def new_block() -> None:
         if blocks[-1].parts:
             blocks.append(Block(False, False))
-        blocks[-1].content, blocks[-1].boilerplate = stack[-1].content, stack[-1].boilerplate
+        blocks[-1].content, blocks[-1].boilerplate, blocks[-1].mark = stack[-1].content, stack[-1].boilerplate, stack[-1].mark
 
     at = 0
     for token in _TOKEN.finditer(html):
@@ -137,6 +164,11 @@ def blocks_of(html: str) -> list[Block]:
             if is_block or depth:
                 _settle(is_block, new_block, blocks, stack)
             continue
+        if tag == "body" or tag not in IN_HEAD and stack[-1].tag == "head":
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "head"), 0)
+            if depth:
+                del stack[depth:]
+                new_block()
         if is_block:
             closes = (tag,) if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else ()
             for i in range(len(stack) - 1, 0, -1):
@@ -147,10 +179,19 @@ def blocks_of(html: str) -> list[Block]:
                     break
         top = stack[-1]
         header = tag == "header" and not top.content
-        marked = "=" in token["attributes"] or "hidden" in token["attributes"].lower()
-        bad = top.boilerplate or tag in BOILERPLATE or header or marked and tag not in ("html", "body") and _is_marked(token["attributes"])
+        bad, mark = top.boilerplate or tag in BOILERPLATE or header, top.mark
+        marked = tag == "form"
+        if tag not in ("html", "body") and ("=" in token["attributes"] or "hidden" in token["attributes"].lower()):
+            hidden, named = _marks(token["attributes"])
+            bad, marked = bad or hidden, marked or named
+        if tag == "main" or tag == "article" and not top.article:
+            while not bad and mark and not mark.lifted:
+                mark.lifted, mark = True, mark.around
+            mark = top.mark
+        elif marked:
+            mark = Mark(top.mark)
         if not token["attributes"].endswith("/") or is_block:
-            stack.append(_Open(tag, bad, top.content or tag in CONTENT, top.link or tag == "a"))
+            stack.append(_Open(tag, bad, top.content or tag in CONTENT, top.link or tag == "a", mark, top.article or tag == "article"))
             _settle(is_block or bad != top.boilerplate, new_block, blocks, stack)
     if at < len(html):
         text(html[at:])
@@ -158,13 +199,14 @@ def blocks_of(html: str) -> list[Block]:
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
         if block.text:
+            block.boilerplate = block.boilerplate or block.mark is not None and not block.mark.lifted
             kept.append(block)
     return kept
 
 
 def _settle(is_block: bool, new_block, blocks: list[Block], stack: list[_Open]) -> None:
     """Start a block at a block element, or where boilerplate starts or ends inside one."""
-    if is_block or blocks[-1].boilerplate != stack[-1].boilerplate:
+    if is_block or blocks[-1].boilerplate != stack[-1].boilerplate or blocks[-1].mark is not stack[-1].mark:
         new_block()
 
 
@@ -172,20 +214,28 @@ def label(blocks: list[Block]) -> None:
     """Both passes; ``label`` is ``good`` or ``bad``.
 
     First: boilerplate and blocks of links are bad. Blocks under :data:`SHORT` stay open. A longer
-    one is good in an article or if stop words are dense enough, else bad. Second: an open block looks both ways for
-    the nearest decided block of its own region (in an article or not) and takes the nearer label; at equal
+    one is good in an article or if stop words are dense enough. Where the stop lists do not know its language
+    (most letters are not Latin, or the page's Latin blocks have too few stop words) its length is enough; else it is bad. Second: an open
+    block looks both ways for the nearest decided block of its own region (in an article or not) and takes the nearer label; at equal
     distances a good one wins in an article, a bad one outside. Without any, it is good in an article only.
     """
+    longer, stops, total = [], 0, 0
     for block in blocks:
         visible = len(block.text) - block.text.count(" ")
         if block.boilerplate or block.linked > LINK_DENSITY * visible:
             block.label = "bad"
-        elif len(block.text) < SHORT:
+        elif len(block.text) < SHORT and _size(block.text) < SHORT:
             block.label = "bad" if block.linked and not block.content else ""
         else:
             words = _WORD.findall(block.text.lower())
-            dense = sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words) if words else False
-            block.label = "good" if block.content or dense else "bad"
+            found = sum(w in STOP_WORDS for w in words)
+            foreign = not block.text.isascii() and 2 * len(_FOREIGN.findall(block.text)) > sum(map(len, words))
+            longer.append((block, bool(words), foreign, found >= STOP_DENSITY * len(words)))
+            if not foreign:
+                stops, total = stops + found, total + len(words)
+    listed = stops >= LISTED * total
+    for block, lettered, foreign, dense in longer:
+        block.label = "good" if block.content or lettered and (dense or foreign or not listed) else "bad"
     for content in (True, False):
         region = [b for b in blocks if b.content == content and not (content and b.boilerplate)]
         favoured = "good" if content else "bad"
@@ -197,6 +247,10 @@ def label(blocks: list[Block]) -> None:
                 b.label = favoured if not near or favoured in near else near[0]
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
 def _nearest(region: list[Block]) -> tuple[list[str], list[float]]:
     """Label of the last decided block before each, and how far it is."""
     labels, distances, last, away = [], [], "", float("inf")

@@ -36,6 +36,33 @@ def test_pages(html, text):
     assert H.main_text(html) == text
 
 
+POLISH = "Wczoraj wieczorem nad rzeką zebrało się kilkaset osób, które chciały zobaczyć pierwszy pokaz nowej wystawy."
+JAPANESE = "昨日の夕方、新しい展覧会の最初の公開を見るために、数百人が川のほとりに集まりました。"
+
+
+@pytest.mark.parametrize("html,text", [
+    *((f"<div class='{c}'><p>{LONG}</p><div class=sidebar>{OTHER}</div></div>", LONG) for c in ("has-sidebar", "box no-sidebar", "with-comments")),
+    *((f"<{t} class='{c}'><p>{LONG}</p></{t}>", LONG) for t in ("main", "article") for c in ("has-sidebar", "widget", "sidebar-left")),
+    (f"<div class=sidebar-left><ul class=menu><li>{OTHER}</ul><div id=header><article><p>{LONG}</article></div></div>", LONG),
+    (f"<form id=aspnet><main><p>{LONG}</main></form><form><p>{OTHER}</form>", LONG),
+    (f"<article><div class=entry-header><h1>Title</h1></div><header class=article-header>By me</header><p>{LONG}</article>", f"Title\nBy me\n{LONG}"),
+    (f"<article><p>{LONG}</p><div id=comments><article><p>{OTHER}</article></div></article>", LONG),
+    (f"<article title='hidden gems' data-hidden=no data-id=menu><p>{LONG}</article>", LONG),
+    (f"<div class='cookie-notice'>{OTHER}</div><p>{LONG}", LONG),
+    (f"<div class=sidebar><aside><article>{OTHER}</article></aside>{OTHER}</div><p>{LONG}", LONG),
+    (f"<html><head><title>T</title><meta charset=utf-8><body><p>{LONG}", LONG),
+    (f"<head><title>T</title><link rel=x><p>{LONG}", LONG),
+    (f"<head><title>T</title>\n{LONG}", LONG),
+    (f"<head><noscript><div>{OTHER}</div></noscript><template><p>{OTHER}</p></template></head><p>{LONG}", LONG),
+    (f"<div><p>{POLISH}</p><p>{POLISH}</p></div>", f"{POLISH}\n{POLISH}"),
+    (f"<div>We use cookies on all of our pages so that they work for you as you would have them. </div><p>{JAPANESE}", f"We use cookies on all of our pages so that they work for you as you would have them.\n{JAPANESE}"),
+    (f"<p>{JAPANESE}</p><p><a href=x>{JAPANESE}</a></p>", JAPANESE),
+    (f"<p>{LONG}</p><p>{'-' * 90}</p><p>{OTHER}</p><p>{'Brand Model Colour ' * 5}</p>", f"{LONG}\n{OTHER}"),
+])
+def test_no_article_is_lost(html, text):
+    assert H.main_text(html) == text
+
+
 def test_open_blocks_take_the_nearest_label():
     blocks = [H.Block(False, False, text=t) for t in ("x" * 80, "a", "b", "c", "the " * 30, "d", "e")]
     H.label(blocks)
