@@ -25,11 +25,42 @@ WINDOW = 1_024
 """Phrases end at multiples of so many symbols, in every text and for every language."""
 CHUNK = 1 << 20
 """Characters parsed side by side."""
-UNKNOWN, GAP, ALPHABET = 0, 1, 256
-
-
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton, ``next[state, symbol]``; 0 is the root and means none."""
+UNKNOWN, GAP = 0, 1
+WIDTH = 256
+"""Symbols under this have a column in the tables of transitions; those of rarer letters are searched for."""
+
+
+class Automaton:
+    """Transitions of a suffix automaton over ``width`` symbols; state 0 is the root, and as a target means none."""
+
+    def __init__(self, symbols: np.ndarray, width: int) -> None:
+        steps = _steps(symbols)
+        self.width, self.columns = width, min(width, WIDTH)
+        self.table = np.zeros((len(steps), self.columns), np.uint16 if len(steps) < 1 << 16 else np.int32)
+        rare = []
+        for state, moves in enumerate(steps):
+            for symbol, to in moves.items():
+                if symbol < self.columns:
+                    self.table[state, symbol] = to
+                else:
+                    rare.append((state * width + symbol, to))
+        self.table = self.table.ravel()
+        # The last key is above all others, so every search ends inside.
+        self.keys, self.targets = np.array([*sorted(rare), (len(steps) * width, 0)], np.int64).T.copy()
+
+    def next(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if self.width == self.columns:
+            return self.table[states * self.columns + symbols].astype(np.int64)
+        to = self.table[states * self.columns + np.minimum(symbols, self.columns - 1)].astype(np.int64)
+        rare = np.flatnonzero(symbols >= self.columns)
+        wanted = states[rare] * self.width + symbols[rare]
+        at = np.searchsorted(self.keys, wanted)
+        to[rare] = np.where(self.keys[at] == wanted, self.targets[at], 0)
+        return to
+
+
+def _steps(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -55,10 +86,7 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     steps[at][c] = twin
                     at = link[at]
         last = state
-    table = np.zeros((len(steps), width), np.uint16 if len(steps) < 1 << 16 else np.int32)
-    for state, moves in enumerate(steps):
-        table[state, list(moves)] = list(moves.values())
-    return table
+    return steps
 
 
 class Languages:
@@ -68,18 +96,15 @@ class Languages:
         self.names = sorted(texts)
         counts = Counter("".join(t.lower() for name in self.names for t in texts[name]))
         letters = sorted((c for c in counts if classes()[ord(c)] == LETTER), key=lambda c: (-counts[c], c))
-        letters = letters[: ALPHABET - 2]
-        self.symbol = np.full(len(classes()), UNKNOWN, np.uint8)
+        self.width = len(letters) + 2
+        self.symbol = np.full(len(classes()), UNKNOWN, np.min_scalar_type(self.width))
         self.symbol[classes() != LETTER] = GAP
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = i + 2
-        self.width = len(letters) + 2
-        self.tables, self.bits = [], []
+        self.automata, self.bits = [], []
         for name in self.names:
             symbols = np.concatenate([self.symbols([t])[0] for t in texts[name]] or [np.zeros(0, np.uint8)])[:most]
-            # Symbols outside the alphabet end a phrase, so the automaton never sees them.
-            symbols = symbols[symbols != UNKNOWN]
-            self.tables.append(automaton(symbols, self.width).ravel())
+            self.automata.append(Automaton(symbols, self.width))
             self.bits.append(np.log2(max(2, len(symbols))))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,14 +140,15 @@ class Languages:
         active = np.searchsorted(-length, -np.arange(longest), side="left")  # windows longer than step
         bits = np.zeros((len(texts), len(self.names)))
         steps = [symbols[begin[:n] + t].astype(np.int64) for t, n in enumerate(active.tolist())]
-        for j, table in enumerate(self.tables):
+        root = np.zeros(len(begin), np.int64)
+        for j, automaton in enumerate(self.automata):
             state = np.zeros(len(begin), np.int64)
             phrases = np.ones(len(begin), np.int64)
             for symbol in steps:
                 n = len(symbol)
-                to = table[state[:n] * self.width + symbol].astype(np.int64)
+                to = automaton.next(state[:n], symbol)
                 miss = np.flatnonzero(to == 0)
-                again = table[symbol[miss]]
+                again = automaton.next(root[: len(miss)], symbol[miss])
                 to[miss] = again
                 phrases[miss] += 1 + (again == 0)
                 state[:n] = to

@@ -40,6 +40,27 @@ def test_phrases_against_brute_force(texts):
     assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
 
 
+def test_every_letter_of_the_training_text_counts():
+    han = [chr(0x4E00 + i) for i in range(3_000)]
+    texts = {
+        "aa": ["banana bandana"],
+        "yy": ["".join(han[:1_500]), "".join(han[1_000:0:-1])],
+        "zz": ["".join(han[:200]), "".join(han[1_400:])],
+    }
+    languages = L.Languages(texts)
+    assert languages.width == 3_000 + 2 + len(set("bandana")) and languages.width > L.WIDTH
+    asked = ["".join(han[2_500:2_700]), "".join(han[900:1_000]), "".join(han[700:600:-1]), "".join(han[1_450:1_600]), "banana"]
+    assert languages.predict(asked)[0] == ["zz", "yy", "yy", "zz", "aa"]
+    bits, _ = languages.entropies(asked)
+    for j, name in enumerate(languages.names):
+        train = np.concatenate([languages.symbols([t])[0] for t in texts[name]]).tolist()
+        text = "".join(map(chr, train))
+        known = {text[a:b] for a in range(len(text)) for b in range(a + 1, min(len(text), a + 200) + 1)}
+        for i, t in enumerate(asked):
+            symbols = "".join(map(chr, languages.symbols([t])[0].tolist()))
+            assert np.isclose(bits[i, j], phrases(symbols, known) * np.log2(len(train)) / len(symbols))
+
+
 def test_long_texts_are_parsed_whole():
     languages = L.Languages(TEXTS)
     assert languages.predict(["zig zag " * 20_000 + "banana", "banana " * 20_000, "", "banana"])[0] == ["bb", "aa", "und", "aa"]
