@@ -19,8 +19,8 @@ from pickwell.llm.chars import LETTER, classes, code_points, joined
 from pickwell.llm.common import over_texts, texts_of
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 1_024, 24_000
-"""A language's training text: so many rows, chosen by a hash of the id, the first so many characters of each,
-and so many symbols in all. This bounds the automata; predictions read whole texts."""
+"""A language's training text: passages of at most so many characters of distinct texts in hash order, until there
+are so many texts and so many symbols; further symbols are cut. This bounds the automata; predictions read whole texts."""
 WINDOW = 1_024
 """Phrases end at multiples of so many symbols, in every text and for every language."""
 CHUNK = 1 << 20
@@ -170,16 +170,34 @@ class Languages:
 def training_texts(
     docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, list[str]]:
-    """Bounded training text by language, from rows with text and language that meet ``rows`` (on ``doc_id``)."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    """Bounded training text by language, from rows with letters and language that meet ``rows`` (on ``doc_id``).
+
+    A passage starts where a hash of its text says, so openings that many texts share do not
+    fill the sample. A language with fewer distinct texts than :data:`SAMPLE_ROWS` takes copies for the rest.
+    """
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(rows & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
-    # A rank with a limit is cut in every task before rows are shuffled.
-    chosen = known.withColumn("place", F.xxhash64("doc_id", F.lit("sample"))).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
+    starts = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("text", F.lit("start")), starts) + 1).cast("int")
+    passage = F.col("text").substr(start, F.lit(SAMPLE_CHARS))
+    lettered = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)
+    known = known.select("lang", F.xxhash64("text", F.lit("sample")).alias("place"), F.when(passage.rlike(r"\p{L}"), passage).otherwise(lettered).alias("text"))
+    known = known.where(F.col("text") != "")
+    # Only hashes and sizes are shuffled; copies are one row after each task's own sums.
+    size = F.length(F.regexp_replace("text", r"\P{L}+", " "))
+    distinct = known.groupBy("lang", "place").agg(F.count("*").alias("copies"), F.min(size).alias("size"))
+    by = Window.partitionBy("lang").orderBy("place")
+    # Each text has a symbol; a rank with a limit is cut in every task before rows are shuffled.
+    ranked = distinct.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLE_SYMBOLS)
+    summed = ranked.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    chosen = summed.where((F.col("rank") <= SAMPLE_ROWS) | (F.col("before") < SAMPLE_SYMBOLS)).select("lang", "place", "rank", "copies")
+    found = known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank", "copies").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for row in sorted(chosen.select("lang", "rank", "text").collect()):
+    spare: dict[str, list[str]] = {}
+    for row in sorted(found.collect()):
         texts.setdefault(row["lang"], []).append(row["text"])
-    return texts
+        spare.setdefault(row["lang"], []).extend([row["text"]] * min(row["copies"] - 1, SAMPLE_ROWS))
+    return {lang: own + spare[lang][: max(0, SAMPLE_ROWS - len(own))] for lang, own in texts.items()}
 
 
 _BUILT: dict[int, Languages] = {}

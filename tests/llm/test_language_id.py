@@ -87,6 +87,21 @@ def test_training_sample_is_bounded_and_keeps_to_its_rows(spark):
     assert L.training_texts(empty(spark), F.lit(True)) == {}
 
 
+def test_training_sample_is_of_distinct_texts_with_letters(spark):
+    own = [f"{'ab'[i % 2] * (i + 1)} words" for i in range(100)]
+    opening = "opening " * 128
+    docs = documents(spark, ["copy"] * 500 + [""] * 200 + ["12 !"] * 200 + own).withColumn("lang", F.lit("x"))
+    texts = L.training_texts(docs, F.lit(True))["x"]
+    assert sorted(texts) == sorted(["copy", *own])
+    docs = documents(spark, [opening + chr(97 + i % 26) * 100_000 for i in range(60)] + ["1" * 5_000 + "late"]).withColumn("lang", F.lit("x"))
+    texts = L.training_texts(docs, F.lit(True))["x"]
+    assert len(texts) == L.SAMPLE_ROWS and len(set(texts)) == 27 and sum("opening" in t for t in texts) < 5
+    docs = documents(spark, [" ".join([chr(97 + i % 26) * 9, chr(97 + i // 26 % 26) * 9, str(i)]) for i in range(30_000)]).withColumn("lang", F.lit("x"))
+    texts = L.training_texts(docs, F.lit(True))["x"]
+    assert len(set(texts)) == len(texts)
+    assert L.SAMPLE_SYMBOLS <= len(L.Languages({"x": texts}).symbols(texts)[0]) <= 1.2 * L.SAMPLE_SYMBOLS
+
+
 def test_query_on_held_out_rows(spark):
     rows = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
