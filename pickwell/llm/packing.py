@@ -64,7 +64,7 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 @lru_cache(maxsize=1)
-def _ids_of(tokenizer_json: str) -> PieceIds | Any:
+def _ids_of(tokenizer_json: str) -> Any:
     """Token ids of texts as bytes, kept by the worker.
 
     Where the tokenizer encodes each match of its pattern separately, matches are remembered; that
@@ -91,7 +91,16 @@ def _ids_of(tokenizer_json: str) -> PieceIds | Any:
         found = (tokenize(p.encode().decode("latin-1").translate(shown)) for p in pieces)
         return [b"".join([t.id.to_bytes(4, "little") for t in tokens]) for tokens in found]
 
-    return PieceIds(encode_pieces).of_texts
+    of_texts = PieceIds(encode_pieces).of_texts
+    added = [t["content"] for t in settings.get("added_tokens") or [] if not t["special"]]
+
+    def with_added(texts: list[str]) -> list[bytes]:
+        """Added tokens that are not special are found before the pattern; texts that hold one are encoded whole."""
+        whole = [any(content in t for content in added) for t in texts]
+        apart, together = iter(of_texts([t for t, w in zip(texts, whole) if not w])), iter(encode([t for t, w in zip(texts, whole) if w]))
+        return [next(together if w else apart) for w in whole]
+
+    return with_added if added else of_texts
 
 
 def _shown_bytes() -> dict[int, str]:

@@ -1,3 +1,4 @@
+import json
 import zlib
 from pathlib import Path
 
@@ -65,6 +66,22 @@ def test_other_tokenizers_get_whole_texts(spark):
         assert r.doc_tokens == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
 
 
+def test_added_tokens_that_are_not_special(spark):
+    parts = json.loads(JSON)
+    size = 1 + max(parts["model"]["vocab"].values())
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    parts["added_tokens"].append({"id": size + 7, "content": "<tool> call", **flags})
+    tokenizer = Tokenizer.from_str(json.dumps(parts))
+    tokenizer.encode_special_tokens = True
+    texts = ["plain words", "a <tool> call of words", "", "<tool> calls<tool> call", "<|endoftext|> <tool>", "more"]
+    rows = P.cut(documents(spark, texts), json.dumps(parts)).collect()
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    new = tokenizer.token_to_id("<tool> call")
+    assert [new in ids for ids in want] == [False, True, False, True, False, False]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_first_fit(sizes):
