@@ -6,10 +6,7 @@ bounded size, and each group is packed on its own.
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -19,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.llm.common import over_texts, stored, texts_of
-from pickwell.llm.pieces import PieceIds
+from pickwell.llm.token_ids import TokenIds, ragged, with_end
 
 CAPACITY = 1_024
 GROUP_PIECES = 16_384
 """Pieces of a group, on average: enough for a tight packing, few enough for a task."""
-END = np.zeros(1, "<u4").tobytes()
-"""Id 0 ends each document."""
+END = 0
+"""The id that ends each document."""
 
 FIELDS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
 
@@ -63,72 +60,23 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return [b for b, _ in placed], [capacity - free for _, free in placed]
 
 
-@lru_cache(maxsize=1)
-def _ids_of(tokenizer_json: str) -> Any:
-    """Token ids of texts as bytes, kept by the worker.
-
-    Where the tokenizer encodes each match of its pattern separately, matches are remembered; that
-    changes nothing in the ids. Other tokenizers get whole texts.
-    """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    settings = json.loads(tokenizer_json)
-    first = settings.get("pre_tokenizer") or {}
-    apart = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-    if not apart or settings.get("normalizer") or settings["model"]["type"] != "BPE":
-        return encode
-    # A piece needs no more than the tokenizer's model, which takes bytes as printable characters.
-    tokenize, shown = tokenizer.model.tokenize, _shown_bytes()
-
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
-        found = (tokenize(p.encode().decode("latin-1").translate(shown)) for p in pieces)
-        return [b"".join([t.id.to_bytes(4, "little") for t in tokens]) for tokens in found]
-
-    of_texts = PieceIds(encode_pieces).of_texts
-    added = [t["content"] for t in settings.get("added_tokens") or [] if not t["special"]]
-
-    def with_added(texts: list[str]) -> list[bytes]:
-        """Added tokens that are not special are found before the pattern; texts that hold one are encoded whole."""
-        whole = [any(content in t for content in added) for t in texts]
-        apart, together = iter(of_texts([t for t, w in zip(texts, whole) if not w])), iter(encode([t for t, w in zip(texts, whole) if w]))
-        return [next(together if w else apart) for w in whole]
-
-    return with_added if added else of_texts
-
-
-def _shown_bytes() -> dict[int, str]:
-    """The characters that byte-level tokenizers write for bytes: printable ones stay, others follow from 256 on."""
-    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in stay]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 def cut(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` per piece: a document's ids with the end id, cut at
     multiples of the capacity. An empty or null text is one piece, the end id."""
-
-    def pieces(texts: list[str]) -> dict[str, list[int]]:
-        out: dict[str, list[int]] = {"owner": [], **{name: [] for name in FIELDS}}
-        step = 4 * capacity
-        for owner, ids in enumerate(_ids_of(tokenizer_json)(texts)):
-            ids += END
-            for at in range(0, len(ids), step):
-                piece = ids[at : at + step]
-                out["owner"].append(owner)
-                out["start"].append(at // 4)
-                out["length"].append(len(piece) // 4)
-                out["ids_crc32"].append(zlib.crc32(piece))
-                out["doc_tokens"].append(len(ids) // 4)
-        return out
-
-    return over_texts(texts_of(docs, id_col, text_col), pieces, FIELDS)
+    of_texts = TokenIds(tokenizer_json)
+
+    def pieces(texts: list[str]) -> dict[str, Any]:
+        ids, bounds = with_end(*of_texts(texts), END)
+        tokens = np.diff(bounds)
+        count = -(-tokens // capacity)
+        owner = np.repeat(np.arange(len(texts)), count)
+        start = ragged(np.zeros(len(texts), np.int64), count) * capacity
+        length = np.minimum(tokens[owner] - start, capacity)
+        at = bounds[owner] + start
+        sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+        return {"owner": owner, "start": start, "length": length, "ids_crc32": sums, "doc_tokens": tokens[owner]}
+
+    return over_texts(texts_of(docs, id_col, text_col), pieces, FIELDS, limit=1 << 19)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

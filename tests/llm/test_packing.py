@@ -13,13 +13,12 @@ from pickwell.llm import packing as P
 from pickwell.llm.queries import QUERIES
 
 JSON = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
-TEXTS = [None, "", "a", "two words", "x" * 3_000, "word 12 " * 2_000, "  \n\n é 😀 don't", "<|endoftext|>", "a"]
+TEXTS = [None, "", "a", "two words", "x" * 3_000, "word 12 " * 2_000, "  \n\n é 😀 don't", "<|endoftext|>", "a", "one <|endoftext|> two"]
 
 
 def check(rows, texts, capacity):
     """Every id is in one piece, sequences are gapless and not over the capacity."""
     tokenizer = Tokenizer.from_str(JSON)
-    tokenizer.encode_special_tokens = True
     rest, places = {}, {}
     for r in rows:
         rest.setdefault(r.doc_id, []).append(r)
@@ -60,7 +59,6 @@ def test_null_and_repeated_ids_and_empty_table(spark):
 def test_other_tokenizers_get_whole_texts(spark):
     other = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
     tokenizer = Tokenizer.from_str(other)
-    tokenizer.encode_special_tokens = True
     for r in P.cut(documents(spark, ["Some  Words here", "x"]), other).collect():
         text = ["Some  Words here", "x"][r.doc_id]
         assert r.doc_tokens == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
@@ -72,7 +70,6 @@ def test_added_tokens_that_are_not_special(spark):
     flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
     parts["added_tokens"].append({"id": size + 7, "content": "<tool> call", **flags})
     tokenizer = Tokenizer.from_str(json.dumps(parts))
-    tokenizer.encode_special_tokens = True
     texts = ["plain words", "a <tool> call of words", "", "<tool> calls<tool> call", "<|endoftext|> <tool>", "more"]
     rows = P.cut(documents(spark, texts), json.dumps(parts)).collect()
     want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
