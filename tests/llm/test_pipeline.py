@@ -68,4 +68,4 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
 def test_registered():
     assert "pipeline" in queries() and "pipeline" not in oracle_sql()
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
-    assert [sum(n.startswith(f"op{i}_") for n in queries()) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in queries()) for i in range(1, 14)] == [1] * 13
