@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pickwell.operators import candidates as K
 from pickwell.operators import factors as X
 from pickwell.operators import fusion, merging, paging, ratings, scoring
-from pickwell.plans import training
+from pickwell.plans import serving, training
 from pickwell.plans.views import RANK, as_lists, view
 from pickwell.model import FactorModel
 from pickwell.session import fresh_path, local_session
@@ -68,6 +68,17 @@ def main() -> None:
     def units():
         return K.pull_all(K.quotas(users, cids, params, 2000), sources)
 
+    def pulled():
+        return K.pull_lists(K.quotas(users, cids, params, 2000), sources)
+
+    grid = {"broadcast_bytes": 0, "cell_rows": 2_048}
+    cached = stored(spark, as_lists(view(spark, SF, "cached"), "offset", "begin_time"), "cached")
+
+    def answered():
+        done = serving.answer(view(spark, SF, "requests"), cached, listed, bought, 0)
+        for part in (done.responses, done.cache, done.stored):
+            run(part)
+
     queries = {
         "parse_ratings": lambda: run(ratings.parse_ratings(lines)),
         "train_als": lambda: run(training.train_als(parsed, rank=5, iterations=10).users),
@@ -77,10 +88,14 @@ def main() -> None:
         "items_for_all_users_als_10": lambda: run(scoring.items_for_all_users(trained, 10)),
         "items_for_all_users_1000": lambda: run(scoring.items_for_all_users(batch, 1000)),
         "items_for_all_users_5000": lambda: run(scoring.items_for_all_users(batch, 5000)),
+        "items_for_all_users_grid_1000": lambda: run(scoring.items_for_all_users(batch, 1000, **grid)),
+        "serve_items_1000": lambda: run(merging.serve_items(users.withColumnRenamed("user", "id"), batch, fast, 1000)),
         "merged_topn_bulk_1000": lambda: run(merging.merged_topn_bulk(batch, fast, 1000, dedupe="max")),
-        "fuse_rank": lambda: run(fusion.rank_fused(fusion.fuse(units(), [1, 2]))),
-        "serving_list": lambda: run(fusion.listed(fusion.fused_lists(K.pull_lists(K.quotas(users, cids, params, 2000), sources)), 0)),
+        "fuse_rank": lambda: run(fusion.fused_rows(pulled())),
+        "fuse_rank_rows": lambda: run(fusion.rank_fused(fusion.fuse(units(), [1, 2]))),
+        "serving_list": lambda: run(fusion.listed(fusion.fused_lists(pulled()), 0)),
         "page_stored_many": lambda: run(paging.page_stored(asked, listed)),
+        "answer": answered,
         "speed_batch_100": lambda: micro_batch(small),
         "speed_batch_10000": lambda: micro_batch(large),
     }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,17 +24,18 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def numbered(rows: DataFrame, order: str, out: str) -> DataFrame:
-    """Adds ``out``: 1, 2, ... in the order of ``order``, without one task that sees all rows.
+def numbered(rows: DataFrame, order: str | Sequence[str | Column], out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... in the order of ``order`` (one or more columns), without one task that sees all rows.
 
     Rows are dealt by ranges and kept (the numbers depend on the ranges); rows of earlier ranges are counted.
     """
     use_checkpoints(rows.sparkSession)
-    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    order = [order] if isinstance(order, str) else list(order)
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range: as few as a shuffle has partitions.
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shift = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     placed = dealt.withColumn("_place", place).join(F.broadcast(shift), "_part")
     return placed.withColumn(out, F.col("_shift") + F.col("_place")).drop("_part", "_place", "_shift")

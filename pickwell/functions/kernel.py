@@ -26,7 +26,8 @@ UNUSED = np.iinfo(np.int32).min
 
 MATCHES = pa.list_(pa.struct([("id", pa.int32()), ("score", pa.float64())]))
 LISTS = pa.schema([("id", pa.int32()), ("matches", MATCHES)])
-LISTS_DDL = "id int, matches array<struct<id:int,score:double>>"
+MATCHES_DDL = "array<struct<id:int,score:double>>"
+LISTS_DDL = f"id int, matches {MATCHES_DDL}"
 
 
 def to_matrix(batch: pa.RecordBatch | pa.Table, rank: int) -> tuple[np.ndarray, np.ndarray]:

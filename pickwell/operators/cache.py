@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwell.functions.frames import union_all
+from pickwell.functions.frames import numbered, union_all
 
 CAPACITY = 1_000_000
 TTL_MS = 1_200_000
 HEADROOM = 0.1
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in order, wherever they are: places come from counts of ranges, so no task gathers them."""
+    return numbered(rows, order, "_nth").where(F.col("_nth") <= n).drop("_nth")
+
+
 def evict(
     cache: DataFrame, now: int, capacity: int = CAPACITY, ttl_ms: int = TTL_MS, headroom: float = HEADROOM
 ) -> DataFrame:
@@ -24,7 +29,7 @@ def evict(
     spare = int(capacity * headroom)
     if capacity - alive.count() >= capacity * headroom:
         return alive
-    oldest = alive.select("begin_time", "user").orderBy("begin_time", "user").limit(spare)
+    oldest = first_rows(alive.select("begin_time", "user"), ["begin_time", "user"], spare)
     return alive.join(oldest.select("user"), "user", "left_anti").select(cache.columns)
 
 
@@ -42,9 +47,8 @@ def admit(cache: DataFrame, incoming: DataFrame, now: int, capacity: int = CAPAC
     entry = [F.lit(now).cast("bigint").alias("begin_time"), "items", F.lit(0).alias("offset")]
     known = latest.join(cache.select("user"), "user", "left_semi")
     room = max(capacity - cache.count(), 0)
-    order = ["arrival", "user"]
     firsts = incoming.groupBy("user").agg(F.min("arrival").alias("arrival"))
-    let_in = firsts.join(cache.select("user"), "user", "left_anti").orderBy(*order).limit(room)
+    let_in = first_rows(firsts.join(cache.select("user"), "user", "left_anti"), ["arrival", "user"], room)
     newcomers = latest.join(let_in.select("user"), "user", "left_semi")
     kept = cache.join(latest.select("user"), "user", "left_anti")
     fresh = union_all(known, newcomers).select("user", *entry)

@@ -3,42 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors, check_rank, resolve_factors
-from pickwell.operators.scoring import items_for_all_users, items_for_users_subset, ranked, top_k, users_for_items_subset
+from pickwell.operators.recommenders import Model, items_for, known_users, users_for
+from pickwell.operators.scoring import items_for_all_users, merge_two, top_k
 
 LIST_LENGTH = 5000
 SERVE_LENGTH = 1000
 
 
-def _one_of(batch: FactorModel | None, stream: FactorModel | None) -> None:
+def _one_of(batch: Model | None, stream: Model | None) -> None:
     if batch is None and stream is None:
         raise ValueError("no model is loaded")
-    if batch is not None and stream is not None:
+    if isinstance(batch, FactorModel) and isinstance(stream, FactorModel):
         check_rank(batch, stream)
 
 
-def rank_rows(rows: DataFrame, key: str, other: str, limit: int | None, dedupe: str = "none") -> DataFrame:
-    """Number ``(key, other, score)`` rows per key, score desc then id asc.
-
-    ``dedupe='max'`` first keeps one row per pair, its best score.
-    """
-    if dedupe == "max":
-        rows = rows.groupBy(key, other).agg(F.max("score").alias("score"))
-    elif dedupe != "none":
+def _distinct(dedupe: str) -> bool:
+    if dedupe not in ("none", "max"):
         raise ValueError("dedupe is 'none' or 'max'")
-    order = W.partitionBy(key).orderBy(F.col("score").desc(), F.col(other).asc())
-    numbered = rows.select(key, F.row_number().over(order).alias("rank"), other, "score")
-    return numbered if limit is None else numbered.where(F.col("rank") <= limit)
+    return dedupe == "max"
 
 
 def merged_topn_bulk(
-    batch: FactorModel | None,
-    stream: FactorModel | None,
+    batch: Model | None,
+    stream: Model | None,
     n: int = LIST_LENGTH,
     vector_source: str = "stream",
     dedupe: str = "none",
@@ -53,15 +45,17 @@ def merged_topn_bulk(
     shuffled. Users are scored with their stream vector, or with their batch
     vector where known (``vector_source='batch'``); vectors of two models
     trained apart are not aligned, which the caller accepts by asking for a
-    merge. Without a stream model there is nothing to do.
+    merge. Without a stream model there is nothing to do. Recommenders that are no factor models
+    answer for themselves, each user of the stream's one by both.
     """
     _one_of(batch, stream)
-    if dedupe not in ("none", "max"):
-        raise ValueError("dedupe is 'none' or 'max'")
+    distinct = _distinct(dedupe)
     if stream is None:
         raise ValueError("the bulk merge needs a stream model")
-    if batch is None:
+    if batch is None and isinstance(stream, FactorModel):
         return items_for_all_users(stream, n, **how)
+    if not (isinstance(batch, FactorModel) and isinstance(stream, FactorModel)):
+        return merged_topn_users(known_users(stream), batch, stream, n, dedupe)
     users = as_factors(stream.users)
     if vector_source == "batch":
         known = as_factors(batch.users).select("id", F.col("features").alias("known"))
@@ -70,63 +64,63 @@ def merged_topn_bulk(
         raise ValueError("vector_source is 'stream' or 'batch'")
     how = {"n_targets": batch.size("items") + stream.size("items"), **how} if "n_targets" not in how else how
     items = union_all(as_factors(batch.items), as_factors(stream.items))
-    return top_k(users, items, stream.rank, n, distinct=dedupe == "max", **how)
+    return top_k(users, items, stream.rank, n, distinct=distinct, **how)
+
+
+def _merged(lists: list[DataFrame], k: int | None, distinct: bool = False) -> DataFrame:
+    return lists[0] if len(lists) == 1 else merge_two(*lists, k, distinct)
 
 
 def merged_topn_users(
     ids: DataFrame,
-    batch: FactorModel | None,
-    stream: FactorModel | None,
+    batch: Model | None,
+    stream: Model | None,
     n: int = LIST_LENGTH,
     dedupe: str = "none",
 ) -> DataFrame:
-    """Ranked rows ``(user, rank, item, score)`` for the users in ``ids``.
+    """Nested lists for the users in ``ids``.
 
     Each model scores with its own user vector; whichever models are loaded
-    take part.
+    take part. The two sorted lists of a user meet in one join and are merged as they are.
     """
     _one_of(batch, stream)
-    parts = [ranked(items_for_users_subset(ids, m, n)) for m in (batch, stream) if m is not None]
-    if len(parts) == 1:
-        return parts[0]
-    return rank_rows(union_all(*parts), "user", "item", n, dedupe)
+    return _merged([items_for(m, ids, n) for m in (batch, stream) if m is not None], n, _distinct(dedupe))
 
 
 def serve_items(
     users: DataFrame,
-    batch: FactorModel | None,
-    speed: FactorModel | None,
+    batch: Model | None,
+    speed: Model | None,
     k: int = SERVE_LENGTH,
     limit: int | None = None,
 ) -> DataFrame:
-    """Ranked items for the ids in ``users``, ``k`` per model.
+    """Nested lists of items for the ids in ``users``, ``k`` per model.
 
-    With both models the user's batch vector is used, else the speed vector,
-    against the items of each; with one model its own vectors are used.
+    With two factor models the user's batch vector is used, else the speed vector,
+    against the items of each; with one model its own vectors are used, and recommenders that are no factor
+    models always answer by id.
     """
-    _one_of(batch, speed)
-    if batch is None or speed is None:
-        only = ranked(items_for_users_subset(users, batch or speed, k))
-        return only if limit is None else only.where(F.col("rank") <= limit)
-    vectors = resolve_factors(users, batch.users, speed.users)
-    parts = [ranked(top_k(vectors, m.items, m.rank, k, n_targets=m.size("items"))) for m in (speed, batch)]
-    return rank_rows(union_all(*parts), "user", "item", limit)
+    return _served(users, batch, speed, k, limit, "users", "items", items_for)
 
 
 def serve_users(
     items: DataFrame,
-    batch: FactorModel | None,
-    speed: FactorModel | None,
+    batch: Model | None,
+    speed: Model | None,
     k: int = SERVE_LENGTH,
     limit: int | None = None,
 ) -> DataFrame:
-    """Ranked users for the ids in ``items``; the mirror of ``serve_items``."""
+    """Nested lists of users for the ids in ``items``; the mirror of ``serve_items``."""
+    return _served(items, batch, speed, k, limit, "items", "users", users_for)
+
+
+def _served(ids, batch, speed, k: int, limit: int | None, own: str, other: str, by_id) -> DataFrame:
     _one_of(batch, speed)
-    if batch is None or speed is None:
-        only = ranked(users_for_items_subset(items, batch or speed, k), "item", "user")
-        return only if limit is None else only.where(F.col("rank") <= limit)
-    vectors = resolve_factors(items, batch.items, speed.items)
-    parts = [
-        ranked(top_k(vectors, m.users, m.rank, k, n_targets=m.size("users")), "item", "user") for m in (speed, batch)
-    ]
-    return rank_rows(union_all(*parts), "item", "user", limit)
+    if isinstance(batch, FactorModel) and isinstance(speed, FactorModel):
+        vectors = resolve_factors(ids, getattr(batch, own), getattr(speed, own))
+        lists = [top_k(vectors, getattr(m, other), m.rank, k, n_targets=m.size(other)) for m in (speed, batch)]
+    else:
+        lists = [by_id(m, ids, k) for m in (speed, batch) if m is not None]
+    if len(lists) == 1 and limit is not None:
+        return lists[0].select("id", F.slice("matches", 1, limit).alias("matches"))
+    return _merged(lists, limit)

@@ -22,8 +22,8 @@ DEFAULT_PAGE, DEFAULT_PER_PAGE = 1, 10
 NO_ID, NOT_IN_MODEL = "ID is null", "This id is not in model"
 
 
-def normalise_requests(requests: DataFrame) -> DataFrame:
-    """Adds ``valid`` (the id is there) and fills page and per_page together; a negative per_page is 0."""
+def normalise_requests(requests: DataFrame, *carry: str) -> DataFrame:
+    """Adds ``valid`` (the id is there) and fills page and per_page together; a negative per_page is 0. Columns to ``carry`` follow."""
     partial = F.col("page").isNull() | F.col("per_page").isNull()
     return requests.select(
         "seq",
@@ -31,6 +31,7 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
         F.when(partial, DEFAULT_PAGE).otherwise(F.col("page")).alias("page"),
         F.when(partial, DEFAULT_PER_PAGE).otherwise(F.greatest(F.col("per_page"), F.lit(0))).alias("per_page"),
         F.col("user").isNotNull().alias("valid"),
+        *carry,
     )
 
 

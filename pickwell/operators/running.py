@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_RANGES = 1_000
-
 
 def with_total_before(df: DataFrame, key: str, seq: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows (by ``seq``) of the key.
 
-    ``seq`` is cut into ``ranges`` of about equal size, by default as many as a shuffle has
-    partitions, so the sketch that finds the cuts stays small. Totals per (key, range) are summed before
-    the shuffle and carried forward; one task sorts at most one range of a key. Null
-    keys are a key of their own, and a null ``seq`` comes before all others.
+    ``seq`` is cut between its least and greatest value into ``ranges`` of equal width, by default as many as a shuffle has
+    partitions; nothing is counted before the frame is used. Totals per (key, range) are summed before
+    the shuffle and carried forward; one task sorts at most one range of a key, so a key's rows are spread as far as
+    their numbers are. Null keys are a key of their own, and a null ``seq`` comes before all others.
     """
     spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges, MOST_RANGES))
-    at = F.col(seq).cast("double")
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.select(at.alias(seq)).approxQuantile(seq, shares, 0.1 / ranges) if shares else []
-    if cuts:
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        bucket = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
-        placed = bucket.transform(df.withColumn("_at", at)).drop("_at")
-    else:
-        placed = df.withColumn("_range", F.lit(0.0))
-    placed = placed.withColumn("_range", F.when(F.col(seq).isNull(), -1.0).otherwise(F.col("_range")))
+    ranges = max(1, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    low, high = (df.agg(f(seq).cast("double")).scalar() for f in (F.min, F.max))
+    at = F.floor((F.col(seq).cast("double") - low) * ranges / F.greatest(high - low, F.lit(1.0)))
+    placed = df.withColumn("_range", F.when(F.col(seq).isNull(), -1).otherwise(F.least(at, F.lit(ranges - 1))))
     totals = placed.groupBy(key, "_range").agg(F.sum(value).alias("_total"))
     earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(

@@ -12,33 +12,40 @@ counted sizes, and every way is exact:
   the narrow source vectors are spread, no list is shuffled;
 * source side small: the sources are broadcast, every task keeps their best k
   over its share of the targets, and the short lists are merged by key;
-* both large: a grid. Sources are hashed into shards and targets into groups;
-  each row is sent to the cells of its shard or group by an equi-join key,
-  a cell scores one shard against one group, and the lists are merged by key.
-  Ids are unique, so hashing fills cells evenly; there are at least twice as
-  many cells as cores.
+* both large: a grid. Targets are dealt to groups by falling length. All sources meet
+  the longest group first; the k-th score there bounds how short a target may be
+  to matter, so a source is sent only to the groups it still needs, in shards of sources that need
+  equally many, and a group only to the shards that need it. Rows reach their
+  cells by an equi-join key, and the lists are merged by key.
 
 No plan holds a row per (source, target) pair outside a task's working block.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pickwell.functions import kernel
 from pickwell.functions.columns import dot
+from pickwell.functions.frames import numbered, union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
+from pickwell.session import fresh_path
 
 BROADCAST_BYTES = 64 << 20
 CELL_ROWS, CELL_BYTES = 1 << 20, 256 << 20
 """Rows of a grid cell's side, and the bytes of its vectors and of the lists it gives, at most."""
-MERGE_SALTS = 16
+MERGE_FAN_IN = 32
+"""Partial lists of an id that meet in one row."""
+PART_DDL = f"part int, {kernel.LISTS_DDL}"
+SLACK = 1e-9
+"""Share of a bound that rounding may have taken."""
 
 
 def predict(model: FactorModel, pairs: DataFrame) -> DataFrame:
@@ -77,13 +84,12 @@ def top_k(
     n_sources = sources.count() if n_sources is None else n_sources
     if n_sources * (row_bytes + 12 * k) <= broadcast_bytes and not distinct:
         held = spark.sparkContext.broadcast(kernel.to_matrix(sources.toArrow(), rank))
-        partial = _evenly(targets).mapInArrow(_score_targets(held, rank, k), kernel.LISTS_DDL)
-        return merge_lists(partial, k)
+        spread = _evenly(targets)
+        partial = spread.mapInArrow(_score_targets(held, rank, k), PART_DDL)
+        return merge_lists(partial, k, _tasks(spark))
     target_rows = max(1, min(cell_rows, CELL_BYTES // row_bytes))
     source_rows = max(1, min(cell_rows, CELL_BYTES // (row_bytes + 12 * k)))
-    groups = max(ceil(n_targets / target_rows), 1)
-    shards = max(ceil(n_sources / source_rows), ceil(2 * spark.sparkContext.defaultParallelism / groups))
-    return _grid(sources, targets, rank, k, distinct, shards, groups)
+    return _grid(sources, targets, rank, k, distinct, target_rows, source_rows)
 
 
 def _evenly(vectors: DataFrame) -> DataFrame:
@@ -93,9 +99,11 @@ def _evenly(vectors: DataFrame) -> DataFrame:
     adaptive partitions are sized by bytes; one shuffle of the narrow vectors
     gives every task the same work.
     """
-    spark = vectors.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return vectors.repartition(parts, "id")
+    return vectors.repartition(_tasks(vectors.sparkSession), "id")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _score_sources(held, rank: int, k: int, distinct: bool):
@@ -120,42 +128,119 @@ def _score_targets(held, rank: int, k: int):
                 kernel.visit(b, vectors[p], targets)
         for p, b in zip(parts, best):
             if not b.empty:
-                yield b.lists(ids[p])
+                lists = b.lists(ids[p])
+                part = pa.array([TaskContext.get().partitionId()] * lists.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([part, *lists.columns], ["part", "id", "matches"])
 
     return score
 
 
-def _grid(sources, targets, rank: int, k: int, distinct: bool, shards: int, groups: int) -> DataFrame:
-    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+@dataclass(frozen=True)
+class Grid:
+    """Targets in groups by falling length, and which sources still need which groups after the first.
+
+    ``first`` holds the lists of the first group for every source. ``sources`` that need more have their ``shard``, all in it
+    with the same ``last`` group; ``cells`` are the pairs ``(shard, grp)`` to be scored.
+    """
+
+    targets: DataFrame
+    first: DataFrame
+    sources: DataFrame
+    cells: DataFrame
+    groups: int
+
+
+def _length() -> Column:
+    return F.sqrt(dot(F.col("features"), F.col("features")))
+
 
+def _score_cell(rank: int, k: int, distinct: bool):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, vectors = kernel.to_matrix(left, rank)
         found = kernel.Targets(*kernel.to_matrix(right, rank))
-        return pa.Table.from_batches(list(kernel.top_lists(ids, vectors, found, k, distinct)), kernel.LISTS)
+        lists = pa.Table.from_batches(list(kernel.top_lists(ids, vectors, found, k, distinct)), kernel.LISTS)
+        part = right["grp"][0].as_py() if right.num_rows else 0
+        return lists.add_column(0, "part", pa.array([part] * lists.num_rows, pa.int32()))
+
+    return score
+
+
+def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int) -> Grid:
+    """Score everything against the longest targets first; a source's k-th score there says how short a target may be to matter."""
+    spark = sources.sparkSession
+    placed = numbered(targets.withColumn("length", _length()), [F.desc("length"), "id"], "place")
+    placed = placed.withColumn("grp", F.floor((F.col("place") - 1) / target_rows).cast("int"))
+    # One row per group of very many targets.
+    tops = [r["top"] for r in placed.groupBy("grp").agg(F.max("length").alias("top")).orderBy("grp").collect()]
+    wide = max(1, ceil(2 * spark.sparkContext.defaultParallelism))
+    longest = placed.where("grp = 0").select("id", "features", "grp").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    dealt = sources.withColumn("in_shard", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int"))
+    lists = dealt.groupBy("in_shard").cogroup(longest.groupBy("shard")).applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
+    path = fresh_path(spark, "longest")
+    lists.write.parquet(path)
+    first = spark.read.parquet(path)
+
+    floor = first.select(F.col("id").alias("known"), F.when(F.size("matches") == k, F.element_at("matches", -1)["score"]).alias("floor"))
+    reach = F.transform(F.array(*map(F.lit, tops)), lambda top: top * F.col("length") * (1 + SLACK)) if tops else F.array().cast("array<double>")
+    needed = F.size(F.filter(reach, lambda best: F.col("floor").isNull() | F.isnan("floor") | (best >= F.col("floor"))))
+    asked = sources.withColumn("length", _length()).join(floor, F.col("id") == F.col("known"), "left")
+    asked = asked.select("id", "features", needed.alias("last")).where("last > 1")
+    sizes = {r["last"]: r["count"] for r in asked.groupBy("last").count().collect()}
+    most = max(1, min(source_rows, ceil(sum(sizes.values()) / wide)))
+    start, shards, cells = {}, {}, []
+    for last in sorted(sizes):
+        start[last], shards[last] = sum(shards.values()), ceil(sizes[last] / most)
+        cells += [(start[last] + i, grp) for i in range(shards[last]) for grp in range(1, last)]
+    levels = spark.createDataFrame([(last, start[last], shards[last]) for last in sizes], "level int, start int, n int")
+    shard = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
+    placed_sources = asked.join(F.broadcast(levels), F.col("last") == F.col("level")).select("id", "features", shard.alias("shard"))
+    return Grid(placed.select("id", "features", "grp"), first, placed_sources, spark.createDataFrame(cells, "shard int, grp int"), len(tops))
+
+
+def _grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int) -> DataFrame:
+    grid = plan_grid(sources, targets, rank, k, distinct, target_rows, source_rows)
+    left = grid.sources.join(grid.cells, "shard").groupBy("shard", "grp")
+    right = grid.targets.join(grid.cells.select(F.col("shard").alias("for_shard"), F.col("grp").alias("in_grp")), F.col("grp") == F.col("in_grp"))
+    later = left.cogroup(right.select("for_shard", "grp", "id", "features").groupBy("for_shard", "grp"))
+    lists = later.applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
+    return merge_lists(union_all(grid.first, lists), k, grid.groups, distinct=distinct)
+
+
+def merge_sorted(matches: Column, k: int | None, distinct: bool = False) -> Column:
+    """Several sorted lists put after each other, as one: score desc, id asc, cut to ``k``.
+
+    The sort is one that takes runs as they come, so lists that are sorted are merged. ``distinct`` keeps the better of equal ids.
+    """
+    if distinct:
+        by_id = F.array_sort(F.transform(matches, lambda m: F.struct(m["id"].alias("id"), (-m["score"]).alias("less"))))
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(F.transform(by_id, lambda m: m["id"]), 1, F.size(by_id)))
+        first = F.zip_with(by_id, before, lambda m, last: F.when(last.isNull() | (m["id"] != last), m))
+        matches = F.transform(F.filter(first, lambda m: m.isNotNull()), lambda m: F.struct(m["id"].alias("id"), (-m["less"]).alias("score")))
+    keyed = F.transform(matches, lambda m: F.struct((-m["score"]).alias("less"), m["id"].alias("id")))
+    merged = F.sort_array(keyed) if k is None else F.slice(F.sort_array(keyed), 1, k)
+    return F.transform(merged, lambda m: F.struct(m["id"].alias("id"), (-m["less"]).alias("score")))
+
 
-    left = spread(sources, "shard", shards, "grp", groups).groupBy("shard", "grp")
-    right = spread(targets, "grp", groups, "shard", shards).groupBy("shard", "grp")
-    lists = left.cogroup(right).applyInArrow(score, kernel.LISTS_DDL)
-    return lists if groups == 1 else merge_lists(lists, k, max(MERGE_SALTS, groups // MERGE_SALTS))
+def merge_two(one: DataFrame, other: DataFrame, k: int | None, distinct: bool = False) -> DataFrame:
+    """Nested lists of two answers as one list per id; they meet in one equi-join and stay nested."""
+    left = one.select("id", F.col("matches").alias("one"))
+    right = other.select("id", F.col("matches").alias("other"))
+    both = F.concat(*(F.coalesce(c, F.array().cast(kernel.MATCHES_DDL)) for c in ("one", "other")))
+    return left.join(right, "id", "full_outer").select("id", merge_sorted(both, k, distinct).alias("matches"))
 
 
-def merge_lists(partial: DataFrame, k: int, salts: int = MERGE_SALTS) -> DataFrame:
-    """Partial lists of the same id to one list of the best ``k``.
+def merge_lists(partial: DataFrame, k: int, parts: int, fan_in: int = MERGE_FAN_IN, distinct: bool = False) -> DataFrame:
+    """Partial lists ``(part, id, matches)`` to one list of the best ``k`` per id.
 
-    Ranking first within salted parts of an id keeps a source whose partial
-    lists come from very many tasks from being sorted in one place.
+    Lists stay nested. At most ``fan_in`` of an id meet in a row, level by level, so a source whose partial lists come from
+    very many tasks is never gathered in one place.
     """
-    rows = partial.select("id", F.explode("matches").alias("m"))
-    order = [F.col("m.score").desc(), F.col("m.id").asc()]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("m.id"), F.lit(salts)))
-    within = W.partitionBy("id", "salt").orderBy(*order)
-    across = W.partitionBy("id").orderBy(*order)
-    kept = salted.withColumn("place", F.row_number().over(within)).where(F.col("place") <= k)
-    final = kept.withColumn("place", F.row_number().over(across)).where(F.col("place") <= k)
-    listed = final.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "m"))).alias("l"))
-    return listed.select("id", F.transform("l", lambda x: x["m"]).alias("matches"))
+    while parts > 1:
+        parts = ceil(parts / fan_in)
+        met = partial.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("id", "part")
+        lists = met.agg(F.collect_list("matches").alias("lists"))
+        partial = lists.select("part", "id", merge_sorted(F.flatten("lists"), k, distinct).alias("matches"))
+    return partial.select("id", "matches")
 
 
 def ranked(lists: DataFrame, source: str = "user", target: str = "item") -> DataFrame:

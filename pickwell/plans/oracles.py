@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pickwell.plans.views import DAY_MS, NOW, RANK, with_views
+import re
+
+from pickwell.plans.views import DAY_MS, FIRST_DAY, NOW, RANK, with_views
 
 ORACLES: dict[str, str] = {}
 
@@ -68,7 +70,7 @@ _sql("resolve_factors", "user_ids batch_users speed_users", f"""r AS (SELECT u.i
     LEFT JOIN batch_users b ON u.id = b.id LEFT JOIN speed_users s ON u.id = s.id
     WHERE b.id IS NOT NULL OR s.id IS NOT NULL) {_elements('id', 'r')}""")
 _sql("prune_speed", "batch_users batch_items speed_users speed_items", " UNION ALL ".join(
-    f"SELECT '{s}' AS side, id FROM speed_{s} WHERE id NOT IN (SELECT id FROM batch_{s})" for s in ("users", "items")))
+    _elements(f"'{s}' AS side, id", f"speed_{s} WHERE id NOT IN (SELECT id FROM batch_{s})") for s in ("users", "items")))
 _MERGE = """m AS (SELECT '{s}' AS side, coalesce(o.id, n.id) AS id, o.id IS NULL AS is_new,
     CASE WHEN o.id IS NULL THEN n.features WHEN n.id IS NULL THEN o.features
     ELSE list_transform(range(1, len(o.features) + 1), lambda i: n.features[i] * CAST(0.8 AS DOUBLE)
@@ -77,7 +79,8 @@ _MERGE = """m AS (SELECT '{s}' AS side, coalesce(o.id, n.id) AS id, o.id IS NULL
 _sql("merge_models", "batch_users batch_items speed_users speed_items",
      _MERGE.format(s="users").replace("m AS", "mu AS", 1) + ",\n" + _MERGE.format(s="items").replace("m AS", "mi AS", 1)
      + f" {_elements('side, id, is_new', 'mu')} UNION ALL {_elements('side, id, is_new', 'mi')}")
-_sql("recent_new", "batch_users batch_items speed_users speed_items", ORACLES["prune_speed"].split("\n")[-1])
+_sql("recent_new", "batch_users batch_items speed_users speed_items", " UNION ALL ".join(
+    f"SELECT '{s}' AS side, id FROM speed_{s} WHERE id NOT IN (SELECT id FROM batch_{s})" for s in ("users", "items")))
 _sql("as_speed_model", "whole_items", _elements("id", "whole_items"))
 
 # Scoring
@@ -143,21 +146,69 @@ _sql("serve_users", f"item_ids {_ALL}", f"""v AS (SELECT u.id, coalesce(b.featur
     a AS ({_top('v', 'speed_users', 10, 'item', '"user"')}), b AS ({_top('v', 'batch_users', 10, 'item', '"user"')})
     {_rank('SELECT * FROM a UNION ALL SELECT * FROM b', 'item', 'user')}""")
 
+# Recommenders of the caller's own
+
+
+def _taste(name: str, where: str, part: str = "0") -> str:
+    """Members and scores of groups by taste, from the lines that ``where`` names; ``part`` splits users into models."""
+    parsed = _PARSED.replace("FROM raw_lines", f"FROM raw_lines WHERE {where}")
+    for part_of in ("fields", "parsed", "ratings"):
+        parsed = re.sub(rf"\b{part_of}\b", f"{part_of}_{name}", parsed)
+    return f"""{parsed},
+m_{name} AS (SELECT "user", {part} AS part, CAST(floor(avg(rating) / 4) AS INT) AS grp FROM ratings_{name} GROUP BY 1),
+s_{name} AS (SELECT part, grp, item, sum(rating) AS score FROM ratings_{name} JOIN m_{name} USING ("user") GROUP BY 1, 2, 3),
+i_{name} AS (SELECT *, row_number() OVER (PARTITION BY part, grp ORDER BY score DESC, item) AS place FROM s_{name}),
+u_{name} AS (SELECT *, row_number() OVER (PARTITION BY part, grp ORDER BY "user") AS place FROM m_{name})"""
+
+
+def _taste_items(name: str, k: int) -> str:
+    return f"""(SELECT m."user", i.item, i.score FROM m_{name} m JOIN i_{name} i ON m.part = i.part AND m.grp = i.grp
+        WHERE i.place <= {k})"""
+
+
+def _taste_users(name: str, k: int) -> str:
+    return f"""(SELECT item, "user", score FROM (SELECT s.item, u."user", s.score,
+        row_number() OVER (PARTITION BY s.item ORDER BY s.score DESC, u."user") AS place
+        FROM s_{name} s JOIN u_{name} u ON s.part = u.part AND s.grp = u.grp WHERE u.place <= {k}) WHERE place <= {k})"""
+
+
+_TWO = f"{_taste('a', 'n <= 4')}, {_taste('b', 'n >= 4')}"
+_sql("serve_own_items", "raw_lines",
+     f"{_TWO} {_rank(f'SELECT * FROM {_taste_items("a", 15)} UNION ALL SELECT * FROM {_taste_items("b", 15)}', 'user', 'item')}")
+_sql("serve_own_users", "raw_lines",
+     f"{_TWO} {_rank(f'SELECT * FROM {_taste_users("a", 10)} UNION ALL SELECT * FROM {_taste_users("b", 10)}', 'item', 'user')}")
+_sql("serve_mixed_items", "user_ids raw_lines batch_users batch_items",
+     f"""{_taste('b', 'n >= 4')}, {_KNOWN_USERS.format(m='batch', ids='user_ids')}, f AS ({_top('su', 'batch_items', 15)})
+     {_rank(f'SELECT "user", item, score FROM f UNION ALL SELECT * FROM {_taste_items("b", 15)}', 'user', 'item')}""")
+_sql("own_items_for_features", "raw_lines", f"""{_TWO},
+    v AS (SELECT "user", CAST(floor(avg(rating) / 4) AS INT) AS grp FROM ratings_b GROUP BY 1)
+    SELECT v."user", CAST(i.place AS INT) AS rank, i.item, i.score FROM v JOIN i_a i ON v.grp = i.grp WHERE i.place <= 8""")
+_LISTED = """SELECT "user", string_agg(CAST(item AS STRING), ',' ORDER BY rank) AS ids FROM r GROUP BY 1"""
+_sql("speed_layer_own", "raw_lines", f"""{_taste('a', 'n <= 4')}, {_taste('b', 'true', '"user" % 3')},
+    best AS (SELECT "user", item, max(score) AS score FROM (SELECT * FROM {_taste_items('a', 12)}
+    WHERE "user" IN (SELECT "user" FROM m_b) UNION ALL SELECT * FROM {_taste_items('b', 12)}) GROUP BY 1, 2),
+    r AS ({_rank('SELECT * FROM best', 'user', 'item', 12)}) {_LISTED}""")
+_sql("speed_restart", "raw_lines", f"""{_taste('b', 'true')},
+    r AS (SELECT m."user", i.item, i.place AS rank FROM m_b m JOIN i_b i ON m.grp = i.grp
+    WHERE i.place <= CASE WHEN m."user" < 60 THEN 7 ELSE 12 END) {_LISTED}""")
+
 # Training and versions
 
 _IDS = """SELECT DISTINCT 'users' AS side, "user" AS id FROM ratings
     UNION ALL SELECT DISTINCT 'items', item FROM ratings"""
 _sql("als_factor_ids", "raw_lines", f"{_PARSED} {_IDS}")
-_sql("train_als", "raw_lines", f"{_PARSED} SELECT count(*) AS n, true AS learned FROM ratings")
-ORACLES["train_als_by_sums"] = ORACLES["train_als"]
+for _name, _key in (("train_als", "user"), ("train_als_by_sums", "item")):
+    _sql(_name, "raw_lines", f'{_PARSED} SELECT "{_key}" AS id, count(*) AS n, true AS at_rest, true AS learned FROM ratings GROUP BY 1')
 _NEWEST = """months AS (SELECT DISTINCT date_trunc('month', ordered) AS m FROM raw_lines ORDER BY m DESC LIMIT 10),
 newest_lines AS (SELECT value FROM raw_lines WHERE date_trunc('month', ordered) IN (SELECT m FROM months))"""
 _sql("run_batch_training", "raw_lines",
      f"{_NEWEST},\n{_PARSED.replace('FROM raw_lines', 'FROM newest_lines')} {_IDS}")
-_sql("save_load_model", "batch_users batch_items",
-     _elements("'users' AS side, id", "batch_users") + " UNION ALL " + _elements("'items' AS side, id", "batch_items"))
-_sql("follow_models", "batch_users batch_items", """SELECT 'users' AS side, id FROM batch_users
-    UNION ALL SELECT 'items', id FROM batch_items""")
+_sql("save_load_model", "whole_users whole_items",
+     _elements("'users' AS side, id", "whole_users") + " UNION ALL " + _elements("'items' AS side, id", "whole_items"))
+ORACLES["follow_models"] = ORACLES["save_load_model"]
+_sql("persist_model", "whole_users whole_items", """SELECT * FROM (VALUES ('new', false, false, CAST(NULL AS BIGINT)),
+    ('held', true, true, NULL), ('swapped', false, true, NULL), ('released', false, false, NULL)) v(step, users, items, n)
+    UNION ALL SELECT 'users', NULL, NULL, count(*) FROM whole_users UNION ALL SELECT 'items', NULL, NULL, count(*) FROM whole_items""")
 _sql("latest_model", "lines", "SELECT strftime(max(ordered), '%Y%m%d') AS path FROM lines")
 
 # Lines in and out
@@ -165,6 +216,8 @@ _sql("latest_model", "lines", "SELECT strftime(max(ordered), '%Y%m%d') AS path F
 _sql("read_latest", "raw_lines", f"{_NEWEST} SELECT value, count(*) AS n FROM newest_lines GROUP BY 1")
 _sql("land_stream", "raw_lines", """SELECT strftime(date_trunc('year', ordered), '%Y%m%d') AS day, '00' AS hour,
     value, count(*) AS n FROM raw_lines GROUP BY 1, 2, 3""")
+_sql("folded_hours", "raw_lines", """SELECT strftime(date_trunc('year', ordered), '%Y%m%d') AS day, '00' AS hour,
+    value, count(*) AS n, true AS few_files, CAST(1 AS BIGINT) AS n_folders FROM raw_lines GROUP BY 1, 2, 3""")
 _sql("read_messages", "raw_lines",
      "SELECT value, count(*) AS n_stream, count(*) AS n_batch FROM raw_lines GROUP BY 1")
 
@@ -185,6 +238,10 @@ _sql("upsert_restart", "lines", """SELECT CAST(cust AS INT) AS "user", CASE WHEN
 _sql("register_candidate", "registry", """SELECT name,
     CASE candidate_list_type WHEN 'list' THEN 'tables' ELSE 'again' END AS url FROM registry""")
 
+_sql("catalog_tables", "lines", """SELECT 'row' AS step, true AS found, CAST(cust AS INT) AS "user",
+    CAST(2 * sum(q) AS BIGINT) AS twice FROM lines GROUP BY cust UNION ALL SELECT step, found, NULL, NULL
+    FROM (VALUES ('before', false), ('created', true), ('dropped', true), ('after', false), ('again', false)) v(step, found)""")
+
 # Candidates
 
 _sql("resolve_candidate", "registry", """SELECT cid, name, store_type = 'hbase' AND (candidate_list_type = 'list'
@@ -215,6 +272,7 @@ _sql("quotas", "user_ids cids params", f"{_quota(2000)} SELECT * FROM quota")
 _sql("pull_model", _PULL_VIEWS, f"{_PULLED} SELECT * FROM mode_units")
 _sql("pull_top", _PULL_VIEWS, f"{_PULLED} SELECT * FROM list_units")
 _sql("pull_all", _PULL_VIEWS, f"{_PULLED} SELECT * FROM units")
+ORACLES["open_sources"] = ORACLES["pull_all"]
 _sql("rank_keys", "lines", """t AS (SELECT CAST(cust AS INT) AS "user", sum(q) AS num FROM lines GROUP BY 1)
     SELECT "user", printf('%05d', CAST(num + 12 AS INT)) AS near, printf('%05d', CAST(num + 99999 AS INT)) AS far
     FROM t""")
@@ -250,8 +308,23 @@ _sql("append_history", _PULL_VIEWS, f"""{_FUSED}, {_ranked(7, "r")}, {_ranked(8,
 _sql("serving_list", _PULL_VIEWS, f"""{_FUSED}, {_ranked(7, "r")} SELECT "user",
     string_agg(CAST(item AS STRING), ',' ORDER BY rank) AS ids, CAST({NOW} AS BIGINT) AS update_time,
     CAST(0 AS INT) AS "offset" FROM r GROUP BY 1""")
-_sql("refresh_lists", _PULL_VIEWS, f"""{_FUSED} SELECT "user", CAST(count(*) AS INT) AS n_returned,
-    CAST(sum(n_sources) AS BIGINT) AS n_history FROM fused GROUP BY 1""")
+_MOVED = """SELECT 'params' AS part, q."user", q.cid, NULL AS pos, NULL AS item, CASE q.cid WHEN 1 THEN q."offset"
+    WHEN 2 THEN printf('%05d', CAST(q."offset" AS INT) + q.num) END AS text, p.weight FROM quota q
+    JOIN params p ON q."user" = p."user" AND q.cid = p.cid"""
+
+
+def _refresh(lists: str, history: str) -> str:
+    return f"""SELECT 'list' AS part, "user", NULL AS cid, NULL AS pos, NULL AS item,
+        string_agg(CAST(item AS STRING), ',' ORDER BY rank) AS text, CAST(NULL AS DOUBLE) AS weight FROM {lists} GROUP BY 2
+        UNION ALL SELECT 'history', "user", cid, pos, item, NULL, NULL FROM ({history}) UNION ALL {_MOVED}"""
+
+
+_GIVEN = """SELECT {run} AS run, {r}."user", u.cid, {r}.rank AS pos, {r}.item FROM {r} JOIN units u
+    ON {r}."user" = u."user" AND {r}.item = u.item"""
+_sql("refresh_lists", _PULL_VIEWS, f"{_FUSED}, {_ranked(7, 'r')} {_refresh('r', _GIVEN.format(run=1, r='r'))}")
+_sql("store_refresh", _PULL_VIEWS, f"""{_FUSED}, {_ranked(7, 'r')}, {_ranked(8, 's')}, h AS ({_GIVEN.format(run=1, r='r')}
+    UNION ALL {_GIVEN.format(run=2, r='s')}), n AS (SELECT "user", cid, CAST(row_number() OVER (PARTITION BY "user", cid
+    ORDER BY run, pos, item) AS INT) AS pos, item FROM h) {_refresh('s', 'SELECT * FROM n')}""")
 
 # Paging and cache
 
@@ -309,8 +382,8 @@ _sql("evict", _PAGE_VIEWS, f"""{_CACHED}, alive AS (SELECT *, row_number() OVER
 _sql("admit", _PAGE_VIEWS, f"""{_STORED}, {_CACHED},
     newcomers AS (SELECT "user" FROM sl WHERE "user" NOT IN (SELECT "user" FROM cl)
     ORDER BY CAST(len AS BIGINT) * 100000 + "user" LIMIT greatest(1000 - (SELECT count(*) FROM cl), 0))
-    SELECT "user", begin_time, len AS n, "offset" FROM cl WHERE "user" NOT IN (SELECT "user" FROM sl)
-    UNION ALL SELECT "user", CAST({NOW} AS BIGINT), CAST(1 AS INT), CAST(0 AS INT) FROM sl
+    SELECT "user", begin_time, array_to_string(items, ',') AS ids, "offset" FROM cl WHERE "user" NOT IN (SELECT "user" FROM sl)
+    UNION ALL SELECT "user", CAST({NOW} AS BIGINT), CAST(items[1] AS STRING), CAST(0 AS INT) FROM sl
     WHERE "user" IN (SELECT "user" FROM cl) OR "user" IN (SELECT "user" FROM newcomers)""")
 _sql("visible", _PAGE_VIEWS, f"""{_ASKED}, {_STORED}, {_CACHED}, {_stored_pages('p', 'ok')},
     {_cached_pages('c', 'ok')} SELECT seq, "user", status,
@@ -347,15 +420,31 @@ def _after(asked: str) -> str:
 
 
 _sql("answer_state", _PAGE_VIEWS, f"""{_ANSWER},
-calm AS (SELECT * FROM from_stored WHERE "user" NOT IN (SELECT "user" FROM refill WHERE status = 'UpdateDatabase'))
-    SELECT 'cache' AS place, "user", len AS n, CAST(least("offset" + coalesce(s.n, 0), len) AS INT) AS "offset"
+calm AS (SELECT * FROM from_stored WHERE "user" NOT IN (SELECT "user" FROM refill WHERE status = 'UpdateDatabase')),
+after AS (SELECT 'cache' AS place, "user", items, CAST(least("offset" + coalesce(s.n, 0), len) AS INT) AS "offset",
+    CASE WHEN s.n IS NULL THEN begin_time ELSE CAST({NOW} AS BIGINT) END AS begin_time
     FROM cl LEFT JOIN {_after('from_cache')} s USING ("user")
-    UNION ALL SELECT 'cache', "user", len, CAST(least(s.n, len) AS INT) FROM sl JOIN {_after('calm')} s USING ("user")
-    UNION ALL SELECT 'cache', "user", len, CAST(least(s.n, len) AS INT)
+    UNION ALL SELECT 'cache', "user", items, CAST(least(s.n, len) AS INT), CAST({NOW} AS BIGINT)
+    FROM sl JOIN {_after('calm')} s USING ("user")
+    UNION ALL SELECT 'cache', "user", items, CAST(least(s.n, len) AS INT), CAST({NOW} AS BIGINT)
     FROM fl JOIN {_after('from_fresh')} s USING ("user")
-    UNION ALL SELECT 'stored', "user", len, CAST(("offset" + coalesce(s.n, 0)) % len AS INT)
+    UNION ALL SELECT 'stored', "user", items, CAST(("offset" + coalesce(s.n, 0)) % len AS INT), NULL
     FROM sl LEFT JOIN {_after('from_stored')} s USING ("user")
-    UNION ALL SELECT 'stored', "user", len, CAST(0 AS INT) FROM fl WHERE "user" IN (SELECT "user" FROM from_fresh)""")
+    UNION ALL SELECT 'stored', "user", items, CAST(0 AS INT), NULL FROM fl WHERE "user" IN (SELECT "user" FROM from_fresh))
+    SELECT place, "user", array_to_string(items, ',') AS ids, "offset", begin_time FROM after""")
+
+ORACLES["answer_stream"] = ORACLES["answer"]
+_sql("answer_stream_expired", f"timed_requests {_PAGE_VIEWS}", f"""{_ANSWER},
+    begun AS (SELECT "user", {FIRST_DAY} + ("user" % 10) * {DAY_MS} AS touched FROM cl),
+    gaps AS (SELECT r.seq, r."user", epoch_ms(r.at) - coalesce(lag(epoch_ms(r.at)) OVER w, b.touched) > {3 * DAY_MS} AS late
+    FROM timed_requests r LEFT JOIN begun b ON r."user" = b."user" WHERE r."user" IS NOT NULL
+    WINDOW w AS (PARTITION BY r."user" ORDER BY r.seq)),
+    gone AS (SELECT seq, coalesce(bool_or(late) OVER (PARTITION BY "user" ORDER BY seq), false) AS gone FROM gaps),
+    pages AS (SELECT seq, "user", page_items, status FROM pc UNION ALL SELECT seq, "user", page_items, status FROM ps
+    UNION ALL SELECT seq, "user", page_items, CASE status WHEN 'CacheFindFail' THEN 'Error' ELSE 'ReturnList' END FROM pf)
+    SELECT p.seq, p."user", CASE WHEN g.gone THEN '' ELSE page_items END AS page_items,
+    CASE WHEN g.gone THEN 'Error' ELSE status END AS status FROM pages p JOIN gone g ON p.seq = g.seq
+    UNION ALL SELECT seq, "user", '', 'Error' FROM asked WHERE NOT valid""")
 
 # Streams
 
@@ -366,15 +455,16 @@ _LAST = f"""last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tb
 
 
 def _updated(side: str, tbl: str) -> str:
-    return f"""u_{side} AS (SELECT '{side}' AS side, id, features FROM batch_{side} WHERE id NOT IN (
+    return f"""u_{side} AS (SELECT '{side}' AS side, id, features FROM whole_{side} WHERE id NOT IN (
         SELECT id FROM last WHERE tbl = '{tbl}') UNION ALL
         SELECT '{side}', id, feature FROM last WHERE tbl = '{tbl}' AND "option" = 'Update')"""
 
 
-_sql("apply_factor_updates", "updates batch_users batch_items",
+_sql("apply_factor_updates", "updates whole_users whole_items",
      f"{_LAST}, {_updated('users', 'User')}, {_updated('items', 'Item')} {_elements('side, id', 'u_users')}"
      f" UNION ALL {_elements('side, id', 'u_items')}")
-_sql("stream_factor_updates", "updates", f"""{_LAST}, puts AS (SELECT CASE tbl WHEN 'User' THEN 'users'
+_FIRST_RANK = """(SELECT len(feature) FROM updates WHERE tbl IN ('User', 'Item') AND "option" = 'Update' ORDER BY seq LIMIT 1)"""
+_sql("stream_factor_updates", "updates", f"""{_LAST.replace(f"= {RANK}", f"= {_FIRST_RANK}")}, puts AS (SELECT CASE tbl WHEN 'User' THEN 'users'
     ELSE 'items' END AS side, id, feature AS features FROM last WHERE "option" = 'Update')
     {_elements('side, id', 'puts')}""")
 _sql("speed_layer", "raw_lines", f'{_PARSED} SELECT DISTINCT "user", CAST(20 AS INT) AS n FROM ratings')

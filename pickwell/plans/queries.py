@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ from pickwell.model import FactorModel
 from pickwell.operators import cache as C
 from pickwell.operators import candidates as K
 from pickwell.operators import factors as X
-from pickwell.operators import fusion, merging, paging, ratings, scoring
+from pickwell.operators import fusion, merging, paging, ratings, recommenders, scoring
 from pickwell.plans import serving, training
-from pickwell.plans.views import DAY_MS, NOW, RANK, as_lists, model, view
+from pickwell.plans.taste import TasteGroups
+from pickwell.plans.views import DAY_MS, FIRST_DAY, NOW, RANK, as_lists, model, view
 from pickwell.session import fresh_path
-from pickwell.sources import messages, models, tables
-from pickwell.streaming import speed, updates
+from pickwell.sources import catalog, messages, models, tables
+from pickwell.streaming import answering, speed, updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,7 +149,7 @@ def resolve_factors(spark, sf):
 def prune_speed(spark, sf):
     batch, fast = _both(spark, sf)
     left = X.prune_speed(fast, batch)
-    return _two_sides(left.users.select("id"), left.items.select("id"))
+    return _flat(_two_sides(left.users, left.items), "side", "id")
 
 
 @query
@@ -257,17 +259,92 @@ def merged_topn_bulk_best(spark, sf):
 
 @query
 def merged_topn_users(spark, sf):
-    return merging.merged_topn_users(view(spark, sf, "event_users"), *_both(spark, sf), n=100)
+    return scoring.ranked(merging.merged_topn_users(view(spark, sf, "event_users"), *_both(spark, sf), n=100))
 
 
 @query
 def serve_items(spark, sf):
-    return merging.serve_items(view(spark, sf, "user_ids"), *_both(spark, sf), k=15)
+    return scoring.ranked(merging.serve_items(view(spark, sf, "user_ids"), *_both(spark, sf), k=15))
 
 
 @query
 def serve_users(spark, sf):
-    return merging.serve_users(view(spark, sf, "item_ids"), *_both(spark, sf), k=10)
+    return scoring.ranked(merging.serve_users(view(spark, sf, "item_ids"), *_both(spark, sf), k=10), "item", "user")
+
+
+# Recommenders of the caller's own
+
+
+def _taste(spark: SparkSession, sf: str, where: str) -> TasteGroups:
+    """Groups by taste from some of the lines, stored."""
+    trained = TasteGroups.train(ratings.parse_ratings(view(spark, sf, "raw_lines").where(where)))
+    return TasteGroups(_held(trained.members, "members"), _held(trained.scores, "scores"))
+
+
+@query
+def serve_own_items(spark, sf):
+    """Two recommenders without factors behind the same serving call."""
+    found = merging.serve_items(view(spark, sf, "user_ids"), _taste(spark, sf, "n <= 4"), _taste(spark, sf, "n >= 4"), k=15)
+    return scoring.ranked(found)
+
+
+@query
+def serve_own_users(spark, sf):
+    found = merging.serve_users(view(spark, sf, "item_ids"), _taste(spark, sf, "n <= 4"), _taste(spark, sf, "n >= 4"), k=10)
+    return scoring.ranked(found, "item", "user")
+
+
+@query
+def serve_mixed_items(spark, sf):
+    """A factor model and a recommender without factors, each answering for itself."""
+    found = merging.serve_items(view(spark, sf, "user_ids"), model(spark, sf, "batch"), _taste(spark, sf, "n >= 4"), k=15)
+    return scoring.ranked(found)
+
+
+@query
+def own_items_for_features(spark, sf):
+    """Users of the later lines, described to the other recommender by their mean rating."""
+    later = ratings.parse_ratings(view(spark, sf, "raw_lines").where("n >= 4"))
+    vectors = later.groupBy(F.col("user").alias("id")).agg(F.array(F.avg("rating")).alias("features"))
+    return scoring.ranked(recommenders.items_by_features(_taste(spark, sf, "n <= 4"), vectors, 8))
+
+
+@query
+def speed_layer_own(spark, sf):
+    """Three files of messages train a recommender each; lists of all their users, merged with the batch recommender's."""
+    root = fresh_path(spark, "speed")
+    lines = view(spark, sf, "raw_lines")
+    for part in range(3):
+        lines.where(F.col("cust") % 3 == part).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+    stream = messages.read_messages(spark, "text", path=f"{root}/in", maxFilesPerTrigger="1")
+    store = speed.ModelStore(batch=_taste(spark, sf, "n <= 4"))
+    speed.run_speed_layer(
+        stream, store, f"{root}/lists", f"{root}/log", speed.SpeedSettings(n=12, train=TasteGroups.train), stop_on_error=True,
+        availableNow=True,
+    ).awaitTermination()
+    return tables.read_table(spark, f"{root}/lists", ["user"])
+
+
+@query
+def speed_restart(spark, sf):
+    """A large batch trains and saves a model; a new process finds it again and serves a small batch of at most 100 lines from it."""
+    root = fresh_path(spark, "restart")
+    lines = view(spark, sf, "raw_lines")
+
+    def go(n: int) -> None:
+        store = speed.ModelStore(versions=f"{root}/models", read=TasteGroups.load)
+        stream = messages.read_messages(spark, "text", path=f"{root}/in", maxFilesPerTrigger="1")
+        settings = speed.SpeedSettings(n=n, train=TasteGroups.train)
+        speed.run_speed_layer(
+            stream, store, f"{root}/lists", f"{root}/log", settings, stop_on_error=True, availableNow=True
+        ).awaitTermination()
+
+    lines.select("value").coalesce(1).write.text(f"{root}/in")
+    go(12)
+    asked = view(spark, sf, "user_ids").where("id < 60").select(F.format_string("%d,1,1", "id").alias("value"))
+    asked.coalesce(1).write.mode("append").text(f"{root}/in")
+    go(7)
+    return tables.read_table(spark, f"{root}/lists", ["user"])
 
 
 # Training and model versions
@@ -280,24 +357,26 @@ def als_factor_ids(spark, sf):
     return _two_sides(X.user_ids(trained), X.item_ids(trained))
 
 
+def _fitted(trained: FactorModel, parsed: DataFrame, side: str) -> DataFrame:
+    """Whether the side solved last is at rest, per id, and whether the fit beats always predicting the mean."""
+    spread = parsed.agg(F.stddev_pop("rating")).scalar()
+    learned = training.rmse(trained, parsed).select(F.col("rmse") < spread).scalar()
+    return training.rest(trained, parsed, side).select("id", "n", (F.col("gradient") < 1e-4).alias("at_rest"), learned.alias("learned"))
+
+
 @query
 def train_als(spark, sf):
-    """Training error against always predicting the mean."""
     parsed = _held(ratings.parse_ratings(view(spark, sf, "raw_lines")), "ratings")
     trained = training.train_als(parsed, rank=5, iterations=10)
-    spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
-    error = training.rmse(trained, parsed)
-    return error.withColumn("spread", spread.scalar()).select("n", (F.col("rmse") < F.col("spread")).alias("learned"))
+    held = FactorModel(5, _held(trained.users, "users"), _held(trained.items, "items"))
+    return _fitted(held, parsed, "users")
 
 
 @query
 def train_als_by_sums(spark, sf):
-    """The same with the solver for hot ids."""
+    """The same with the solver for hot ids, which solves items last."""
     parsed = _held(ratings.parse_ratings(view(spark, sf, "raw_lines")), "ratings")
-    trained = training.train_als(parsed, rank=5, iterations=4, solver="sums")
-    spread = parsed.agg(F.stddev_pop("rating").alias("spread"))
-    error = training.rmse(trained, parsed)
-    return error.withColumn("spread", spread.scalar()).select("n", (F.col("rmse") < F.col("spread")).alias("learned"))
+    return _fitted(training.train_als(parsed, rank=5, iterations=4, solver="sums"), parsed, "items")
 
 
 @query
@@ -316,7 +395,7 @@ def run_batch_training(spark, sf):
 @query
 def save_load_model(spark, sf):
     root = fresh_path(spark, "models")
-    for name, day in (("speed", 1), ("batch", 2)):
+    for name, day in (("speed", 1), ("whole", 2)):
         models.save_model(model(spark, sf, name), root, datetime(2024, 1, day))
     loaded = models.load_model(spark, models.latest_model(spark, root))
     return _flat(_two_sides(loaded.users, loaded.items), "side", "id")
@@ -324,15 +403,32 @@ def save_load_model(spark, sf):
 
 @query
 def follow_models(spark, sf):
-    """Two models announced one after the other; the ids of the one installed last."""
+    """Two models announced one after the other; the one installed last."""
     root = fresh_path(spark, "follow")
-    for name, day in (("speed", 1), ("batch", 2)):
+    for name, day in (("speed", 1), ("whole", 2)):
         path = models.save_model(model(spark, sf, name), f"{root}/models", datetime(2024, 1, day))
         models.publish_model(spark, f"{root}/versions", path, datetime(2024, 1, day))
     store = speed.ModelStore()
     versions = models.model_versions(spark, f"{root}/versions", stream=True)
     speed.follow_models(versions, store, f"{root}/log", availableNow=True).awaitTermination()
-    return _two_sides(X.user_ids(store.batch), X.item_ids(store.batch))
+    return _flat(_two_sides(store.batch.users, store.batch.items), "side", "id")
+
+
+@query
+def persist_model(spark, sf):
+    """Whether a model's tables are cached as it is held, swapped out for another, and released, and what they hold."""
+    store, one, other = speed.ModelStore(), model(spark, sf, "whole"), model(spark, sf, "batch")
+    seen = [("new", one.users.is_cached, one.items.is_cached)]
+    store.swap(batch=one)
+    seen.append(("held", one.users.is_cached, one.items.is_cached))
+    rows = X.model_summary({"whole": store.batch}).collect()
+    store.swap(batch=other)
+    seen.append(("swapped", one.users.is_cached, other.items.is_cached))
+    other.unpersist()
+    seen.append(("released", other.users.is_cached, other.items.is_cached))
+    steps = spark.createDataFrame([(*s, None) for s in seen], "step string, users boolean, items boolean, n bigint")
+    counts = spark.createDataFrame([(r.side, None, None, r.n) for r in rows], steps.schema)
+    return union_all(steps, counts)
 
 
 @query
@@ -375,6 +471,28 @@ def land_stream(spark, sf):
     return landed.groupBy("day", "hour", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def folded_hours(spark, sf):
+    """Five batches of lines, then their hours folded to at most ten files; whether they are that few, and all lines once."""
+    root = fresh_path(spark, "folded")
+    dated = messages.with_arrival(
+        view(spark, sf, "raw_lines"), F.date_trunc("year", F.col("ordered").cast("timestamp"))
+    )
+    held = _held(dated.select("value", "day", "hour", "cust"), "lines")
+    for part in range(5):
+        held.where(F.col("cust") % 5 == part).drop("cust").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("value string, day string, hour string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    messages.land_stream(stream, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    messages.fold_hours(spark, f"{root}/out", running=False)
+    landed = spark.read.schema("value string, day string, hour string").text(f"{root}/out")
+    files = landed.groupBy("day", "hour").agg(
+        (F.count_distinct(F.col("_metadata.file_path")) <= messages.FILES_PER_HOUR).alias("few_files"),
+        F.count_distinct("batch").alias("n_folders"),
+    )
+    counts = landed.groupBy("day", "hour", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(files, ["day", "hour"])
+
+
 @query
 def read_messages(spark, sf):
     """The source as a stream and as a batch read give the same lines."""
@@ -455,6 +573,27 @@ def register_candidate(spark, sf):
     return tables.read_candidates(spark, path).select("name", "url")
 
 
+@query
+def catalog_tables(spark, sf):
+    """A bucketed table is created twice, filled, joined on its key and dropped; whether it was there, and the joined rows."""
+    name = f"pickwell_{uuid4().hex}"
+    seen = [("before", catalog.table_exists(spark, name))]
+    for _ in range(2):
+        catalog.create_bucketed(spark, name, "user int, total bigint", ["user"], 8)
+    seen.append(("created", catalog.table_exists(spark, name)))
+    lines = view(spark, sf, "lines").groupBy(F.col("cust").cast("int").alias("user")).agg(F.sum("q").alias("total"))
+    catalog.append_rows(lines, name, ["user"], 8)
+    rows = catalog.read_rows(spark, name)
+    joined = _held(rows.join(rows.select("user", F.col("total").alias("again")), "user"), "joined")
+    seen += [("dropped", catalog.drop_table(spark, name)), ("after", catalog.table_exists(spark, name)), ("again", catalog.drop_table(spark, name))]
+    steps = spark.createDataFrame(seen, "step string, found boolean")
+    none = F.lit(None).cast("bigint")
+    return union_all(
+        joined.select(F.lit("row").alias("step"), F.lit(True).alias("found"), "user", (F.col("total") + F.col("again")).alias("twice")),
+        steps.select("step", "found", F.lit(None).cast("int").alias("user"), none.alias("twice")),
+    )
+
+
 # Candidates
 
 
@@ -537,6 +676,19 @@ def rank_keys(spark, sf):
     )
 
 
+@query
+def open_sources(spark, sf):
+    """What loaders open for the accepted rows of a registry, pulled by quota; a row without a loader is left out."""
+    rows = [(1, "bought", "mode", "hbase", "als"), (2, "top_list", "list", "hbase", "any"), (3, "bought", "mode", "hbase", "kmean"), (4, "bought", "other", "hbase", "als")]
+    registry = spark.createDataFrame(rows, "cid int, name string, candidate_list_type string, store_type string, algo string")
+    registry = registry.withColumn("url", F.lit(sf))
+    loaders = {
+        ("mode", "hbase"): lambda session, url, name: as_lists(view(session, url, name)),
+        ("list", "hbase"): lambda session, url, name: view(session, url, name),
+    }
+    return K.pull_all(_quotas(spark, sf, PULL), K.open_sources(registry, loaders))
+
+
 @query
 def save_params(spark, sf):
     return K.saved_params(_quotas(spark, sf, PULL), view(spark, sf, "params"), _sources(spark, sf))
@@ -589,14 +741,41 @@ def serving_list(spark, sf):
     return lists.select("user", encode_ids(F.col("items")).alias("ids"), "update_time", "offset")
 
 
+def _refreshed(spark: SparkSession, sf: str, seed: int) -> serving.Refresh:
+    return serving.refresh_lists(
+        _users(spark, sf), _sources(spark, sf), view(spark, sf, "cids"), view(spark, sf, "params"), NOW, PULL, seed=seed
+    )
+
+
+def _refresh_rows(lists: DataFrame, history: DataFrame, params: DataFrame) -> DataFrame:
+    """Lists, history and parameters one under the other."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return union_all(
+        lists.select(F.lit("list").alias("part"), "user", null("int").alias("cid"), null("int").alias("pos"), null("int").alias("item"),
+                     encode_ids(F.col("items")).alias("text"), null("double").alias("weight")),
+        history.select(F.lit("history").alias("part"), "user", "cid", "pos", "item", null("string").alias("text"), null("double").alias("weight")),
+        params.select(F.lit("params").alias("part"), "user", "cid", null("int").alias("pos"), null("int").alias("item"),
+                      F.col("offset").alias("text"), "weight"),
+    )
+
+
 @query
 def refresh_lists(spark, sf):
-    done = serving.refresh_lists(
-        _users(spark, sf), _sources(spark, sf), view(spark, sf, "cids"), view(spark, sf, "params"), NOW, PULL, seed=7
-    )
-    returned = done.returned.select("user", F.size("items").alias("n_returned"))
-    kept = done.history.groupBy("user").agg(F.count(F.lit(1)).alias("n_history"))
-    return returned.join(kept, "user")
+    """The lists handed back, the history to append and the parameters with moved offsets."""
+    done = _refreshed(spark, sf, 7)
+    return _refresh_rows(done.returned, done.history.withColumnRenamed("seq", "pos"), done.params)
+
+
+@query
+def store_refresh(spark, sf):
+    """Two refreshes stored, the first of them twice; what the tables hold after them."""
+    root = fresh_path(spark, "refreshed")
+    paths = f"{root}/lists", f"{root}/history", f"{root}/params"
+    first = _refreshed(spark, sf, 7)
+    for done, run in ((first, 1), (first, 1), (_refreshed(spark, sf, 8), 2)):
+        serving.store_refresh(done, *paths, run)
+    lists, params = tables.read_table(spark, paths[0], ["user"]), tables.read_table(spark, paths[2], ["user", "cid"])
+    return _refresh_rows(lists, fusion.history_lists(spark.read.parquet(paths[1])), params)
 
 
 # Paging and cache
@@ -675,7 +854,7 @@ def admit(spark, sf):
     arriving = stored.select("user", "items", (F.size("items") * 100000 + F.col("user")).alias("arrival"))
     later = stored.select("user", F.slice("items", 1, 1).alias("items"), (F.col("user") + 100000000).alias("arrival"))
     after = C.admit(_cached(spark, sf), union_all(arriving, later), NOW, capacity=1000)
-    return after.select("user", "begin_time", F.size("items").alias("n"), "offset")
+    return after.select("user", "begin_time", encode_ids(F.col("items")).alias("ids"), "offset")
 
 
 @query
@@ -710,13 +889,42 @@ def answer_refill(spark, sf):
 
 @query
 def answer_state(spark, sf):
-    """Offsets of cached and stored lists after the requests."""
+    """Cached and stored lists and their offsets after the requests."""
     after = _answer(spark, sf)
-    cached = after.cache.select(F.lit("cache").alias("place"), "user", F.size("items").alias("n"), "offset")
-    stored = after.stored.select(F.lit("stored").alias("place"), "user", F.size("items").alias("n"), "offset")
+    ids = encode_ids(F.col("items")).alias("ids")
+    cached = after.cache.select(F.lit("cache").alias("place"), "user", ids, "offset", "begin_time")
+    stored = after.stored.select(F.lit("stored").alias("place"), "user", ids, "offset", F.lit(None).cast("bigint").alias("begin_time"))
     return union_all(cached, stored)
 
 
+def _answer_stream(spark: SparkSession, sf: str, ttl_ms: int) -> DataFrame:
+    """Requests arrive as three files; cached lists were last read on one of the first ten days of the requests."""
+    root = fresh_path(spark, "answers")
+    asked = view(spark, sf, "timed_requests").withColumn("at", F.col("at").cast("timestamp"))
+    parts = asked.agg(F.max("seq") + 1).scalar()
+    asked = _held(asked.withColumn("part", F.floor(F.col("seq") * 3 / parts).cast("int")), "requests")
+    for part in range(3):
+        asked.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(asked.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    cached = _cached(spark, sf).withColumn("begin_time", (F.lit(FIRST_DAY) + F.col("user") % 10 * DAY_MS).cast("bigint"))
+    entries = answering.first_entries(cached, _stored(spark, sf), _lists(spark, sf))
+    responses = answering.answer_stream(stream, entries, ttl_ms, stored_refill=20, cached_refill=20)
+    answering.run_answers(responses, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    return _shown(spark.read.schema(answering.RESPONSES).parquet(f"{root}/out"))
+
+
+@query
+def answer_stream(spark, sf):
+    """No entry expires, so the pages are those of the batch."""
+    return _answer_stream(spark, sf, 10_000 * DAY_MS)
+
+
+@query
+def answer_stream_expired(spark, sf):
+    """Entries that nobody reads for three days are gone."""
+    return _answer_stream(spark, sf, 3 * DAY_MS)
+
+
 # Streams
 
 
@@ -727,24 +935,31 @@ def batch_users(spark, sf):
 
 @query
 def apply_factor_updates(spark, sf):
-    after = updates.apply_factor_updates(model(spark, sf, "batch"), view(spark, sf, "updates"))
+    after = updates.apply_factor_updates(model(spark, sf, "whole"), view(spark, sf, "updates"))
     return _flat(_two_sides(after.users, after.items), "side", "id")
 
 
 @query
 def stream_factor_updates(spark, sf):
-    """The same changes as a stream into an empty model's tables."""
+    """The changes as a stream into an empty model, whose rank the first Update fixes; later changes arrive before earlier ones."""
     root = fresh_path(spark, "updates")
     changes = view(spark, sf, "updates")
-    changes.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    for side in ("users", "items"):
-        tables.create_table(spark, f"{root}/{side}", "id int, features array<double>")
-    updates.run_factor_updates(
-        stream, f"{root}/users", f"{root}/items", RANK, f"{root}/log", availableNow=True
-    ).awaitTermination()
-    users, items = (tables.read_table(spark, f"{root}/{side}", ["id"]) for side in ("users", "items"))
-    return _flat(_two_sides(users, items), "side", "id")
+    first = F.when(F.col("tbl").isin(updates.USER, updates.ITEM) & (F.col("option") == updates.UPDATE), F.col("seq"))
+    bounds = changes.agg(F.min(first).alias("first"), F.max("seq").alias("last")).first()
+    held = _held(changes, "changes")
+    # The file with the first Update, then the others from the last to the first.
+    cuts = [bounds.first + 1 + (bounds.last - bounds.first) * i // 4 for i in range(5)]
+    held.where(F.col("seq") < cuts[0]).coalesce(1).write.parquet(f"{root}/in")
+    for low, high in reversed(list(zip(cuts, cuts[1:]))):
+        held.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    held.where(F.col("seq") >= cuts[-1]).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    paths = f"{root}/users", f"{root}/items"
+    for path in paths:
+        tables.create_table(spark, path, "id int, seq bigint, features array<double>")
+    updates.run_factor_updates(stream, *paths, f"{root}/log", availableNow=True).awaitTermination()
+    after = updates.updated_model(spark, *paths, f"{root}/log")
+    return _flat(_two_sides(after.users, after.items), "side", "id")
 
 
 @query

@@ -116,6 +116,10 @@ def answer(
     in_stored = stored.where(filled).select("user", F.lit(True).alias("in_stored"))
     origin = F.when(F.col("in_cache"), "cache").when(F.col("in_stored"), "stored").otherwise("fresh")
     routed = valid.join(in_cache, "user", "left").join(in_stored, "user", "left").withColumn("origin", origin)
+    # Every branch below reads the routed requests: they are worked out once.
+    path = fresh_path(requests.sparkSession, "routed")
+    routed.write.parquet(path)
+    routed = requests.sparkSession.read.parquet(path)
 
     from_cache = routed.where(F.col("origin") == "cache")
     from_stored = routed.where(F.col("origin") == "stored")

@@ -15,6 +15,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pickwell.functions.columns import rank_key
+from pickwell.functions.frames import numbered
 from pickwell.model import FactorModel
 
 TABLES = (
@@ -25,6 +27,8 @@ TABLES = (
 RANK = 5
 NOW = 996624000000
 DAY_MS = 86400000
+FIRST_DAY = 1704067200000
+"""The day of the first event, 2024-01-01."""
 
 _FEATURES = """@ARRAY(
     CAST(sum(q - 25) AS DOUBLE), CAST(sum(n - 4) AS DOUBLE),
@@ -76,18 +80,12 @@ VIEWS: dict[str, str] = {
     "bought": """SELECT "user", item, pos FROM (SELECT CAST(cust AS INT) AS "user", CAST(part AS INT) AS item,
         CAST(row_number() OVER (PARTITION BY cust ORDER BY total DESC, part) AS INT) AS pos
         FROM (SELECT cust, part, sum(q) AS total FROM lines GROUP BY cust, part) t) r""",
-    # All parts, most bought first. Places are counted inside hundreds of the total, and the parts of
-    # higher hundreds are added, so no window sees all parts.
-    "part_totals": """SELECT part, sum(q) AS total, floor(sum(q) / 100) AS hundred FROM lines GROUP BY part""",
+    # All parts, most bought first; Spark counts places over ranges, see view().
+    "part_totals": "SELECT part, sum(q) AS total FROM lines GROUP BY part",
     "top_list": """SELECT CASE WHEN place <= 100000 THEN lpad(CAST(place - 1 AS STRING), 5, '0')
-        ELSE CAST(place - 1 AS STRING) END AS rank_key, item FROM (
-        SELECT CAST(p.part AS INT) AS item,
-        h.above + row_number() OVER (PARTITION BY p.hundred ORDER BY p.total DESC, p.part) AS place
-        FROM part_totals p JOIN (
-        SELECT hundred, coalesce(sum(n) OVER (ORDER BY hundred DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-        AS above FROM (SELECT hundred, count(*) AS n FROM part_totals GROUP BY hundred) c) h
-        ON p.hundred = h.hundred) r""",
-    "cids": "SELECT CAST(r_regionkey AS INT) + 1 AS cid FROM region WHERE r_name IN ('AFRICA', 'AMERICA')",
+        ELSE CAST(place - 1 AS STRING) END AS rank_key, item FROM (SELECT CAST(part AS INT) AS item,
+        row_number() OVER (ORDER BY total DESC, part) AS place FROM part_totals) r""",
+    "cids": "SELECT CAST(r_regionkey AS INT) + 1 AS cid FROM region",
     "params": """SELECT CAST(c_custkey AS INT) AS "user", CAST(1 AS INT) AS cid, CAST(0.7 AS DOUBLE) AS weight,
         lpad(CAST(c_nationkey AS STRING), 5, '0') AS "offset" FROM customer WHERE c_mktsegment = 'BUILDING'
         UNION ALL SELECT CAST(c_custkey AS INT), CAST(2 AS INT), CASE c_mktsegment WHEN 'BUILDING'
@@ -109,6 +107,7 @@ VIEWS: dict[str, str] = {
     "requests": """SELECT event_id AS seq, CASE WHEN event_type <> 'error' THEN CAST(user_id AS INT) END AS "user",
         1 AS page, CASE WHEN event_type <> 'signup' THEN CAST(least(floor(value / 5) + 1, 20) AS INT) END AS per_page
         FROM events""",
+    "timed_requests": """SELECT r.*, e.ts AS at FROM requests r JOIN events e ON r.seq = e.event_id""",
     "updates": """SELECT event_id AS seq, CASE WHEN value < 20 THEN 'User' WHEN value < 90 THEN 'Item'
         ELSE 'Shop' END AS tbl,
         CASE event_type WHEN 'error' THEN 'Remove' WHEN 'signup' THEN 'Unknown' ELSE 'Update' END AS "option",
@@ -149,6 +148,9 @@ def with_views(names: list[str], dialect: str = "duckdb") -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "top_list":
+        placed = numbered(view(spark, sf_dir, "part_totals"), [F.desc("total"), "part"], "place")
+        return placed.select(rank_key(F.col("place") - 1).alias("rank_key"), F.col("part").cast("int").alias("item"))
     sql = f"{with_views([name], 'spark')} SELECT * FROM {name}"
     for table in TABLES:
         if re.search(rf"\b(FROM|JOIN) {table}\b", sql):

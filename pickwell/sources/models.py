@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from datetime import datetime
+from time import time_ns
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
-from pickwell.sources.files import children, exists
+from pickwell.sources.files import children, exists, remove
+
+class Saved(Protocol):
+    """A model of the caller's own that writes itself to a folder."""
+
+    def save(self, path: str) -> None: ...
+
 
 VERSIONS = "path string, published_at timestamp"
 
@@ -48,6 +56,36 @@ def latest_model(spark: SparkSession, root: str) -> str | None:
     return None
 
 
+def save_version(model: FactorModel | Saved, spark: SparkSession, root: str, number: int) -> str:
+    """Write a model as version ``number`` under ``root``; a version written again comes after what it repeats.
+
+    The mark that it is complete is written last, so a save that broke off is not found.
+    """
+    path = f"{root}/version-{number:012d}-{time_ns():020d}"
+    if isinstance(model, FactorModel):
+        as_factors(model.users).write.parquet(f"{path}/model/users")
+        as_factors(model.items).write.parquet(f"{path}/model/items")
+        spark.range(1).select(F.lit(model.rank).alias("rank")).write.json(f"{path}/model/rank")
+    else:
+        model.save(f"{path}/model")
+    spark.range(1).select(F.lit(number).alias("number")).write.json(f"{path}/complete")
+    return path
+
+
+def newest_saved(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest complete version, None without one."""
+    for entry in reversed(children(spark, root)):
+        if entry.name.startswith("version-") and exists(spark, f"{entry.path}/complete/_SUCCESS"):
+            return entry.path
+    return None
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Remove all but the newest ``keep`` versions and what broke off before them."""
+    for entry in [e for e in children(spark, root) if e.name.startswith("version-")][:-keep]:
+        remove(spark, entry.path)
+
+
 def publish_model(spark: SparkSession, registry: str, path: str, at: datetime) -> None:
     """Append a version event."""
     row = spark.createDataFrame([(path, at)], VERSIONS)

@@ -1,18 +1,15 @@
 """Keyed tables on plain parquet: last write wins.
 
-A table is a folder of committed parts, ``base-N`` or ``delta-N-writer``. ``upsert``
-only appends a delta the size of its input, one row per key, so writing a micro-batch does not
-rewrite the table; ``read_table`` keeps the newest row per key with one
-aggregation that the next join on the key can reuse; ``compact`` folds the
-parts into a new base now and then, while nobody writes. Parts are numbered as they are written, after all
-there are, and bear their writer's name, so no writer replaces another's part or comes too early to be seen. A
-part counts once its write committed; a batch that a writer repeats replaces its own part.
+A table is a folder of committed parts, each what one ``upsert`` appended: one row per key with the part's ``version`` and
+whether it removes its key, so writing a micro-batch does not rewrite the table. Reading keeps the newest row per key with one
+aggregation that the next join on the key can reuse. A batch that a writer repeats replaces its own part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from time import time_ns
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +19,14 @@ from pickwell.functions.columns import encode_ids
 from pickwell.sources.files import children, exists, remove
 
 
-def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
-    """Committed parts as ``(number, kind, folder)``, oldest first."""
-    found = []
-    for entry in children(spark, path):
-        kind, _, rest = entry.name.partition("-")
-        if kind in ("base", "delta") and exists(spark, f"{entry.path}/_SUCCESS"):
-            found.append((int(rest.partition("-")[0]), kind, entry.path))
-    return sorted(found)
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Committed parts, oldest first."""
+    found = [e.path for e in children(spark, path) if e.name.startswith("part-")]
+    return [p for p in found if exists(spark, f"{p}/_SUCCESS")]
 
 
-def _write(rows: DataFrame, path: str, part: str, number: int) -> None:
-    rows.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/{part}")
+def _version(part: str) -> int:
+    return int(part.rpartition("/")[2].split("-")[1])
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -43,23 +36,18 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def create_table(spark: SparkSession, path: str, schema: str) -> None:
     """An empty table, unless there is one."""
     if not table_exists(spark, path):
-        empty = spark.createDataFrame([], StructType.fromDDL(schema))
-        _write(empty.withColumn("deleted", F.lit(False)), path, f"base-{0:012d}", 0)
+        rows = spark.createDataFrame([], StructType.fromDDL(schema))
+        rows.withColumns({"deleted": F.lit(False), "version": F.lit(0).cast("bigint")}).write.parquet(f"{path}/part-{0:020d}-empty")
 
 
 def drop_table(spark: SparkSession, path: str) -> bool:
     return remove(spark, path)
 
 
-def next_version(spark: SparkSession, path: str) -> int:
-    parts = _parts(spark, path)
-    return parts[-1][0] + 1 if parts else 1
-
-
 def upsert(
     rows: DataFrame, path: str, keys: list[str], order: str | None = None, writer: str | None = None, deleted: str | None = None
 ) -> int:
-    """Append ``rows`` as one version; returns its number.
+    """Append ``rows`` as one version, a time in nanoseconds, and return it.
 
     Of several rows of a key the one with the largest ``order`` counts, without
     ``order`` the largest row. ``writer`` names this batch of a stream: given again, it
@@ -68,58 +56,49 @@ def upsert(
     """
     spark = rows.sparkSession
     tag = uuid.uuid4().hex if writer is None else hashlib.sha256(writer.encode()).hexdigest()[:32]
-    mine = [number for number, kind, folder in _parts(spark, path) if kind == "delta" and folder.endswith(f"-{tag}")]
-    number = mine[0] if mine else next_version(spark, path)
+    mine = [p for p in _parts(spark, path) if p.endswith(f"-{tag}")]
+    part = mine[0] if mine else f"{path}/part-{time_ns():020d}-{tag}"
     flag = F.lit(False) if deleted is None else F.col(deleted)
-    one = last_per_key(rows, keys, order).withColumn("deleted", flag)
-    _write(one.drop(deleted) if deleted and deleted != "deleted" else one, path, f"delta-{number:012d}-{tag}", number)
-    return number
+    one = last_per_key(rows, keys, [order] if order else []).withColumn("deleted", flag)
+    one = one.drop(deleted) if deleted and deleted != "deleted" else one
+    one.withColumn("version", F.lit(_version(part)).cast("bigint")).write.mode("overwrite").parquet(part)
+    return _version(part)
 
 
-def last_per_key(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; partial maxima are taken before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.dropDuplicates(keys)
-    row = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    row = F.struct(*order, *[c for c in rest if c not in order])
     newest = rows.groupBy(*keys).agg(F.max(row).alias("r"))
     return newest.select(*keys, "r.*").select(rows.columns)
 
 
-def _current(spark: SparkSession, path: str, keys: list[str]) -> tuple[DataFrame, list[tuple[int, str, str]]]:
-    parts = _parts(spark, path)
-    bases = [number for number, kind, _ in parts if kind == "base"]
-    start = max(bases) if bases else -1
-    live = [p for p in parts if p[0] > start or p[:2] == (start, "base")]
-    if not live:
-        raise FileNotFoundError(f"no table at {path}")
-    rows = spark.read.parquet(*[folder for _, _, folder in live])
-    if len(live) > 1:
-        rows = last_per_key(rows, keys, "version")
-    return rows.where(~F.col("deleted")), parts
+def _newest(spark: SparkSession, parts: list[str], keys: list[str], order: str | None) -> DataFrame:
+    rows = spark.read.parquet(*parts)
+    return rows if len(parts) == 1 else last_per_key(rows, keys, [order, "version"] if order else ["version"])
 
 
-def read_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of every key."""
-    rows, _ = _current(spark, path, keys)
-    return rows.drop("deleted", "version")
+def read_table(spark: SparkSession, path: str, keys: list[str], order: str | None = None) -> DataFrame:
+    """The newest row of every key; with ``order``, a column of the table, the one with the largest, whenever it came."""
+    parts = _parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no table at {path}")
+    return _newest(spark, parts, keys, order).where(~F.col("deleted")).drop("deleted", "version")
 
 
-def compact(spark: SparkSession, path: str, keys: list[str], drop_old: bool = False) -> None:
-    """Fold all parts into a base numbered like the newest part.
+def compact(spark: SparkSession, path: str, keys: list[str], order: str | None = None) -> None:
+    """Fold all parts into one and remove them, while nobody else reads or writes.
 
-    Old parts are ignored from then on; ``drop_old`` deletes them, for when no
-    reader still uses them. The part of a batch that may be repeated should still be there.
+    Rows that remove their key stay, so a change that comes late still finds them. If this breaks off, what is left
+    reads the same. The part of a batch that may be repeated should not be folded yet.
     """
-    rows, parts = _current(spark, path, keys)
-    number = max(p[0] for p in parts)
-    if any(p[0] == number and p[1] == "base" for p in parts):
-        return
-    _write(rows, path, f"base-{number:012d}", number)
-    if drop_old:
-        for old, kind, folder in parts:
-            if old < number or kind == "delta":
-                remove(spark, folder)
+    parts = _parts(spark, path)
+    if len(parts) > 1:
+        _newest(spark, parts, keys, order).write.parquet(f"{path}/part-{_version(parts[-1]):020d}-{uuid.uuid4().hex}")
+        for old in parts:
+            remove(spark, old)
 
 
 LISTS = "user int, items array<int>"

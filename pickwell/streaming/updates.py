@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pickwell.functions.frames import union_all
 from pickwell.model import FactorModel
 from pickwell.operators.factors import as_factors
-from pickwell.sources.tables import upsert
+from pickwell.sources.files import exists
+from pickwell.sources.tables import read_table, upsert
 
 # Fixed values of the event fields.
 USER, ITEM = "User", "Item"
@@ -19,8 +20,8 @@ SIDES = {USER: "users", ITEM: "items"}
 
 
 def first_rank(updates: DataFrame) -> int | None:
-    """Vector length of the first Update, which fixes an empty model's rank."""
-    row = updates.where(F.col("option") == UPDATE).agg(F.min_by(F.size("feature"), "seq").alias("rank")).first()
+    """Vector length of the first Update of a known table, which fixes an empty model's rank."""
+    row = updates.where(F.col("tbl").isin(USER, ITEM) & (F.col("option") == UPDATE)).agg(F.min_by(F.size("feature"), "seq").alias("rank")).first()
     return row.rank
 
 
@@ -32,17 +33,17 @@ def accepted_updates(updates: DataFrame, rank: int) -> DataFrame:
 
 
 def last_updates(updates: DataFrame, rank: int) -> DataFrame:
-    """The change that counts for each (tbl, id): ``(tbl, id, features, deleted)``.
+    """The change that counts for each (tbl, id): ``(tbl, id, seq, features, deleted)``.
 
     A maximum per key, taken in part before the shuffle, so an id that gets
     a third of all changes is no hot group.
     """
     newest = accepted_updates(updates, rank).groupBy("tbl", "id").agg(
-        F.max_by(F.struct("option", "feature"), "seq").alias("e")
+        F.max_by(F.struct("option", "feature"), "seq").alias("e"), F.max("seq").alias("seq")
     )
     removed = F.col("e.option") == REMOVE
     features = F.when(~removed, F.col("e.feature").cast("array<double>"))
-    return newest.select("tbl", "id", features.alias("features"), removed.alias("deleted"))
+    return newest.select("tbl", "id", "seq", features.alias("features"), removed.alias("deleted"))
 
 
 def apply_factor_updates(model: FactorModel | None, updates: DataFrame) -> FactorModel | None:
@@ -66,20 +67,49 @@ def apply_factor_updates(model: FactorModel | None, updates: DataFrame) -> Facto
     return FactorModel(rank, *sides)
 
 
+def stream_rank(batch: DataFrame, number: int, record: str) -> int | None:
+    """The rank that the first Update of a stream fixes, None while there was none.
+
+    The batch that brings it writes it to ``record`` before anything else, so the batch repeated, and every later one, reads the same.
+    """
+    spark = batch.sparkSession
+    if exists(spark, f"{record}/_SUCCESS"):
+        return spark.read.schema("batch bigint, rank int").json(record).first().rank
+    rank = first_rank(batch)
+    if rank is not None:
+        spark.createDataFrame([(number, rank)], "batch bigint, rank int").write.mode("overwrite").json(record)
+    return rank
+
+
 def run_factor_updates(
-    updates: DataFrame, users_path: str, items_path: str, rank: int, checkpoint: str, **trigger
+    updates: DataFrame, users_path: str, items_path: str, checkpoint: str, rank: int | None = None, **trigger
 ) -> StreamingQuery:
-    """Keep two keyed factor tables up to date from a stream of changes."""
+    """Keep two keyed factor tables up to date from a stream of changes.
+
+    Tables keep the ``seq`` of each id's last change, removals too; read with ``order='seq'``
+    (:func:`updated_model`) they hold what the changes leave in order of ``seq``, in whatever order they
+    arrived. Without ``rank`` the model is empty and the first Update fixes it.
+    """
     paths = {USER: users_path, ITEM: items_path}
 
     def handle(batch: DataFrame, number: int) -> None:
-        last = last_updates(batch, rank).persist()
-        try:
-            for tbl, path in paths.items():
-                mine = last.where(F.col("tbl") == tbl).select("id", "features", "deleted")
-                upsert(mine, path, ["id"], writer=f"{checkpoint}#{number}", deleted="deleted")
-        finally:
+        fixed = stream_rank(batch, number, f"{checkpoint}/rank") if rank is None else rank
+        last = last_updates(batch, fixed).persist() if fixed is not None else None
+        for tbl, path in paths.items() if last is not None else ():
+            mine = last.where(F.col("tbl") == tbl).select("id", "seq", "features", "deleted")
+            upsert(mine, path, ["id"], order="seq", writer=f"{checkpoint}#{number}", deleted="deleted")
+        if last is not None:
             last.unpersist()
 
     writer = updates.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def updated_model(spark: SparkSession, users_path: str, items_path: str, checkpoint: str, rank: int | None = None) -> FactorModel | None:
+    """The model that :func:`run_factor_updates` keeps; None before the first Update."""
+    if rank is None:
+        record = f"{checkpoint}/rank"
+        if not exists(spark, f"{record}/_SUCCESS"):
+            return None
+        rank = spark.read.schema("batch bigint, rank int").json(record).first().rank
+    return FactorModel(rank, *(read_table(spark, p, ["id"], order="seq").drop("seq") for p in (users_path, items_path)))

@@ -125,13 +125,63 @@ def test_served_lists_join_both_models(spark):
     old = FactorModel(RANK, frame(spark, range(5), vectors(5, 1)), frame(spark, range(9), vectors(9, 2)))
     new = FactorModel(RANK, frame(spark, range(3, 8), vectors(5, 3)), frame(spark, range(20, 29), vectors(9, 4)))
     ids = spark.createDataFrame([(i,) for i in range(10)], "id int")
-    rows = merging.serve_items(ids, old, new, k=4).collect()
+    rows = scoring.ranked(merging.serve_items(ids, old, new, k=4)).collect()
     assert {r.user for r in rows} == set(range(8))
     assert all(len([r for r in rows if r.user == u]) == 8 for u in range(8))
-    only = merging.serve_items(ids, None, new, k=4).collect()
+    only = scoring.ranked(merging.serve_items(ids, None, new, k=4)).collect()
     assert {r.user for r in only} == set(range(3, 8)) and max(r.rank for r in only) == 4
-    assert {r.user for r in merging.merged_topn_users(ids, old, None, 2).collect()} == set(range(5))
+    assert {r.id for r in merging.merged_topn_users(ids, old, None, 2).collect()} == set(range(5))
+    assert all(len(r.matches) == 3 for r in merging.serve_items(ids, old, new, k=4, limit=3).collect())
+    assert all(len(r.matches) == 3 for r in merging.serve_items(ids, old, None, k=4, limit=3).collect())
     with pytest.raises(ValueError):
         merging.serve_items(ids, None, None)
     with pytest.raises(ValueError):
         merging.merged_topn_bulk(FactorModel(2, old.users, old.items), new)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_lists_stay_nested(spark):
+    old = FactorModel(RANK, frame(spark, range(5), vectors(5, 1)), frame(spark, range(9), vectors(9, 2)))
+    new = FactorModel(RANK, frame(spark, range(3, 8), vectors(5, 3)), frame(spark, range(20, 29), vectors(9, 4)))
+    ids = spark.createDataFrame([(i,) for i in range(10)], "id int")
+    partial = spark.createDataFrame([], scoring.PART_DDL)
+    for df in (
+        merging.serve_items(ids, old, new, k=4), merging.serve_users(ids, old, new, k=4), scoring.merge_lists(partial, 3, 99),
+        merging.merged_topn_users(ids, old, new, 3, dedupe="max"),
+    ):
+        assert "Window" not in plan_of(df) and "Generate" not in plan_of(df)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_partial_lists_merge_level_by_level(spark, k, distinct):
+    rng = np.random.default_rng(k)
+    rows, want = [], {}
+    for id_ in range(6):
+        for part in rng.permutation(30)[: rng.integers(1, 30)]:
+            own = sorted({int(t): float(rng.integers(-3, 4)) for t in rng.integers(0, 40, rng.integers(1, 6))}.items(), key=lambda m: (-m[1], m[0]))
+            rows.append((int(part), id_, own))
+            want.setdefault(id_, []).extend(own)
+    partial = spark.createDataFrame(rows, scoring.PART_DDL)
+    got = {r.id: [tuple(m) for m in r.matches] for r in scoring.merge_lists(partial, k, 30, fan_in=3, distinct=distinct).collect()}
+    for id_, pairs in want.items():
+        if distinct:
+            pairs = {t: max(s for u, s in pairs if u == t) for t, _ in pairs}.items()
+        assert got[id_] == sorted(pairs, key=lambda m: (-m[1], m[0]))[:k]
+
+
+def test_the_grid_leaves_out_what_the_longest_targets_rule_out(spark):
+    rng = np.random.default_rng(3)
+    users, items = vectors(80, 5), vectors(400, 6) * np.exp(rng.uniform(-6, 3, 400))[:, None]
+    model = FactorModel(RANK, frame(spark, range(80), users), frame(spark, range(400), items))
+    for k in (1, 8, 60, 500):
+        grid = scoring.plan_grid(model.users, model.items, RANK, k, False, 40, 10)
+        needing = grid.sources.count()
+        # A first group of fewer than k targets sets no bound.
+        assert grid.groups == 10 and (needing == 80 if k > 40 else needing < 60)
+        assert grid.cells.count() == grid.cells.distinct().count() <= 16 * 9
+        got = as_dict(scoring.items_for_all_users(model, k, broadcast_bytes=0, cell_rows=40))
+        assert got == brute(users, range(400), items, k)

@@ -95,6 +95,30 @@ def test_nested_fusing_equals_the_rows(spark):
     assert sorted(map(tuple, fusion.listed(nested, 9).collect())) == want
     assert sorted(map(tuple, fusion.history_of(nested).collect())) == sorted(map(tuple, fusion.history_rows(rows).collect()))
     assert fusion.fused_lists(pulled.limit(0)).count() == 0
+    opened = fusion.fused_rows(pulled, seed=3).select(rows.columns)
+    assert sorted(map(tuple, opened.collect())) == sorted(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("ids", [1, 1 << 21])
+def test_nested_fusing_with_nulls_extremes_and_many_candidates(spark, monkeypatch, ids):
+    """A few ids a pass, and all; null users and items, ids at the ends of their type, more candidates than a key has bits for."""
+    monkeypatch.setattr(fusion, "STEP_IDS", ids)
+    low, high = -(1 << 31), (1 << 31) - 1
+    schema = "user int, cid int, items array<int>"
+    some = [(None, 1, [5, None, -7, 5]), (None, 2, [None, low]), (1, 1, [None, 0, low, high]), (1, 2, [0, None, high]), (2, 1, None), (3, 3, [low])]
+    many = [(4, c, [c % 7, None]) for c in range(70_000)]
+    for rows in (some, many):
+        pulled = spark.createDataFrame(rows, schema)
+        want = fusion.rank_fused(fusion.fuse(K.units(pulled)), seed=2)
+        for given in (want, fusion.rank_fused(fusion.fuse(K.units(pulled), [1, 2]), seed=2)):
+            got = fusion.fused_rows(pulled, seed=2).select(given.columns)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, given.collect()))
+
+
+def test_fusing_counts_in_a_hash_aggregate(spark):
+    units = spark.createDataFrame([(1, 5, 1)], "user int, item int, cid int")
+    plan = fusion.fuse(units, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") - plan.count("ObjectHashAggregate") >= 2
 
 
 @pytest.mark.parametrize("by_item", [False, True])
