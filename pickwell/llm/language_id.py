@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pickwell.llm.chars import LETTER, classes, code_points, joined
 from pickwell.llm.common import over_texts, texts_of
 
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 48, 1_024, 24_000
-"""A language's training text: passages of at most so many characters of distinct texts in hash order, until there
-are so many texts and so many symbols; further symbols are cut. This bounds the automata; predictions read whole texts."""
+SAMPLE_ROWS, SHORT = 32, 2_048
+"""A language's training text: so many distinct texts, taken whole, those of at most ``SHORT`` characters in hash order first and
+then the shortest others. This bound on rows bounds the automata; predictions read all rows and whole texts."""
 WINDOW = 1_024
-"""Phrases end at multiples of so many symbols, in every text and for every language."""
+"""Symbols of a text that are parsed side by side with others; phrases go on over the ends of windows."""
 CHUNK = 1 << 20
 """Characters parsed side by side."""
 UNKNOWN, GAP = 0, 1
@@ -58,6 +58,20 @@ class Automaton:
         to[rare] = np.where(self.keys[at] == wanted, self.targets[at], 0)
         return to
 
+    def move(self, state: int, symbol: int) -> tuple[int, int]:
+        """The state after one symbol, and how many phrases it starts."""
+        to = self._one(state, symbol)
+        if to:
+            return to, 0
+        to = self._one(0, symbol)
+        return to, 1 + (to == 0)
+
+    def _one(self, state: int, symbol: int) -> int:
+        if symbol < self.columns:
+            return int(self.table[state * self.columns + symbol])
+        at = np.searchsorted(self.keys, state * self.width + symbol)
+        return int(self.targets[at]) if self.keys[at] == state * self.width + symbol else 0
+
 
 def _steps(symbols: np.ndarray) -> list[dict[int, int]]:
     """Transitions of each state of the suffix automaton."""
@@ -89,10 +103,22 @@ def _steps(symbols: np.ndarray) -> list[dict[int, int]]:
     return steps
 
 
+def _over_border(automaton: Automaton, symbols: np.ndarray, state: int, last: int) -> tuple[int, int]:
+    """State at the end of a window that is entered in ``state``, and how many phrases more start in it than from the root, where it ends in ``last``."""
+    other = more = 0
+    for symbol in symbols.tolist():
+        if state == other:
+            return last, more
+        state, mine = automaton.move(state, symbol)
+        other, theirs = automaton.move(other, symbol)
+        more += mine - theirs
+    return state, more
+
+
 class Languages:
     """Automata of all languages, built from their training texts."""
 
-    def __init__(self, texts: dict[str, list[str]], most: int = SAMPLE_SYMBOLS) -> None:
+    def __init__(self, texts: dict[str, list[str]]) -> None:
         self.names = sorted(texts)
         counts = Counter("".join(t.lower() for name in self.names for t in texts[name]))
         letters = sorted((c for c in counts if classes()[ord(c)] == LETTER), key=lambda c: (-counts[c], c))
@@ -103,7 +129,7 @@ class Languages:
             self.symbol[ord(c)] = i + 2
         self.automata, self.bits = [], []
         for name in self.names:
-            symbols = np.concatenate([self.symbols([t])[0] for t in texts[name]] or [np.zeros(0, np.uint8)])[:most]
+            symbols = np.concatenate([self.symbols([t])[0] for t in texts[name]] or [np.zeros(0, np.uint8)])
             self.automata.append(Automaton(symbols, self.width))
             self.bits.append(np.log2(max(2, len(symbols))))
 
@@ -125,7 +151,8 @@ class Languages:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol, texts by languages, and whether a text has letters.
 
-        Windows of all texts are parsed side by side, one symbol of each at a step.
+        Windows of all texts are parsed side by side, one symbol of each at a step, as if each began a phrase. From the second window
+        of a text on, the phrase that reaches over its start is followed until both ways of parsing agree, and the count mended.
         """
         symbols, starts, lettered = self.symbols(texts)
         sizes = np.diff(starts)
@@ -135,24 +162,31 @@ class Languages:
         begin = starts[owner] + nth * WINDOW
         length = np.minimum(WINDOW, starts[owner + 1] - begin)
         order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        longest = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(longest), side="left")  # windows longer than step
+        lane = np.argsort(order)  # where each window is among those ordered by length
+        ordered, lengths = begin[order], length[order]
+        longest = int(lengths[0]) if len(lengths) else 0
+        active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # windows longer than step
         bits = np.zeros((len(texts), len(self.names)))
-        steps = [symbols[begin[:n] + t].astype(np.int64) for t, n in enumerate(active.tolist())]
+        steps = [symbols[ordered[:n] + t].astype(np.int64) for t, n in enumerate(active.tolist())]
         root = np.zeros(len(begin), np.int64)
+        later = np.flatnonzero(nth > 0)
         for j, automaton in enumerate(self.automata):
             state = np.zeros(len(begin), np.int64)
-            phrases = np.ones(len(begin), np.int64)
+            started = np.zeros(len(begin), np.int64)
             for symbol in steps:
                 n = len(symbol)
                 to = automaton.next(state[:n], symbol)
                 miss = np.flatnonzero(to == 0)
                 again = automaton.next(root[: len(miss)], symbol[miss])
                 to[miss] = again
-                phrases[miss] += 1 + (again == 0)
+                started[miss] += 1 + (again == 0)
                 state[:n] = to
-            bits[:, j] = np.bincount(owner, phrases, len(texts)) * self.bits[j] / np.maximum(1, sizes)
+            state, started = state[lane], started[lane]
+            for w in later.tolist():
+                state[w], more = _over_border(automaton, symbols[begin[w] : begin[w] + length[w]], int(state[w - 1]), int(state[w]))
+                started[w] += more
+            phrases = 1 + np.bincount(owner, started, len(texts))
+            bits[:, j] = phrases * self.bits[j] / np.maximum(1, sizes)
         return bits, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -170,34 +204,20 @@ class Languages:
 def training_texts(
     docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, list[str]]:
-    """Bounded training text by language, from rows with letters and language that meet ``rows`` (on ``doc_id``).
-
-    A passage starts where a hash of its text says, so openings that many texts share do not
-    fill the sample. A language with fewer distinct texts than :data:`SAMPLE_ROWS` takes copies for the rest.
-    """
+    """Training texts by language: at most :data:`SAMPLE_ROWS` distinct ones with letters, whole, from rows with a language that
+    meet ``rows`` (on ``doc_id``)."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = known.where(rows & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    starts = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
-    start = (F.pmod(F.xxhash64("text", F.lit("start")), starts) + 1).cast("int")
-    passage = F.col("text").substr(start, F.lit(SAMPLE_CHARS))
-    lettered = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)
-    known = known.select("lang", F.xxhash64("text", F.lit("sample")).alias("place"), F.when(passage.rlike(r"\p{L}"), passage).otherwise(lettered).alias("text"))
-    known = known.where(F.col("text") != "")
-    # Only hashes and sizes are shuffled; copies are one row after each task's own sums.
-    size = F.length(F.regexp_replace("text", r"\P{L}+", " "))
-    distinct = known.groupBy("lang", "place").agg(F.count("*").alias("copies"), F.min(size).alias("size"))
-    by = Window.partitionBy("lang").orderBy("place")
-    # Each text has a symbol; a rank with a limit is cut in every task before rows are shuffled.
-    ranked = distinct.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLE_SYMBOLS)
-    summed = ranked.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    chosen = summed.where((F.col("rank") <= SAMPLE_ROWS) | (F.col("before") < SAMPLE_SYMBOLS)).select("lang", "place", "rank", "copies")
-    found = known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank", "copies").agg(F.min("text").alias("text"))
+    known = known.where(rows & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select("lang", F.xxhash64("text", F.lit("sample")).alias("place"), "text")
+    # Only hashes and sizes are shuffled; a rank with a limit is cut in every task before that.
+    distinct = known.groupBy("lang", "place").agg(F.min(F.length("text")).alias("size"))
+    by = Window.partitionBy("lang").orderBy(F.greatest(F.col("size"), F.lit(SHORT)), "place")
+    chosen = distinct.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLE_ROWS).select("lang", "place", "rank")
+    found = known.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    spare: dict[str, list[str]] = {}
     for row in sorted(found.collect()):
         texts.setdefault(row["lang"], []).append(row["text"])
-        spare.setdefault(row["lang"], []).extend([row["text"]] * min(row["copies"] - 1, SAMPLE_ROWS))
-    return {lang: own + spare[lang][: max(0, SAMPLE_ROWS - len(own))] for lang, own in texts.items()}
+    return texts
 
 
 _BUILT: dict[int, Languages] = {}

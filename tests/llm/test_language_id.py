@@ -1,5 +1,6 @@
 import numpy as np
-from hypothesis import given, settings
+import pytest
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from odd import documents, empty, fold
 from pyspark.sql import functions as F
@@ -11,24 +12,23 @@ TEXTS = {"aa": ["Banana bandana, ban an ananas", "nab a banana"], "bb": ["zig za
 
 
 def phrases(symbols, known):
-    """Fewest phrases that occur in the training symbols, windows and unknown symbols as documented."""
-    total = 0
-    for start in range(0, max(1, len(symbols)), L.WINDOW):
-        window, begin = symbols[start : start + L.WINDOW], 0
-        total += 1
-        for i in range(len(window)):
-            if window[begin : i + 1] not in known:
-                begin = i
+    """Fewest phrases that occur in the training symbols; an unknown symbol is a phrase."""
+    total, begin = 1, 0
+    for i in range(len(symbols)):
+        if symbols[begin : i + 1] not in known:
+            begin = i
+            total += 1
+            if symbols[i : i + 1] not in known:
+                begin = i + 1
                 total += 1
-                if window[i : i + 1] not in known:
-                    begin = i + 1
-                    total += 1
     return total
 
 
-@settings(max_examples=25, deadline=None)
+@pytest.mark.parametrize("window", [1, 3, L.WINDOW])
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.text("banzigé -A", max_size=60), st.text(max_size=20)), max_size=8))
-def test_phrases_against_brute_force(texts):
+def test_phrases_against_brute_force(monkeypatch, window, texts):
+    monkeypatch.setattr(L, "WINDOW", window)
     languages = L.Languages(TEXTS)
     bits, lettered = languages.entropies(texts)
     for j, name in enumerate(languages.names):
@@ -77,29 +77,34 @@ def test_predictions_of_odd_rows(spark):
     assert L.predict(empty(spark), TEXTS).count() == 0
 
 
+def test_phrases_go_on_over_the_ends_of_windows():
+    languages = L.Languages({"aa": ["ab" * 3_000], "bb": ["ba" * 40]})
+    text = "ab" * 2_900
+    symbols = languages.symbols([text])[0].tobytes().decode("latin-1")
+    bits, _ = languages.entropies([text])
+    known = set()
+    for j, name in enumerate(languages.names):
+        train = languages.symbols([("ab" * 3_000, "ba" * 40)[j]])[0].tobytes().decode("latin-1")
+        known = {train[a:b] for a in (0, 1) for b in range(a + 1, len(train) + 1)}
+        assert np.isclose(bits[0, j], phrases(symbols, known) * languages.bits[j] / len(symbols))
+
+
 def test_training_sample_is_bounded_and_keeps_to_its_rows(spark):
-    docs = documents(spark, ["a" * 5_000] * 200 + [None, "b"]).withColumn(
+    docs = documents(spark, [f"{'abc'[i % 3] * 5_000} {i}" for i in range(200)] + [None, "b"]).withColumn(
         "lang", F.when(F.col("doc_id") == 201, None).when(F.col("doc_id") % 3 == 0, "x").otherwise("y")
     )
     texts = L.training_texts(docs, F.col("doc_id") != 1)
     assert set(texts) == {"x", "y"} and all(len(t) == L.SAMPLE_ROWS for t in texts.values())
-    assert all(len(t) == L.SAMPLE_CHARS for ts in texts.values() for t in ts)
+    assert all(len(t) > 5_000 and not t.endswith(" 1") for ts in texts.values() for t in ts)
     assert L.training_texts(empty(spark), F.lit(True)) == {}
 
 
-def test_training_sample_is_of_distinct_texts_with_letters(spark):
-    own = [f"{'ab'[i % 2] * (i + 1)} words" for i in range(100)]
-    opening = "opening " * 128
-    docs = documents(spark, ["copy"] * 500 + [""] * 200 + ["12 !"] * 200 + own).withColumn("lang", F.lit("x"))
-    texts = L.training_texts(docs, F.lit(True))["x"]
-    assert sorted(texts) == sorted(["copy", *own])
-    docs = documents(spark, [opening + chr(97 + i % 26) * 100_000 for i in range(60)] + ["1" * 5_000 + "late"]).withColumn("lang", F.lit("x"))
-    texts = L.training_texts(docs, F.lit(True))["x"]
-    assert len(texts) == L.SAMPLE_ROWS and len(set(texts)) == 27 and sum("opening" in t for t in texts) < 5
-    docs = documents(spark, [" ".join([chr(97 + i % 26) * 9, chr(97 + i // 26 % 26) * 9, str(i)]) for i in range(30_000)]).withColumn("lang", F.lit("x"))
+def test_training_sample_is_of_distinct_whole_texts_with_letters(spark):
+    own = [f"{'ab'[i % 2] * (i + 1)} words" for i in range(20)]
+    long = ["z" * (3_000 + i) for i in range(50)]
+    docs = documents(spark, ["copy"] * 500 + [""] * 200 + ["12 !"] * 200 + own + long).withColumn("lang", F.lit("x"))
     texts = L.training_texts(docs, F.lit(True))["x"]
-    assert len(set(texts)) == len(texts)
-    assert L.SAMPLE_SYMBOLS <= len(L.Languages({"x": texts}).symbols(texts)[0]) <= 1.2 * L.SAMPLE_SYMBOLS
+    assert sorted(texts) == sorted(["copy", *own, *long[: L.SAMPLE_ROWS - 21]])
 
 
 def test_query_on_held_out_rows(spark):
