@@ -8,6 +8,7 @@ pass these take the label of their nearest decided neighbours.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -30,13 +31,22 @@ BOILERPLATE = frozenset(
 )
 #: Elements that leave a head open; any other, or text, ends it.
 IN_HEAD = frozenset("base bgsound head html link meta noframes noscript script style template title".split())
-#: Words that tell a part which is not the main text, as a whole class, id or role or as its first word.
+#: Words that tell a part which is not the main text, as a whole class, id or role, or with words of place and form.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
     "cookie cookies disclaimer disqus footer gdpr header login menu modal nav navbar navigation newsletter notice "
     "notification pagination popup promo promotion promoted recommended related respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that say where a part is, and what form it has; with them a mark stays one.
+PLACES = frozenset("bottom global left lower right secondary site sticky top upper".split())
+FORMS = frozenset(
+    "area bar block bottom box button buttons cell column container content form group holder icons inner item items left "
+    "links list main outer panel posts region right row section sticky strip top wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a heading of a comment thread can stand for.
+THREADS = frozenset("aside details div ol section ul".split())
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its "
@@ -70,15 +80,22 @@ _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 _WORD = re.compile(r"[^\W\d_]+")
 _FOREIGN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 """Letters that are not Latin; no stop list has them."""
+_THREAD = re.compile(
+    r"\W*(?:\d+\W*(?:reader\W+)?(?:comments?|replies|responses|commentaires?|kommentare?|comentarios?)"
+    r"|(?:reader\W+)?(?:comments?|replies|responses|commentaires?|kommentare?|comentarios?)\W*\d+)\W*\Z", re.I,
+)
+"""A heading that counts comments."""
 _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
 class Mark:
-    """An element that its class, id or role, or being a form, tells to be no main text; lifted where it holds an article or main."""
+    """An element that its class, id or role, or being a form, tells to be no main text; lifted where it holds an article or main,
+    unless it is a comment thread, whose comments may be articles."""
 
     around: Mark | None
     lifted: bool = False
+    thread: bool = False
 
 
 @dataclass
@@ -100,9 +117,21 @@ class _Open:
     link: bool
     mark: Mark | None = None
     article: bool = False
+    block: int = 0
+    """Where the nearest block element is on the stack, itself included."""
+
 
+def _names(word: str, content: bool) -> bool:
+    """Whether a class, id or role names a part that is no main text; a header inside the content is one of its own."""
+    if content and word == "header":
+        return False
+    parts = re.split("[_-]+", word)
+    while len(parts) > 1 and parts[0] in PLACES:
+        del parts[0]
+    return parts[0] in MARKS and all(p in MARKS or p in FORMS or p.isdigit() for p in parts)
 
-def _marks(attributes: str) -> tuple[bool, bool]:
+
+def _marks(attributes: str, content: bool) -> tuple[bool, bool]:
     """Whether attributes hide an element, and whether a class, id or role marks it."""
     marked = False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -113,7 +142,7 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             if "display:none" in value.replace(" ", ""):
                 return True, marked
         elif name in ("class", "id", "role"):
-            marked = marked or any(word in MARKS or re.split("[_-]", word, maxsplit=1)[0] in MARKS for word in value.split())
+            marked = marked or any(_names(word, content) for word in value.split())
     return False, marked
 
 
@@ -121,15 +150,31 @@ def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order. Unclosed paragraphs and items end at the next block, a head at
     what cannot be in one; other elements end with their tag or that of an element around them.
 
-    A mark holds for all in its element, unless that is or has a main or an article. Articles inside an article
-    (its comments, as HTML has it) lift no mark.
+    A mark holds for all in its element, unless that is or has a main or an article; headings bear none of their own. Articles
+    inside an article (its comments, as HTML has it) lift no mark, nor do those after a heading that counts comments, which marks the
+    rest of the element it is in. The time is linear in the page: what is open is counted by name.
     """
     stack = [_Open("", False, False, False)]
     blocks = [Block(False, False)]
+    opened: Counter[str] = Counter()
+
+    def close(depth: int) -> None:
+        opened.subtract(o.tag for o in stack[depth:])
+        del stack[depth:]
+
+    def close_last(tag: str) -> bool:
+        """Close the innermost element of this name and all in it."""
+        if not opened[tag]:
+            return False
+        depth = len(stack) - 1
+        while stack[depth].tag != tag:
+            depth -= 1
+        close(depth)
+        return True
 
     def text(raw: str) -> None:
         if stack[-1].tag == "head" and not raw.isspace():
-            stack.pop()
+            close(len(stack) - 1)
             new_block()
         block = blocks[-1]
         decoded = unescape(raw)
@@ -158,40 +203,40 @@ def blocks_of(html: str) -> list[Block]:
             continue
         is_block = tag in BLOCKS
         if token["end"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
-            if is_block or depth:
+            heading = blocks[-1] if tag in HEADINGS else None
+            closed = close_last(tag)
+            if heading is not None and closed and stack[-1].tag in THREADS and _THREAD.match("".join(heading.parts)):
+                heading.mark = stack[-1].mark = Mark(stack[-1].mark, thread=True)
+            if is_block or closed:
                 _settle(is_block, new_block, blocks, stack)
             continue
-        if tag == "body" or tag not in IN_HEAD and stack[-1].tag == "head":
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "head"), 0)
-            if depth:
-                del stack[depth:]
-                new_block()
+        if (tag == "body" or tag not in IN_HEAD and stack[-1].tag == "head") and close_last("head"):
+            new_block()
         if is_block:
-            closes = (tag,) if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else ()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            around = stack[-1].block
+            if stack[around].tag == "p" or stack[around].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                close(around)
         top = stack[-1]
         header = tag == "header" and not top.content
         bad, mark = top.boilerplate or tag in BOILERPLATE or header, top.mark
         marked = tag == "form"
-        if tag not in ("html", "body") and ("=" in token["attributes"] or "hidden" in token["attributes"].lower()):
-            hidden, named = _marks(token["attributes"])
+        if tag not in ("html", "body") and tag not in HEADINGS and ("=" in token["attributes"] or "hidden" in token["attributes"].lower()):
+            hidden, named = _marks(token["attributes"], top.content)
             bad, marked = bad or hidden, marked or named
+        elif tag in HEADINGS and token["attributes"]:
+            bad = bad or _marks(token["attributes"], True)[0]
         if tag == "main" or tag == "article" and not top.article:
-            while not bad and mark and not mark.lifted:
+            while not bad and mark and not mark.lifted and not mark.thread:
                 mark.lifted, mark = True, mark.around
             mark = top.mark
         elif marked:
             mark = Mark(top.mark)
         if not token["attributes"].endswith("/") or is_block:
-            stack.append(_Open(tag, bad, top.content or tag in CONTENT, top.link or tag == "a", mark, top.article or tag == "article"))
+            stack.append(_Open(
+                tag, bad, top.content or tag in CONTENT, top.link or tag == "a", mark, top.article or tag == "article",
+                len(stack) if is_block else top.block,
+            ))
+            opened[tag] += 1
             _settle(is_block or bad != top.boilerplate, new_block, blocks, stack)
     if at < len(html):
         text(html[at:])

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -63,6 +65,85 @@ def test_no_article_is_lost(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<article><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>{OTHER}</section></article>", f"{LONG}\nRelated work\n{OTHER}"),
+    (f"<article><h1 class=header-title>Title</h1><p>{LONG}</article>", f"Title\n{LONG}"),
+    (f"<article><div class=header><h1>Title</h1></div><p>{LONG}</article>", f"Title\n{LONG}"),
+    (f"<article><p>{LONG}</p><p class=notice-of-award>{OTHER}</article>", f"{LONG}\n{OTHER}"),
+    (f"<article><p>{LONG}</p><h2 class=notice>Second part</h2><p>{OTHER}</article>", f"{LONG}\nSecond part\n{OTHER}"),
+    (f"<div class=social-science><p>{LONG}</p></div>", LONG),
+    (f"<div id=search-engine-history><h1>Search</h1><p>{LONG}</p><p>{OTHER}</div>", f"Search\n{LONG}\n{OTHER}"),
+    *((f"<div class='{c}'><p>{OTHER}</div><p>{LONG}", LONG) for c in ("ad", "ad-box", "sidebar_left", "left-sidebar", "site-header", "cookie-notice", "related-posts", "x social-links")),
+    *((f"<article><p>{LONG}</p></article><section><h3>{h}</h3><article><p>{OTHER}</article><article><p>{OTHER}</article></section>", LONG)
+      for h in ("12 Comments", "Comments (3)", "2 reader comments", "3 Kommentare")),
+    (f"<article><p>{LONG}</p><section><h3>Comments on the text</h3><p>{OTHER}</section></article>", f"{LONG}\nComments on the text\n{OTHER}"),
+    (f"<article><p>{LONG}</p><div><h2>1 comment</h2><ul><li><p>{OTHER}</ul></div><p>{OTHER}</article>", f"{LONG}\n{OTHER}"),
+])
+def test_names_count_as_a_whole_and_threads_by_their_heading(html, text):
+    assert H.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 100_000 + "</b>" * 100_000, "<b>" * 100_000 + "<div></div>" * 100_000, "<div>" * 100_000 + "<body>" * 100_000,
+    "<div class=ad>" * 100_000 + "<article>" * 100_000, "<p>" * 200_000, "<li><b>" * 100_000, "<a '" * 100_000, "<i>" * 100_000 + "</i>" * 100_000,
+])
+def test_time_is_linear_in_the_page(html):
+    start = time.process_time()
+    H.main_text(html + LONG)
+    assert time.process_time() - start < 12
+
+
+def plain_label(blocks):
+    """The two passes again, each rule by itself and the nearest decided block looked for one step at a time."""
+    visible = [len(b.text.replace(" ", "")) for b in blocks]
+    wide = [len(b.text) + 2 * sum("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" for c in b.text) for b in blocks]
+    words = [re.findall(r"[^\W\d_]+", b.text.lower()) for b in blocks]
+    stops = [sum(w in H.STOP_WORDS for w in ws) for ws in words]
+    foreign = [2 * sum(c.isalpha() and c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in b.text) > sum(map(len, ws)) for b, ws in zip(blocks, words)]
+    out = []
+    bad = [b.boilerplate or b.linked > H.LINK_DENSITY * v for b, v in zip(blocks, visible)]
+    long = [not x and w >= H.SHORT for x, w in zip(bad, wide)]
+    latin = [i for i in range(len(blocks)) if long[i] and not foreign[i]]
+    listed = sum(stops[i] for i in latin) >= H.LISTED * sum(len(words[i]) for i in latin)
+    for i, b in enumerate(blocks):
+        if bad[i]:
+            out.append("bad")
+        elif not long[i]:
+            out.append("bad" if b.linked and not b.content else "")
+        elif b.content:
+            out.append("good")
+        else:
+            dense = stops[i] >= H.STOP_DENSITY * len(words[i])
+            out.append("good" if words[i] and (dense or foreign[i] or not listed) else "bad")
+    final = list(out)
+    for i, b in enumerate(blocks):
+        if out[i]:
+            continue
+        region = [j for j, c in enumerate(blocks) if c.content == b.content and not (c.content and c.boilerplate)]
+        here = region.index(i)
+        for step in range(1, len(region) + 1):
+            near = [out[region[j]] for j in (here - step, here + step) if 0 <= j < len(region) and out[region[j]]]
+            if near:
+                break
+        favoured = "good" if b.content else "bad"
+        final[i] = favoured if not near or favoured in near else near[0]
+    return final
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_labels_against_a_plain_implementation(seed):
+    r = random.Random(seed)
+    texts = ["a", "menu", LONG, OTHER, JAPANESE, "日本" * 9, "日本" * 14, POLISH, "Brand Model Colour " * 5, "-" * 90, "the of and " * 9, "x" * 69, "x" * 70, "x" * 71]
+    blocks = []
+    for _ in range(r.randrange(1, 25)):
+        text = r.choice(texts).strip()
+        linked = r.choice([0, 0, 0, 1, len(text) // 2, len(text)])
+        blocks.append(H.Block(r.random() < 0.5, r.random() < 0.2, text=text, linked=linked))
+    want = plain_label(blocks)
+    H.label(blocks)
+    assert [b.label for b in blocks] == want
+
+
 def test_open_blocks_take_the_nearest_label():
     blocks = [H.Block(False, False, text=t) for t in ("x" * 80, "a", "b", "c", "the " * 30, "d", "e")]
     H.label(blocks)
