@@ -71,7 +71,7 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 })
 
 
-def in_parts(frames: Iterator[pd.DataFrame], limit: int = 1 << 22) -> Iterator[pd.DataFrame]:
+def in_parts(frames: Iterator[pd.DataFrame], limit: int = 1 << 19) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for start, stop in chunk_bounds(frame["text"].str.len().to_numpy(), limit):
             yield frame.iloc[start:stop]
@@ -109,19 +109,21 @@ def fit(
     rows: Column | None = None,
     per_class: int = SAMPLE_PER_CLASS,
     features: int = FEATURES,
+    least_rows: int = LEAST_ROWS,
+    least_chi2: float = LEAST_CHI2,
 ) -> Model:
     """Fit on a bounded sample of labelled rows; ``rows`` is a condition on ``doc_id`` of ``labels``.
 
-    Counts of n-grams are taken by Spark. At most ``features`` n-grams whose chi-squared statistic is
-    significant are kept; each is scaled by its log-count ratio, and a logistic regression with an L2
+    Counts of n-grams are taken by Spark. The ``features`` n-grams with the highest chi-squared statistic are
+    kept, of those that ``least_rows`` rows hold and whose statistic is ``least_chi2`` at least; each is scaled by its log-count ratio, and a logistic regression with an L2
     penalty is fitted on what they leave of the sample (a few indices per row). Without
     rows of both classes, the score is the smoothed share of toxic rows.
     """
     chosen = sample(labels, F.lit(True) if rows is None else rows, per_class)
     # The sample has at most 2 * per_class narrow rows, so broadcasting it is safe at any input size.
-    rows_used = stored(
-        texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample"
-    )
+    # Of rows that repeat an id one counts, so no id owns the fit.
+    found = texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows_used = stored(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in rows_used.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -134,8 +136,8 @@ def fit(
     counted = rows_used.repartition(16, "doc_id").mapInPandas(count_grams, "gram long, n_toxic long, n_clean long")
     kept = (
         counted.groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-        .where(both >= LEAST_ROWS).select("gram", ratio.alias("ratio"), chi2.alias("chi2"))
-        .where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "gram").limit(features).collect()
+        .where(both >= least_rows).select("gram", ratio.alias("ratio"), chi2.alias("chi2"))
+        .where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "gram").limit(features).collect()
     )
     grams = np.array([r["gram"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(grams)
