@@ -29,6 +29,7 @@ TOXIC_AT = 0.7
 
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model that learns from the labels of the other folds."""
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 3) == 1
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
@@ -39,6 +40,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; of each the largest id stays."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
@@ -51,17 +53,20 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text to ids and back."""
     tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
 
 
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles are alike by 0.8 or more."""
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
@@ -75,12 +80,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1,024 ids."""
     tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
     return packing.pack(packing.cut(read(spark, sf_dir, "documents"), tokenizer))
 
 
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the other folds."""
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     texts = language_id.training_texts(docs, ~held_out)
@@ -89,6 +96,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that no 200-byte string found elsewhere covers."""
     left = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep="none")
     return left.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
@@ -98,6 +106,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every twentieth."""
     return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
@@ -214,8 +223,10 @@ keyed AS (
            CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial
     FROM damaged
 ), faulty AS (
-    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
-                   WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'ok' END AS fault,
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE 'ok' END AS fault,
            lag(initial) OVER (PARTITION BY conv_id ORDER BY nr) || initial AS pair
     FROM turns
 ), whole AS (

@@ -156,7 +156,8 @@ def redacted(text: Column, found: Column, by: str) -> Column:
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, by: str = "[secret]") -> DataFrame:
-    """``docs`` with the findings of their texts replaced and ``n_chars`` to match; other columns as they are.
+    """``docs`` with the findings of their texts replaced, and ``n_chars``, if there, to match; other columns as they are. Null texts
+    stay null; rows that repeat an id are each redacted by their own text.
 
     Blobs with findings are few; up to a counted number they are broadcast, so that texts stay where they are.
     """
@@ -167,5 +168,7 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, by: st
     joined = docs.join(known if total > SMALL_ROWS else F.broadcast(known), blob_of(text) == known["_secret_blob"], "left")
     found = known["_secret_found"]
     new = F.when(found.isNull(), docs["text"]).otherwise(redacted(text, found, by))
-    changed = {"text": new, "n_chars": F.when(found.isNull(), docs["n_chars"]).otherwise(F.length(new).cast("long"))}
+    changed = {"text": new}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(found.isNull(), docs["n_chars"]).otherwise(F.length(new).cast("long"))
     return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))

@@ -65,6 +65,24 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     assert C.pack(spark, empty(spark), SF).count() == 0
 
 
+def test_repeated_ids_long_texts_and_ties_over_the_stages(spark):
+    long = "word " * 60_000 + "end"
+    texts = ["a b c d e f", "x y z w v u", long, None, "a b c d e f", long + " more", "q q q q q q"]
+    docs = documents(spark, texts, [1, 1, 2, None, 3, 4, 1]).repartition(3)
+    left = C.drop_exact(spark, docs, SF)
+    rows = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    want = sorted([("1", texts[1]), ("2", long), ("None", ""), ("3", texts[0]), ("4", texts[5]), ("1", texts[6])])
+    assert rows(left) == want
+    left = C.drop_near(spark, left, SF)
+    want = [w for w in want if w[0] != "4"]
+    assert rows(left) == want
+    left = C.redact_secrets(spark, left, SF)
+    assert rows(left) == want and rows(C.redact_secrets(spark, left.drop("n_chars"), SF)) == want
+    pieces = C.pack(spark, left, SF).collect()
+    tokens = {(str(r.doc_id), r.doc_tokens) for r in pieces}
+    assert len(pieces) > 60 and {i for i, _ in tokens} == {"1", "2", "None", "3"} and ("None", 1) in tokens
+
+
 def test_registered():
     assert "pipeline" in queries() and "pipeline" not in oracle_sql()
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
