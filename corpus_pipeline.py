@@ -19,30 +19,33 @@ TOXIC_AT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold, by a classifier fitted on the labelled ones."""
+    """Documents that score below the threshold, by a classifier fitted on the labelled ones. Null texts count as empty, which score
+    as the classifier's bias alone; every row is judged by its own text, whatever its id."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.below(docs, model, TOXIC_AT)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; null texts count as empty, null ids come last, and a row
+    repeated with its id shares the fate of its twin."""
     return exact_dedup.drop_exact_copies(docs, keep="max")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id."""
+    """Of each group of near copies the one with the smallest id; texts without words are near to none, and rows that repeat an
+    id are one document."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced; null texts stay null."""
     ledger = fresh_path(spark, "secret-ledger")
     secret_scan.scan_unseen(docs, ledger)
     return secret_scan.redact(docs, ledger)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and offset."""
+    """Pieces of the documents with their sequence and offset; a null or empty text is one piece, its end id."""
     tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
     return packing.pack(packing.cut(docs, tokenizer))
 
