@@ -909,7 +909,7 @@ def _answer_stream(spark: SparkSession, sf: str, ttl_ms: int) -> DataFrame:
     cached = _cached(spark, sf).withColumn("begin_time", (F.lit(FIRST_DAY) + F.col("user") % 10 * DAY_MS).cast("bigint"))
     entries = answering.first_entries(cached, _stored(spark, sf), _lists(spark, sf))
     responses = answering.answer_stream(stream, entries, ttl_ms, stored_refill=20, cached_refill=20)
-    answering.run_answers(responses, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    answering.run_answers(responses, f"{root}/out", f"{root}/log", partitions=8, availableNow=True).awaitTermination()
     return _shown(spark.read.schema(answering.RESPONSES).parquet(f"{root}/out"))
 
 

@@ -134,18 +134,25 @@ def answer_stream(
 
 
 @contextmanager
-def _state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store that keyed state with timers needs, for queries started inside; the session's setting stays."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+def _settings(spark: SparkSession, **wanted: str | None) -> Iterator[None]:
+    """Settings for queries started inside; the session's own stay as they were."""
+    names = {"store": _STORE, "partitions": "spark.sql.shuffle.partitions"}
+    before = {names[k]: spark.conf.get(names[k], None) for k, v in wanted.items() if v is not None}
+    for key, value in wanted.items():
+        if value is not None:
+            spark.conf.set(names[key], value)
     try:
         yield
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def run_answers(responses: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append the responses of :func:`answer_stream` to a folder."""
+def run_answers(responses: DataFrame, path: str, checkpoint: str, partitions: int | None = None, **trigger) -> StreamingQuery:
+    """Append the responses of :func:`answer_stream` to a folder.
+
+    The state is kept in ``partitions`` parts (as many as a shuffle has, if not given), which a checkpoint fixes for good.
+    """
     writer = responses.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    with _state_store(responses.sparkSession):
+    with _settings(responses.sparkSession, store=_ROCKS, partitions=None if partitions is None else str(partitions)):
         return writer.outputMode("append").trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -41,7 +41,7 @@ def answers(spark, requests, parts, entries, **settings):
         frame.where((frame.seq >= low) & (frame.seq < high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     found = answering.answer_stream(stream, entries, **settings)
-    answering.run_answers(found, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    answering.run_answers(found, f"{root}/out", f"{root}/log", partitions=3, availableNow=True).awaitTermination()
     return frame, {r.seq: (r.page_items, r.status) for r in spark.read.schema(answering.RESPONSES).parquet(f"{root}/out").collect()}
 
 
@@ -54,7 +54,7 @@ def test_files_of_requests_give_the_pages_of_the_batch(spark, parts):
     frame, got = answers(spark, asked(rng, 150), parts, entries, ttl_ms=10**12, stored_refill=3, cached_refill=4)
     want = serving.answer(frame.drop("at"), cache, stored, fresh, 9, stored_refill=3, cached_refill=4).responses
     assert got == {r.seq: (r.page_items, r.status) for r in want.collect()} and len(got) == 150
-    assert spark.conf.get(answering._STORE, None) == before
+    assert spark.conf.get(answering._STORE, None) == before and spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
 def test_entries_that_are_left_too_long_are_gone(spark):
