@@ -51,7 +51,7 @@ def test_files_of_requests_give_the_pages_of_the_batch(spark, parts):
     cache, stored, fresh = tables(spark, rng)
     before = spark.conf.get(answering._STORE, None)
     entries = answering.first_entries(cache, stored, fresh)
-    frame, got = answers(spark, asked(rng, 150), parts, entries, ttl_ms=10**12, stored_refill=3, cached_refill=4)
+    frame, got = answers(spark, asked(rng, 150), parts, entries, ttl_ms=10**13, stored_refill=3, cached_refill=4)
     want = serving.answer(frame.drop("at"), cache, stored, fresh, 9, stored_refill=3, cached_refill=4).responses
     assert got == {r.seq: (r.page_items, r.status) for r in want.collect()} and len(got) == 150
     assert spark.conf.get(answering._STORE, None) == before and spark.conf.get("spark.sql.shuffle.partitions") == "4"
