@@ -252,13 +252,19 @@ def by_blocks(tied: DataFrame, percent: int) -> DataFrame:
         side, gram, doc, n, component = (table[c].to_numpy() for c in ("side", "gram", "doc", "n", "component"))
         one = not side.any()
         halves = [(side == 0), (side == 0) if one else (side == 1)]
-        docs, places = zip(*(np.unique(doc[h], return_index=True) for h in halves))
-        sizes_, groups = ([x[h][at] for h, at in zip(halves, places)] for x in (n, component))
-        row, column = np.searchsorted(docs[0], doc[halves[0]]), gram[halves[0]]
+        # An id that is repeated has a row for each of its sizes.
+        orders = [np.lexsort((n[h], doc[h])) for h in halves]
+        firsts = [np.r_[True, (np.diff(doc[h][o]) != 0) | (np.diff(n[h][o]) != 0)] for h, o in zip(halves, orders)]
+        own = []
+        for o, first in zip(orders, firsts):
+            own.append(np.empty(len(o), np.int64))
+            own[-1][o] = np.cumsum(first) - 1
+        docs, sizes_, groups = ([x[h][o][first] for h, o, first in zip(halves, orders, firsts)] for x in (doc, n, component))
+        row, column = own[0], gram[halves[0]]
         order = np.argsort(row, kind="stable")
         row, column = row[order], column[order]
         by = np.argsort(gram[halves[1]], kind="stable")
-        right_gram, right_row = gram[halves[1]][by], np.searchsorted(docs[1], doc[halves[1]])[by]
+        right_gram, right_row = gram[halves[1]][by], own[1][by]
         begin, end = (np.searchsorted(right_gram, column, side) for side in ("left", "right"))
         width, found = len(docs[1]), []
         # Each entry on the left meets the right's entries of its column, for some rows at a time.
@@ -266,9 +272,9 @@ def by_blocks(tied: DataFrame, percent: int) -> DataFrame:
             here = slice(*np.searchsorted(row, [top, top + STRIPE]))
             common = np.zeros(STRIPE * width, np.int32)
             for start, stop in runs(np.cumsum((end - begin)[here]) // PRODUCTS):
-                times, low, own = ((x[here])[start:stop] for x in (end - begin, begin, row))
+                times, low, mine = ((x[here])[start:stop] for x in (end - begin, begin, row))
                 met = right_row[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-                places, counts = np.unique(np.repeat(own - top, times) * width + met, return_counts=True)
+                places, counts = np.unique(np.repeat(mine - top, times) * width + met, return_counts=True)
                 common[places] += counts.astype(np.int32)
             met = np.flatnonzero(common)
             i, j, common = met // width + top, met % width, common[met]
@@ -307,11 +313,13 @@ def jaccard_components(
             "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first")
         ), "set-classes",
     ).withColumn("first", F.when(F.col("doc_id").isNotNull(), F.col("first")))
-    # Rows that repeat an id may lie in several classes.
-    repeated = member.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
-        F.min("first").alias("b"), F.max("first").alias("a")
+    # Rows that repeat an id may lie in several classes, and head one while they are copies in another.
+    ids = member.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
+        F.min("first").alias("low"), F.max("first").alias("high")
     )
-    copies = stored(member.where("first != doc_id").select("doc_id").distinct(), "copies")
+    several = member.where("n_shingles > 0").join(ids.where("low != high"), "doc_id", "left_semi")
+    repeated = several.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    copies = stored(ids.where("high != doc_id").select("doc_id"), "copies")
     own = rows.where(F.col("doc_id").isNotNull())
     heads = only(own, copies, "left_anti")
 
@@ -322,12 +330,11 @@ def jaccard_components(
     # Each document with the first one that it meets most, a pair a document; only those that this leaves alone with their others.
     most = F.max_by("a", F.struct("times", (-F.col("a")).alias("less"))).alias("a")
     nearest = stored(pairs.groupBy("b").agg(most).select("a", "b"), "nearest")
-    links = stored(similar(nearest, own, words, percent), "nearest-links")
-    alone = pairs.select("a", "b").join(links.select("b").distinct(), "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
+    linked = stored(similar(nearest, own, words, percent), "nearest-links")
+    alone = pairs.select("a", "b").join(linked.select("b").distinct(), "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
     others = stored(alone.select("a", "b"), "other-pairs")
     first_pairs = union_all(nearest, others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = union_all(links, similar(others, own, words, percent))
-    near = stored(components(links), "contracted")
+    near = stored(components(union_all(linked, similar(others, own, words, percent))), "contracted")
 
     columns = found.where("gram is not null").select("gram", F.col("a").alias("doc"), F.col("b").alias("n"))
     marked = columns.join(near.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
@@ -338,8 +345,13 @@ def jaccard_components(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")
     ).where("low != high and rows > 2").select("gram")
     live = stored(marked.join(mixed_columns, "gram", "left_semi"), "live-columns")
-    open_pairs = product(live, percent)
-    open_pairs = stored(open_pairs.distinct().join(first_pairs, ["a", "b"], "left_anti"), "open-pairs")
+    # Pairs of a first document that were left out as the other one had its link; columns of two rows hold no other pairs.
+    apart = near.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    left_out = pairs.select("a", "b").join(linked.select("b").distinct(), "b", "left_semi").join(apart, "a", "left").join(
+        apart.select(F.col("a").alias("b"), F.col("of_a").alias("of_b")), "b", "left"
+    ).where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    unlike = union_all(product(live, percent), left_out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    open_pairs = stored(unlike.distinct().join(first_pairs, ["a", "b"], "left_anti"), "open-pairs")
     more = similar(open_pairs, own, words, percent)
 
     joined = components(union_all(near.select(F.col("node").alias("a"), F.col("component").alias("b")), more, repeated.select("a", "b")))

@@ -100,6 +100,30 @@ def test_null_and_repeated_ids(spark):
     assert rows == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
 
 
+def test_a_row_between_two_others_links_with_both(spark):
+    """Every column holds two rows; the middle one meets both others equally often."""
+    middle = [f"w{i}" for i in range(100)]
+    left, right = (["x" if i in at else w for i, w in enumerate(middle)] for at in ((20, 40), (60, 80)))
+    texts = [" ".join(t) for t in (left, right, middle)]
+    assert {r[2] for r in brute(texts)} == {0}
+    assert set(found(spark, texts)) == brute(texts)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_an_id_that_heads_one_class_and_copies_another(spark, monkeypatch, small):
+    if small:
+        for name, value in {"FEW_ROWS": 1, "BLOCK_ROWS": 4}.items():
+            monkeypatch.setattr(J, name, value)
+    line = [f"w{i}" for i in range(60)]
+    one, like_one, other = " ".join(line), " ".join([*line, "end"]), "p q r s t u"
+    docs = documents(spark, [other, other, one, like_one, other], [1, 2, 2, 3, 9])
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (9, 1)}
+    # Classes of ids 1, 2 and 3, all tied by id 9.
+    docs = documents(spark, ["a b", "c d", "e f", "a b", "c d", "e f"], [1, 2, 3, 9, 9, 9])
+    assert {r.component_id for r in J.jaccard_components(docs).collect()} == {1}
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(empty(spark)).count() == 0
 
