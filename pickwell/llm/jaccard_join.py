@@ -37,6 +37,8 @@ FEW_ROWS = 64
 """Rows of a column up to which its pairs are made by a join."""
 BLOCK_ROWS, STRIPE, PRODUCTS = 32_768, 256, 1 << 20
 """Rows of a block, about, rows counted at a time (32 MB of counts), and products of entries summed at a time."""
+PAIRS_AT_ONCE = 256
+"""Pairs with the same first row that are sent to one place, about."""
 SMALL_IDS = 1_000_000
 """Ids up to this number (8 MB) are broadcast; more are joined by a shuffle."""
 
@@ -181,13 +183,19 @@ def similar(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
         for ids, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "grams"])
 
+    pairs = stored(pairs.select("a", "b").distinct(), "similar-pairs")
+    spots = F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).cast("int").alias("spots")
+    firsts = stored(pairs.groupBy("a").agg(spots), "first-rows")
+    dealt = pairs.join(firsts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("spots")).cast("int").alias("spot"))
     ids = stored(union_all(pairs.select(F.col("a").alias("doc_id")), pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
     grams = stored(only(rows, ids, "left_semi").mapInArrow(mapped, "doc_id long, grams array<long>"), "shingle-sets")
-    left = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
-    right = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
+    # A set is sent once for each pair it is the second of, and to each spot of those that it is the first of.
+    left = grams.join(small(firsts, SMALL_IDS), F.col("doc_id") == F.col("a")).select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("spots") - 1)).alias("spot"), F.col("grams").alias("left"))
+    right = grams.join(small(stored(dealt, "dealt-pairs"), SMALL_IDS), F.col("doc_id") == F.col("b")).select("a", "spot", "b", F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     alike = 100 * both >= percent * (F.size("left") + F.size("right") - both)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
+    return right.join(left, ["a", "spot"]).where(alike).select("a", "b").distinct()
 
 
 def product(live: DataFrame, percent: int) -> DataFrame:

@@ -124,6 +124,15 @@ def test_an_id_that_heads_one_class_and_copies_another(spark, monkeypatch, small
     assert {r.component_id for r in J.jaccard_components(docs).collect()} == {1}
 
 
+def test_pairs_of_one_row_are_dealt_to_several_places(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS_AT_ONCE", 2)
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = documents(spark, [line, *(f"{line} e{i}" for i in range(8)), "x " + line + " y z v w u t s r q p o n m l k"]).cache()
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 10)], "a long, b long")
+    got = J.similar(pairs, docs.select("doc_id", "text"), 5, 80).collect()
+    assert {tuple(r) for r in got} == {(0, i) for i in range(1, 9)} and len(got) == 8
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(empty(spark)).count() == 0
 
