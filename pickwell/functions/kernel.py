@@ -59,14 +59,15 @@ class Best:
     """The best ``k`` targets so far for each of ``n`` source rows.
 
     Unused places score minus infinity. ``distinct`` keeps one entry per
-    target id, the higher of at most two.
+    target id, the higher of at most two. ``least`` are scores known to be reached elsewhere; what lies below is left out.
     """
 
-    def __init__(self, n: int, k: int, distinct: bool):
+    def __init__(self, n: int, k: int, distinct: bool, least: np.ndarray | None = None):
         self.k, self.distinct = k, distinct
         self.id = np.zeros((n, 0), np.int32)
         self.score = np.zeros((n, 0))
-        self.floor = np.full(n, -np.inf)
+        self.least = np.full(n, -np.inf) if least is None else np.where(np.isnan(least), -np.inf, least)
+        self.floor = self.least.copy()
 
     def add(self, rows: np.ndarray, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         """Merge candidates of ``rows[at]``; ``at`` is ascending. Score desc, id asc."""
@@ -94,7 +95,7 @@ class Best:
             self.score = np.pad(self.score, grow, constant_values=-np.inf)
         self.id[rows], self.score[rows] = new_id, new_score
         if width == self.k:
-            self.floor = self.score[:, -1].copy()
+            self.floor = np.maximum(self.least, self.score[:, -1])
 
     @property
     def empty(self) -> bool:
@@ -196,14 +197,14 @@ def _plan(n: int, k: int, distinct: bool) -> tuple[int, int, bool]:
 
 
 def top_lists(
-    ids: np.ndarray, sources: np.ndarray, targets: Targets, k: int, distinct: bool = False
+    ids: np.ndarray, sources: np.ndarray, targets: Targets, k: int, distinct: bool = False, least: np.ndarray | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Best-k lists, a bounded number of source rows at a time."""
     block, width, _ = _plan(len(targets), k, distinct)
     step = max(1, CELLS // max(min(block, len(targets)), min(width, len(targets)), 1))
     for start in range(0, ids.size, step):
         part = sources[start : start + step]
-        best = Best(part.shape[0], k, distinct)
+        best = Best(part.shape[0], k, distinct, None if least is None else least[start : start + step])
         visit(best, part, targets)
         if not best.empty:
             yield best.lists(ids[start : start + step])

@@ -140,7 +140,7 @@ class Grid:
     """Targets in groups by falling length, and which sources still need which groups after the first.
 
     ``first`` holds the lists of the first group for every source. ``sources`` that need more have their ``shard``, all in it
-    with the same ``last`` group; ``cells`` are the pairs ``(shard, grp)`` to be scored.
+    with about the same last group, and their ``floor``, the score that is still of use to them; ``cells`` are the pairs ``(shard, grp)`` to be scored.
     """
 
     targets: DataFrame
@@ -158,7 +158,8 @@ def _score_cell(rank: int, k: int, distinct: bool):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, vectors = kernel.to_matrix(left, rank)
         found = kernel.Targets(*kernel.to_matrix(right, rank))
-        lists = pa.Table.from_batches(list(kernel.top_lists(ids, vectors, found, k, distinct)), kernel.LISTS)
+        floor = left["floor"].to_numpy() if "floor" in left.column_names else None
+        lists = pa.Table.from_batches(list(kernel.top_lists(ids, vectors, found, k, distinct, floor)), kernel.LISTS)
         part = right["grp"][0].as_py() if right.num_rows else 0
         return lists.add_column(0, "part", pa.array([part] * lists.num_rows, pa.int32()))
 
@@ -184,17 +185,29 @@ def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows:
     reach = F.transform(F.array(*map(F.lit, tops)), lambda top: top * F.col("length") * (1 + SLACK)) if tops else F.array().cast("array<double>")
     needed = F.size(F.filter(reach, lambda best: F.col("floor").isNull() | F.isnan("floor") | (best >= F.col("floor"))))
     asked = sources.withColumn("length", _length()).join(floor, F.col("id") == F.col("known"), "left")
-    asked = asked.select("id", "features", needed.alias("last")).where("last > 1")
+    asked = asked.select("id", "features", "floor", needed.alias("last")).where("last > 1")
     sizes = {r["last"]: r["count"] for r in asked.groupBy("last").count().collect()}
     most = max(1, min(source_rows, ceil(sum(sizes.values()) / wide)))
-    start, shards, cells = {}, {}, []
+    # Levels next to each other share a shard until it is full, so there are few shards more than the sources fill.
+    packs: list[list[int]] = []
+    filled = 0
     for last in sorted(sizes):
-        start[last], shards[last] = sum(shards.values()), ceil(sizes[last] / most)
-        cells += [(start[last] + i, grp) for i in range(shards[last]) for grp in range(1, last)]
-    levels = spark.createDataFrame([(last, start[last], shards[last]) for last in sizes], "level int, start int, n int")
+        if packs and filled + sizes[last] <= most:
+            packs[-1].append(last)
+        else:
+            packs.append([last])
+            filled = 0
+        filled += sizes[last]
+    levels, reached = [], []
+    for pack in packs:
+        n = ceil(sum(sizes[last] for last in pack) / most)
+        levels += [(last, len(reached), n) for last in pack]
+        reached += [(len(reached) + i, pack[-1]) for i in range(n)]
     shard = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
-    placed_sources = asked.join(F.broadcast(levels), F.col("last") == F.col("level")).select("id", "features", shard.alias("shard"))
-    return Grid(placed.select("id", "features", "grp"), first, placed_sources, spark.createDataFrame(cells, "shard int, grp int"), len(tops))
+    placed_sources = asked.join(F.broadcast(spark.createDataFrame(levels, "level int, start int, n int")), F.col("last") == F.col("level")).select(
+        "id", "features", "floor", shard.alias("shard"))
+    cells = spark.createDataFrame(reached, "shard int, last int").select("shard", F.explode(F.sequence(F.lit(1), F.col("last") - 1)).alias("grp"))
+    return Grid(placed.select("id", "features", "grp"), first, placed_sources, cells, len(tops))
 
 
 def _grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int) -> DataFrame:

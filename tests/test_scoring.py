@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pickwell.functions import kernel
 from pickwell.model import FactorModel
@@ -185,3 +186,25 @@ def test_the_grid_leaves_out_what_the_longest_targets_rule_out(spark):
         assert grid.cells.count() == grid.cells.distinct().count() <= 16 * 9
         got = as_dict(scoring.items_for_all_users(model, k, broadcast_bytes=0, cell_rows=40))
         assert got == brute(users, range(400), items, k)
+
+
+def test_levels_share_shards_and_cells_leave_out_what_is_too_low(spark):
+    """Sources that each need another number of groups: before, every one had a shard of its own."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(300, 2)) * np.linspace(1, 9, 300)[:, None]
+    targets = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id int, features array<double>")
+    angles = np.linspace(0, 3, 120)
+    sources = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)], "id int, features array<double>")
+    grid = scoring.plan_grid(sources, targets, 2, 3, False, 10, 1000)
+    needing = grid.sources.count()
+    wide = 2 * spark.sparkContext.defaultParallelism
+    levels = grid.cells.groupBy("shard").agg(F.max("grp").alias("last")).collect()
+    assert needing and len(levels) <= 2 * wide and grid.sources.where("floor is not null").count() == needing
+    cell = grid.targets.where("grp = 1").select("id", "features", "grp").toArrow()
+    asked = grid.sources.select("id", "features", "floor").toArrow()
+    found = scoring._score_cell(2, 3, False)(asked, cell).to_pylist()
+    floor = dict(zip(asked["id"].to_pylist(), asked["floor"].to_pylist()))
+    assert all(m["score"] >= floor[row["id"]] - 1e-9 for row in found for m in row["matches"])
+    got = {(r.user, r.rank): r.item for r in scoring.ranked(scoring.top_k(sources, targets, 2, 3, broadcast_bytes=0, cell_rows=10)).collect()}
+    scores = np.c_[np.cos(angles), np.sin(angles)] @ vectors.T
+    assert got == {(u, r + 1): int(i) for u in range(120) for r, i in enumerate(np.argsort(-scores[u])[:3])}
