@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 4
 """Users whose mean rating falls into the same stretch of this width are a group."""
+BROADCAST_ENTRIES = 1 << 20
+"""Entries of all groups' lists up to which the lists are broadcast (16 MB)."""
 
 
 def _nested(rows: DataFrame, key: str, other: str, k: int) -> DataFrame:
@@ -50,17 +52,21 @@ class TasteGroups:
     def load(cls, spark: SparkSession, path: str) -> TasteGroups:
         return cls(spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/scores"))
 
+    def _lists(self, k: int) -> DataFrame:
+        """The list of each group. Most users are in a few groups, so few lists go to the users and not users to a list."""
+        lists = _nested(self.scores, "grp", "item", k).withColumnRenamed("id", "grp")
+        few = self.scores.select("grp").distinct().count() * k <= BROADCAST_ENTRIES
+        return F.broadcast(lists) if few else lists
+
     def user_ids(self) -> DataFrame:
         return self.members.select(F.col("user").alias("id"))
 
     def items_for_users(self, ids: DataFrame, k: int) -> DataFrame:
-        lists = _nested(self.scores, "grp", "item", k).withColumnRenamed("id", "grp")
-        return ids.join(self.members, F.col("id") == F.col("user")).join(lists, "grp").select("id", "matches")
+        return ids.join(self.members, F.col("id") == F.col("user")).join(self._lists(k), "grp").select("id", "matches")
 
     def items_for_features(self, vectors: DataFrame, k: int) -> DataFrame:
         """A user's vector holds their mean rating."""
-        lists = _nested(self.scores, "grp", "item", k).withColumnRenamed("id", "grp")
-        return vectors.select("id", _group(F.col("features")[0]).alias("grp")).join(lists, "grp").select("id", "matches")
+        return vectors.select("id", _group(F.col("features")[0]).alias("grp")).join(self._lists(k), "grp").select("id", "matches")
 
     def _first_members(self, k: int) -> DataFrame:
         """Members of a group score alike, so no list needs more than its first ``k``."""
