@@ -31,20 +31,24 @@ def parse_ratings(lines: DataFrame, delimiter: str = ",", on_malformed: str = "d
         raise ValueError("on_malformed is 'drop' or 'default'")
     trimmed = F.regexp_replace("value", f"(?:{delimiter})+$", "")
     fields = F.transform(F.split(trimmed, delimiter), lambda f: f.try_cast("double"))
-    parsed = lines.select(fields.alias("f"))
-    f = F.col("f")
-    user, item = _checked_id(F.try_element_at(f, F.lit(1))), _checked_id(F.try_element_at(f, F.lit(2)))
-    extras = F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0)))
-    rating = F.aggregate(extras, F.try_element_at(f, F.lit(3)), lambda acc, x: acc + x * 2)
-    parsed = parsed.select(user.alias("user"), item.alias("item"), rating.alias("rating"))
-    good = F.col("user").isNotNull() & F.col("item").isNotNull() & F.col("rating").isNotNull()
+
+    def read(f: Column) -> Column:
+        user, item = _checked_id(F.try_element_at(f, F.lit(1))), _checked_id(F.try_element_at(f, F.lit(2)))
+        extras = F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0)))
+        rating = F.aggregate(extras, F.try_element_at(f, F.lit(3)), lambda acc, x: acc + x * 2)
+        return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"))
+
+    def good(r: Column) -> Column:
+        return r["user"].isNotNull() & r["item"].isNotNull() & r["rating"].isNotNull()
+
+    # One element per line: a filter on columns would be moved below them and split the line again for each.
+    parsed = F.transform(F.array(fields), read)
     if on_malformed == "drop":
-        return parsed.where(good)
-    return parsed.select(
-        F.when(good, F.col("user")).otherwise(0).alias("user"),
-        F.when(good, F.col("item")).otherwise(0).alias("item"),
-        F.when(good, F.col("rating")).otherwise(0.0).alias("rating"),
-    )
+        parsed = F.filter(parsed, good)
+    else:
+        zero = F.struct(F.lit(0).alias("user"), F.lit(0).alias("item"), F.lit(0.0).alias("rating"))
+        parsed = F.transform(parsed, lambda r: F.when(good(r), r).otherwise(zero))
+    return lines.select(F.inline(parsed))
 
 
 def apply_parser(lines: DataFrame, parser: Parser | None = None) -> DataFrame:
