@@ -53,7 +53,9 @@ def _lists(lists: DataFrame, k: int) -> DataFrame:
 
 
 def _asked(ids: DataFrame) -> DataFrame:
-    return ids.select(F.col("id").cast("int").alias("id")).where("id IS NOT NULL").distinct()
+    """The ids, once each. They are narrow but grow into lists, so they are dealt to a given number of tasks and not by bytes."""
+    typed = ids.select(F.col("id").cast("int").alias("id")).where("id IS NOT NULL")
+    return typed.repartition(scoring.tasks(ids.sparkSession), "id").distinct()
 
 
 def known_users(model: Model) -> DataFrame:

@@ -86,7 +86,7 @@ def top_k(
         held = spark.sparkContext.broadcast(kernel.to_matrix(sources.toArrow(), rank))
         spread = _evenly(targets)
         partial = spread.mapInArrow(_score_targets(held, rank, k), PART_DDL)
-        return merge_lists(partial, k, _tasks(spark))
+        return merge_lists(partial, k, tasks(spark))
     target_rows = max(1, min(cell_rows, CELL_BYTES // row_bytes))
     source_rows = max(1, min(cell_rows, CELL_BYTES // (row_bytes + 12 * k)))
     return _grid(sources, targets, rank, k, distinct, target_rows, source_rows)
@@ -97,12 +97,13 @@ def _evenly(vectors: DataFrame) -> DataFrame:
 
     Scoring costs per row, far more than reading it, while file splits and
     adaptive partitions are sized by bytes; one shuffle of the narrow vectors
-    gives every task the same work.
+    gives every task the same work. Vectors that a join has dealt by id already would keep its partitions, which may
+    be merged into one, so they are dealt by another hash.
     """
-    return vectors.repartition(_tasks(vectors.sparkSession), "id")
+    return vectors.repartition(tasks(vectors.sparkSession), F.xxhash64("id"))
 
 
-def _tasks(spark: SparkSession) -> int:
+def tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

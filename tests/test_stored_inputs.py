@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pickwell.functions.kernel import MATCHES_DDL
+from pickwell.operators import factors, recommenders, scoring
+from pickwell.operators.ratings import parse_ratings
 from pickwell.plans.taste import TasteGroups
 from pickwell.plans.views import models, stored, view
 
@@ -31,3 +34,29 @@ def test_a_few_groups_send_their_lists_to_the_users(spark):
     lists = TasteGroups.train(ratings).items_for_users(spark.range(40).select(F.col("id").cast("int")), 2)
     assert "strategy=broadcast" in plan(lists)
     assert {(r.id, tuple(m["id"] for m in r.matches)) for r in lists.collect()} == {(u, (2, 1)) for u in range(30)}
+
+
+def test_a_line_is_split_once(spark):
+    lines = spark.createDataFrame([("1,2,3",), ("x,2,3",)], "value string")
+    for how in ("drop", "default"):
+        assert plan(parse_ratings(lines, on_malformed=how).where("user > 0").groupBy("user").count()).count("split(") == 1
+
+
+def busy(df):
+    """Tasks that have rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_vectors_found_by_a_join_are_spread_for_scoring(spark):
+    one = spark.range(400).select(F.col("id").cast("int"), F.array(F.lit(1.0)).alias("features"))
+    assert busy(scoring._evenly(factors.resolve_factors(one.select("id"), one, one))) >= 8
+
+
+def test_narrow_ids_are_spread_before_they_grow_into_lists(spark):
+    class Same:
+        def items_for_users(self, ids, k):
+            return ids.select("id", F.array(F.struct(F.lit(1).alias("id"), F.lit(1.0).alias("score"))).cast(MATCHES_DDL).alias("matches"))
+
+    twice = spark.range(400).select((F.col("id") % 200).cast("int").alias("id"))
+    lists = recommenders.items_for(Same(), twice, 3)
+    assert busy(lists) >= 8 and lists.count() == 200
