@@ -49,7 +49,16 @@ def busy(df):
 
 def test_vectors_found_by_a_join_are_spread_for_scoring(spark):
     one = spark.range(400).select(F.col("id").cast("int"), F.array(F.lit(1.0)).alias("features"))
-    assert busy(scoring._evenly(factors.resolve_factors(one.select("id"), one, one))) >= 8
+    # As many partitions as scoring asks for, and a join by shuffle.
+    with_joins = {"spark.sql.shuffle.partitions": str(scoring.tasks(spark)), "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in with_joins}
+    try:
+        for k, v in with_joins.items():
+            spark.conf.set(k, v)
+        assert busy(scoring._evenly(factors.resolve_factors(one.select("id"), one, one))) >= 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_narrow_ids_are_spread_before_they_grow_into_lists(spark):
