@@ -9,7 +9,8 @@
     number of pairs linear in the column. Pairs found similar, by exact overlap, are contracted.
 4.  Only columns that still hold several components remain. Their product, summed per pair over
     the columns, counts overlaps in the prefixes; pairs whose count leaves them below the bound
-    that their sizes set are discarded and the others are compared exactly. Where columns are long,
+    that their sizes set are discarded and the others are compared exactly. Before any sets are compared, counts of
+    their shingles by ranges of hashes bound what two sets can share, and only sets of pairs that this leaves open are sent. Where columns are long,
     the product is taken in blocks of rows, so that no pair of rows leaves a task but the open ones.
 
 Pairs inside a component are never made, so a large group of near copies costs as much as a star.
@@ -176,6 +177,44 @@ def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(small(ids, SMALL_IDS), "doc_id", how)
 
 
+def bins(one: np.ndarray) -> bytes | None:
+    """How many shingles of a set fall into each of some equal ranges of hashes, two to four a range; None if a byte cannot count them."""
+    bits = max(1, len(one) // 2).bit_length() - 1
+    places = (one >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
+    counts = np.bincount(places, minlength=1 << bits)
+    return None if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def most_common(one: bytes | None, other: bytes | None) -> float:
+    """The most shingles that two sets with such bins can share."""
+    if one is None or other is None:
+        return float("inf")
+    x, y = sorted((np.frombuffer(b, np.uint8) for b in (one, other)), key=len)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)).sum())
+
+
+def possible(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` without those whose counts by ranges of hashes show that they are not similar. Whole sets are
+    many times larger than the counts, so only sets of the pairs left need to be sent to each other."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, words):
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bins(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bins"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = percent * (batch["n"].to_numpy() + batch["m"].to_numpy())
+            most = np.array([most_common(*(b.as_py() for b in two)) for two in zip(batch["left"], batch["right"])], float)
+            yield batch.select(["a", "b"]).filter(pa.array(most * (100 + percent) >= need))
+
+    ids = stored(union_all(pairs.select(F.col("a").alias("doc_id")), pairs.select(F.col("b").alias("doc_id"))).distinct(), "bounded-ids")
+    counts = stored(only(rows, ids, "left_semi").mapInArrow(counted, "doc_id long, n long, bins binary"), "shingle-counts")
+    left = counts.join(small(pairs, SMALL_IDS), F.col("doc_id") == F.col("a")).select("a", "b", "n", F.col("bins").alias("left"))
+    right = counts.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bins").alias("right"))
+    return left.join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(bounded, "a long, b long").distinct()
+
+
 def similar(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose sets are similar, by the exact overlap of the whole sets."""
 
@@ -184,6 +223,7 @@ def similar(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "grams"])
 
     pairs = stored(pairs.select("a", "b").distinct(), "similar-pairs")
+    pairs = stored(possible(pairs, rows, words, percent), "possible-pairs")
     spots = F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).cast("int").alias("spots")
     firsts = stored(pairs.groupBy("a").agg(spots), "first-rows")
     dealt = pairs.join(firsts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("spots")).cast("int").alias("spot"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,3 +170,24 @@ def test_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = [tuple(r) for r in QUERIES["op5_jaccard_join"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == len(rows) and set(got) == brute([r.text for r in rows])
+
+
+def test_bins_bound_what_sets_share():
+    draw = np.random.default_rng(1)
+    for n, m in ((1, 1), (3, 9), (40, 50), (700, 790), (700, 90)):
+        one, other = (np.unique(draw.integers(0, 2**64 - 1, k, np.uint64)) for k in (n, m))
+        for shared in (0, min(n, m) // 2, min(n, m)):
+            x, y = one, np.unique(np.r_[one[:shared], other[shared:]])
+            assert J.most_common(J.bins(x), J.bins(y)) >= len(np.intersect1d(x, y))
+    crowded = np.arange(300, dtype=np.uint64)
+    assert J.bins(crowded) is None and J.most_common(None, J.bins(one)) == float("inf")
+
+
+def test_sets_of_unlike_rows_are_not_sent(spark):
+    """Long texts of the same size that share a few shingles are told apart by their counts."""
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(500)) for _ in range(300)) for _ in range(4)]
+    texts.append(texts[0] + " more words")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 4)], "a long, b long")
+    assert [tuple(r) for r in J.possible(pairs, rows, 5, 80).collect()] == [(0, 4)]
