@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pickwell.sources.files import Entry, children, exists, remove
 
 FILES_PER_HOUR = 10
+FOLD_TASKS = 1000
+"""Tasks that write the files of a fold, at most."""
 
 
 def read_messages(spark: SparkSession, fmt: str = "kafka", *, stream: bool = True, **options: str) -> DataFrame:
@@ -85,7 +87,7 @@ def fold_hours(
     every = {h: [e for e in children(spark, h[2]) if e.name.startswith("batch=")] for h in hours}
     numbers = [_number(e) for found in every.values() for e in found]
     newest = max(numbers, default=-1) + (0 if running else 1)
-    sources, gone = [], []
+    sources, folded, gone = [], [], []
     for (day, hour, place), found in every.items():
         if before is not None and day + hour >= before:
             continue
@@ -93,13 +95,18 @@ def fold_hours(
         gone += [e.path for e in found if e not in live and _number(e) < newest]
         if len(live) > 1 or live and not live[0].name.startswith("batch=f"):
             sources.append(live)
+            folded.append((day, hour))
     if sources:
         upto = max(_number(e) for live in sources for e in live)
         reader = spark.read.schema("value string, day string, hour string").option("basePath", path)
         rows = reader.text([e.path for live in sources for e in live])
         part = F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(files))
-        dealt = rows.select("value", "day", "hour", F.lit(f"f{upto:012d}").alias("batch"), part.alias("part"))
-        _write_folders(dealt.repartition("day", "hour", "part").drop("part"), path)
+        dealt = rows.select("value", "day", "hour", F.lit(f"f{upto:012d}").alias("batch"))
+        # A task a file, while they are not too many: dealt by a hash, several large files would fall to one task.
+        places = spark.createDataFrame([(day, hour, i * files) for i, (day, hour) in enumerate(folded)], "day string, hour string, place int")
+        task = F.pmod(F.col("place") + part, F.lit(FOLD_TASKS)).cast("int")
+        placed = dealt.join(F.broadcast(places), ["day", "hour"]).repartitionById(min(len(folded) * files, FOLD_TASKS), task)
+        _write_folders(placed.drop("place"), path)
         gone += [e.path for live in sources for e in live if e.name != f"batch=f{upto:012d}"]
     for folder in gone:
         remove(spark, folder)

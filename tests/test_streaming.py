@@ -193,6 +193,18 @@ def test_closed_hours_are_folded_once_and_lose_nothing(spark):
     assert folders("00") == [f"batch=f{4:012d}"] and lines() == sorted(want)
 
 
+def test_a_fold_gives_every_file_a_task(spark, monkeypatch):
+    root = fresh_path(spark, "spread")
+    rows = [(f"line {i}", "20240101", f"{i % 4:02d}") for i in range(2000)]
+    land(spark, root, rows)
+    tasks, write = [], messages._write_folders
+    with_task = lambda df: df.select("day", "hour", F.spark_partition_id().alias("task"))
+    monkeypatch.setattr(messages, "_write_folders", lambda df, at: (tasks.extend(with_task(df).distinct().collect()), write(df, at)))
+    assert messages.fold_hours(spark, f"{root}/out", files=3, running=False) == 4
+    assert len({t.task for t in tasks}) == len(tasks) == 12
+    assert sorted(r.value for r in messages.read_latest(spark, f"{root}/out", 1).collect()) == sorted(r[0] for r in rows)
+
+
 def test_a_repeated_batch_replaces_its_folders(spark):
     out = fresh_path(spark, "twice")
     rows = spark.createDataFrame([("a", "20240101", "00", "000000000000"), ("b", "20240101", "01", "000000000000")], "value string, day string, hour string, batch string")
