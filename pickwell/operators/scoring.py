@@ -89,7 +89,7 @@ def top_k(
         return merge_lists(partial, k, tasks(spark))
     target_rows = max(1, min(cell_rows, CELL_BYTES // row_bytes))
     source_rows = max(1, min(cell_rows, CELL_BYTES // (row_bytes + 12 * k)))
-    return _grid(sources, targets, rank, k, distinct, target_rows, source_rows)
+    return _grid(sources, targets, rank, k, distinct, target_rows, source_rows, broadcast_bytes)
 
 
 def _evenly(vectors: DataFrame) -> DataFrame:
@@ -167,17 +167,25 @@ def _score_cell(rank: int, k: int, distinct: bool):
     return score
 
 
-def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int) -> Grid:
-    """Score everything against the longest targets first; a source's k-th score there says how short a target may be to matter."""
+def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int, broadcast_bytes: int = 0) -> Grid:
+    """Score everything against the longest targets first; a source's k-th score there says how short a target may be to matter.
+
+    The longest group is broadcast if its rows may be, else it meets all sources in shards, each of which gets a copy of it.
+    """
     spark = sources.sparkSession
     placed = numbered(targets.withColumn("length", _length()), [F.desc("length"), "id"], "place")
     placed = placed.withColumn("grp", F.floor((F.col("place") - 1) / target_rows).cast("int"))
     # One row per group of very many targets.
     tops = [r["top"] for r in placed.groupBy("grp").agg(F.max("length").alias("top")).orderBy("grp").collect()]
     wide = max(1, ceil(2 * spark.sparkContext.defaultParallelism))
-    longest = placed.where("grp = 0").select("id", "features", "grp").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    dealt = sources.withColumn("in_shard", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int"))
-    lists = dealt.groupBy("in_shard").cogroup(longest.groupBy("shard")).applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
+    longest = placed.where("grp = 0").select("id", "features", "grp")
+    if target_rows * (8 * rank + 4) <= broadcast_bytes:
+        held = spark.sparkContext.broadcast(kernel.to_matrix(longest.select("id", "features").toArrow(), rank))
+        lists = _evenly(sources).mapInArrow(_score_sources(held, rank, k, distinct), kernel.LISTS_DDL).select(F.lit(0).alias("part"), "id", "matches")
+    else:
+        copies = longest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+        dealt = sources.withColumn("in_shard", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int"))
+        lists = dealt.groupBy("in_shard").cogroup(copies.groupBy("shard")).applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
     path = fresh_path(spark, "longest")
     lists.write.parquet(path)
     first = spark.read.parquet(path)
@@ -211,8 +219,8 @@ def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows:
     return Grid(placed.select("id", "features", "grp"), first, placed_sources, cells, len(tops))
 
 
-def _grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int) -> DataFrame:
-    grid = plan_grid(sources, targets, rank, k, distinct, target_rows, source_rows)
+def _grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int, broadcast_bytes: int = 0) -> DataFrame:
+    grid = plan_grid(sources, targets, rank, k, distinct, target_rows, source_rows, broadcast_bytes)
     left = grid.sources.join(grid.cells, "shard").groupBy("shard", "grp")
     right = grid.targets.join(grid.cells.select(F.col("shard").alias("for_shard"), F.col("grp").alias("in_grp")), F.col("grp") == F.col("in_grp"))
     later = left.cogroup(right.select("for_shard", "grp", "id", "features").groupBy("for_shard", "grp"))

@@ -208,3 +208,13 @@ def test_levels_share_shards_and_cells_leave_out_what_is_too_low(spark):
     got = {(r.user, r.rank): r.item for r in scoring.ranked(scoring.top_k(sources, targets, 2, 3, broadcast_bytes=0, cell_rows=10)).collect()}
     scores = np.c_[np.cos(angles), np.sin(angles)] @ vectors.T
     assert got == {(u, r + 1): int(i) for u in range(120) for r, i in enumerate(np.argsort(-scores[u])[:3])}
+
+
+def test_the_longest_targets_are_broadcast_if_they_are_few(spark, monkeypatch):
+    users, items = vectors(80, 5), vectors(400, 6)
+    model = FactorModel(RANK, frame(spark, range(80), users), frame(spark, range(400), items))
+    held, real = [], scoring._score_sources
+    monkeypatch.setattr(scoring, "_score_sources", lambda h, *how: (held.append(len(h.value[0])), real(h, *how))[1])
+    limit = 40 * (8 * RANK + 4)
+    got = as_dict(scoring.items_for_all_users(model, 8, broadcast_bytes=limit, cell_rows=40))
+    assert held == [40] and got == brute(users, range(400), items, 8)

@@ -1,10 +1,15 @@
 """Inputs that a query reads several times are worked out once."""
 
+from collections import Counter
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from pickwell.functions.kernel import MATCHES_DDL
 from pickwell.operators import factors, recommenders, scoring
 from pickwell.operators.ratings import parse_ratings
+from pickwell.plans import views
+from pickwell.plans.queries import QUERIES
 from pickwell.plans.taste import TasteGroups
 from pickwell.plans.views import models, stored, view
 
@@ -69,3 +74,27 @@ def test_narrow_ids_are_spread_before_they_grow_into_lists(spark):
     twice = spark.range(400).select((F.col("id") % 200).cast("int").alias("id"))
     lists = recommenders.items_for(Same(), twice, 3)
     assert busy(lists) >= 8 and lists.count() == 200
+
+
+def test_lines_are_joined_once_for_a_model_and_texts(spark, monkeypatch):
+    joined, real = [], views._over_tables
+    monkeypatch.setattr(views, "_over_tables", lambda *at: (joined.append("JOIN part" in at[2]), real(*at))[1])
+    QUERIES["serve_mixed_items"](spark, SF)
+    assert sum(joined) == 1
+
+
+def test_lines_are_those_of_the_view(spark, tmp_path):
+    """Keys that repeat, are null or have no match."""
+    day = datetime(2024, 1, 1)
+    tables = {
+        "lineitem": ([(o, p, 1, n, 7.0, 0.05, "R", "O") for n, (o, p) in enumerate([(1, 1), (1, 2), (2, 1), (3, 1), (None, 1), (1, None), (9, 1)])],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"),
+        "orders": ([(1, 1, "P", day), (1, 2, "F", day), (2, None, "P", day), (3, 8, "P", day), (None, 1, "P", day)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "customer": ([(1, "BUILDING"), (1, None), (2, "MACHINERY"), (None, "BUILDING")], "c_custkey long, c_mktsegment string"),
+        "part": ([(1, "PROMO"), (2, None), (2, "SMALL"), (None, "PROMO")], "p_partkey long, p_type string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found, want = view(spark, str(tmp_path), "lines"), views._over_tables(spark, str(tmp_path), views.VIEWS["lines"])
+    assert found.columns == want.columns and found.count() == 9
+    assert Counter(found.collect()) == Counter(want.collect())
