@@ -98,3 +98,36 @@ def test_lines_are_those_of_the_view(spark, tmp_path):
     found, want = view(spark, str(tmp_path), "lines"), views._over_tables(spark, str(tmp_path), views.VIEWS["lines"])
     assert found.columns == want.columns and found.count() == 9
     assert Counter(found.collect()) == Counter(want.collect())
+
+
+def odd_tables(spark, path):
+    """Keys, segments and values that repeat, are null or have no match."""
+    day = datetime(2024, 1, 1)
+    pairs = [(1, 1), (1, 2), (2, 1), (3, 1), (4, 2), (4, 2), (5, 1), (5, 3), (None, 1), (1, None), (9, 1)]
+    values = [(7.0, 0.05, "R", "O"), (-3.0, 0.0, "A", "F"), (None, None, None, None), (30.0, 0.1, "N", "O")]
+    tables = {
+        "lineitem": ([(o, p, 1, n % 9 or None, *values[n % 4]) for n, (o, p) in enumerate(pairs * 3)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"),
+        "orders": ([(1, 1, "P", day), (1, 2, "F", day), (2, None, "P", day), (3, 8, "P", day), (4, 3, None, day), (4, 3, "P", None), (5, 2, "F", day)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "customer": ([(1, "BUILDING", 1, 5.0), (1, None, 2, 5.0), (2, "MACHINERY", 3, 1.0), (2, "HOUSEHOLD", None, 2.0), (3, "HOUSEHOLD", 4, None), (None, "BUILDING", 1, 5.0)],
+                     "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double"),
+        "part": ([(1, "PROMO"), (1, "SMALL"), (2, None), (2, "SMALL"), (3, "LARGE"), (None, "PROMO")], "p_partkey long, p_type string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_bought_lists_are_those_of_the_views(spark, tmp_path):
+    path = odd_tables(spark, tmp_path)
+    for name in ("bought", "stored", "cached"):
+        got, want = view(spark, path, name), views._over_tables(spark, path, views.with_views([name], "spark") + f" SELECT * FROM {name}")
+        assert got.dtypes == want.dtypes and got.count() > 4
+        assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+
+
+def test_bought_lists_shuffle_the_lines_once(spark):
+    lines = stored(view(spark, SF, "lines").select("cust", "part", "q"), "lines")
+    lists = views.as_lists(view(spark, SF, "bought", lines))
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
