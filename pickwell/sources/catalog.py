@@ -30,5 +30,13 @@ def append_rows(rows: DataFrame, name: str, keys: list[str], buckets: int = BUCK
     rows.select(columns).repartition(buckets, *keys).write.insertInto(name)
 
 
+def stored_by(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The rows as a new table in as many buckets by ``keys`` as a shuffle has partitions, so rows that a shuffle by ``keys`` has dealt are written
+    where they are. Windows, groups and joins by ``keys`` over the table need no exchange."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").bucketBy(buckets, *keys).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def read_rows(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)

@@ -2,16 +2,18 @@
 
 from collections import Counter
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from pickwell.functions.kernel import MATCHES_DDL
-from pickwell.operators import factors, recommenders, scoring
+from pickwell.operators import factors, fusion, recommenders, scoring
 from pickwell.operators.ratings import parse_ratings
 from pickwell.plans import views
 from pickwell.plans.queries import QUERIES
 from pickwell.plans.taste import TasteGroups
 from pickwell.plans.views import models, stored, view
+from pickwell.sources import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +133,14 @@ def test_bought_lists_shuffle_the_lines_once(spark):
     lines = stored(view(spark, SF, "lines").select("cust", "part", "q"), "lines")
     lists = views.as_lists(view(spark, SF, "bought", lines))
     assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_rows_stored_by_user_are_ranked_where_they_are(spark):
+    name = f"fused_{uuid4().hex}"
+    rows = spark.range(300).selectExpr("cast(nullif(id % 17, 3) as int) user", "cast(id as int) item", "1 n_sources")
+    ranked = fusion.rank_fused(catalog.stored_by(rows, name, ["user"]), 7)
+    try:
+        assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+        assert Counter(ranked.collect()) == Counter(fusion.rank_fused(rows, 7).collect())
+    finally:
+        assert catalog.drop_table(spark, name)
