@@ -21,6 +21,12 @@ CELLS = 1 << 21
 BLOCK = 4096
 """Target rows per matrix product."""
 
+PACK, BEAM = 64, 8
+"""Groups that are bounded together first, and packs that are looked into for a source's best group."""
+
+SLACK = 1e-9
+"""Share of a bound that rounding may have taken."""
+
 UNUSED = np.iinfo(np.int32).min
 """Id of an empty place."""
 
@@ -208,3 +214,82 @@ def top_lists(
         visit(best, part, targets)
         if not best.empty:
             yield best.lists(ids[start : start + step])
+
+
+class Boxes:
+    """Groups of targets by the least and the greatest of each feature and the greatest length.
+
+    What no target of a group can exceed is known from these alone. Groups next to each other are bounded in packs first; NaN in a
+    group or a source rules nothing out.
+    """
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, length: np.ndarray):
+        self.groups = low, high, length
+        starts = np.arange(0, len(length), PACK)
+        self.packs = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(length, starts)
+
+    def __len__(self) -> int:
+        return len(self.groups[2])
+
+    def _bound(self, vectors: np.ndarray, sides: tuple[np.ndarray, ...], part: slice = slice(None)) -> np.ndarray:
+        low, high, length = (s[part] for s in sides)
+        with np.errstate(invalid="ignore"):
+            most = np.maximum(vectors, 0) @ high.T + np.minimum(vectors, 0) @ low.T
+            reach = np.sqrt((vectors * vectors).sum(axis=1))[:, None] * length[None, :]
+            return np.minimum(most, reach) + SLACK * reach
+
+    def needed(self, vectors: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, group), rows ascending, where a target may score the row's ``floor`` or more; NaN is no floor."""
+        floor = np.where(np.isnan(floor), -np.inf, floor)
+        packs = ~(self._bound(vectors, self.packs) < floor[:, None])
+        found = []
+        for pack in range(packs.shape[1]):
+            rows = np.flatnonzero(packs[:, pack])
+            if rows.size:
+                part = slice(pack * PACK, (pack + 1) * PACK)
+                at, group = np.nonzero(~(self._bound(vectors[rows], self.groups, part) < floor[rows, None]))
+                found.append((rows[at], group + part.start))
+        at, group = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
+        order = np.argsort(at, kind="stable")
+        return at[order], group[order]
+
+    def best(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A group per row that may score highest, and what it may score; only the packs that may score highest are looked into."""
+        packs = self._bound(vectors, self.packs)
+        n = packs.shape[1]
+        beam = np.argpartition(packs, n - BEAM, axis=1)[:, -BEAM:] if n > BEAM else np.broadcast_to(np.arange(n), packs.shape)
+        asked = np.zeros(packs.shape, bool)
+        np.put_along_axis(asked, beam, True, axis=1)
+        best, most = np.zeros(len(vectors), np.int64), np.full(len(vectors), -np.inf)
+        for pack in range(n):
+            rows = np.flatnonzero(asked[:, pack])
+            if rows.size:
+                bound = self._bound(vectors[rows], self.groups, slice(pack * PACK, (pack + 1) * PACK))
+                group = bound.argmax(axis=1)
+                top = bound[np.arange(rows.size), group]
+                better = ~(top <= most[rows])
+                best[rows[better]], most[rows[better]] = group[better] + pack * PACK, top[better]
+        return best, most
+
+
+class Tree:
+    """Halves of halves of a sample, each across its widest feature; vectors that lie near each other come to leaves near each other."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.feature, self.value = np.zeros(1 << depth, np.int32), np.full(1 << depth, np.inf)
+        open_ = [(1, sample)]
+        while open_:
+            node, rows = open_.pop()
+            if node >= 1 << depth or len(rows) < 2:
+                continue
+            widest = np.argmax(rows.max(axis=0) - rows.min(axis=0))
+            self.feature[node], self.value[node] = widest, np.median(rows[:, widest])
+            right = rows[:, widest] > self.value[node]
+            open_ += [(2 * node, rows[~right]), (2 * node + 1, rows[right])]
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        node, rows = np.ones(len(vectors), np.int64), np.arange(len(vectors))
+        for _ in range(self.depth):
+            node = 2 * node + (vectors[rows, self.feature[node]] > self.value[node])
+        return (node - (1 << self.depth)).astype(np.int32)

@@ -12,10 +12,10 @@ counted sizes, and every way is exact:
   the narrow source vectors are spread, no list is shuffled;
 * source side small: the sources are broadcast, every task keeps their best k
   over its share of the targets, and the short lists are merged by key;
-* both large: a grid. Targets are dealt to groups by falling length. All sources meet
-  the longest group first; the k-th score there bounds how short a target may be
-  to matter, so a source is sent only to the groups it still needs, in shards of sources that need
-  equally many, and a group only to the shards that need it. Rows reach their
+* both large: a grid. The longest targets are one group, the others are dealt to groups that lie near each
+  other. All sources meet the longest group first, and then the group that may hold their best; the k-th score there
+  rules out the groups none of whose vectors can reach it, by the bounds of their features and lengths. A source is sent
+  only to the groups it still needs, in shards. Rows reach their
   cells by an equi-join key, and the lists are merged by key.
 
 No plan holds a row per (source, target) pair outside a task's working block.
@@ -24,8 +24,9 @@ No plan holds a row per (source, target) pair outside a task's working block.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,19 +34,22 @@ from pyspark.sql import functions as F
 
 from pickwell.functions import kernel
 from pickwell.functions.columns import dot
-from pickwell.functions.frames import numbered, union_all
-from pickwell.model import FactorModel
+from pickwell.functions.frames import numbered, union_all, write_once
+from pickwell.model import FACTORS, FactorModel
 from pickwell.operators.factors import as_factors
 from pickwell.session import fresh_path
 
 BROADCAST_BYTES = 64 << 20
 CELL_ROWS, CELL_BYTES = 1 << 20, 256 << 20
 """Rows of a grid cell's side, and the bytes of its vectors and of the lists it gives, at most."""
+FEW_GROUPS = 8
+"""Groups beyond which it pays to look for each source's best one first."""
+DEEPEST, SAMPLE_BYTES = 14, 16 << 20
+"""Halvings of the targets, at most, and the bytes of the sample that tells where they are halved."""
 MERGE_FAN_IN = 32
 """Partial lists of an id that meet in one row."""
 PART_DDL = f"part int, {kernel.LISTS_DDL}"
-SLACK = 1e-9
-"""Share of a bound that rounding may have taken."""
+ASKED_DDL = "id int, features array<double>, floor double"
 
 
 def predict(model: FactorModel, pairs: DataFrame) -> DataFrame:
@@ -138,10 +142,11 @@ def _score_targets(held, rank: int, k: int):
 
 @dataclass(frozen=True)
 class Grid:
-    """Targets in groups by falling length, and which sources still need which groups after the first.
+    """Targets in groups, and which sources still need which groups after the first.
 
-    ``first`` holds the lists of the first group for every source. ``sources`` that need more have their ``shard``, all in it
-    with about the same last group, and their ``floor``, the score that is still of use to them; ``cells`` are the pairs ``(shard, grp)`` to be scored.
+    ``first`` holds the lists of the longest group for every source. ``sources`` that need more have their ``floor``, the score that
+    is still of use to them, and what they ``need``; ``cells`` are the pairs ``(shard, grp)`` to be scored, in as many shards a group
+    as ``shards`` says. No source needs more than ``most`` groups.
     """
 
     targets: DataFrame
@@ -149,6 +154,8 @@ class Grid:
     sources: DataFrame
     cells: DataFrame
     groups: int
+    shards: DataFrame
+    most: int
 
 
 def _length() -> Column:
@@ -161,71 +168,176 @@ def _score_cell(rank: int, k: int, distinct: bool):
         found = kernel.Targets(*kernel.to_matrix(right, rank))
         floor = left["floor"].to_numpy() if "floor" in left.column_names else None
         lists = pa.Table.from_batches(list(kernel.top_lists(ids, vectors, found, k, distinct, floor)), kernel.LISTS)
-        part = right["grp"][0].as_py() if right.num_rows else 0
-        return lists.add_column(0, "part", pa.array([part] * lists.num_rows, pa.int32()))
+        if "part" in left.column_names:
+            order = np.argsort(ids)
+            parts = left["part"].to_numpy()[order][np.searchsorted(ids[order], lists["id"].to_numpy())]
+        else:
+            parts = [right["grp"][0].as_py() if right.num_rows else 0] * lists.num_rows
+        return lists.add_column(0, "part", pa.array(parts, pa.int32()))
+
+    return score
+
+
+def _raise_floors(rank: int, k: int, distinct: bool):
+    """The sources of a cell with the k-th score of its targets as floor, where that is higher."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, vectors = kernel.to_matrix(left, rank)
+        floor = left["floor"].to_numpy().copy()
+        order = np.argsort(ids)
+        for batch in kernel.top_lists(ids, vectors, kernel.Targets(*kernel.to_matrix(right, rank)), k, distinct, floor.copy()):
+            lists = batch.column("matches")
+            ends = lists.offsets.to_numpy()
+            full = np.diff(ends) == k
+            reached = lists.values.field("score").to_numpy()[ends[1:][full] - 1]
+            rows = order[np.searchsorted(ids[order], batch.column("id").to_numpy()[full])]
+            floor[rows] = np.fmax(floor[rows], reached)
+        return _asked(left, floor)
 
     return score
 
 
+def _asked(rows: pa.Table | pa.RecordBatch, floor: np.ndarray) -> pa.Table:
+    return pa.table({"id": rows["id"], "features": rows["features"], "floor": pa.array(floor, pa.float64(), from_pandas=True)})
+
+
+def _best_group(boxes, rank: int):
+    """Adds ``grp``, the group that may hold a source's best, null if it holds nothing that the source needs."""
+
+    def find(batches):
+        for batch in batches:
+            _, vectors = kernel.to_matrix(batch, rank)
+            best, most = boxes.value.best(vectors)
+            none = most < batch.column("floor").to_numpy(zero_copy_only=False)
+            yield batch.append_column("grp", pa.array(best + 1, pa.int32(), mask=none))
+
+    return find
+
+
+def _needs(boxes, rank: int):
+    """Adds ``need``, the groups after the first that a source needs; sources that need none are left out."""
+
+    def find(batches):
+        for batch in batches:
+            _, vectors = kernel.to_matrix(batch, rank)
+            step = max(1, kernel.CELLS // max(1, len(boxes.value)))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                at, grp = boxes.value.needed(vectors[start : start + step], part.column("floor").to_numpy(zero_copy_only=False))
+                ends = np.r_[0, np.cumsum(np.bincount(at, minlength=part.num_rows))]
+                need = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grp + 1, pa.int32()))
+                yield part.append_column("need", need).filter(pa.array(np.diff(ends) > 0))
+
+    return find
+
+
+def _with_leaf(tree, rank: int):
+    def find(batches):
+        for batch in batches:
+            _, vectors = kernel.to_matrix(batch, rank)
+            yield batch.append_column("leaf", pa.array(tree.leaves(vectors), pa.int32()))
+
+    return find
+
+
+def _grouped(targets: DataFrame, rank: int, target_rows: int, n: int) -> DataFrame:
+    """``n`` targets with ``grp``, from 1, in groups of ``target_rows`` that lie near each other.
+
+    Where they are halved is taken from a sample; every target is in a group, whatever the sample was.
+    """
+    depth = min(DEEPEST, max(0, ceil(log2(max(1, 4 * n / target_rows)))))
+    size = min(16 << depth, SAMPLE_BYTES // (8 * rank + 4))
+    share = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < F.lit(min(1.0, size / max(1, n)) * (1 << 30))
+    tree = kernel.Tree(kernel.to_matrix(targets.where(share).select("id", "features").toArrow(), rank)[1], depth)
+    leaves = targets.select("id", "features").mapInArrow(_with_leaf(tree, rank), f"{FACTORS}, leaf int")
+    placed = numbered(leaves, ["leaf", "id"], "place")
+    return placed.select("id", "features", (F.floor((F.col("place") - 1) / target_rows) + 1).cast("int").alias("grp"))
+
+
+def _boxes(targets: DataFrame, rank: int) -> kernel.Boxes:
+    """The bounds of the groups from 1 on: one row per group of very many targets."""
+    bounds = [f(F.col("features")[j]).alias(f"{name}{j}") for name, f in (("low", F.min), ("high", F.max)) for j in range(rank)]
+    rows = targets.groupBy("grp").agg(*bounds, F.max(_length()).alias("length")).orderBy("grp").toArrow()
+    low, high = (np.column_stack([rows[f"{name}{j}"].to_numpy() for j in range(rank)]) for name in ("low", "high"))
+    return kernel.Boxes(low, high, rows["length"].to_numpy())
+
+
+def _shards(counts: dict[int, int], source_rows: int, wide: int) -> list[tuple[int, int]]:
+    """Shards of every group that so many sources need: enough for ``wide`` tasks, none of them much larger than ``source_rows``."""
+    most = max(1, min(source_rows, ceil(sum(counts.values()) / wide)))
+    return [(grp, ceil(n / most)) for grp, n in sorted(counts.items())]
+
+
+def _meet(asked: DataFrame, targets: DataFrame, shards: DataFrame, found, ddl: str) -> DataFrame:
+    """Sources with the ``grp`` they ask for and the group's targets in cells, one per shard of a group.
+
+    Scoring costs per row, far more than reading it, so cells are spread over a given number of tasks and not by bytes.
+    """
+    n = tasks(asked.sparkSession)
+    left = asked.join(F.broadcast(shards), "grp").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+    copies = targets.join(F.broadcast(shards), "grp").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    sides = (side.repartition(n, "shard", "grp").groupBy("shard", "grp") for side in (left, copies))
+    return next(sides).cogroup(next(sides)).applyInArrow(found, ddl)
+
+
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    path = fresh_path(rows.sparkSession, label)
+    write_once(rows, path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def plan_grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int, broadcast_bytes: int = 0) -> Grid:
-    """Score everything against the longest targets first; a source's k-th score there says how short a target may be to matter.
+    """Score everything against the longest targets, then find what each source still needs of the others.
 
-    The longest group is broadcast if its rows may be, else it meets all sources in shards, each of which gets a copy of it.
+    The longest group is broadcast if its rows may be, else it meets all sources in shards, each of which gets a copy of it. The k-th
+    score there, and the one in the group that may hold a source's best, are a floor; a group is needed where its box reaches it.
     """
     spark = sources.sparkSession
+    wide = 2 * spark.sparkContext.defaultParallelism
+    n = targets.count()
+    groups = ceil(n / target_rows)
     placed = numbered(targets.withColumn("length", _length()), [F.desc("length"), "id"], "place")
-    placed = placed.withColumn("grp", F.floor((F.col("place") - 1) / target_rows).cast("int"))
-    # One row per group of very many targets.
-    tops = [r["top"] for r in placed.groupBy("grp").agg(F.max("length").alias("top")).orderBy("grp").collect()]
-    wide = max(1, ceil(2 * spark.sparkContext.defaultParallelism))
-    longest = placed.where("grp = 0").select("id", "features", "grp")
+    longest = placed.where(F.col("place") <= target_rows).select("id", "features", F.lit(0).alias("grp"))
     if target_rows * (8 * rank + 4) <= broadcast_bytes:
         held = spark.sparkContext.broadcast(kernel.to_matrix(longest.select("id", "features").toArrow(), rank))
         lists = _evenly(sources).mapInArrow(_score_sources(held, rank, k, distinct), kernel.LISTS_DDL).select(F.lit(0).alias("part"), "id", "matches")
     else:
-        copies = longest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-        dealt = sources.withColumn("in_shard", F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int"))
+        copies = longest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(4 * wide - 1)))).repartition(tasks(spark), "shard")
+        dealt = sources.withColumn("in_shard", F.pmod(F.xxhash64("id"), F.lit(4 * wide)).cast("int")).repartition(tasks(spark), "in_shard")
         lists = dealt.groupBy("in_shard").cogroup(copies.groupBy("shard")).applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
-    path = fresh_path(spark, "longest")
-    lists.write.parquet(path)
-    first = spark.read.parquet(path)
-
+    first = _kept(lists, "longest")
+    if groups <= 1:
+        none = spark.createDataFrame([], f"{ASKED_DDL}, need array<int>")
+        shards = spark.createDataFrame([], "grp int, n int")
+        return Grid(longest, first, none, shards.select(F.lit(0).alias("shard"), "grp"), groups, shards, 0)
+
+    others = _kept(_grouped(placed.where(F.col("place") > target_rows), rank, target_rows, n - target_rows), "groups")
+    boxes = spark.sparkContext.broadcast(_boxes(others, rank))
     floor = first.select(F.col("id").alias("known"), F.when(F.size("matches") == k, F.element_at("matches", -1)["score"]).alias("floor"))
-    reach = F.transform(F.array(*map(F.lit, tops)), lambda top: top * F.col("length") * (1 + SLACK)) if tops else F.array().cast("array<double>")
-    needed = F.size(F.filter(reach, lambda best: F.col("floor").isNull() | F.isnan("floor") | (best >= F.col("floor"))))
-    asked = sources.withColumn("length", _length()).join(floor, F.col("id") == F.col("known"), "left")
-    asked = asked.select("id", "features", "floor", needed.alias("last")).where("last > 1")
-    sizes = {r["last"]: r["count"] for r in asked.groupBy("last").count().collect()}
-    most = max(1, min(source_rows, ceil(sum(sizes.values()) / wide)))
-    # Levels next to each other share a shard until it is full, so there are few shards more than the sources fill.
-    packs: list[list[int]] = []
-    filled = 0
-    for last in sorted(sizes):
-        if packs and filled + sizes[last] <= most:
-            packs[-1].append(last)
-        else:
-            packs.append([last])
-            filled = 0
-        filled += sizes[last]
-    levels, reached = [], []
-    for pack in packs:
-        n = ceil(sum(sizes[last] for last in pack) / most)
-        levels += [(last, len(reached), n) for last in pack]
-        reached += [(len(reached) + i, pack[-1]) for i in range(n)]
-    shard = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
-    placed_sources = asked.join(F.broadcast(spark.createDataFrame(levels, "level int, start int, n int")), F.col("last") == F.col("level")).select(
-        "id", "features", "floor", shard.alias("shard"))
-    cells = spark.createDataFrame(reached, "shard int, last int").select("shard", F.explode(F.sequence(F.lit(1), F.col("last") - 1)).alias("grp"))
-    return Grid(placed.select("id", "features", "grp"), first, placed_sources, cells, len(tops))
+    asked = sources.join(floor, F.col("id") == F.col("known"), "left").select("id", "features", "floor")
+    if groups > FEW_GROUPS and k <= target_rows:
+        best = _kept(asked.mapInArrow(_best_group(boxes, rank), f"{ASKED_DDL}, grp int"), "best")
+        counts = {r["grp"]: r["count"] for r in best.where("grp IS NOT NULL").groupBy("grp").count().collect()}
+        shards = spark.createDataFrame(_shards(counts, source_rows, wide), "grp int, n int")
+        raised = _meet(best.where("grp IS NOT NULL"), others, shards, _raise_floors(rank, k, distinct), ASKED_DDL)
+        asked = union_all(best.where("grp IS NULL").select(raised.columns), raised)
+    asked = _kept(asked.mapInArrow(_needs(boxes, rank), f"{ASKED_DDL}, need array<int>"), "needs")
+    most = asked.agg(F.max(F.size("need"))).first()[0] or 0
+    counts = {r["grp"]: r["count"] for r in asked.select(F.explode("need").alias("grp")).groupBy("grp").count().collect()}
+    shards = spark.createDataFrame(_shards(counts, source_rows, wide), "grp int, n int")
+    cells = shards.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"), "grp")
+    return Grid(union_all(longest, others), first, asked, cells, groups, shards, most)
 
 
 def _grid(sources, targets, rank: int, k: int, distinct: bool, target_rows: int, source_rows: int, broadcast_bytes: int = 0) -> DataFrame:
     grid = plan_grid(sources, targets, rank, k, distinct, target_rows, source_rows, broadcast_bytes)
-    left = grid.sources.join(grid.cells, "shard").groupBy("shard", "grp")
-    right = grid.targets.join(grid.cells.select(F.col("shard").alias("for_shard"), F.col("grp").alias("in_grp")), F.col("grp") == F.col("in_grp"))
-    later = left.cogroup(right.select("for_shard", "grp", "id", "features").groupBy("for_shard", "grp"))
-    lists = later.applyInArrow(_score_cell(rank, k, distinct), PART_DDL)
-    return merge_lists(union_all(grid.first, lists), k, grid.groups, distinct=distinct)
+    if not grid.most:
+        return grid.first.select("id", "matches")
+    # Lists of a source are counted from the one of the longest group on.
+    asked = grid.sources.select("id", "features", "floor", F.posexplode("need").alias("place", "grp"))
+    asked = asked.select("id", "features", "floor", (F.col("place") + 1).alias("part"), "grp")
+    lists = _meet(asked, grid.targets.where("grp > 0"), grid.shards, _score_cell(rank, k, distinct), PART_DDL)
+    return merge_lists(union_all(grid.first, lists), k, grid.most + 1, distinct=distinct)
 
 
 def merge_sorted(matches: Column, k: int | None, distinct: bool = False) -> Column:

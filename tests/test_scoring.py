@@ -218,3 +218,43 @@ def test_the_longest_targets_are_broadcast_if_they_are_few(spark, monkeypatch):
     limit = 40 * (8 * RANK + 4)
     got = as_dict(scoring.items_for_all_users(model, 8, broadcast_bytes=limit, cell_rows=40))
     assert held == [40] and got == brute(users, range(400), items, 8)
+
+
+def test_a_source_meets_only_the_groups_that_may_hold_its_best(spark):
+    """The longest targets are copies of one vector and say little to most sources; before, these met nearly all groups."""
+    rng = np.random.default_rng(4)
+    angle = rng.uniform(0, 2 * np.pi, 1600)
+    items = np.concatenate((np.tile([30.0, 0, 0], (50, 1)), np.c_[np.cos(angle), np.sin(angle), np.zeros(1600)] * rng.uniform(8, 9, (1600, 1))))
+    users = rng.normal(size=(60, 3))
+    users[:, 0] = -np.abs(users[:, 0])
+    model = FactorModel(RANK, frame(spark, range(60), users), frame(spark, range(1650), items))
+    grid = scoring.plan_grid(model.users, model.items, RANK, 5, False, 50, 20)
+    asked = grid.sources.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("need")).alias("cells")).first()
+    assert grid.groups == 33 and asked.n == 60 and asked.cells < 60 * 32 / 4
+    sizes = grid.targets.groupBy("grp").count().collect()
+    assert len(sizes) == 33 and all(r["count"] == 50 for r in sizes)
+    got = as_dict(scoring.items_for_all_users(model, 5, broadcast_bytes=0, cell_rows=50))
+    want = brute(users, range(1650), items, 5)
+    assert {u: [i for i, _ in m] for u, m in got.items()} == {u: [i for i, _ in m] for u, m in want.items()}
+
+
+def test_boxes_rule_out_nothing_that_reaches_the_floor():
+    rng = np.random.default_rng(5)
+    targets, sources = rng.normal(size=(3000, 4)), rng.normal(size=(50, 4))
+    tree = kernel.Tree(targets[:500], 6)
+    targets = targets[np.argsort(tree.leaves(targets), kind="stable")]
+    targets[7, 2] = np.nan
+    cuts = np.arange(0, 3000, 10)
+    boxes = kernel.Boxes(*(f.reduceat(targets, cuts) for f in (np.minimum, np.maximum)), np.maximum.reduceat(np.sqrt((targets**2).sum(axis=1)), cuts))
+    scores = sources @ targets.T
+    floor = np.nanmax(scores, axis=1) - rng.uniform(0, 1, 50)
+    floor[:3] = np.nan
+    at, group = boxes.needed(sources, floor)
+    found = set(zip(at.tolist(), group.tolist()))
+    assert len(found) == len(at) < 0.5 * 50 * 300 and (np.diff(at) >= 0).all()
+    assert {(i, g) for i in range(50) for g in range(300) if not (np.nanmax(scores[i, 10 * g : 10 * g + 10]) < floor[i])} <= found
+    assert {(i, 0) for i in range(50)} <= found and all((i, g) in found for i in range(3) for g in range(300))
+    clean = np.flatnonzero(~np.isnan(boxes.groups[1]).any(axis=1))
+    sub = kernel.Boxes(*(s[clean] for s in boxes.groups))
+    best, most = sub.best(sources)
+    assert (most >= scores[np.arange(50)[:, None], 10 * clean[best][:, None] + np.arange(10)].max(axis=1) - 1e-9).all()
