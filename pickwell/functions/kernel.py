@@ -9,7 +9,7 @@ makes scores, and therefore ties, independent of how rows were grouped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,13 @@ CELLS = 1 << 21
 BLOCK = 4096
 """Target rows per matrix product."""
 
+LEAF, LEAVES_FROM, LEAVES_RANK = 256, 1 << 15, 12
+"""Targets of a leaf, the number of targets from which they are looked up by leaves, and the most features they may have for it (boxes
+of more rule out little)."""
+
+AT_ONCE = 1 << 15
+"""Source rows that look up leaves together."""
+
 PACK, BEAM = 64, 8
 """Groups that are bounded together first, and packs that are looked into for a source's best group."""
 
@@ -56,10 +63,27 @@ class Targets:
         length = np.sqrt((vectors * vectors).sum(axis=1))
         order = np.lexsort((ids, -length))
         self.ids, self.vectors, self.length = ids[order], vectors[order], length[order]
+        self.boxes: Boxes | None = None
 
     def __len__(self) -> int:
         return self.ids.size
 
+    def by_leaves(self, k: int, distinct: bool) -> bool:
+        """Whether lists of ``k`` are found by leaves. Very many targets of few features are then put in the order of a tree, once."""
+        if len(self) < LEAVES_FROM or self.vectors.shape[1] > LEAVES_RANK or 4 * k * (2 if distinct else 1) > LEAF:
+            return False
+        if self.boxes is None:
+            depth = max(1, int(np.ceil(np.log2(2 * len(self) / LEAF))))
+            tree = Tree(self.vectors[:: max(1, len(self) // (16 << depth))], depth)
+            # Shells by falling length, each twice as large as the one before, so a leaf's vectors are about as long.
+            shell = np.log2(np.arange(len(self)) / BLOCK + 1).astype(np.int64)
+            order = np.lexsort((tree.leaves(self.vectors), shell))
+            self.ids, self.vectors, self.length = self.ids[order], self.vectors[order], self.length[order]
+            starts = np.arange(0, len(self), LEAF)
+            low, high = (f.reduceat(self.vectors, starts) for f in (np.minimum, np.maximum))
+            self.boxes = Boxes(low, high, np.maximum.reduceat(self.length, starts))
+        return True
+
 
 class Best:
     """The best ``k`` targets so far for each of ``n`` source rows.
@@ -166,28 +190,54 @@ def visit(best: Best, sources: np.ndarray, targets: Targets) -> None:
         return
     reach = np.sqrt((sources * sources).sum(axis=1))
     rank = sources.shape[1]
-    slack = 8 * (rank + 2) * np.finfo(float).eps * reach * targets.length[0]
+    slack = 8 * (rank + 2) * np.finfo(float).eps * reach * targets.length.max()
+    if targets.by_leaves(best.k, best.distinct):
+        _visit_leaves(best, sources, targets, slack)
+        return
     step, width, dense = _plan(len(targets), best.k, best.distinct)
     for start in range(0, len(targets), step):
-        block = targets.vectors[start : start + step]
-        ids = targets.ids[start : start + step]
+        part = slice(start, start + step)
         active = np.flatnonzero(reach * targets.length[start] + slack >= best.floor - slack)
         if active.size == 0:
             break
-        by_term = np.ascontiguousarray(block.T)
-        part = max(1, CELLS // block.shape[0])
-        for lo in range(0, active.size, part):
-            rows = active[lo : lo + part]
-            terms = np.ascontiguousarray(sources[rows].T)
-            scores = _score_all(terms, by_term) if dense else sources[rows] @ by_term
-            need = (best.floor - slack)[rows]
-            if block.shape[0] > width and not np.isfinite(need).all():
-                cut = block.shape[0] - width
-                need = np.maximum(need, np.partition(scores, cut, axis=1)[:, cut] - 2 * slack[rows])
-            keep = scores >= need[:, None]
-            at, col = np.nonzero(keep)
-            exact = scores[keep] if dense else _score_pairs(terms, at, by_term, col)
-            best.add(rows, at, ids[col], exact)
+        _offer(best, sources, active, targets.vectors[part], targets.ids[part], slack, width, dense)
+
+
+def _visit_leaves(best: Best, sources: np.ndarray, targets: Targets, slack: np.ndarray) -> None:
+    """Each source row meets the leaf that may hold its best first, and then the others that may still reach its floor."""
+    width = 2 * best.k if best.distinct else best.k
+    first, _ = targets.boxes.best(sources)
+    order = np.argsort(first, kind="stable")
+    ends = np.r_[np.flatnonzero(np.diff(first[order])) + 1, len(order)]
+    visits = [(first[order[low]], order[low:high]) for low, high in zip([0, *ends], ends)]
+    for leaf, rows in visits:
+        part = slice(leaf * LEAF, (leaf + 1) * LEAF)
+        _offer(best, sources, rows, targets.vectors[part], targets.ids[part], slack, width, False)
+    for leaf, rows in targets.boxes.reached(sources, lambda: best.floor - 2 * slack):
+        rows = rows[first[rows] != leaf]
+        if rows.size:
+            part = slice(leaf * LEAF, (leaf + 1) * LEAF)
+            _offer(best, sources, rows, targets.vectors[part], targets.ids[part], slack, width, False)
+
+
+def _offer(best: Best, sources: np.ndarray, active: np.ndarray, block: np.ndarray, ids: np.ndarray, slack: np.ndarray, width: int, dense: bool) -> None:
+    """Offer a block of targets to the source rows ``active``."""
+    by_term = np.ascontiguousarray(block.T)
+    part = max(1, CELLS // block.shape[0])
+    for lo in range(0, active.size, part):
+        rows = active[lo : lo + part]
+        terms = np.ascontiguousarray(sources[rows].T)
+        scores = _score_all(terms, by_term) if dense else sources[rows] @ by_term
+        need = (best.floor - slack)[rows]
+        if block.shape[0] > width and not np.isfinite(need).all():
+            cut = block.shape[0] - width
+            need = np.maximum(need, np.partition(scores, cut, axis=1)[:, cut] - 2 * slack[rows])
+        keep = scores >= need[:, None]
+        at, col = np.divmod(np.flatnonzero(keep), block.shape[0])
+        exact = scores[keep] if dense else _score_pairs(terms, at, by_term, col)
+        hit = np.zeros(rows.size, bool)  # rows without a candidate stay as they are
+        hit[at] = True
+        best.add(rows[hit], (np.cumsum(hit) - 1)[at], ids[col], exact)
 
 
 def _plan(n: int, k: int, distinct: bool) -> tuple[int, int, bool]:
@@ -208,6 +258,8 @@ def top_lists(
     """Best-k lists, a bounded number of source rows at a time."""
     block, width, _ = _plan(len(targets), k, distinct)
     step = max(1, CELLS // max(min(block, len(targets)), min(width, len(targets)), 1))
+    if targets.by_leaves(k, distinct):
+        step = min(AT_ONCE, max(1, CELLS // width))
     for start in range(0, ids.size, step):
         part = sources[start : start + step]
         best = Best(part.shape[0], k, distinct, None if least is None else least[start : start + step])
@@ -241,18 +293,25 @@ class Boxes:
     def needed(self, vectors: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, group), rows ascending, where a target may score the row's ``floor`` or more; NaN is no floor."""
         floor = np.where(np.isnan(floor), -np.inf, floor)
-        packs = ~(self._bound(vectors, self.packs) < floor[:, None])
-        found = []
-        for pack in range(packs.shape[1]):
-            rows = np.flatnonzero(packs[:, pack])
-            if rows.size:
-                part = slice(pack * PACK, (pack + 1) * PACK)
-                at, group = np.nonzero(~(self._bound(vectors[rows], self.groups, part) < floor[rows, None]))
-                found.append((rows[at], group + part.start))
-        at, group = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
+        found = [(rows, np.full(rows.size, group)) for group, rows in self.reached(vectors, lambda: floor)]
+        at, group = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         order = np.argsort(at, kind="stable")
         return at[order], group[order]
 
+    def reached(self, vectors: np.ndarray, floor: Callable[[], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Groups with the rows that may score their floor or more there, as the floors are by then."""
+        packs = self._bound(vectors, self.packs)
+        for pack in range(packs.shape[1]):
+            rows = np.flatnonzero(~(packs[:, pack] < floor()))
+            if not rows.size:
+                continue
+            start = pack * PACK
+            bound = self._bound(vectors[rows], self.groups, slice(start, start + PACK))
+            for group in range(bound.shape[1]):
+                hit = rows[~(bound[:, group] < floor()[rows])]
+                if hit.size:
+                    yield start + group, hit
+
     def best(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A group per row that may score highest, and what it may score; only the packs that may score highest are looked into."""
         packs = self._bound(vectors, self.packs)

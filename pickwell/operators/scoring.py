@@ -114,13 +114,26 @@ def tasks(spark: SparkSession) -> int:
 def _score_sources(held, rank: int, k: int, distinct: bool):
     def score(batches):
         targets = kernel.Targets(*held.value)
-        for batch in batches:
-            ids, vectors = kernel.to_matrix(batch, rank)
+        at_once = kernel.AT_ONCE if targets.by_leaves(k, distinct) else 1
+        for ids, vectors in _in_bulk(batches, rank, at_once):
             yield from kernel.top_lists(ids, vectors, targets, k, distinct)
 
     return score
 
 
+def _in_bulk(batches, rank: int, rows: int):
+    """Ids and vectors of the batches, put together up to about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(kernel.to_matrix(batch, rank))
+        n += batch.num_rows
+        if n >= rows:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
 def _score_targets(held, rank: int, k: int):
     def score(batches):
         ids, vectors = held.value

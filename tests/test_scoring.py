@@ -258,3 +258,26 @@ def test_boxes_rule_out_nothing_that_reaches_the_floor():
     sub = kernel.Boxes(*(s[clean] for s in boxes.groups))
     best, most = sub.best(sources)
     assert (most >= scores[np.arange(50)[:, None], 10 * clean[best][:, None] + np.arange(10)].max(axis=1) - 1e-9).all()
+
+
+@pytest.mark.parametrize("k, distinct, fine", [(1, False, True), (3, False, False), (3, True, True), (2, True, False)])
+def test_leaves_give_the_same_lists_from_few_targets(monkeypatch, k, distinct, fine):
+    """Very many targets are looked up by leaves; before, all that are long enough were scored, whatever their direction."""
+    rng = np.random.default_rng(k)
+    draw = rng.standard_normal if fine else (lambda shape: rng.integers(-3, 4, shape).astype(float))
+    target, source = draw((4000, RANK)) * rng.integers(5, 9, (4000, 1)), draw((70, RANK))
+    ids = np.r_[np.arange(2500), np.arange(1500)].astype(np.int32) if distinct else rng.permutation(4000).astype(np.int32)
+    scored, real = [], kernel._offer
+    monkeypatch.setattr(kernel, "_offer", lambda best, sources, rows, block, *rest: (scored.append(rows.size * len(block)), real(best, sources, rows, block, *rest)))
+
+    def lists():
+        scored.clear()
+        batches = kernel.top_lists(np.arange(70, dtype=np.int32), source, kernel.Targets(ids, target), k, distinct)
+        return {r["id"]: [(x["id"], x["score"]) for x in r["matches"]] for b in batches for r in b.to_pylist()}
+
+    by_length, all_scored = lists(), sum(scored)
+    monkeypatch.setattr(kernel, "LEAVES_FROM", 1000)
+    monkeypatch.setattr(kernel, "LEAF", 32)
+    assert lists() == by_length and sum(scored) < all_scored / 2
+    monkeypatch.setattr(kernel, "AT_ONCE", 9)
+    assert lists() == by_length
